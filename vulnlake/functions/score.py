@@ -308,10 +308,9 @@ def password_hash_class(value) -> Column:
 
 
 def data_object(family, name) -> Column:
-    """What a finding is about, by family: table, file, host or parameter."""
+    """The object a finding is about; sign-in, session and configuration have one fixed name each."""
     f = C(family)
-    kind = (
-        F.when(f.isin("sqli", "nosql"), "table").when(f.isin("lfi", "filewrite"), "file")
-        .when(f.isin("ssrf"), "host").when(f.isin("authz", "session"), "resource").otherwise("param")
+    return (
+        F.when(f == "session", "session").when(f.isin("authz", "auth"), "auth_token")
+        .when(f == "config", "config").otherwise(C(name))
     )
-    return F.concat_ws(":", kind, C(name))

@@ -20,9 +20,9 @@ def version_key(version: str | Column) -> Column:
     """[major, minor, patch, build, release] with release 0 for pre-releases, 1 otherwise."""
     v = F.regexp_replace(F.trim(_c(version)), "^[vV]+", "")
     core = F.regexp_replace(v, r"[-+].*$", "")
-    pre = v.rlike(r"-(dev|alpha|beta|rc|pre|a|b)") | v.rlike("(?i)-(dev|alpha|beta|rc)")
+    pre = v.rlike("(?i)-(dev|alpha|beta|rc|pre|a[0-9]|b[0-9])")
     digits = F.concat(F.split(core, "[.]"), F.array(*[F.lit("0")] * PARTS))
-    nums = F.transform(F.slice(digits, 1, PARTS), lambda x: F.coalesce(F.expr("try_cast(element AS INT)") if False else x.try_cast("int"), F.lit(0)))
+    nums = F.transform(F.slice(digits, 1, PARTS), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
     return F.concat(nums, F.array(F.when(pre, 0).otherwise(1)))
 
 
@@ -94,14 +94,20 @@ def near_names(names: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
     n = names.select("vendor", "name").distinct()
     # every substring of the name that could equal piece i of a known name of length n +- most
     size = F.length("name")
-    windows = F.flatten(F.array(*[
-        F.flatten(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d, i=i: F.transform(
-            F.sequence(F.lit(-most), F.lit(most)), lambda s: F.struct(
-                F.lit(i).alias("i"), (size + d).alias("n"),
-                F.floor((size + d) * i / parts).cast("int").alias("at"),
-                F.substring("name", F.greatest(F.floor((size + d) * i / parts).cast("int") + s + 1, F.lit(1)),
-                            F.floor((size + d) * (i + 1) / parts).cast("int") - F.floor((size + d) * i / parts).cast("int")).alias("piece")))))
-        for i in range(parts)]))
+    shifts = F.sequence(F.lit(-most), F.lit(most))
+
+    def probes_of(i: int) -> Column:
+        """Candidate copies of part i for every known length and every shift."""
+        def for_length(d):
+            at = F.floor((size + d) * i / parts).cast("int")
+            width = F.floor((size + d) * (i + 1) / parts).cast("int") - at
+            return F.transform(shifts, lambda s: F.struct(
+                F.lit(i).alias("i"), (size + d).alias("n"), at.alias("at"),
+                F.substring("name", F.greatest(at + s + 1, F.lit(1)), width).alias("piece")))
+
+        return F.flatten(F.transform(shifts, for_length))
+
+    windows = F.flatten(F.array(*[probes_of(i) for i in range(parts)]))
     probes = n.select("vendor", "name", F.explode(F.array_distinct(windows)).alias("p")).select("vendor", "name", "p.*")
     hits = probes.join(k, ["vendor", "i", "n", "at", "piece"]).select("vendor", "name", "known_name").distinct()
     d = F.levenshtein("name", "known_name", most)

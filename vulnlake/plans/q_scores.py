@@ -243,7 +243,6 @@ def hash_class(t):
 
 
 @query("S41_data_object", """
-SELECT concat(CASE WHEN vuln_type = 'sqli' THEN 'table' WHEN vuln_type = 'ssrf' THEN 'host' WHEN vuln_type = 'authz' THEN 'resource'
- ELSE 'param' END, ':', data_object) AS object, COUNT(*) AS nodes FROM fx_nodes GROUP BY 1""")
+SELECT CASE WHEN vuln_type = 'authz' THEN 'auth_token' ELSE data_object END AS object, COUNT(*) AS nodes FROM fx_nodes GROUP BY 1""")
 def objects(t):
     return t.fx_nodes.groupBy(S.data_object("vuln_type", "data_object").alias("object")).agg(F.count("*").alias("nodes"))

@@ -96,7 +96,10 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE c_custkey % 6 WHEN 0 THEN 'sqli' WHEN 1 THEN 'xss' WHEN 2 THEN 'rce' WHEN 3 THEN 'ssrf' "
         "WHEN 4 THEN 'authz' ELSE 'infoleak' END AS vuln_type",
         "CASE c_custkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity",
-        "CASE c_custkey % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suspected' ELSE 'potential' END AS status",
+        "CASE c_nationkey % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suspected' ELSE 'potential' END AS status",
+        "CASE c_nationkey WHEN 0 THEN 'no_rate_limit' WHEN 1 THEN 'weak_password' WHEN 2 THEN 'no_httponly' WHEN 3 THEN 'no_csp' "
+        "WHEN 4 THEN 'cloud' WHEN 5 THEN 'admin_reachable' WHEN 6 THEN 'file_privilege' WHEN 7 THEN 'writable_dir' "
+        "WHEN 8 THEN 'payment' WHEN 9 THEN 'reset_token' WHEN 10 THEN 'open_signup' ELSE 'none' END AS condition",
         f"concat('obj', {_s('c_nationkey')}, '_', {_n('c_custkey / 100')}) AS data_object",
         f"concat('route_', {_n('c_custkey / 3')}) AS route_id",
         "c_custkey AS seq",
@@ -112,6 +115,29 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'probable' ELSE 'speculative' END AS confidence",
         "o_orderkey AS seq",
     ]),
+    "fx_memory": ("lineitem", [
+        f"{SINK_TYPES} AS sink_type",
+        "CASE l_suppkey % 4 WHEN 0 THEN 'laravel' WHEN 1 THEN 'symfony' WHEN 2 THEN 'wordpress' ELSE 'none' END AS framework",
+        "CASE l_linenumber % 3 WHEN 0 THEN '5' WHEN 1 THEN '7' ELSE '8' END AS php_major",
+        "CASE l_orderkey % 3 WHEN 0 THEN 'modsecurity' WHEN 1 THEN 'cloudflare' ELSE 'none' END AS waf",
+        "CASE l_returnflag WHEN 'R' THEN 'confirmed' WHEN 'A' THEN 'failed' ELSE 'partial' END AS status",
+        "CAST(l_quantity AS INT) % 7 AS rounds_used", "l_orderkey", "l_linenumber", "l_shipdate AS created_at",
+    ]),
+    "fx_targets": ("part", [
+        f"concat('proj', {_s('p_partkey')}) AS project",
+        "CASE p_size % 6 WHEN 0 THEN 'RCE' WHEN 1 THEN 'SQLi' WHEN 2 THEN 'XSS' WHEN 3 THEN 'LDAP' WHEN 4 THEN 'SSRF' ELSE 'LFI' END AS sink_type",
+        "CASE p_partkey % 5 WHEN 0 THEN 'laravel' WHEN 1 THEN 'symfony' WHEN 2 THEN 'wordpress' WHEN 3 THEN 'thinkphp' ELSE 'yii' END AS framework",
+        "CASE p_partkey % 4 WHEN 0 THEN '5' WHEN 1 THEN '7' WHEN 2 THEN '8' ELSE '9' END AS php_major",
+        "CASE p_partkey % 3 WHEN 0 THEN 'modsecurity' WHEN 1 THEN 'cloudflare' ELSE 'other' END AS waf",
+        "CAST(p_size AS INT) % 12 AS fw_major",
+    ]),
+    # caller edges climb the function numbers, so walks end at sources, at the top or at the depth limit
+    "fx_calls": ("orders", [
+        f"concat('f', {_s('o_custkey')}) AS callee", f"concat('f', {_s('o_custkey + 1 + o_orderkey % 3')}) AS caller",
+    ]),
+    "fx_names": ("part", [
+        "lower(p_brand) AS vendor", f"concat(replace(p_name, ' ', '-'), '-', {_s('p_partkey % 10')}) AS name", "p_type = 'STANDARD' AS known",
+    ]),
     "fx_rounds": ("events", [
         "user_id AS sink_no", "event_id", "ts",
         "CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'signup' THEN 'suspected' ELSE 'failed' END AS result",

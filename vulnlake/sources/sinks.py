@@ -98,7 +98,7 @@ def sarif_problems(results: DataFrame) -> DataFrame:
         F.when(F.col("_r.message.text").isNull(), "message missing"),
         F.when(loc["artifactLocation"]["uri"].isNull(), "uri missing"),
         F.when(~F.coalesce(loc["region"]["startLine"] >= 1, F.lit(False)), "startLine not positive")))
-    return x.drop("_r").withColumn("problems", reasons)
+    return x.withColumn("problems", reasons).drop("_r")
 
 
 def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
