@@ -6,6 +6,8 @@ The expressions read the same in Spark SQL and in DuckDB.
 
 from __future__ import annotations
 
+from vulnlake.plans.corpus import line_sql
+
 FUNCTIONS = (
     "CASE l_partkey % 10 WHEN 0 THEN 'eval' WHEN 1 THEN 'system' WHEN 2 THEN 'unserialize' "
     "WHEN 3 THEN 'include' WHEN 4 THEN 'mysql_query' WHEN 5 THEN 'file_put_contents' "
@@ -135,6 +137,10 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "fx_calls": ("orders", [
         f"concat('f', {_s('o_custkey')}) AS callee", f"concat('f', {_s('o_custkey + 1 + o_orderkey % 3')}) AS caller",
     ]),
+    "fx_lines": ("orders", [
+        f"concat('proj', {_n('o_orderkey / 400')}) AS project", f"concat('src/F', {_n('o_orderkey / 40')}, '.php') AS path",
+        "CAST(o_orderkey % 40 + 1 AS INT) AS line", f"{line_sql()} AS text",
+    ]),
     "fx_names": ("part", [
         "lower(p_brand) AS vendor", f"concat(replace(p_name, ' ', '-'), '-', {_s('p_partkey % 10')}) AS name", "p_type = 'STANDARD' AS known",
     ]),
