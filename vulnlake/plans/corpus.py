@@ -5,7 +5,7 @@ comment); the customer number picks the text of every other line.
 """
 
 FRAME = {
-    0: ["<?php"], 1: ["namespace App;"],
+    0: ["<?php", "<?php //0abc", "<?php @Zend;"], 1: ["namespace App;"],
     2: ["class UserType {", "class OrderService {", "class GraphQLQuery {", "class CartModel {"],
     5: ["public function makeToken($request) {", "public function handle($request) {", "public function login($request) {"],
     14: ["}"], 15: ["public function login($request) {", "public function logout() {", "public function upload($request) {"], 24: ["}"],
@@ -40,6 +40,8 @@ POOL = [
     "$table->integer('age');", "$table->json('data');", "'mail' => 'email|max:255',", "'age' => 'integer|min:0',", "return $this->hasMany(Comment::class);",
     "return $this->belongsTo(Account::class);", "return $this->belongsToMany(Role::class);", "$u = fetch('/api/users');", "$a = axios.get('/api/orders/list');",
     "call_user_func($cb, 1);", "printf($fmt);", "$x = 1; // md5($password) here", "/* exec($x) */ $y = 2;", "# system($x)", "return $next;",
+    "eval(base64_decode($x));", "$v = $this->argument('file');", "$schedule->command('report');", "class SendMail implements ShouldQueue { }",
+    "$router->connect('/pages', ['controller' => 'Pages']);", "register_rest_route('wp/v2', '/custom', []);", "$routes->get('list', 'Home::index');",
     "foreach ($rows as $row) { print($row); }", "throw new RuntimeException('no');", "$s = match (true) { default => 0 };", "function double(int $x): int { return $x; }",
     "enum Suit: string { }", "#[Route('/path')]", "$user?->name;", "declare(strict_types=1);", "wp_remote_get($u);", "update_option('siteurl', $v);",
 ]

