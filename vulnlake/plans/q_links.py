@@ -272,10 +272,14 @@ def sarif_runs(t):
     return runs.where(F.get_json_object("document", "$.version") == "2.1.0").select("project", "results", "shards")
 
 
-@query("W01_sarif_shards")
+@query("W01_sarif_shards", """
+SELECT project, CAST(ceil(COUNT(*) / 500e0) AS BIGINT) AS shards, COUNT(*) AS items, COUNT(*) AS parsed FROM fx_sinks WHERE verdict <> 'not_vulnerable' GROUP BY 1""")
 def sarif_shards(t):
     from vulnlake.sources.sinks import to_sarif
-    return to_sarif(t.fx_sinks.withColumn("sink_function", F.lit("call")), shard_rows=500)[1]
+    runs, s = to_sarif(t.fx_sinks.withColumn("sink_function", F.lit("call")), shard_rows=500)
+    n = F.json_array_length(F.get_json_object("document", "$.results")).cast("long")
+    got = s.groupBy("project").agg(F.sum("items").alias("items"), F.sum(n).alias("parsed"))
+    return runs.select("project", "shards").join(got, "project")
 
 
 @query("W02_sarif_levels", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.operators import scan as X
 from vulnlake.plans.q_graph import values
-from vulnlake.plans.registry import query
+from vulnlake.plans.registry import BODIES, query
 from vulnlake.rules import patterns as P
 from vulnlake.rules import sinks as K
 
@@ -177,11 +177,6 @@ def summary(t):
     return X.scan_summary(t.fx_lines, h)
 
 
-@query("F01_F24_full_scan")
-def full_scan(t):
-    return X.scan_calls(t.fx_lines).groupBy("sink_type", "function", "call_type").agg(F.count("*").alias("hits"))
-
-
 def union_rules(rules, source="src") -> str:
     return " UNION ALL ".join(f"SELECT {lit(rid)} AS rule, project, path, line FROM {source} WHERE regexp_matches(code, {lit(rx)})" for rid, rx in rules)
 
@@ -238,3 +233,30 @@ for _n, _family in enumerate(P.PATTERNS, 1):
 @query("F26_all_families", f"""WITH {CODE_SQL}, h AS ({union_rules(X.line_rules())}) SELECT rule, COUNT(*) AS hits FROM h GROUP BY 1""")
 def all_families(t):
     return X.pattern_hits(code(t), X.line_rules()).groupBy("rule").agg(F.count("*").alias("hits"))
+
+
+# The whole scan is the sum of its rules: (query, sink type, call type); None keeps the column of the part.
+SCAN_PARTS = [
+    ("F03_static_calls", None, "'static_call'"), ("F04_method_calls", None, "'method_call'"), ("F05_dynamic_method", "'RCE'", "'dynamic_method'"),
+    ("F06_dynamic_function", "'RCE'", "'dynamic_call'"), ("F07_dynamic_include", "'LFI'", "'dynamic_include'"), ("F08_weak_comparison", "'WeakComparison'", "'weak_comparison'"),
+    ("F09_magic_methods", "'Deserialization'", "'magic_method'"), ("F10_guarded", "'MassAssignment'", "'property'"), ("F11_bulk_assignment", "'MassAssignment'", "'method_call'"),
+    ("F12_wpdb_calls", "'WordPress'", "'method_call'"), ("F13_nosql_receivers", "'NoSQL'", "'method_call'"), ("F14_weak_hash", "'Crypto'", "'crypto_weak_hash'"),
+    ("F15_weak_random", "'Crypto'", "'crypto_weak_random'"), ("F16_ecb_mode", "'Crypto'", "'crypto_ecb'"), ("F17_deprecated_crypto", "'Crypto'", "'crypto_deprecated'"),
+    ("F19_write_without_lock", "'RaceCondition'", "'race_condition'"), ("F20_graphql_resolvers", "'GraphQL'", "'graphql_resolve'"),
+]
+
+
+def full_scan_sql() -> str:
+    parts = []
+    for name, fam, kind in SCAN_PARTS:
+        n = "hits" if fam is None else "1"
+        parts.append(f"SELECT {fam or 'sink_type'} AS sink_type, function, {kind} AS call_type, {n} AS n FROM ({BODIES[name]})")
+    parts.append(f"SELECT 'RaceCondition', 'file_exists() + include/require (TOCTOU)', 'race_condition', 1 FROM ({BODIES['F18_check_then_include']})")
+    parts.append(f"SELECT sink_type, function, 'func_call', hits FROM ({BODIES['F01_function_calls']}) WHERE function <> 'libxml_disable_entity_loader'")
+    parts.append(f"SELECT 'XXE', 'libxml_disable_entity_loader', 'func_call', 1 FROM ({BODIES['F02_entity_loader']})")
+    return f"SELECT sink_type, function, call_type, SUM(n)::BIGINT AS hits FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2, 3"
+
+
+@query("F01_F24_full_scan", full_scan_sql())
+def full_scan(t):
+    return X.scan_calls(t.fx_lines).groupBy("sink_type", "function", "call_type").agg(F.count("*").alias("hits"))

@@ -11,6 +11,7 @@ from vulnlake.plans.views import VIEWS, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # statement text before the views are added
 
 
 class Tables:
@@ -34,6 +35,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
+            BODIES[name] = sql
             ORACLES[name] = with_views(sql)
         return fn
 
