@@ -1,6 +1,9 @@
 """Run registered queries beside their SQL in DuckDB and compare the rows.
 
-usage: python tests/check_queries.py [--sf 0.01] [name-prefix ...]
+usage: python tests/check_queries.py [--sf 0.01] [--dir folder] [--hot-rows n] [name-prefix ...]
+
+``--hot-rows`` lowers the size from which a key counts as hot, so that the
+skew-safe plans run on small data; ``--dir`` takes e.g. a skewed copy of the tables.
 """
 
 from __future__ import annotations
@@ -80,6 +83,8 @@ def same_type(spark_type, duck_type):
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--dir")
+    ap.add_argument("--hot-rows", type=int)
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     import __spark_entry__ as entry
@@ -88,7 +93,11 @@ def main() -> int:
     spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
                           spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
-    sf_dir = f"/root/testdata/sf{args.sf}"
+    sf_dir = args.dir or f"/root/testdata/sf{args.sf}"
+    if args.hot_rows:
+        from vulnlake.operators import ordered
+
+        ordered.HOT_KEY_ROWS = args.hot_rows
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")

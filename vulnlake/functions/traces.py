@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.operators.ordered import rank_in_group, running
+from vulnlake.operators.ordered import hot_keys, rank_in_group, running
 
 # Framework bootstrap frames that carry no information.
 NOISE = [
@@ -59,8 +59,9 @@ def stack_depths(frames: DataFrame, order: Sequence[str], key: str = "trace_id")
     Popping while size >= level and then pushing means size = min(size + 1,
     level), whose closed form is a running minimum of (level - position). The
     stack needs no sequential code and works for traces of any length."""
-    ranked = rank_in_group(frames, [key], list(order), "rn")
-    low = running(ranked, [key], ["rn"], {"_low": ("min", F.col("level") - F.col("rn"))})
+    hot = hot_keys(frames, [key])
+    ranked = rank_in_group(frames, [key], list(order), "rn", hot=hot)
+    low = running(ranked, [key], ["rn"], {"_low": ("min", F.col("level") - F.col("rn"))}, hot=hot)
     return low.withColumn("depth", F.least(F.col("rn"), F.col("rn") + F.col("_low"))).drop("_low")
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.functions.score import rank_of, SEVERITY_ORDER
+from vulnlake.functions.score import SEVERITY_ORDER, rank_of
+from vulnlake.operators.ordered import top_k
 
 
 def dedup_findings(findings: DataFrame, keys=("file", "line", "sink_function")) -> DataFrame:
@@ -21,15 +22,19 @@ def dedup_findings(findings: DataFrame, keys=("file", "line", "sink_function"))
 
 
 def dedup_advisories(adv: DataFrame, max_refs: int = 5) -> DataFrame:
-    """One row per (vuln_id, package): distinct sources, aliases and first severity by ``seq``.
-
-    Reference lists are limited per advisory because that is the published shape."""
-    values = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
-    return adv.groupBy("vuln_id", "package").agg(
-        F.array_join(F.sort_array(F.collect_set("source")), "+").alias("source"),
-        values("aliases").alias("aliases"), F.slice(values("references"), 1, max_refs).alias("references"),
-        F.min_by("severity", "seq").alias("severity"),
-    )
+    """One row per (vuln_id, package): distinct sources, aliases, the first references and the first severity by ``seq``.
+
+    Single values are made distinct before they are listed, and references are
+    limited before they are collected (five is the published shape)."""
+    keys = ["vuln_id", "package"]
+    base = adv.groupBy(*keys).agg(
+        F.array_join(F.sort_array(F.collect_set("source")), "+").alias("source"), F.min_by("severity", "seq").alias("severity"))
+    alias = adv.select(*keys, F.explode("aliases").alias("_a")).groupBy(*keys).agg(F.sort_array(F.collect_set("_a")).alias("aliases"))
+    refs = top_k(adv.select(*keys, F.explode("references").alias("_r")).distinct(), keys, ["_r"], max_refs)
+    refs = refs.groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("references"))
+    none = F.array().cast("array<string>")
+    return base.join(alias, keys, "left").join(refs, keys, "left").select(
+        *keys, "source", F.coalesce("aliases", none).alias("aliases"), F.coalesce("references", none).alias("references"), "severity")
 
 
 def severity_histogram(adv: DataFrame, keys=()) -> DataFrame:

@@ -63,21 +63,25 @@ def reconcile(queue: DataFrame, report: DataFrame, keys: Sequence[str]) -> DataF
 def memory_tiers(targets: DataFrame, memory: DataFrame, target_key: str) -> DataFrame:
     """Best memory match tier per target and how many rows support it.
 
-    Memory is grouped by its four match columns before the join, so the join
-    handles profiles, not single memories."""
+    Both sides are reduced to their distinct (type, framework, version,
+    firewall) profiles before they meet, so the join that has only a few types
+    as key handles profiles; targets are looked up by profile afterwards."""
     cols = ["sink_type", "framework", "php_major", "waf"]
     profiles = memory.groupBy(*cols).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "confirmed").alias("confirmed"))
-    t, m = targets.alias("t"), profiles.alias("m")
+    t, m = targets.select(*cols).distinct().alias("t"), profiles.alias("m")
     fw = F.col("t.framework") == F.col("m.framework")
     php = F.col("t.php_major") == F.col("m.php_major")
     waf = F.col("t.waf") == F.col("m.waf")
     tier = F.when(fw & php & waf, 1).when(fw & php, 2).when(php, 3).otherwise(4)
-    j = t.join(m, F.col("t.sink_type") == F.col("m.sink_type")).select(
-        F.col(f"t.{target_key}"), tier.alias("tier"), "m.rows", "m.confirmed")
-    g = j.groupBy(target_key, "tier").agg(F.sum("rows").alias("memories"), F.sum("confirmed").alias("confirmed"))
+    j = t.join(m, F.col("t.sink_type") == F.col("m.sink_type")).select("t.*", tier.alias("tier"), "m.rows", "m.confirmed")
+    g = j.groupBy(*cols, "tier").agg(F.sum("rows").alias("memories"), F.sum("confirmed").alias("confirmed"))
     best = F.min_by(F.struct("tier", "memories", "confirmed"), F.col("tier"))
-    return g.groupBy(target_key).agg(best.alias("b")).select(target_key, "b.*")
+    g = g.groupBy(*cols).agg(best.alias("b")).select(*cols, "b.*")
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"g.{c}"))
+    return targets.alias("x").join(g.alias("g"), same).select(F.col(f"x.{target_key}"), "g.tier", "g.memories", "g.confirmed")
 
 
 def rule_lookup(rows: DataFrame, rules: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:

@@ -223,12 +223,11 @@ def score_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def chain_matches(nodes: DataFrame, chains=R.CHAINS, family_steps=R.FAMILY_STEPS) -> DataFrame:
     """Known chains per project: full, partial (60 percent) and the steps that are missing."""
-    spark = nodes.sparkSession
-    table = spark.createDataFrame([(k, v) for k, v in chains.items()], "chain string, steps array<string>")
-    fam = spark.createDataFrame([(k, v) for k, v in family_steps.items()], "vuln_type string, gives array<string>")
+    fam = nodes.sparkSession.createDataFrame([(k, v) for k, v in family_steps.items()], "vuln_type string, gives array<string>")
     have = nodes.select("project", "vuln_type").distinct().join(F.broadcast(fam), "vuln_type").groupBy("project").agg(
-        F.array_distinct(F.flatten(F.collect_list("gives"))).alias("_have"))
-    j = have.crossJoin(F.broadcast(table))  # ten fixed chains per project row
+        F.array_distinct(F.flatten(F.collect_list("gives"))).alias("_have"))  # one list per family, a fixed vocabulary
+    known = F.array(*[F.struct(F.lit(k).alias("chain"), F.array(*[F.lit(x) for x in v]).alias("steps")) for k, v in chains.items()])
+    j = have.select("project", "_have", F.explode(known).alias("_c")).select("project", "_have", "_c.*")
     hit, size = F.size(F.array_intersect("steps", "_have")), F.size("steps")
     return j.select(
         "project", "chain", hit.cast("long").alias("matched"), F.array_join(F.array_except("steps", "_have"), ",").alias("missing"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.session import durable
 
-# Rows of one key that a single task may sort.
+# Rows of one key that a single task may sort; read at call time.
 HOT_KEY_ROWS = 2_000_000
 
 Spec = tuple[str, str | Column]
@@ -44,8 +44,16 @@ def _order(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows; at most rows/limit of them exist."""
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
+    """Keys with more than ``limit`` rows (at most rows/limit exist), or None when there are none.
+
+    Only the key columns are read; counting combines on the map side."""
+    limit = HOT_KEY_ROWS if limit is None else limit
+    hot = _over_limit(df, keys, limit)
+    return None if hot.isEmpty() else durable(hot)
+
+
+def _over_limit(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).drop("_rows")
 
 
@@ -62,12 +70,14 @@ def running(
     order: Sequence[str | Column],
     specs: dict[str, Spec],
     inclusive: bool = True,
-    limit: int = HOT_KEY_ROWS,
+    limit: int | None = None,
+    hot: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Add running aggregates per key in a total order.
 
     ``specs`` maps a new column to (kind, expression), kind in sum/min/max.
-    With ``inclusive=False`` the current row is left out.
+    With ``inclusive=False`` the current row is left out. ``hot`` passes on the
+    result of ``hot_keys`` when several scans share their keys.
     """
     order_cols = _order(order)
     last = 0 if inclusive else -1
@@ -77,11 +87,11 @@ def running(
         w = Window.partitionBy(*part_keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, last)
         return rows.select("*", *[_fold(kind, col).over(w).alias(n) for n, (kind, col) in specs.items()])
 
-    hot = hot_keys(df, keys, limit)
-    if hot.isEmpty():
+    if hot is True:
+        hot = hot_keys(df, keys, limit)
+    if hot is None:
         return local(df, keys)
 
-    hot = durable(hot)
     # Bounded by rows/limit, so the broadcast stays small however large the input is.
     cold_rows = df.alias("r").join(F.broadcast(hot.alias("h")), _same_keys("r", "h", keys), "left_anti")
     hot_rows = df.alias("r").join(F.broadcast(hot.alias("h")), _same_keys("r", "h", keys), "left_semi")
@@ -110,28 +120,26 @@ def _two_level(df, keys, order_cols, specs, local) -> DataFrame:
     return joined.select(*keep, *merged)
 
 
-def rank_in_group(df, keys, order, name="rn", limit: int = HOT_KEY_ROWS) -> DataFrame:
+def rank_in_group(df, keys, order, name="rn", limit: int | None = None, hot=True) -> DataFrame:
     """row_number() per key, exact for keys of any size."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, limit=limit)
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, limit=limit, hot=hot)
 
 
-def previous(df, keys, order, cols: dict[str, str | Column], limit: int = HOT_KEY_ROWS) -> DataFrame:
+def previous(df, keys, order, cols: dict[str, str | Column], limit: int | None = None) -> DataFrame:
     """lag(1) of several columns per key: the newest row strictly before."""
     vals = [F.col(c).alias(f"v{i}") if isinstance(c, str) else c.alias(f"v{i}") for i, c in enumerate(cols.values())]
-    ranked = rank_in_group(df, keys, order, "_rn", limit=limit)
-    with_prev = running(
-        ranked, keys, ["_rn"], {"_prev": ("max", F.struct(F.col("_rn"), *vals))}, inclusive=False, limit=limit
-    )
+    hot = hot_keys(df, keys, limit)
+    ranked = rank_in_group(df, keys, order, "_rn", hot=hot)
+    with_prev = running(ranked, keys, ["_rn"], {"_prev": ("max", F.struct(F.col("_rn"), *vals))}, inclusive=False, hot=hot)
     out = with_prev.select("*", *[F.col(f"_prev.v{i}").alias(n) for i, n in enumerate(cols)])
     return out.drop("_rn", "_prev")
 
 
-def failure_streak(df, keys, order, failed: Column, limit: int = HOT_KEY_ROWS) -> DataFrame:
+def failure_streak(df, keys, order, failed: Column, limit: int | None = None) -> DataFrame:
     """Add ``rn`` and ``streak`` (consecutive failures ending at this row)."""
-    ranked = rank_in_group(df, keys, order, "rn", limit=limit).withColumn("_failed", failed)
-    scanned = running(
-        ranked, keys, ["rn"], {"_ok": ("max", F.when(~F.col("_failed"), F.col("rn")))}, limit=limit
-    )
+    hot = hot_keys(df, keys, limit)
+    ranked = rank_in_group(df, keys, order, "rn", hot=hot).withColumn("_failed", failed)
+    scanned = running(ranked, keys, ["rn"], {"_ok": ("max", F.when(~F.col("_failed"), F.col("rn")))}, hot=hot)
     return scanned.withColumn("streak", F.col("rn") - F.coalesce("_ok", F.lit(0))).drop("_failed", "_ok")
 
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.operators.ordered import running
+from vulnlake.operators.ordered import hot_keys, running
 from vulnlake.rules import patterns as P
 from vulnlake.rules import sinks as K
 
@@ -51,11 +51,11 @@ def explode_lines(src: DataFrame, content: str = "content") -> DataFrame:
         "project", "path", (F.col("_p") + 1).alias("line"), "text")
 
 
-def code_lines(lines: DataFrame) -> DataFrame:
+def code_lines(lines: DataFrame, hot=True) -> DataFrame:
     """Add ``code``: the line without block comments, line comments and docblock lines."""
     opens, closes = F.col("text").rlike(r"/\*(?:[^*]|\*[^/])*$"), F.col("text").contains("*/")
     carried = running(lines, FILE, ["line"], {
-        "_open": ("max", F.when(opens, F.col("line"))), "_close": ("max", F.when(closes & ~opens, F.col("line")))}, inclusive=False)
+        "_open": ("max", F.when(opens, F.col("line"))), "_close": ("max", F.when(closes & ~opens, F.col("line")))}, inclusive=False, hot=hot)
     inside = F.coalesce(F.col("_open"), F.lit(0)) > F.coalesce(F.col("_close"), F.lit(0))
     body = F.when(inside, F.when(closes, F.regexp_replace("text", r"^.*?\*/", "")).otherwise("")).otherwise(F.col("text"))
     body = F.regexp_replace(body, r"/\*(?:[^*]|\*[^/])*(?:\*/|$)", " ")
@@ -67,10 +67,11 @@ def _count(text: str, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(F.col(text), F.lit(ch), F.lit("")))
 
 
-def scopes(lines: DataFrame) -> DataFrame:
+def scopes(lines: DataFrame, hot=True) -> DataFrame:
     """Add namespace, in_class and in_function of each line from open braces."""
+    hot = hot_keys(lines, FILE) if hot is True else hot
     opened = _count("code", "{") - _count("code", "}")
-    deep = running(lines, FILE, ["line"], {"_d": ("sum", opened)}, inclusive=False).withColumn("_d", F.coalesce("_d", F.lit(0)))
+    deep = running(lines, FILE, ["line"], {"_d": ("sum", opened)}, inclusive=False, hot=hot).withColumn("_d", F.coalesce("_d", F.lit(0)))
 
     def named(pattern: str) -> Column:
         name = F.regexp_extract("code", pattern, 1)
@@ -79,7 +80,7 @@ def scopes(lines: DataFrame) -> DataFrame:
     carried = running(deep, FILE, ["line"], {
         "_n": ("max", named(r"^\s*namespace\s+([\w\\]+)")),
         "_c": ("max", named(r"^\s*(?:abstract\s+|final\s+)*class\s+(\w+)")),
-        "_f": ("max", named(r"\bfunction\s+&?(\w+)\s*\("))})
+        "_f": ("max", named(r"\bfunction\s+&?(\w+)\s*\("))}, hot=hot)
     inside = lambda c: F.col(f"{c}.name").isNotNull() & ((F.col("line") == F.col(f"{c}.line")) | (F.col("_d") > F.col(f"{c}.d")))
     in_class = F.when(inside("_c"), F.col("_c.name"))
     # a method closed before the class opened does not belong to it
@@ -207,12 +208,13 @@ def line_hits(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_h", F.explode(found)).select("*", "_h.*").drop("_h")
 
 
-def check_then_include(lines: DataFrame) -> DataFrame:
+def check_then_include(lines: DataFrame, hot=True) -> DataFrame:
     """``if (file_exists(..)) { .. include .. }``: the include lies inside the block of the check."""
+    hot = hot_keys(lines, FILE) if hot is True else hot
     opened = _count("code", "{") - _count("code", "}")
-    deep = running(lines, FILE, ["line"], {"_d": ("sum", opened)}, inclusive=False).withColumn("_d", F.coalesce("_d", F.lit(0)))
+    deep = running(lines, FILE, ["line"], {"_d": ("sum", opened)}, inclusive=False, hot=hot).withColumn("_d", F.coalesce("_d", F.lit(0)))
     check = F.col("code").rlike(r"\bif\s*\(.*\bfile_exists\s*\(")
-    last = running(deep, FILE, ["line"], {"_if": ("max", F.when(check, F.struct("line", F.col("_d").alias("d"))))})
+    last = running(deep, FILE, ["line"], {"_if": ("max", F.when(check, F.struct("line", F.col("_d").alias("d"))))}, hot=hot)
     use = F.col("code").rlike(r"\b(?:include|require)(?:_once)?\b")
     inside = (F.col("line") == F.col("_if.line")) | (F.col("_d") > F.col("_if.d"))
     return last.where(use & F.col("_if").isNotNull() & inside).groupBy(*FILE, F.col("_if.line").alias("line")).agg(
@@ -222,13 +224,14 @@ def check_then_include(lines: DataFrame) -> DataFrame:
 
 def scan_calls(lines: DataFrame) -> DataFrame:
     """All hits of the base scan with scope, arguments and argument safety."""
-    scoped = scopes(code_lines(lines))
+    hot = hot_keys(lines, FILE)
+    scoped = scopes(code_lines(lines, hot), hot)
     call_rows = calls(scoped)
     cols = [*HIT, "args", "arg_safety", "in_function", "in_class", "namespace"]
     from_calls = with_safety(table_hits(call_rows).unionByName(context_hits(call_rows))).select(*cols)
     no_args = F.array().cast("array<string>")
     other = line_hits(scoped).select(*HIT, "in_function", "in_class", "namespace").unionByName(
-        check_then_include(scoped).select(*HIT), allowMissingColumns=True)
+        check_then_include(scoped, hot).select(*HIT), allowMissingColumns=True)
     other = other.withColumn("args", no_args).withColumn("arg_safety", no_args).select(*cols)
     return from_calls.unionByName(other)
 

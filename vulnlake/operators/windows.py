@@ -58,12 +58,11 @@ def compress_rounds(rounds: DataFrame, keys=("sink_no",), order=("ts", "event_id
 
 def retain_memory(memory: DataFrame, capacity: int = 1000, newest: int = 500, id_col: str = "id") -> DataFrame:
     """Above capacity: every confirmed row and the newest ``newest`` rows."""
-    over = memory.limit(capacity + 1).agg((F.count(F.lit(1)) > capacity).alias("_over"))
+    if memory.limit(capacity + 1).count() <= capacity:  # reads at most capacity + 1 rows
+        return memory
     recent = memory.orderBy(F.col("created_at").desc(), F.col(id_col).desc()).limit(newest).select(id_col)
-    kept_new = memory.join(recent, id_col, "left_semi")
-    both = memory.where(F.col("status") == "confirmed").unionByName(kept_new.where(~F.col("status").eqNullSafe("confirmed")))
-    small = memory.crossJoin(F.broadcast(over)).where(~F.col("_over")).drop("_over")
-    return small.unionByName(both.crossJoin(F.broadcast(over)).where("_over").drop("_over"))
+    kept_new = memory.where(~F.col("status").eqNullSafe("confirmed")).join(recent, id_col, "left_semi")
+    return memory.where(F.col("status") == "confirmed").unionByName(kept_new)
 
 
 def retain_graph(nodes: DataFrame, edges: DataFrame, status: str = "speculative", capacity: int = 5000, keep: int = 4500):

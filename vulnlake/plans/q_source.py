@@ -36,7 +36,8 @@ def code(t):
 
 
 def scoped(t):
-    return X.scopes(code(t))
+    hot = X.hot_keys(t.fx_lines, X.FILE)
+    return X.scopes(X.code_lines(t.fx_lines, hot), hot)
 
 
 @query("R02_numbered_lines", """

@@ -516,7 +516,8 @@ def error_place(t):
 def jsonl(t):
     lines = t.events.select(F.when(F.col("event_id") % 5 == 0, "  ").when(F.col("event_type") == "error", "{oops").otherwise(F.col("props")).alias("value"))
     good, bad = R.parse_jsonl(lines.where(F.trim("value") != ""), "k bigint")
-    return good.agg(F.count("*").alias("good"), F.sum("k").alias("total")).crossJoin(bad.agg(F.count("*").alias("bad")))
+    both = good.select("k", F.lit(True).alias("ok")).unionByName(bad.select(F.lit(None).cast("long").alias("k"), F.lit(False).alias("ok")))
+    return both.agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"), F.sum("k").alias("total"))
 
 
 LOCK = "concat('{\"packages\":[{\"name\":\"', package, '\",\"version\":\"', version, '\"}],\"packages-dev\":[{\"name\":\"dev/', package, '\",\"version\":\"v1.0\"}]}')"
@@ -566,10 +567,12 @@ def points(t):
 
 
 @query("R15_callbacks", """
-SELECT c.callbacks, l.event_id FROM (SELECT COUNT(*) AS callbacks FROM events WHERE event_type = 'signup') c, (SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 2) l""")
+SELECT 'callbacks' AS what, COUNT(*) AS value FROM events WHERE event_type = 'signup' UNION ALL
+SELECT 'newest', event_id FROM (SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 2)""")
 def callbacks(t):
     n, last = R.callback_summary(t.events.where("event_type = 'signup'"))
-    return n.crossJoin(last.select("event_id"))
+    return n.select(F.lit("callbacks").alias("what"), F.col("callbacks").alias("value")).unionByName(
+        last.select(F.lit("newest").alias("what"), F.col("event_id").alias("value")))
 
 
 @query("R16_artifacts", """
