@@ -128,9 +128,14 @@ def firewall_of(text: str | Column) -> Column:
     return F.struct(name.alias("waf_type"), F.array_compact(F.array(*signs)).alias("signatures"))
 
 
-def redirect_class(target: str | Column, own_host: Column) -> Column:
+def decoded_target(target: str | Column) -> Column:
     t = F.trim(_c(target))
-    decoded = F.coalesce(F.try_url_decode(t), t)
+    return F.coalesce(F.try_url_decode(t), t)
+
+
+def redirect_class(target: str | Column, decoded: str | Column, own_host: Column) -> Column:
+    """Where a redirect target leads; ``decoded`` is a column with ``decoded_target`` text."""
+    t, decoded = F.trim(_c(target)), _c(decoded)
     host = F.regexp_extract(decoded, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1)
     return (
         F.when(decoded.rlike(r"(?i)^\s*(?:javascript|data|vbscript):"), "script_scheme")
@@ -167,8 +172,10 @@ def canonical(uri: str | Column, escapes: bool = False) -> Column:
     return F.lower(F.regexp_replace(twice, r"/\*(?:[^*]|\*[^/])*\*/", ""))
 
 
-def sensitive_path(uri: str | Column) -> Column:
-    u = canonical(uri)
+def sensitive_path(canonical_uri: str | Column) -> Column:
+    """Which sensitive path a request asks for. Takes a column that holds ``canonical``
+    text, so that it is decoded once per row and not once per rule."""
+    u = _c(canonical_uri)
     hit = None
     for p in SENSITIVE_PATHS:
         hit = F.when(u.contains(p), F.lit(p)) if hit is None else hit.when(u.contains(p), F.lit(p))

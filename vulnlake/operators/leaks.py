@@ -130,10 +130,9 @@ def false_positive_notes(rows: DataFrame, text: str = "code", rules=FALSE_POSITI
     return rows.withColumn("fp_ids", ids)
 
 
-def request_signature(uri: str | Column, fingerprints=REQUEST_FINGERPRINTS) -> Column:
-    from vulnlake.functions.http import canonical
-
-    u = canonical(uri)
+def request_signature(canonical_uri: str | Column, fingerprints=REQUEST_FINGERPRINTS) -> Column:
+    """First known request fingerprint; takes a column of canonical text (see ``http.canonical``)."""
+    u = _c(canonical_uri)
     hit = None
     for fp in fingerprints:
         cond = u.contains(fp.lower())

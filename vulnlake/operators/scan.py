@@ -68,43 +68,58 @@ def _count(text: str, ch: str) -> Column:
 
 
 def scopes(lines: DataFrame, hot=True) -> DataFrame:
-    """Add namespace, in_class and in_function of each line from open braces."""
+    """Add namespace, in_class, in_function and check_line of each line from open braces.
+
+    All scopes come from two ordered scans over the same partitioning."""
     hot = hot_keys(lines, FILE) if hot is True else hot
     opened = _count("code", "{") - _count("code", "}")
-    deep = running(lines, FILE, ["line"], {"_d": ("sum", opened)}, inclusive=False, hot=hot).withColumn("_d", F.coalesce("_d", F.lit(0)))
+    use = F.col("code").rlike(r"\b(?:include|require)(?:_once)?\b")
+    deep = running(lines, FILE, ["line"], {"_d": ("sum", opened), "_u": ("max", F.when(use, F.col("line")))}, inclusive=False, hot=hot)
+    deep = deep.withColumn("_d", F.coalesce("_d", F.lit(0)))
 
     def named(pattern: str) -> Column:
         name = F.regexp_extract("code", pattern, 1)
         return F.when(name != "", F.struct("line", F.col("_d").alias("d"), name.alias("name")))
 
+    check = F.col("code").rlike(r"\bif\s*\(.*\bfile_exists\s*\(")
     carried = running(deep, FILE, ["line"], {
         "_n": ("max", named(r"^\s*namespace\s+([\w\\]+)")),
         "_c": ("max", named(r"^\s*(?:abstract\s+|final\s+)*class\s+(\w+)")),
-        "_f": ("max", named(r"\bfunction\s+&?(\w+)\s*\("))}, hot=hot)
-    inside = lambda c: F.col(f"{c}.name").isNotNull() & ((F.col("line") == F.col(f"{c}.line")) | (F.col("_d") > F.col(f"{c}.d")))
+        "_f": ("max", named(r"\bfunction\s+&?(\w+)\s*\(")),
+        "_i": ("max", F.when(check, F.struct("line", F.col("_d").alias("d"))))}, hot=hot)
+    inside = lambda c: (F.col("line") == F.col(f"{c}.line")) | (F.col("_d") > F.col(f"{c}.d"))
     in_class = F.when(inside("_c"), F.col("_c.name"))
     # a method closed before the class opened does not belong to it
     in_function = F.when(inside("_f") & (in_class.isNull() | (F.col("_f.line") > F.col("_c.line"))), F.col("_f.name"))
+    # the first include inside the block of a file check
+    checked = F.when(use & inside("_i") & (F.col("_u").isNull() | (F.col("_u") < F.col("_i.line"))), F.col("_i.line"))
     return carried.withColumn("namespace", F.col("_n.name")).withColumn("in_class", in_class).withColumn(
-        "in_function", in_function).drop("_d", "_n", "_c", "_f")
+        "in_function", in_function).withColumn("check_line", checked).drop("_d", "_u", "_n", "_c", "_f", "_i")
 
 
-def calls(lines: DataFrame) -> DataFrame:
-    """One row per call: token, text before it and its arguments."""
-    c = lines.where(F.col("code").contains("(")).withColumn("_c", F.regexp_replace("code", DEFINITION, "("))
-    full = F.regexp_extract_all("_c", F.lit(f"({CALL})"), F.lit(1))
-    c = c.withColumn("_full", full).where(F.size("_full") > 0).withColumn("_gap", F.split("_c", CALL))
+def _call_parts(lines: DataFrame) -> DataFrame:
+    c = lines.withColumn("_c", F.regexp_replace("code", DEFINITION, "("))
+    return c.withColumn("_full", F.regexp_extract_all("_c", F.lit(f"({CALL})"), F.lit(1))).withColumn("_gap", F.split("_c", CALL))
+
+
+def _call_array() -> Column:
+    """Calls of a line in order: token, text before it, arguments."""
     start = lambda i: (F.aggregate(F.slice("_gap", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
                        + F.aggregate(F.slice("_full", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
-    row = lambda i: F.struct(
-        i.alias("seq"), F.regexp_extract(F.col("_full")[i], CALL_NAME, 1).alias("token"),
-        F.substring(F.col("_c"), F.lit(1), start(i)).alias("before"),
-        F.regexp_extract(F.substring(F.col("_c"), start(i) + F.length(F.col("_full")[i]) + 1, F.length("_c")), ARGS, 1).alias("args_text"))
-    out = c.withColumn("_x", F.explode(F.transform(F.sequence(F.lit(0), F.size("_full") - 1), row)))
+
+    def row(i):
+        text = F.regexp_extract(F.substring(F.col("_c"), start(i) + F.length(F.col("_full")[i]) + 1, F.length("_c")), ARGS, 1)
+        args = F.transform(F.regexp_extract_all(text, F.lit(ONE_ARG), F.lit(1)), lambda a: F.trim(a))
+        return F.struct(i.alias("seq"), F.regexp_extract(F.col("_full")[i], CALL_NAME, 1).alias("token"),
+                        F.substring(F.col("_c"), F.lit(1), start(i)).alias("before"), F.filter(args, lambda a: a != "").alias("args"))
+
+    return F.when(F.size("_full") > 0, F.transform(F.sequence(F.lit(0), F.size("_full") - 1), row))
+
+
+def calls(lines: DataFrame) -> DataFrame:
+    """One row per call: token, text before it and its arguments."""
     keep = [x for x in lines.columns if x not in ("text", "code")]
-    out = out.select(*keep, "_x.*")
-    args = F.transform(F.regexp_extract_all("args_text", F.lit(ONE_ARG), F.lit(1)), lambda a: F.trim(a))
-    return out.withColumn("args", F.filter(args, lambda a: a != "")).drop("args_text")
+    return _call_parts(lines.where(F.col("code").contains("("))).select(*keep, F.explode(_call_array()).alias("_x")).select(*keep, "_x.*")
 
 
 def arg_safety(arg: Column) -> Column:
@@ -131,27 +146,40 @@ def _any_in(text: Column, words: list[str]) -> Column:
     return F.coalesce(F.lower(text).rlike("|".join(words)), F.lit(False))
 
 
-def table_hits(call_rows: DataFrame, function_sinks=None, method_sinks=None, static_sinks=None) -> DataFrame:
-    """Calls found in the name tables (functions, methods, static methods)."""
-    spark = call_rows.sparkSession
+def _table_key() -> Column:
     name = F.col("token")
-    klass = F.regexp_extract("before", r"(\w+)$", 1)
-    key = (F.when(name.startswith("->"), F.concat(F.lit("m:"), F.expr("substr(token, 3)")))
-           .when(name.startswith("::"), F.concat(F.lit("s:"), klass, name))
-           .when(~name.startswith("$"), F.concat(F.lit("f:"), name)))
+    return (F.when(name.startswith("->"), F.concat(F.lit("m:"), F.expr("substr(token, 3)")))
+            .when(name.startswith("::"), F.concat(F.lit("s:"), F.regexp_extract("before", r"(\w+)$", 1), name))
+            .when(~name.startswith("$"), F.concat(F.lit("f:"), name)))
+
+
+def _table(spark, function_sinks=None, method_sinks=None, static_sinks=None) -> DataFrame:
     rows = []
     for kind, table in (("f", function_sinks or K.pairs(K.FUNCTION_SINKS)), ("m", method_sinks or K.pairs(K.METHOD_SINKS)),
                         ("s", static_sinks or K.pairs(K.STATIC_SINKS))):
         rows += [(f"{kind}:{n}", fam) for n, fam in table]
-    rules = spark.createDataFrame(rows, "_key string, sink_type string")
-    hit = call_rows.withColumn("_key", key).join(F.broadcast(rules), "_key")
-    hit = hit.where(~((name == "libxml_disable_entity_loader") & (F.lower(F.element_at("args", 1)) == "true")).eqNullSafe(True))
-    shown = (F.when(name.startswith("->"), F.concat(name, F.lit("()"))).when(name.startswith("::"), F.concat(klass, name)).otherwise(name))
+    return spark.createDataFrame(rows, "_key string, _family string")
+
+
+def _table_hit() -> Column:
+    """The name-table hit of a call whose ``_family`` was looked up; null for none or for a safe call."""
+    name = F.col("token")
+    klass = F.regexp_extract("before", r"(\w+)$", 1)
+    safe = (name == "libxml_disable_entity_loader") & (F.lower(F.when(F.size("args") > 0, F.col("args")[0])) == "true")
+    shown = F.when(name.startswith("->"), F.concat(name, F.lit("()"))).when(name.startswith("::"), F.concat(klass, name)).otherwise(name)
     kind = F.when(name.startswith("->"), "method_call").when(name.startswith("::"), "static_call").otherwise("func_call")
-    return hit.withColumn("function", shown).withColumn("call_type", kind).drop("_key")
+    return F.when(F.col("_family").isNotNull() & ~F.coalesce(safe, F.lit(False)),
+                  F.struct(F.col("_family").alias("sink_type"), shown.alias("function"), kind.alias("call_type")))
 
 
-def context_hits(call_rows: DataFrame) -> DataFrame:
+def table_hits(call_rows: DataFrame, function_sinks=None, method_sinks=None, static_sinks=None) -> DataFrame:
+    """Calls found in the name tables (functions, methods, static methods)."""
+    table = _table(call_rows.sparkSession, function_sinks, method_sinks, static_sinks)
+    hit = call_rows.withColumn("_key", _table_key()).join(F.broadcast(table), "_key")
+    return hit.withColumn("_h", F.explode(F.array_compact(F.array(_table_hit())))).select(*call_rows.columns, "_h.*")
+
+
+def _context_array() -> Column:
     """Further hits of a call that depend on its receiver, arguments or function."""
     t, args = F.col("token"), F.col("args")
     method = F.when(t.startswith("->"), F.expr("substr(token, 3)"))
@@ -161,7 +189,7 @@ def context_hits(call_rows: DataFrame) -> DataFrame:
     mongo, redis = method.isin(K.MONGO_METHODS), method.isin(K.REDIS_METHODS)
     hit = lambda cond, fam, fn, kind: F.when(F.coalesce(cond, F.lit(False)), F.struct(
         F.lit(fam).alias("sink_type"), fn.alias("function"), F.lit(kind).alias("call_type")))
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         hit(t.startswith("$"), "RCE", F.concat(t, F.lit("()")), "dynamic_call"),
         hit(method.isin(K.BULK_METHODS) & bulk, "MassAssignment", F.concat(t, F.lit("($request->all())")), "method_call"),
         hit(method.isin(K.WPDB_METHODS) & F.col("before").rlike(r"\$wpdb$"), "WordPress", F.concat(F.lit("$wpdb"), t, F.lit("()")), "method_call"),
@@ -176,10 +204,13 @@ def context_hits(call_rows: DataFrame) -> DataFrame:
         hit((t == "file_put_contents") & ~F.coalesce(arg(3).contains("LOCK_EX"), F.lit(False)), "RaceCondition",
             F.lit("file_put_contents() without LOCK_EX"), "race_condition"),
     ))
-    return call_rows.withColumn("_h", F.explode(found)).select("*", "_h.*").drop("_h")
 
 
-def line_hits(lines: DataFrame) -> DataFrame:
+def context_hits(call_rows: DataFrame) -> DataFrame:
+    return call_rows.withColumn("_h", F.explode(_context_array())).select("*", "_h.*").drop("_h")
+
+
+def _line_array() -> Column:
     """Hits that are read off a line: includes, comparisons, definitions, properties."""
     c = F.col("code")
     one = lambda cond, fam, fn, kind: F.when(F.coalesce(cond, F.lit(False)), F.array(F.struct(
@@ -196,7 +227,7 @@ def line_hits(lines: DataFrame) -> DataFrame:
         F.lit("WeakComparison").alias("sink_type"),
         F.concat(F.regexp_extract(x, r"[^=!<>]\s*([!=]=)", 1), F.lit(" on sensitive var")).alias("function"), F.lit("weak_comparison").alias("call_type")))
     none = F.array().cast("array<struct<sink_type:string,function:string,call_type:string>>")
-    found = F.flatten(F.array(*[F.coalesce(x, none) for x in (
+    return F.flatten(F.array(*[F.coalesce(x, none) for x in (
         one(c.rlike(r"->\$\w+\s*\("), "RCE", F.concat(F.lit("->$"), F.regexp_extract(c, r"->\$(\w+)\s*\(", 1), F.lit("()")), "dynamic_method"),
         one(dynamic, "LFI", F.regexp_extract(c, include, 1), "dynamic_include"),
         weak,
@@ -204,36 +235,42 @@ def line_hits(lines: DataFrame) -> DataFrame:
         one(c.rlike(r"\$guarded\s*=\s*(?:\[\s*\]|array\s*\(\s*\))"), "MassAssignment", F.lit("$guarded = []"), "property"),
         one((resolve != "") & _any_in(F.col("in_class"), K.GRAPHQL_CLASSES), "GraphQL", F.concat(resolve, F.lit("() in "), F.col("in_class")), "graphql_resolve"),
         one(c.rlike(r"['\x22]resolve['\x22]\s*=>\s*(?:static\s+)?(?:function|fn)\b"), "GraphQL", F.lit("'resolve' => closure (GraphQL field resolver)"), "graphql_resolve"),
+        one(F.col("check_line").isNotNull(), "RaceCondition", F.lit("file_exists() + include/require (TOCTOU)"), "race_condition"),
     )]))
-    return lines.withColumn("_h", F.explode(found)).select("*", "_h.*").drop("_h")
 
 
-def check_then_include(lines: DataFrame, hot=True) -> DataFrame:
+def line_hits(lines: DataFrame) -> DataFrame:
+    h = lines.withColumn("_h", F.explode(_line_array())).select("*", "_h.*").drop("_h")
+    return h.withColumn("line", F.when(F.col("call_type") == "race_condition", F.col("check_line")).otherwise(F.col("line")))
+
+
+def check_then_include(scoped: DataFrame) -> DataFrame:
     """``if (file_exists(..)) { .. include .. }``: the include lies inside the block of the check."""
-    hot = hot_keys(lines, FILE) if hot is True else hot
-    opened = _count("code", "{") - _count("code", "}")
-    deep = running(lines, FILE, ["line"], {"_d": ("sum", opened)}, inclusive=False, hot=hot).withColumn("_d", F.coalesce("_d", F.lit(0)))
-    check = F.col("code").rlike(r"\bif\s*\(.*\bfile_exists\s*\(")
-    last = running(deep, FILE, ["line"], {"_if": ("max", F.when(check, F.struct("line", F.col("_d").alias("d"))))}, hot=hot)
-    use = F.col("code").rlike(r"\b(?:include|require)(?:_once)?\b")
-    inside = (F.col("line") == F.col("_if.line")) | (F.col("_d") > F.col("_if.d"))
-    return last.where(use & F.col("_if").isNotNull() & inside).groupBy(*FILE, F.col("_if.line").alias("line")).agg(
-        F.lit("RaceCondition").alias("sink_type"), F.lit("file_exists() + include/require (TOCTOU)").alias("function"),
-        F.lit("race_condition").alias("call_type"))
+    return line_hits(scoped).where(F.col("call_type") == "race_condition")
 
 
 def scan_calls(lines: DataFrame) -> DataFrame:
-    """All hits of the base scan with scope, arguments and argument safety."""
+    """All hits of the base scan with scope, arguments and argument safety.
+
+    One pass: each line yields its calls and its line hits together, calls are
+    looked up in the broadcast name table, and all hits of a row come out at once."""
     hot = hot_keys(lines, FILE)
     scoped = scopes(code_lines(lines, hot), hot)
-    call_rows = calls(scoped)
-    cols = [*HIT, "args", "arg_safety", "in_function", "in_class", "namespace"]
-    from_calls = with_safety(table_hits(call_rows).unionByName(context_hits(call_rows))).select(*cols)
-    no_args = F.array().cast("array<string>")
-    other = line_hits(scoped).select(*HIT, "in_function", "in_class", "namespace").unionByName(
-        check_then_include(scoped, hot).select(*HIT), allowMissingColumns=True)
-    other = other.withColumn("args", no_args).withColumn("arg_safety", no_args).select(*cols)
-    return from_calls.unionByName(other)
+    keep = ["project", "path", "line", "in_function", "in_class", "namespace", "check_line"]
+    hit_type = "struct<sink_type:string,function:string,call_type:string>"
+    no_calls = F.array().cast("array<struct<seq:int,token:string,before:string,args:array<string>>>")
+    row = lambda call, hit: F.struct(call.alias("call"), hit.alias("own"))
+    from_calls = F.transform(F.coalesce(_call_array(), no_calls), lambda c: row(c, F.lit(None).cast(hit_type)))
+    from_line = F.transform(_line_array(), lambda h: row(F.lit(None).cast("struct<seq:int,token:string,before:string,args:array<string>>"), h))
+    rows = _call_parts(scoped.where(F.col("code") != "")).select(*keep, F.explode(F.concat(from_calls, from_line)).alias("_x"))
+    rows = rows.select(*keep, "_x.call.*", F.col("_x.own").alias("_own")).withColumn("_key", _table_key())
+    looked = rows.join(F.broadcast(_table(lines.sparkSession)), "_key", "left")
+    hits = F.concat(F.array_compact(F.array(F.col("_own"), _table_hit())), F.when(F.col("token").isNotNull(), _context_array()).otherwise(
+        F.array().cast(f"array<{hit_type}>")))
+    out = looked.withColumn("_h", F.explode(hits)).select(*keep, "args", "_h.*")
+    line = F.when(F.col("function").startswith("file_exists() +"), F.col("check_line")).otherwise(F.col("line"))
+    out = out.withColumn("line", line).withColumn("args", F.coalesce("args", F.array().cast("array<string>")))
+    return with_safety(out).select(*HIT, "args", "arg_safety", "in_function", "in_class", "namespace")
 
 
 def scan_summary(lines: DataFrame, hits: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ i AS (SELECT *, max(CASE WHEN regexp_matches(code, '\bif\s*\(.*\bfile_exists\s*\
 SELECT DISTINCT i.project, i.path, i.il AS line FROM i JOIN dp c ON c.project = i.project AND c.path = i.path AND c.line = i.il
 WHERE regexp_matches(i.code, '\b(?:include|require)(?:_once)?\b') AND (i.line = i.il OR i.d > c.d)""")
 def check_include(t):
-    return X.check_then_include(code(t)).select("project", "path", "line")
+    return X.check_then_include(scoped(t)).select("project", "path", "line")
 
 
 @query("F20_graphql_resolvers", rf"""WITH {CODE_SQL}, {DEPTH_SQL}

@@ -185,13 +185,16 @@ def canonical(t):
 
 @query("F46_request_signatures", f"WITH c AS (SELECT client, {CANON} AS u FROM fx_access) SELECT client, CASE {' '.join(f'WHEN contains(u, {lit(fp.lower())}) THEN {lit(fp)}' for fp in L.REQUEST_FINGERPRINTS)} END AS signature, COUNT(*) AS requests FROM c GROUP BY 1, 2")
 def signatures(t):
-    return t.fx_access.groupBy("client", L.request_signature("uri").alias("signature")).agg(F.count("*").alias("requests"))
+    a = t.fx_access.select("client", H.canonical("uri").alias("u"))
+    return a.groupBy("client", L.request_signature("u").alias("signature")).agg(F.count("*").alias("requests"))
 
 
 @query("B19_sensitive_paths", f"WITH c AS (SELECT client, status, {CANON} AS u FROM fx_access) SELECT client, CASE {' '.join(f'WHEN contains(u, {lit(p)}) THEN {lit(p)}' for p in H.SENSITIVE_PATHS)} WHEN regexp_matches(regexp_replace(u, '[?#].*$', ''), {lit(H.BACKUP_SUFFIX)}) THEN 'backup' END AS what, COUNT(*) AS answered FROM c WHERE status = 200 GROUP BY 1, 2 HAVING what IS NOT NULL")
 def sensitive(t):
-    a = t.fx_access.where("status = 200").withColumn("what", H.sensitive_path("uri"))
-    return a.where(F.col("what").isNotNull()).groupBy("client", "what").agg(F.count("*").alias("answered"))
+    a = t.fx_access.where("status = 200").select("client", H.canonical("uri").alias("u"))
+    # exploding the found paths drops the rest without copying the rule into a pushed-down filter
+    a = a.select("client", F.explode(F.array_compact(F.array(H.sensitive_path("u")))).alias("what"))
+    return a.groupBy("client", "what").agg(F.count("*").alias("answered"))
 
 
 @query("S30_redirect_targets", f"""
@@ -202,7 +205,8 @@ SELECT target, CASE WHEN regexp_matches(d, '(?i)^\\s*(?:javascript|data|vbscript
  WHEN regexp_matches(d, '^/($|[^/\\\\])') THEN 'internal_path' ELSE 'internal' END AS class, COUNT(*) AS requests FROM h GROUP BY 1, 2""")
 def redirect_targets(t):
     r = t.fx_access.select(H.redirect_param("uri").alias("target")).where(F.col("target").isNotNull()).groupBy("target").agg(F.count("*").alias("requests"))
-    return r.withColumn("class", H.redirect_class("target", F.lit("app.example")))
+    r = r.withColumn("d", H.decoded_target("target"))
+    return r.withColumn("class", H.redirect_class("target", "d", F.lit("app.example"))).drop("d")
 
 
 @query("F47_artifact_checks", """
