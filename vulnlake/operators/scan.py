@@ -26,6 +26,11 @@ CALL = r"(?:->|::|\$)?[A-Za-z_]\w*\s*\("
 CALL_NAME = r"((?:->|::|\$)?[A-Za-z_]\w*)\s*\("
 ARGS = r"^((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)"
 ONE_ARG = r"((?:[^,()'\x22\[\]]|'[^']*'|\x22[^\x22]*\x22|\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])+)"
+STRING = r"'(?:[^'\\]|\\.)*'|\x22(?:[^\x22\\]|\\.)*\x22"
+LINE_COMMENT = r"//.*$|#(?:[^\[].*)?$"
+BLOCK_COMMENT = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+COMMENTS = rf"({STRING})|{LINE_COMMENT}|{BLOCK_COMMENT}|/\*.*$"
+INCLUDE = r"(?:^|[^\w$>])(include_once|include|require_once|require)\b[\s(]*([^;]*)"
 DEFINITION = r"function\s+&?\w+\s*\("
 COMPARISON = r"(?:\$\w+(?:->\w+)*|[^=!<>\s])\s*[!=]=\s*(?:\$\w+(?:->\w+)*|[^=\s])"
 HIT = ["project", "path", "line", "sink_type", "function", "call_type"]
@@ -37,7 +42,7 @@ def read_sources(spark, root: str, extension: str = "php", exclude: str = EXCLUD
     The size filter runs on file metadata, so skipped contents never leave disk."""
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
     skipped = meta.select("path", "length").where((F.col("length") > max_bytes) & ~F.col("path").rlike(exclude))
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(root)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(root, wholetext=True)
     full = F.col("_metadata.file_path")
     rel = F.regexp_replace(full, "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     src = text.where(~full.rlike(exclude) & (F.col("_metadata.file_size") <= max_bytes)).select(
@@ -52,14 +57,15 @@ def explode_lines(src: DataFrame, content: str = "content") -> DataFrame:
 
 
 def code_lines(lines: DataFrame, hot=True) -> DataFrame:
-    """Add ``code``: the line without block comments, line comments and docblock lines."""
-    opens, closes = F.col("text").rlike(r"/\*(?:[^*]|\*[^/])*$"), F.col("text").contains("*/")
+    """Add ``code``: the line without comments."""
+    opens = F.regexp_replace("text", rf"{STRING}|{LINE_COMMENT}|{BLOCK_COMMENT}", "").contains("/*")
+    closes = F.col("text").contains("*/")
     carried = running(lines, FILE, ["line"], {
         "_open": ("max", F.when(opens, F.col("line"))), "_close": ("max", F.when(closes & ~opens, F.col("line")))}, inclusive=False, hot=hot)
     inside = F.coalesce(F.col("_open"), F.lit(0)) > F.coalesce(F.col("_close"), F.lit(0))
     body = F.when(inside, F.when(closes, F.regexp_replace("text", r"^.*?\*/", "")).otherwise("")).otherwise(F.col("text"))
-    body = F.regexp_replace(body, r"/\*(?:[^*]|\*[^/])*(?:\*/|$)", " ")
-    body = F.regexp_replace(body, r"^\s*(?://|#|\*).*$|(\s)//.*$", "$1")
+    # strings are matched first and put back, so comment marks inside them stay
+    body = F.regexp_replace(body, COMMENTS, "$1")
     return carried.withColumn("code", body).drop("_open", "_close")
 
 
@@ -70,7 +76,7 @@ def _count(text: str, ch: str) -> Column:
 def scopes(lines: DataFrame, hot=True) -> DataFrame:
     """Add namespace, in_class, in_function and check_line of each line from open braces.
 
-    All scopes come from two ordered scans over the same partitioning."""
+    All scopes come from three ordered scans over the same partitioning."""
     hot = hot_keys(lines, FILE) if hot is True else hot
     opened = _count("code", "{") - _count("code", "}")
     use = F.col("code").rlike(r"\b(?:include|require)(?:_once)?\b")
@@ -87,14 +93,26 @@ def scopes(lines: DataFrame, hot=True) -> DataFrame:
         "_c": ("max", named(r"^\s*(?:abstract\s+|final\s+)*class\s+(\w+)")),
         "_f": ("max", named(r"\bfunction\s+&?(\w+)\s*\(")),
         "_i": ("max", F.when(check, F.struct("line", F.col("_d").alias("d"))))}, hot=hot)
-    inside = lambda c: (F.col("line") == F.col(f"{c}.line")) | (F.col("_d") > F.col(f"{c}.d"))
-    in_class = F.when(inside("_c"), F.col("_c.name"))
+    end = F.col("_d") + opened
+
+    def closing(c: str) -> Column:
+        """Line on which the block that belongs to marker ``c`` ends."""
+        own = (F.col("line") == F.col(f"{c}.line")) & F.col("code").contains("{")
+        return F.when(((F.col("_d") > F.col(f"{c}.d")) | own) & (end <= F.col(f"{c}.d")), F.col("line"))
+
+    carried = running(carried, FILE, ["line"], {f"_q{c}": ("max", closing(f"_{c}")) for c in "cfi"}, inclusive=False, hot=hot)
+
+    def inside(c: str) -> Column:
+        closed = F.coalesce(F.col(f"_q{c}") >= F.col(f"_{c}.line"), F.lit(False))
+        return (F.col("line") == F.col(f"_{c}.line")) | ((F.col("_d") > F.col(f"_{c}.d")) & ~closed)
+
+    in_class = F.when(inside("c"), F.col("_c.name"))
     # a method closed before the class opened does not belong to it
-    in_function = F.when(inside("_f") & (in_class.isNull() | (F.col("_f.line") > F.col("_c.line"))), F.col("_f.name"))
+    in_function = F.when(inside("f") & (in_class.isNull() | (F.col("_f.line") > F.col("_c.line"))), F.col("_f.name"))
     # the first include inside the block of a file check
-    checked = F.when(use & inside("_i") & (F.col("_u").isNull() | (F.col("_u") < F.col("_i.line"))), F.col("_i.line"))
+    checked = F.when(use & inside("i") & (F.col("_u").isNull() | (F.col("_u") < F.col("_i.line"))), F.col("_i.line"))
     return carried.withColumn("namespace", F.col("_n.name")).withColumn("in_class", in_class).withColumn(
-        "in_function", in_function).withColumn("check_line", checked).drop("_d", "_u", "_n", "_c", "_f", "_i")
+        "in_function", in_function).withColumn("check_line", checked).drop("_d", "_u", "_n", "_c", "_f", "_i", "_qc", "_qf", "_qi")
 
 
 def _call_parts(lines: DataFrame) -> DataFrame:
@@ -190,7 +208,7 @@ def _context_array() -> Column:
     hit = lambda cond, fam, fn, kind: F.when(F.coalesce(cond, F.lit(False)), F.struct(
         F.lit(fam).alias("sink_type"), fn.alias("function"), F.lit(kind).alias("call_type")))
     return F.array_compact(F.array(
-        hit(t.startswith("$"), "RCE", F.concat(t, F.lit("()")), "dynamic_call"),
+        hit(t.startswith("$") & ~F.col("before").rlike(r"(?:->|::)$"), "RCE", F.concat(t, F.lit("()")), "dynamic_call"),
         hit(method.isin(K.BULK_METHODS) & bulk, "MassAssignment", F.concat(t, F.lit("($request->all())")), "method_call"),
         hit(method.isin(K.WPDB_METHODS) & F.col("before").rlike(r"\$wpdb$"), "WordPress", F.concat(F.lit("$wpdb"), t, F.lit("()")), "method_call"),
         hit((mongo | redis) & _any_in(receiver, K.NOSQL_RECEIVERS), "NoSQL",
@@ -217,11 +235,13 @@ def _line_array() -> Column:
         F.lit(fam).alias("sink_type"), fn.alias("function"), F.lit(kind).alias("call_type"))))
     magic = F.regexp_extract(c, r"function\s+(__(?:destruct|wakeup|toString|call|get))\s*\(", 1)
     resolve = F.regexp_extract(c, r"function\s+(resolve(?:Field)?)\s*\(", 1)
-    include = r"\b(include_once|include|require_once|require)\b[\s(]*"
-    dynamic = c.rlike(include + r"(?:\$\w+\s*\)?\s*;|[^;]*[\x22'\w\])]\s*\.\s*[\x22'$\w])")
+    # quoted text and inner calls say nothing about how the operand is built
+    bare = F.regexp_replace(c, STRING, "''")
+    operand = F.regexp_extract(bare, INCLUDE, 2)
+    dynamic = bare.rlike(INCLUDE) & (operand.rlike(r"^\$\w+[\s)]*$") | F.regexp_replace(operand, r"\w+\s*\([^()]*\)", "x").contains("."))
     comparisons = F.regexp_extract_all(c, F.lit(f"({COMPARISON})"), F.lit(1))
-    operand = r"^(\$\w+(?:->\w+)*)?"
-    weak = F.filter(comparisons, lambda x: _any_in(_last_name(F.regexp_extract(x, operand, 1)), K.SENSITIVE_NAMES)
+    left = r"^(\$\w+(?:->\w+)*)?"
+    weak = F.filter(comparisons, lambda x: _any_in(_last_name(F.regexp_extract(x, left, 1)), K.SENSITIVE_NAMES)
                     | _any_in(_last_name(F.regexp_extract(x, r"[!=]=\s*(\$\w+(?:->\w+)*)$", 1)), K.SENSITIVE_NAMES))
     weak = F.transform(weak, lambda x: F.struct(
         F.lit("WeakComparison").alias("sink_type"),
@@ -229,7 +249,7 @@ def _line_array() -> Column:
     none = F.array().cast("array<struct<sink_type:string,function:string,call_type:string>>")
     return F.flatten(F.array(*[F.coalesce(x, none) for x in (
         one(c.rlike(r"->\$\w+\s*\("), "RCE", F.concat(F.lit("->$"), F.regexp_extract(c, r"->\$(\w+)\s*\(", 1), F.lit("()")), "dynamic_method"),
-        one(dynamic, "LFI", F.regexp_extract(c, include, 1), "dynamic_include"),
+        one(dynamic, "LFI", F.regexp_extract(bare, INCLUDE, 1), "dynamic_include"),
         weak,
         one(magic != "", "Deserialization", F.concat(magic, F.lit("() definition")), "magic_method"),
         one(c.rlike(r"\$guarded\s*=\s*(?:\[\s*\]|array\s*\(\s*\))"), "MassAssignment", F.lit("$guarded = []"), "property"),

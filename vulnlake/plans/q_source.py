@@ -15,18 +15,26 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-CODE_SQL = r"""m AS (SELECT *, regexp_matches(text, '/\*(?:[^*]|\*[^/])*$') AS opens, contains(text, '*/') AS closes FROM fx_lines),
+CODE_SQL = rf"""m AS (SELECT *, contains(regexp_replace(text, {lit(X.STRING + '|' + X.LINE_COMMENT + '|' + X.BLOCK_COMMENT)}, '', 'g'), '/*') AS opens, contains(text, '*/') AS closes FROM fx_lines),
 w AS (SELECT *, COALESCE(max(CASE WHEN opens THEN line END) OVER p, 0) AS o, COALESCE(max(CASE WHEN closes AND NOT opens THEN line END) OVER p, 0) AS k FROM m
  WINDOW p AS (PARTITION BY project, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT project, path, line, CASE WHEN o > k THEN CASE WHEN closes THEN regexp_replace(text, '^.*?\*/', '') ELSE '' END ELSE text END AS t FROM w),
-src AS (SELECT project, path, line, regexp_replace(regexp_replace(t, '/\*(?:[^*]|\*[^/])*(?:\*/|$)', ' ', 'g'), '^\s*(?://|#|\*).*$|(\s)//.*$', '\1', 'g') AS code FROM b)"""
-DEPTH_SQL = r"""dp AS (SELECT *, COALESCE(SUM(length(code) - length(replace(code, '{', '')) - (length(code) - length(replace(code, '}', '')))) OVER (PARTITION BY project, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d,
- regexp_extract(code, '^\s*(?:abstract\s+|final\s+)*class\s+(\w+)', 1) AS cn, regexp_extract(code, '\bfunction\s+&?(\w+)\s*\(', 1) AS fn FROM src),
-sp AS (SELECT *, max(CASE WHEN cn <> '' THEN line END) OVER q AS cl, max(CASE WHEN fn <> '' THEN line END) OVER q AS fl FROM dp
+src AS (SELECT project, path, line, regexp_replace(t, {lit(X.COMMENTS)}, '\1', 'g') AS code FROM b)"""
+DEPTH_SQL = r"""dp AS (SELECT *, length(code) - length(replace(code, '{', '')) - (length(code) - length(replace(code, '}', ''))) AS delta,
+ COALESCE(SUM(length(code) - length(replace(code, '{', '')) - (length(code) - length(replace(code, '}', '')))) OVER (PARTITION BY project, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d,
+ regexp_extract(code, '^\s*(?:abstract\s+|final\s+)*class\s+(\w+)', 1) AS cn, regexp_extract(code, '\bfunction\s+&?(\w+)\s*\(', 1) AS fn,
+ regexp_matches(code, '\bif\s*\(.*\bfile_exists\s*\(') AS chk FROM src),
+sp AS (SELECT *, max(CASE WHEN cn <> '' THEN line END) OVER q AS cl, max(CASE WHEN fn <> '' THEN line END) OVER q AS fl, max(CASE WHEN chk THEN line END) OVER q AS il FROM dp
  WINDOW q AS (PARTITION BY project, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-sc AS (SELECT s.project, s.path, s.line, s.code, s.d, CASE WHEN c.line IS NOT NULL AND (s.line = c.line OR s.d > c.d) THEN c.cn END AS in_class, s.cl, s.fl, f.d AS fd, f.fn AS fname
- FROM sp s LEFT JOIN dp c ON c.project = s.project AND c.path = s.path AND c.line = s.cl LEFT JOIN dp f ON f.project = s.project AND f.path = s.path AND f.line = s.fl),
-scoped AS (SELECT project, path, line, code, d, in_class, CASE WHEN fl IS NOT NULL AND (line = fl OR d > fd) AND (in_class IS NULL OR fl > cl) THEN fname END AS in_function FROM sc)"""
+sc AS (SELECT s.*, c.d AS cd, c.cn AS cname, f.d AS fd, f.fn AS fname, i.d AS idp FROM sp s LEFT JOIN dp c ON c.project = s.project AND c.path = s.path AND c.line = s.cl
+ LEFT JOIN dp f ON f.project = s.project AND f.path = s.path AND f.line = s.fl LEFT JOIN dp i ON i.project = s.project AND i.path = s.path AND i.line = s.il),
+qs AS (SELECT *, max(CASE WHEN (d > cd OR (line = cl AND contains(code, '{'))) AND d + delta <= cd THEN line END) OVER e AS qc,
+ max(CASE WHEN (d > fd OR (line = fl AND contains(code, '{'))) AND d + delta <= fd THEN line END) OVER e AS qf,
+ max(CASE WHEN (d > idp OR (line = il AND contains(code, '{'))) AND d + delta <= idp THEN line END) OVER e AS qi FROM sc
+ WINDOW e AS (PARTITION BY project, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kl AS (SELECT *, CASE WHEN cl IS NOT NULL AND (line = cl OR (d > cd AND (qc IS NULL OR qc < cl))) THEN cname END AS in_class FROM qs),
+scoped AS (SELECT project, path, line, code, d, in_class, CASE WHEN fl IS NOT NULL AND (line = fl OR (d > fd AND (qf IS NULL OR qf < fl))) AND (in_class IS NULL OR fl > cl) THEN fname END AS in_function,
+ CASE WHEN il IS NOT NULL AND (line = il OR (d > idp AND (qi IS NULL OR qi < il))) THEN il END AS in_check FROM kl)"""
 CALLS_SQL = rf"""cd AS (SELECT project, path, line, regexp_replace(code, {lit(X.DEFINITION)}, '(', 'g') AS c FROM src),
 tk AS (SELECT project, path, line, unnest(regexp_extract_all(c, {lit(X.CALL_NAME)}, 1)) AS token, c FROM cd WHERE contains(c, '('))"""
 
@@ -83,9 +91,11 @@ def _line_query(key, kind, where, fn):
 
 
 _line_query("F05_dynamic_method", "dynamic_method", r"regexp_matches(code, '->\$\w+\s*\(')", r"'->$' || regexp_extract(code, '->\$(\w+)\s*\(', 1) || '()'")
+BARE = f"regexp_replace(code, {lit(X.STRING)}, {lit(chr(39) * 2)}, 'g')"
+OPERAND = f"regexp_extract({BARE}, {lit(X.INCLUDE)}, 2)"
 _line_query("F07_dynamic_include", "dynamic_include",
-            r"regexp_matches(code, '\b(include_once|include|require_once|require)\b[\s(]*(?:\$\w+\s*\)?\s*;|[^;]*[\x22''\w\])]\s*\.\s*[\x22''$\w])')",
-            r"regexp_extract(code, '\b(include_once|include|require_once|require)\b[\s(]*', 1)")
+            rf"regexp_matches({BARE}, {lit(X.INCLUDE)}) AND (regexp_matches({OPERAND}, '^\$\w+[\s)]*$') OR contains(regexp_replace({OPERAND}, '\w+\s*\([^()]*\)', 'x', 'g'), '.'))",
+            rf"regexp_extract({BARE}, {lit(X.INCLUDE)}, 1)")
 _line_query("F09_magic_methods", "magic_method", r"regexp_matches(code, 'function\s+(__(?:destruct|wakeup|toString|call|get))\s*\(')",
             r"regexp_extract(code, 'function\s+(__(?:destruct|wakeup|toString|call|get))\s*\(', 1) || '() definition'")
 _line_query("F10_guarded", "property", r"regexp_matches(code, '\$guarded\s*=\s*\[\s*\]')", "'$guarded = []'")
@@ -99,7 +109,7 @@ def _context_query(key, where_spark, sql, cols=("project", "path", "line", "func
 
 
 _context_query("F06_dynamic_function", "call_type = 'dynamic_call'",
-               rf"WITH {CODE_SQL}, {CALLS_SQL} SELECT project, path, line, token || '()' AS function FROM tk WHERE starts_with(token, '$')")
+               rf"WITH {CODE_SQL}, x AS (SELECT project, path, line, unnest(regexp_extract_all(code, '(?:^|[^\w>:$])(\$[A-Za-z_]\w*)\s*\(', 1)) AS token FROM src) SELECT project, path, line, token || '()' AS function FROM x")
 _context_query("F11_bulk_assignment", "sink_type = 'MassAssignment'",
                rf"WITH {CODE_SQL} SELECT project, path, line, '->' || regexp_extract(code, '->(fill|update|create)\s*\(', 1) || '($request->all())' AS function FROM src WHERE regexp_matches(code, '->(?:fill|update|create)\s*\([^;]*->all\s*\(\s*\)')")
 _context_query("F12_wpdb_calls", "sink_type = 'WordPress'",
@@ -127,10 +137,8 @@ def weak_comparison(t):
     return X.line_hits(scoped(t)).where("call_type = 'weak_comparison'").select("project", "path", "line", "function")
 
 
-@query("F18_check_then_include", rf"""WITH {CODE_SQL}, {DEPTH_SQL},
-i AS (SELECT *, max(CASE WHEN regexp_matches(code, '\bif\s*\(.*\bfile_exists\s*\(') THEN line END) OVER (PARTITION BY project, path ORDER BY line) AS il FROM dp)
-SELECT DISTINCT i.project, i.path, i.il AS line FROM i JOIN dp c ON c.project = i.project AND c.path = i.path AND c.line = i.il
-WHERE regexp_matches(i.code, '\b(?:include|require)(?:_once)?\b') AND (i.line = i.il OR i.d > c.d)""")
+@query("F18_check_then_include", rf"""WITH {CODE_SQL}, {DEPTH_SQL}
+SELECT DISTINCT project, path, in_check AS line FROM scoped WHERE in_check IS NOT NULL AND regexp_matches(code, '\b(?:include|require)(?:_once)?\b')""")
 def check_include(t):
     return X.check_then_include(scoped(t)).select("project", "path", "line")
 

@@ -73,7 +73,7 @@ def parse_jsonl(lines: DataFrame, schema: T.StructType | str, value: str = "valu
 
 
 def read_lockfile(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("project"), "value")
     return lockfile_rows(files)
 
