@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.operators.ordered import hot_keys, rank_in_group, running
+from vulnlake.session import durable
 
 # Framework bootstrap frames that carry no information.
 NOISE = [
@@ -70,7 +71,7 @@ def sink_chains(frames: DataFrame, order: Sequence[str], key: str = "trace_id",
 
     The caller at depth k is the newest earlier frame that was pushed at depth
     k; each (sink, k) asks for it in an ordered scan per (trace, k)."""
-    deep = stack_depths(frames.where(~is_noise("function")), order, key).select(key, "rn", "depth", "function", "level")
+    deep = durable(stack_depths(frames.where(~is_noise("function")), order, key).select(key, "rn", "depth", "function"))
     hits = deep.where(base_name("function").isin(list(sinks)))
     pushed = deep.select(key, F.col("depth").alias("k"), "rn", F.struct("rn", "function").alias("_f"), F.lit(None).cast("long").alias("sink_rn"))
     asks = hits.where("depth > 1").select(

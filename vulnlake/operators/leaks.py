@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.session import spread
+
 # Fixed values: (rule, pattern with the value in group 1).
 SECRET_RULES = [
     ("password", r"(?i)(?:password|passwd|pwd)\s*[=:]\s*['\x22]?([^\s'\x22,;]{4,})"),
@@ -18,6 +20,8 @@ SECRET_RULES = [
     ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)"),
     ("private_ip", r"(?:^|[^0-9.])(192\.168\.[0-9]{1,3}\.[0-9]{1,3}|10\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3})"),
 ]
+# Text each of these patterns needs: a substring test is far cheaper than the pattern.
+NEEDLES = {"cloud_key_id": ["AKIA"], "bearer": ["Bearer"], "private_key": ["PRIVATE KEY-----"], "private_ip": ["192.168.", "10.", "172."], "email": ["@"]}
 PLACEHOLDERS = ["secret", "password", "your-key-here", "changeme", "example", "xxxxxxxx", "your_api_key", "test", "null", "none", "placeholder"]
 PII_RULES = [
     ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"),
@@ -69,10 +73,20 @@ def found_values(rows: DataFrame, rules: list[tuple[str, str]], text: str) -> Da
     """(rule, value) per match; the text itself is dropped before anything shuffles."""
     per_rule = [_tagged(rule, rx, text) for rule, rx in rules]
     keep = [c for c in rows.columns if c != text]
-    return rows.select(*keep, F.explode(F.concat(*per_rule)).alias("_m")).select(*keep, "_m.*")
+    return spread(rows).select(*keep, F.explode(F.concat(*per_rule)).alias("_m")).select(*keep, "_m.*")
 
 
 def _tagged(rule: str, rx: str, text: str) -> Column:
+    found = _extracted(rule, rx, text)
+    if rule not in NEEDLES:
+        return found
+    present = F.lit(False)
+    for needle in NEEDLES[rule]:
+        present = present | F.col(text).contains(needle)
+    return F.when(present, found).otherwise(F.array().cast("array<struct<rule:string,value:string>>"))
+
+
+def _extracted(rule: str, rx: str, text: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(1)), lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
 
 
@@ -111,7 +125,7 @@ def exposed_fields(responses: DataFrame, body: str = "body", keys=EXPOSED_KEYS)
 def text_flags(rows: DataFrame, rules: list[tuple[str, str]], text: str) -> DataFrame:
     """One row per text and rule that matches."""
     ids = F.array_compact(F.array(*[F.when(F.col(text).rlike(rx), F.lit(r)) for r, rx in rules]))
-    return rows.select(*[c for c in rows.columns if c != text], F.explode(ids).alias("rule"))
+    return spread(rows).select(*[c for c in rows.columns if c != text], F.explode(ids).alias("rule"))
 
 
 def page_comments(pages: DataFrame, html: str = "html", hint: str = COMMENT_HINT) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from vulnlake.operators.ordered import hot_keys, running
 from vulnlake.rules import patterns as P
 from vulnlake.rules import sinks as K
+from vulnlake.session import spread
 
 FILE = ["project", "path"]
 EXCLUDED = r"(^|/)(vendor|node_modules|\.git)/"
@@ -60,7 +61,7 @@ def code_lines(lines: DataFrame, hot=True) -> DataFrame:
     """Add ``code``: the line without comments."""
     opens = F.regexp_replace("text", rf"{STRING}|{LINE_COMMENT}|{BLOCK_COMMENT}", "").contains("/*")
     closes = F.col("text").contains("*/")
-    carried = running(lines, FILE, ["line"], {
+    carried = running(spread(lines, FILE), FILE, ["line"], {
         "_open": ("max", F.when(opens, F.col("line"))), "_close": ("max", F.when(closes & ~opens, F.col("line")))}, inclusive=False, hot=hot)
     inside = F.coalesce(F.col("_open"), F.lit(0)) > F.coalesce(F.col("_close"), F.lit(0))
     body = F.when(inside, F.when(closes, F.regexp_replace("text", r"^.*?\*/", "")).otherwise("")).otherwise(F.col("text"))

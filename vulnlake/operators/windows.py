@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vulnlake.functions.score import SEVERITY_ORDER, pick, rank_of
 from vulnlake.functions.values import micros
 from vulnlake.operators.ordered import failure_streak, previous, rank_in_group, top_k
+from vulnlake.session import durable
 
 MEMORY_ORDER = ["confirmed", "partial", "failed"]  # fixed values: lookup order
 REDO_LIMITS = {"1": 3, "2": 2, "3": 2, "4": 2, "4.5": 1, "5": 2}  # fixed values: redo limit per phase
@@ -20,14 +21,14 @@ REDO_LIMITS = {"1": 3, "2": 2, "3": 2, "4": 2, "4.5": 1, "5": 2}  # fixed values
 def finding_ids(scored: DataFrame, keys=("project", "level", "type"), order=None) -> DataFrame:
     """``{Level}-{Type}-{Seq}`` numbered inside (project, level, type)."""
     order = order or [F.col("score").desc(), "file", "line"]
-    ranked = rank_in_group(scored, list(keys), order, "_n")
+    ranked = rank_in_group(durable(scored), list(keys), order, "_n")
     seq = F.when(F.col("_n") < 1000, F.lpad(F.col("_n").cast("string"), 3, "0")).otherwise(F.col("_n").cast("string"))
     return ranked.withColumn("vuln_id", F.concat_ws("-", "level", F.upper("type"), seq)).drop("_n")
 
 
 def queue_ids(queue: DataFrame, order, keys=("project",)) -> DataFrame:
     """``sink_001`` ... in queue order, per project."""
-    ranked = rank_in_group(queue, list(keys), order, "_n")
+    ranked = rank_in_group(durable(queue), list(keys), order, "_n")
     seq = F.when(F.col("_n") < 1000, F.lpad(F.col("_n").cast("string"), 3, "0")).otherwise(F.col("_n").cast("string"))
     return ranked.withColumn("sink_id", F.concat(F.lit("sink_"), seq)).drop("_n")
 
@@ -94,6 +95,7 @@ def sampling_rate(routes: Column, priority: Column) -> Column:
 def down_sample(queue: DataFrame, scope="project", order=None) -> DataFrame:
     """Deterministic down-sampling that keeps the most corroborated findings."""
     order = order or [F.col("source_count").desc(), "file", "line", "sink_function"]
+    queue = durable(queue)  # read three times below: written once instead of derived three times
     sizes = queue.groupBy(scope, "priority").agg(F.count(F.lit(1)).alias("_n"))
     totals = sizes.groupBy(scope).agg(F.sum("_n").alias("_routes"))
     quota = sizes.join(totals, scope).select(
