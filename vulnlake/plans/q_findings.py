@@ -465,15 +465,12 @@ def lookup(t):
 
 
 @query("T03_board_read", """
-SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, ts DESC, event_id) AS place
-FROM events WHERE event_id % 3 = 0 ORDER BY place LIMIT 50""")
+SELECT event_id, priority, ts FROM (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' ELSE 'normal' END AS priority FROM events WHERE event_id % 3 = 0)
+ORDER BY CASE priority WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, ts DESC, event_id""")
 def board_read(t):
     from vulnlake.plans.fixtures import board
     b = board(t).where(F.size("consumed_by") == 0)
-    top = b.orderBy(*W.board_order(b), "event_id").limit(50)
-    # fifty rows: the window only numbers the page that is shown
-    from pyspark.sql import Window
-    return top.select("event_id", F.row_number().over(Window.orderBy(*W.board_order(b), "event_id")).cast("long").alias("place"))
+    return b.orderBy(*W.board_order(b), "event_id").select("event_id", "priority", "ts")
 
 
 @query("T04_advisories_by_severity", f"""WITH {ADV_SQL} SELECT vuln_id, package, severity, seq FROM a

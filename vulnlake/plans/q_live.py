@@ -12,7 +12,8 @@ from vulnlake.streaming import live
 
 
 def _stream(t, table="events"):
-    return live.read_stream(t.spark, t.sf_dir, getattr(t, table).schema, f"{table}.parquet")
+    # a glob, because a stream source takes a plain path only for a folder and a table may be one file
+    return live.read_stream(t.spark, f"{t.sf_dir}/{table}.parque[t]", getattr(t, table).schema)
 
 
 def _work(t) -> str:

@@ -24,12 +24,12 @@ SECRET_SQL = f"h AS ({extract_union(L.SECRET_RULES, 'documents', 'doc_id')}), s
 
 @query("F27_secrets", f"WITH {SECRET_SQL} SELECT doc_id, rule, sha256(value) AS value_sha, concat(substr(value, 1, 4), '****') AS preview FROM s")
 def secrets(t):
-    return L.secrets(t.documents.select("doc_id", "text"))
+    return L.secrets(t.texts("documents", "doc_id", "text"))
 
 
 @query("F28_placeholders", f"WITH {SECRET_SQL}, g AS (SELECT rule, COUNT(*) AS matches FROM h GROUP BY 1), k AS (SELECT rule, COUNT(*) AS leaks FROM s GROUP BY 1) SELECT rule, matches, COALESCE(leaks, 0) AS leaks FROM g LEFT JOIN k USING (rule)")
 def placeholders(t):
-    every = L.found_values(t.documents.select("doc_id", "text"), L.SECRET_RULES, "text")
+    every = L.found_values(t.texts("documents", "doc_id", "text"), L.SECRET_RULES, "text")
     ok = ~F.lower("value").isin(L.PLACEHOLDERS)
     return every.groupBy("rule").agg(F.count("*").alias("matches"), F.count_if(ok).alias("leaks"))
 
@@ -62,7 +62,7 @@ LUHN_SQL = "list_sum(list_transform(range(1, length(value) + 1), lambda i: CASE
 
 @query("F30_unmasked_pii", f"WITH h AS ({extract_union(L.PII_RULES, 'documents', 'doc_id')}) SELECT doc_id, rule, sha256(value) AS value_sha FROM h WHERE CASE WHEN rule = 'card' THEN {LUHN_SQL} ELSE true END")
 def pii(t):
-    return L.unmasked_pii(t.documents.select("doc_id", "text"))
+    return L.unmasked_pii(t.texts("documents", "doc_id", "text"))
 
 
 BODY = "CASE event_type WHEN 'view' THEN concat('{\"id\":', CAST(event_id AS VARCHAR), ',\"password_hash\":\"x\"}') WHEN 'click' THEN '{\"token\":1,\"ssn\":2}' ELSE '{\"id\":1}' END"
@@ -78,17 +78,17 @@ def exposed(t):
 
 @query("F32_page_leaks", f"""WITH f AS ({' UNION ALL '.join(f"SELECT page_id, {lit(r)} AS rule FROM pages WHERE regexp_matches(html, {lit(rx)})" for r, rx in L.PAGE_RULES)}) SELECT rule, COUNT(*) AS pages FROM f GROUP BY 1""")
 def page_leaks(t):
-    return L.text_flags(t.pages.select("page_id", "html"), L.PAGE_RULES, "html").groupBy("rule").agg(F.count("*").alias("pages"))
+    return L.text_flags(t.texts("pages", "page_id", "html"), L.PAGE_RULES, "html").groupBy("rule").agg(F.count("*").alias("pages"))
 
 
 @query("F32_page_comments", f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS note FROM pages) SELECT page_id, trim(note) AS note FROM c WHERE regexp_matches(note, {lit(L.COMMENT_HINT)})""")
 def comments(t):
-    return L.page_comments(t.pages.select("page_id", "html"))
+    return L.page_comments(t.texts("pages", "page_id", "html"))
 
 
 @query("F33_sensitive_logs", f"""WITH f AS ({' UNION ALL '.join(f"SELECT doc_id, {lit(r)} AS rule FROM documents WHERE regexp_matches(text, {lit(rx)})" for r, rx in L.LOG_RULES)}) SELECT doc_id, rule FROM f""")
 def logs(t):
-    return L.text_flags(t.documents.select("doc_id", "text"), L.LOG_RULES, "text")
+    return L.text_flags(t.texts("documents", "doc_id", "text"), L.LOG_RULES, "text")
 
 
 @query("F34_log_injection", """

@@ -53,15 +53,3 @@ def durable(df):
     """Cut lineage through the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def spread(df, keys=(), per_core: int = 4 << 20):
-    """Give a tiny input to every core before a CPU-heavy text scan.
-
-    Spark cuts small files into fewer splits than there are cores. Only inputs
-    under ``per_core`` bytes per core are redistributed (by ``keys``, so that a
-    following window needs no other shuffle); larger ones already have enough
-    splits and must not be shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < per_core * cores else df

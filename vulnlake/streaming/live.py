@@ -17,11 +17,12 @@ LATE = "1 hour"
 BOARD_KEY = ["source_agent", "finding_type", "data_key", "data_value"]
 
 
-def read_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files as they arrive; ``files_per_trigger`` bounds a micro-batch."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def event_time(stream: DataFrame, ts: str = "ts", late: str = LATE) -> DataFrame:
@@ -94,15 +95,6 @@ def stuck_detector(state_path: str, key: str, order: list[str], failed: Column,
     return handle
 
 
-def board_writer(path: str):
-    """foreachBatch function: keep one row per board key, first arrival wins, replay safe."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return handle
-
-
 def run_once(stream: DataFrame, out: str, checkpoint: str):
     """Process what is available, append it to parquet and return the finished query."""
     q = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
