@@ -103,6 +103,18 @@ def overlap_level(shared: Column, total: Column) -> Column:
     return F.when(pct >= total * 80, "high").when(pct >= total * 50, "medium").otherwise("low")
 
 
+def path_agreement(frames: DataFrame, static: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Share of each static path (an array of functions) that the recorded trace confirms.
+
+    The short static side is exploded and matched by (trace, function), so the
+    functions of a long trace are never gathered in one row."""
+    steps = static.select(key, F.explode(F.array_distinct("static_path")).alias("function"))
+    seen = frames.select(key, "function").distinct().withColumn("_seen", F.lit(1))
+    j = steps.join(frames.select(key).distinct(), key, "left_semi").join(seen, [key, "function"], "left")
+    g = j.groupBy(key).agg(F.count("_seen").cast("int").alias("shared"), F.count(F.lit(1)).cast("int").alias("total"))
+    return g.withColumn("level", overlap_level(F.col("shared"), F.col("total")))
+
+
 def uncollected_for(board: DataFrame, reader: str) -> DataFrame:
     """Shared findings a reader has not consumed yet."""
     return board.where(~F.array_contains("consumed_by", reader))

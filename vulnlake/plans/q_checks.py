@@ -147,8 +147,9 @@ def entries(t):
 
 @query("A06_short_lists", "SELECT package, array_to_string(list_slice(list_sort(list_distinct(flatten(list([version, CAST(v_minor AS VARCHAR)])))), 1, 3), ',') AS sample FROM fx_packages GROUP BY 1")
 def short_lists(t):
-    # versions of one package are a bounded vocabulary; the set is taken before the list
-    g = t.fx_packages.groupBy("package").agg(F.collect_set(F.array("version", F.col("v_minor").cast("string"))).alias("v"))
+    from vulnlake.operators.ordered import top_k
+    v = t.fx_packages.select("package", F.explode(F.array("version", F.col("v_minor").cast("string"))).alias("v")).distinct()
+    g = top_k(v, ["package"], ["v"], 3).groupBy("package").agg(F.collect_list(F.array("v")).alias("v"))
     return g.select("package", F.array_join(A.short_list("v", 3), ",").alias("sample"))
 
 

@@ -166,13 +166,10 @@ WITH a AS (SELECT trace_id, list(DISTINCT function) AS fn FROM fx_frames GROUP B
 SELECT trace_id, CAST(len(list_intersect(fn, st)) AS INT) AS shared, CAST(len(st) AS INT) AS total, CASE WHEN len(list_intersect(fn, st)) * 100 >= len(st) * 80 THEN 'high'
  WHEN len(list_intersect(fn, st)) * 100 >= len(st) * 50 THEN 'medium' ELSE 'low' END AS level FROM a JOIN b USING (trace_id)""")
 def agreement(t):
-    a = t.fx_frames.groupBy("trace_id").agg(F.collect_set("function").alias("fn"))
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
     m = F.col("o_orderkey") % 3
     st = F.when(m == 0, lit(["DB::raw", "system"])).when(m == 1, lit(["Router::dispatch", "UserController->show", "system", "DB::raw"])).otherwise(lit(["eval"]))
-    j = a.join(t.orders.select(F.col("o_orderkey").alias("trace_id"), st.alias("st")), "trace_id")
-    shared, total = F.size(F.array_intersect("fn", "st")), F.size("st")
-    return j.select("trace_id", shared.alias("shared"), total.alias("total"), J.overlap_level(shared, total).alias("level"))
+    return J.path_agreement(t.fx_frames, t.orders.select(F.col("o_orderkey").alias("trace_id"), st.alias("static_path")))
 
 
 @query("J28_binding_backfill", """
