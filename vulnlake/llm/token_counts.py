@@ -71,7 +71,7 @@ def split(text: str) -> list[str]:
     if not text:
         return []
     text = text.replace(MARK, " ")  # the model reads them alike
-    if "  " not in text and text[-1] != " ":
+    if "  " not in text and " " not in (text[0], text[-1]):
         return text.split(" ")
     # In a run of spaces, all but the first stand before the word, or alone at the end, in the unit that the first one opens.
     return [x[1:] for x in re.findall(r" *[^ ]+| +$", " " + text)]
