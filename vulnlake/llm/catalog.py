@@ -1,6 +1,6 @@
 """Importing this module registers every query of the package."""
 
-from vulnlake.llm import mixing, quality, token_counts  # noqa: F401
+from vulnlake.llm import mixing, quality, token_counts, wavelet  # noqa: F401
 from vulnlake.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
