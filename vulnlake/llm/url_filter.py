@@ -26,7 +26,7 @@ from vulnlake.llm.registry import query
 #: Host and path rules (verdict, host, path), fixed by the query's contract.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: What decides where no rule fits: globs, then the default.
-GLOBS = (("block", "*.spam-farm.**"), ("block", "*.cheap-pills.**"))
+GLOBS = (("block", "*.spam-farm.**"), ("block", "*.cheap-pills.**"), ("block", "*.casino-win.**"), ("block", "*.free-bets.**"))
 DEFAULT = "allow"
 
 
@@ -132,8 +132,7 @@ f AS (SELECT *, CASE WHEN ends_with(h, '.www.example.com') AND starts_with(path,
                      WHEN ends_with(h, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM r)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN contains(h || path, '.spam-farm.') AND NOT contains(split_part(h || path, '.spam-farm.', 1), '/') THEN 'block'
-            WHEN contains(h || path, '.cheap-pills.') AND NOT contains(split_part(h || path, '.cheap-pills.', 1), '/') THEN 'block'
+            WHEN regexp_matches(h || path, '^[^/]*[.](spam-farm|cheap-pills|casino-win|free-bets)[.]') THEN 'block'
             ELSE 'allow' END AS verdict FROM f"""
 
 
