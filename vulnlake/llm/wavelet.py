@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W
@@ -30,7 +31,8 @@ MAGIC = b"WMX1"
 STEP = 512  # bits between entries of the rank directory
 SHARD_TOKENS = 1 << 20
 #: Bound on a task's table of chunk -> ids; a full one is emptied.
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 1_000_000
+SLICE_BYTES = 8 << 20
 
 
 class WaveletMatrix:
@@ -207,20 +209,26 @@ class Encoder:
             out[i] = ids
         skip = set(odd)
         plain = [i for i in range(len(texts)) if i not in skip]
-        # A unit is a chunk without its space; one after a line feed begins with it. The first of a text has no separator.
-        units = [texts[i].replace("\n", " \n").split(" ") for i in plain]
-        firsts = self.whole([x[0] for x in units])
+        if not plain:
+            return out
         if len(self.codes) > TABLE_ENTRIES:
             self.clear()
-        known, sizes = len(self.codes), [len(x) - 1 for x in units]
-        codes = np.fromiter(map(self.codes.__getitem__, itertools.chain.from_iterable(x[1:] for x in units)), np.int64, sum(sizes))
+        # A unit is a chunk without its space; one after a line feed begins with it. The first of a text has no separator.
+        units = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in plain], pa.large_string()), "\n", " \n"), " ")
+        at, coded = np.asarray(units.offsets), units.flatten().dictionary_encode()
+        known, distinct = len(self.codes), coded.dictionary.to_pylist()
+        table = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
         if len(self.codes) > known:
             self.learn([u if u[:1] == "\n" else " " + u for u in itertools.islice(self.codes, known, None)])
-        lo = self.starts[codes]
-        n = self.starts[codes + 1] - lo
-        ends = np.cumsum(n)
-        flat = self.ids[np.arange(int(n.sum())) + np.repeat(lo - (ends - n), n)]
-        ends, at = np.append(0, ends), np.append(0, np.cumsum(sizes, dtype=np.int64))
+        local = coded.indices.to_numpy()
+        firsts = self.whole([distinct[k] for k in local[at[:-1]]])
+        lo = self.starts[table].astype(np.int32)
+        n = (self.starts[table + 1] - lo).astype(np.int32)
+        lo, n = lo[local], n[local]
+        n[at[:-1]] = 0  # the first units are spelt differently
+        ends = np.cumsum(n, dtype=np.int64)
+        flat = self.ids[np.arange(int(ends[-1]), dtype=np.int32) + np.repeat(lo - (ends - n).astype(np.int32), n)]
+        ends = np.append(0, ends)
         for k, (i, first) in enumerate(zip(plain, firsts)):
             out[i] = np.concatenate((first, flat[ends[at[k]] : ends[at[k + 1]]]))
         return out
@@ -233,6 +241,16 @@ def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
 
+def slices(b: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text, a longer text alone."""
+    size = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 MANIFEST = "part int, seq int, n_tokens long, n_docs long, n_bytes long"
 
 
@@ -262,8 +280,7 @@ def write_ids(docs: DataFrame, tokenizer_file: str, folder: str, *, end_id: int
 
         rows = []
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
+            for some in slices(b):
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
                     if held and size + len(ids) + 1 > shard_tokens:
                         rows.append(flush())
@@ -276,8 +293,9 @@ def write_ids(docs: DataFrame, tokenizer_file: str, folder: str, *, end_id: int
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in MANIFEST.split(", ")])
 
+    # Texts only stream through a task, so tasks may be large: the fewer they are, the fewer chunks are encoded again.
     spark = docs.sparkSession
-    ordered = text_of(docs).repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = text_of(docs).repartitionByRange(max(4, shuffle_partitions(spark) // 3), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 
