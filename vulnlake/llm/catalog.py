@@ -1,6 +1,6 @@
 """Importing this module registers every query of the package."""
 
-from vulnlake.llm import fingerprints, mixing, near_dedup, packing, quality, token_counts, url_filter, wavelet  # noqa: F401
+from vulnlake.llm import fingerprints, mixing, near_dedup, packing, quality, token_counts, toxicity, url_filter, wavelet  # noqa: F401
 from vulnlake.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -31,8 +31,8 @@ MAGIC = b"WMX1"
 STEP = 512  # bits between entries of the rank directory
 SHARD_TOKENS = 1 << 20
 #: Bound on a task's table of chunk -> ids; a full one is emptied.
-TABLE_ENTRIES = 1_000_000
-SLICE_BYTES = 8 << 20
+TABLE_ENTRIES = 800_000
+SLICE_BYTES = 6 << 20
 
 
 class WaveletMatrix:
@@ -151,6 +151,11 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], list[int]]
     return WaveletMatrix(planes, ranks, head["zeros"], head["n"]), head["doc_ids"], head["ends"]
 
 
+#: White space by Unicode, and control characters that some libraries take for it.
+BLANK = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+MARK = "\x01"
+
+
 class Codes(dict):
     """Numbers keys in the order in which they are first looked up."""
 
@@ -163,7 +168,8 @@ class Encoder:
     """Ids of whole texts; the library sees each distinct chunk of a task once.
 
     The byte-level splitting rule always starts a new piece at a lone space or line feed between two other characters, so
-    a text may be cut there. Texts with other runs of white space go to the library whole."""
+    a text may be cut there, and before a comma or full stop between a letter or digit and such a place. Texts with other
+    runs of white space go to the library whole."""
 
     def __init__(self, tokenizer_file: str):
         import os
@@ -173,8 +179,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_file)
-        self.double = re.compile(r"\s\s").search
-        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        special = [re.escape(x.content) for x in self.tok.get_added_tokens_decoder().values()]
+        self.odd = "|".join([BLANK * 2, rf"\A{BLANK}", rf"{BLANK}\z", r"\A\z", MARK, *special])
         # Chunks are encoded many at a time, as one text, and told apart by the tokens that a separator begins.
         vocabulary = self.tok.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -183,7 +189,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.ids, self.starts = Codes(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        stops = self.whole([",", "."])
+        self.codes, self.ids, self.starts = Codes({MARK + ",": 0, MARK + ".": 1}), np.concatenate(stops), np.cumsum([0, *map(len, stops)])
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -204,7 +211,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not t or t[0].isspace() or t[-1].isspace() or self.double(t) or any(s in t for s in self.special)]
+        rows = pa.array(texts, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(rows, self.odd).to_numpy(zero_copy_only=False)).tolist()
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
         skip = set(odd)
@@ -213,8 +221,14 @@ class Encoder:
             return out
         if len(self.codes) > TABLE_ENTRIES:
             self.clear()
-        # A unit is a chunk without its space; one after a line feed begins with it. The first of a text has no separator.
-        units = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in plain], pa.large_string()), "\n", " \n"), " ")
+        # A unit is a chunk without its space; one after a line feed begins with it, a stop cut off from its word with MARK.
+        # The first of a text has no separator.
+        rows = rows.take(pa.array(plain))
+        cut = rows
+        for stop in (", ", ". ", ".\n"):
+            cut = pc.replace_substring(cut, stop, f" {MARK}{stop}")
+        cut = pc.if_else(pc.match_substring_regex(rows, r"[^\pL\pN][,.][ \n]"), rows, cut)
+        units = pc.split_pattern(pc.replace_substring(cut, "\n", " \n"), " ")
         at, coded = np.asarray(units.offsets), units.flatten().dictionary_encode()
         known, distinct = len(self.codes), coded.dictionary.to_pylist()
         table = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
