@@ -1,6 +1,15 @@
 """Importing this module registers every query of the package."""
 
-from vulnlake.llm import fingerprints, mixing, near_dedup, packing, quality, token_counts, toxicity, url_filter, wavelet  # noqa: F401
-from vulnlake.llm.registry import ORACLES, QUERIES
+from vulnlake.llm import fingerprints, mixing, near_dedup, packing, quality, surrogates, token_counts, toxicity, url_filter, wavelet  # noqa: F401
+from vulnlake.llm.registry import ORACLES, QUERIES, query
+
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import n_words_of, table, written
+from vulnlake.llm.common import NO_ID, n_words_of, table, written
 from vulnlake.llm.registry import query
 
 GOLDEN = 0.6180339887498949
@@ -27,6 +27,10 @@ RUN, RANGES, CELLS = 4096, 4096, 4096
 SALT = "mix"
 
 
+def whole_text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
 def source_sizes(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per source: source_size and weight, dealt out by code point order, null last."""
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -108,7 +112,7 @@ def mix(docs: DataFrame, *, share: float = SHARE, epochs: int = EPOCHS, weights:
     """``taken``: a row per document with the words the mix takes of it and
     the epochs in which it takes any; ``pieces``: what each slot takes, in mixing
     order (slot, doc_id, epoch, from, words); ``sources``: targets."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("s"), n_words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("size"))
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("s"), n_words_of(whole_text()).alias("size"), F.md5(whole_text()).alias("content"))
                     .withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     sources = written(planned(targets(source_sizes(sized.withColumnRenamed("s", "source"), weights), share, epochs), slots), "mix-sources")
     line = lined_up(sized, sources, salt)
@@ -121,10 +125,20 @@ def mix(docs: DataFrame, *, share: float = SHARE, epochs: int = EPOCHS, weights:
     lo, hi = F.greatest(F.col("a"), F.col("k") * F.col("block")), F.least(F.col("b"), (F.col("k") + 1) * F.col("block"))
     pieces = touch.join(order, ["place", "k"]).select("slot", "k", "place", "row", "doc_id", "epoch", (lo - F.col("a")).alias("from"), (hi - lo).alias("words"))
     per_row = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.count_if(F.col("from") == 0).alias("epochs"))
-    taken = line.join(per_row, "row", "left").select("doc_id", F.col("s").alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.lit(0)).alias("epochs"))
+    taken = line.join(per_row, "row", "left").select("doc_id", "content", F.col("s").alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.lit(0)).alias("epochs"))
     return {"taken": taken, "pieces": pieces, "sources": sources}
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` as the mix reads them: each row as often as the mix begins it, rows it never reaches left out."""
+    alike = W.partitionBy("_id", "_content").orderBy(F.lit(0))  # repeated rows: the n-th meets the n-th
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.md5(whole_text()).alias("_content"))
+    rows = rows.withColumn("_nth", F.row_number().over(alike))
+    taken = mix(docs, **settings)["taken"].select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("content").alias("_content"), "epochs")
+    taken = taken.withColumn("_nth", F.row_number().over(alike)).where("epochs > 0")
+    return rows.join(taken, ["_id", "_content", "_nth"]).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs").cast("long")))).select("_row.*")
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5('mix' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
