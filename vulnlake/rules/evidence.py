@@ -1,36 +1,71 @@
-"""Evidence points per family: always required, and required to confirm."""
+"""Evidence points per family: those always required, then those required to confirm."""
 
-EVIDENCE = {
-    "CMD": ("EXEC_POINT STRING_CONSTRUCTION USER_PARAM_MAPPING", "EXECUTION_RESPONSE"),
-    "SQL": ("EXEC_POINT STRING_CONSTRUCTION USER_PARAM_MAPPING", "EXECUTION_RESPONSE"),
-    "NOSQL": ("QUERY_CONSTRUCTION USER_INPUT_MAPPING OPERATOR_INJECTION", "QUERY_SEMANTIC_DIFF"),
-    "FILE": ("WRAPPER_PREFIX RESOLVED_TARGET INCLUDE_EXEC_BOUNDARY", "TRAVERSAL_RESPONSE"),
-    "WRITE": ("CALLSITE DESTPATH_RESOLVED CONTENT_SOURCE EXEC_ACCESSIBILITY", "UPLOAD_RESPONSE"),
-    "SSRF": ("URL_NORMALIZATION FINAL_URL DNS_INNER_BLOCK", "EXECUTION_RESPONSE"),
-    "XSS": ("OUTPUT_POINT USER_INPUT_MAPPING ESCAPE_STATUS", "PAYLOAD_REFLECTION"),
-    "XXE": ("PARSER_CALL INPUT_SOURCE ENTITY_SAFETY", "EXECUTION_RESPONSE"),
-    "DESER": ("CALLSITE INPUT_SOURCE GADGET_CHAIN", "EXECUTION_RESPONSE"),
-    "AUTH": ("PATH_MATCH TOKEN_JUDGMENT PERMISSION_CHECK", "BYPASS_RESPONSE"),
-    "CFG": ("CONFIG_LOCATION IMPACT_SCOPE SECURITY_SWITCH", ""),
-    "LEAK": ("SOURCE_POINT DATA_TYPE ACCESS_PATH", "RESPONSE_CONTENT"),
-    "RACE": ("CRITICAL_SECTION SHARED_RESOURCE WINDOW_ANALYSIS", "STATISTICAL_RESULT"),
-    "CRYPTO": ("ALGORITHM_USAGE KEY_MANAGEMENT SECURITY_CONTEXT", "EXPLOIT_PROOF"),
-    "WP": ("COMPONENT_SCOPE HOOK_ENTRY", "EXPLOIT_RESPONSE"),
-    "BIZ": ("FLOW_DESCRIPTION BYPASS_POINT STATE_PERSISTENCE", "EXPLOIT_RESPONSE"),
-    "CRLF": ("INJECTION_POINT USER_INPUT_PATH SANITIZATION_STATUS", "INJECTION_RESPONSE"),
-    "CSRF": ("ENDPOINT_IDENTITY TOKEN_STATUS SAMESITE_STATUS", "CROSS_ORIGIN_RESPONSE"),
-    "SESS": ("CONFIG_STATE COOKIE_FLAGS LIFECYCLE_FLOW", "EXPLOIT_RESPONSE"),
-    "LDAP": ("QUERY_POINT FILTER_CONSTRUCTION USER_INPUT_PATH", "INJECTION_RESPONSE"),
-    "LOG": ("WRITE_POINT CONTENT_ANALYSIS ACCESS_CONTROL", "EXPLOIT_RESPONSE"),
+# Fixed values.
+ALWAYS = {
+    "CMD": ["EVID_CMD_EXEC_POINT", "EVID_CMD_STRING_CONSTRUCTION", "EVID_CMD_USER_PARAM_MAPPING"],
+    "SQL": ["EVID_SQL_EXEC_POINT", "EVID_SQL_STRING_CONSTRUCTION", "EVID_SQL_USER_PARAM_MAPPING"],
+    "NOSQL": ["EVID_NOSQL_QUERY_CONSTRUCTION", "EVID_NOSQL_USER_INPUT_MAPPING", "EVID_NOSQL_OPERATOR_INJECTION"],
+    "FILE": ["EVID_FILE_WRAPPER_PREFIX", "EVID_FILE_RESOLVED_TARGET", "EVID_FILE_INCLUDE_EXEC_BOUNDARY"],
+    "WRITE": ["EVID_WRITE_CALLSITE", "EVID_WRITE_DESTPATH_RESOLVED", "EVID_WRITE_CONTENT_SOURCE", "EVID_WRITE_EXEC_ACCESSIBILITY"],
+    "SSRF": ["EVID_SSRF_URL_NORMALIZATION", "EVID_SSRF_FINAL_URL", "EVID_SSRF_DNS_INNER_BLOCK"],
+    "XSS": ["EVID_XSS_OUTPUT_POINT", "EVID_XSS_USER_INPUT_MAPPING", "EVID_XSS_ESCAPE_STATUS"],
+    "XXE": ["EVID_XXE_PARSER_CALL", "EVID_XXE_INPUT_SOURCE", "EVID_XXE_ENTITY_SAFETY"],
+    "DESER": ["EVID_DESER_CALLSITE", "EVID_DESER_INPUT_SOURCE", "EVID_DESER_GADGET_CHAIN"],
+    "AUTH": ["EVID_AUTH_PATH_MATCH", "EVID_AUTH_TOKEN_JUDGMENT", "EVID_AUTH_PERMISSION_CHECK"],
+    "CFG": ["EVID_CFG_CONFIG_LOCATION", "EVID_CFG_IMPACT_SCOPE", "EVID_CFG_SECURITY_SWITCH"],
+    "LEAK": ["EVID_LEAK_SOURCE_POINT", "EVID_LEAK_DATA_TYPE", "EVID_LEAK_ACCESS_PATH"],
+    "RACE": ["EVID_RACE_CRITICAL_SECTION", "EVID_RACE_SHARED_RESOURCE", "EVID_RACE_WINDOW_ANALYSIS"],
+    "CRYPTO": ["EVID_CRYPTO_ALGORITHM_USAGE", "EVID_CRYPTO_KEY_MANAGEMENT", "EVID_CRYPTO_SECURITY_CONTEXT"],
+    "WP": ["EVID_WP_COMPONENT_SCOPE", "EVID_WP_HOOK_ENTRY"],
+    "BIZ": ["EVID_BIZ_FLOW_DESCRIPTION", "EVID_BIZ_BYPASS_POINT", "EVID_BIZ_STATE_PERSISTENCE"],
+    "CRLF": ["EVID_CRLF_INJECTION_POINT", "EVID_CRLF_USER_INPUT_PATH", "EVID_CRLF_SANITIZATION_STATUS"],
+    "CSRF": ["EVID_CSRF_ENDPOINT_IDENTITY", "EVID_CSRF_TOKEN_STATUS", "EVID_CSRF_SAMESITE_STATUS"],
+    "SESS": ["EVID_SESS_CONFIG_STATE", "EVID_SESS_COOKIE_FLAGS", "EVID_SESS_LIFECYCLE_FLOW"],
+    "LDAP": ["EVID_LDAP_QUERY_POINT", "EVID_LDAP_FILTER_CONSTRUCTION", "EVID_LDAP_USER_INPUT_PATH"],
+    "LOG": ["EVID_LOG_WRITE_POINT", "EVID_LOG_CONTENT_ANALYSIS", "EVID_LOG_ACCESS_CONTROL"],
 }
-# sink family -> evidence family
+TO_CONFIRM = {
+    "CMD": ["EVID_CMD_EXECUTION_RESPONSE"],
+    "SQL": ["EVID_SQL_EXECUTION_RESPONSE"],
+    "NOSQL": ["EVID_NOSQL_QUERY_SEMANTIC_DIFF"],
+    "FILE": ["EVID_FILE_TRAVERSAL_RESPONSE"],
+    "WRITE": ["EVID_WRITE_UPLOAD_RESPONSE"],
+    "SSRF": ["EVID_SSRF_EXECUTION_RESPONSE"],
+    "XSS": ["EVID_XSS_PAYLOAD_REFLECTION"],
+    "XXE": ["EVID_XXE_EXECUTION_RESPONSE"],
+    "DESER": ["EVID_DESER_EXECUTION_RESPONSE"],
+    "AUTH": ["EVID_AUTH_BYPASS_RESPONSE"],
+    "CFG": [],
+    "LEAK": ["EVID_LEAK_RESPONSE_CONTENT"],
+    "RACE": ["EVID_RACE_STATISTICAL_RESULT"],
+    "CRYPTO": ["EVID_CRYPTO_EXPLOIT_PROOF"],
+    "WP": ["EVID_WP_EXPLOIT_RESPONSE"],
+    "BIZ": ["EVID_BIZ_EXPLOIT_RESPONSE"],
+    "CRLF": ["EVID_CRLF_INJECTION_RESPONSE"],
+    "CSRF": ["EVID_CSRF_CROSS_ORIGIN_RESPONSE"],
+    "SESS": ["EVID_SESS_EXPLOIT_RESPONSE"],
+    "LDAP": ["EVID_LDAP_INJECTION_RESPONSE"],
+    "LOG": ["EVID_LOG_EXPLOIT_RESPONSE"],
+}
+# Sink family -> evidence family.
 FAMILY_EVIDENCE = {
-    "RCE": "CMD", "SQLi": "SQL", "NoSQL": "NOSQL", "LFI": "FILE", "FileWrite": "WRITE", "SSRF": "SSRF", "XSS": "XSS", "XXE": "XXE",
-    "Deserialization": "DESER", "WeakComparison": "AUTH", "MassAssignment": "AUTH", "RaceCondition": "RACE", "Crypto": "CRYPTO", "WordPress": "WP",
+    "RCE": "CMD",
+    "SQLi": "SQL",
+    "NoSQL": "NOSQL",
+    "LFI": "FILE",
+    "FileWrite": "WRITE",
+    "SSRF": "SSRF",
+    "XSS": "XSS",
+    "XXE": "XXE",
+    "Deserialization": "DESER",
+    "WeakComparison": "AUTH",
+    "MassAssignment": "AUTH",
+    "RaceCondition": "RACE",
+    "Crypto": "CRYPTO",
+    "WordPress": "WP",
     "LDAP": "LDAP",
 }
 
 
 def required(family: str, confirming: bool = True) -> list[str]:
-    always, confirm = EVIDENCE[family]
-    return [f"EVID_{family}_{x}" for x in (always.split() + (confirm.split() if confirming else []))]
+    return ALWAYS[family] + (TO_CONFIRM[family] if confirming else [])

@@ -1,28 +1,71 @@
 """Call tables of the source scan (name -> family)."""
 
+# Fixed values.
 FUNCTION_SINKS = {
-    "RCE": "eval assert preg_replace create_function system exec passthru shell_exec popen proc_open pcntl_exec call_user_func "
-           "call_user_func_array array_map array_filter usort uasort uksort array_walk extract parse_str mb_parse_str",
-    "SQLi": "mysql_query pg_query sqlite_query",
-    "LFI": "highlight_file show_source file_get_contents readfile fread file fpassthru fopen",
-    "FileWrite": "file_put_contents fwrite fputs move_uploaded_file copy rename",
-    "Deserialization": "unserialize",
-    "SSRF": "curl_exec curl_multi_exec get_headers getimagesize",
-    "XSS": "printf vprintf",
-    "XXE": "simplexml_load_string simplexml_load_file libxml_disable_entity_loader",
-    "WordPress": "update_option update_user_meta wp_set_auth_cookie do_shortcode wp_remote_get wp_remote_post is_admin",
-    "Crypto": "md5 sha1 rand mt_rand mcrypt_encrypt mcrypt_decrypt mcrypt_cbc mcrypt_cfb mcrypt_ecb mcrypt_ofb mcrypt_create_iv "
-              "mcrypt_generic mcrypt_module_open openssl_encrypt",
+    "RCE": [
+        "eval", "assert", "preg_replace", "create_function", "system", "exec", "passthru", "shell_exec", "popen", "proc_open", "pcntl_exec",
+        "call_user_func", "call_user_func_array", "array_map", "array_filter", "usort", "uasort", "uksort", "array_walk", "extract", "parse_str",
+        "mb_parse_str",
+    ],
+    "SQLi": [
+        "mysql_query", "pg_query", "sqlite_query",
+    ],
+    "LFI": [
+        "highlight_file", "show_source", "file_get_contents", "readfile", "fread", "file", "fpassthru", "fopen",
+    ],
+    "FileWrite": [
+        "file_put_contents", "fwrite", "fputs", "move_uploaded_file", "copy", "rename",
+    ],
+    "Deserialization": [
+        "unserialize",
+    ],
+    "SSRF": [
+        "curl_exec", "curl_multi_exec", "get_headers", "getimagesize",
+    ],
+    "XSS": [
+        "printf", "vprintf",
+    ],
+    "XXE": [
+        "simplexml_load_string", "simplexml_load_file", "libxml_disable_entity_loader",
+    ],
+    "WordPress": [
+        "update_option", "update_user_meta", "wp_set_auth_cookie", "do_shortcode", "wp_remote_get", "wp_remote_post", "is_admin",
+    ],
+    "Crypto": [
+        "md5", "sha1", "rand", "mt_rand", "mcrypt_encrypt", "mcrypt_decrypt", "mcrypt_cbc", "mcrypt_cfb", "mcrypt_ecb", "mcrypt_ofb",
+        "mcrypt_create_iv", "mcrypt_generic", "mcrypt_module_open", "openssl_encrypt",
+    ],
 }
 METHOD_SINKS = {
-    "SQLi": "query exec multi_query raw whereRaw havingRaw orderByRaw selectRaw groupByRaw findBySql",
-    "FileWrite": "extractTo", "XXE": "loadXML load",
-    "NoSQL": "find findOne aggregate updateOne deleteMany insertOne eval rawCommand",
-    "WordPress": "get_results get_row get_var", "GraphQL": "executeQuery",
+    "SQLi": [
+        "query", "exec", "multi_query", "raw", "whereRaw", "havingRaw", "orderByRaw", "selectRaw", "groupByRaw", "findBySql",
+    ],
+    "FileWrite": [
+        "extractTo",
+    ],
+    "XXE": [
+        "loadXML", "load",
+    ],
+    "NoSQL": [
+        "find", "findOne", "aggregate", "updateOne", "deleteMany", "insertOne", "eval", "rawCommand",
+    ],
+    "WordPress": [
+        "get_results", "get_row", "get_var",
+    ],
+    "GraphQL": [
+        "executeQuery",
+    ],
 }
 STATIC_SINKS = {
-    "SQLi": "DB::raw DB::select DB::statement Db::query Db::execute", "MassAssignment": "Model::create",
-    "GraphQL": "GraphQL::executeQuery GraphQLServer::executeQuery",
+    "SQLi": [
+        "DB::raw", "DB::select", "DB::statement", "Db::query", "Db::execute",
+    ],
+    "MassAssignment": [
+        "Model::create",
+    ],
+    "GraphQL": [
+        "GraphQL::executeQuery", "GraphQLServer::executeQuery",
+    ],
 }
 SENSITIVE_NAMES = ["password", "passwd", "token", "key", "secret", "hash", "sign", "verify"]
 PASSWORD_NAMES = ["password", "passwd", "pass", "pwd"]
@@ -36,8 +79,8 @@ BULK_METHODS = ["fill", "update", "create"]
 GRAPHQL_CLASSES = ["type", "query", "mutation", "graphql", "resolver", "schema", "field"]
 
 
-def pairs(table: dict[str, str]) -> list[tuple[str, str]]:
-    return [(name, family) for family, names in table.items() for name in names.split()]
+def pairs(table: dict[str, list[str]]) -> list[tuple[str, str]]:
+    return [(name, family) for family, names in table.items() for name in names]
 
 
 # Extended catalogue: (family, level, pattern); levels are very_high, high, medium, low.
