@@ -7,6 +7,7 @@ a hub, so the work grows with nodes and edges even when one object is hot.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -143,15 +144,15 @@ def historical_gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # --- reachability --------------------------------------------------------------------------
 
-def levels(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
-    """Fewest steps from any seed, up to ``steps``: (node, depth).
+def levels(edges: DataFrame, seeds: DataFrame, steps: int | None = None) -> DataFrame:
+    """Fewest steps from any seed: (node, depth); with ``steps``, nodes that are no further away than that.
 
     ``edges`` has src and dst. Each round joins the edges with the new nodes
     only and writes them to the checkpoint folder, so lineage stays short."""
     edges = edges.select("src", "dst").distinct()
     reached = durable(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = reached
-    for depth in range(1, steps + 1):
+    for depth in itertools.count(1) if steps is None else range(1, steps + 1):
         nxt = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = durable(nxt.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

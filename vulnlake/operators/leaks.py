@@ -23,9 +23,9 @@ NEEDLES = {"cloud_key_id": ["AKIA"], "bearer": ["Bearer"], "private_key": ["PRIV
 PLACEHOLDERS = ["secret", "password", "your-key-here", "changeme", "example", "xxxxxxxx", "your_api_key", "test", "null", "none", "placeholder"]
 PII_RULES = [
     ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"),
-    ("phone", r"(?:^|[^0-9])(1[3-9][0-9]{9})(?:$|[^0-9])"),
-    ("card", r"(?:^|[^0-9])([0-9]{13,19})(?:$|[^0-9])"),
-    ("id_number", r"(?:^|[^0-9])([0-9]{17}[0-9Xx])(?:$|[^0-9Xx])"),
+    ("phone", r"\b(1[3-9][0-9]{9})\b"),
+    ("card", r"\b([0-9]{13,19})\b"),
+    ("id_number", r"\b([0-9]{17}[0-9Xx])\b"),
 ]
 LOG_RULES = [
     ("password", r"(?i)(?:password|passwd)[\x22'\s]*[:=]"), ("card", r"(?:^|[^0-9])[0-9]{13,19}(?:$|[^0-9])"),
@@ -36,7 +36,7 @@ PAGE_RULES = [
     ("source_map", r"(?:#|@)\s*sourceMappingURL=|\.map\b"), ("devtools", r"__VUE_DEVTOOLS_GLOBAL_HOOK__|__REACT_DEVTOOLS_GLOBAL_HOOK__"),
     ("build_path", r"__webpack_hmr|webpack\.config\.js"), ("debug_bar", r"phpdebugbar|sf-toolbar"), ("inline_script", r"<script>"),
 ]
-COMMENT_HINT = r"(?i)todo|fixme|password|admin|internal|debug|api|key|token|ad [0-9]"
+COMMENT_HINT = r"(?i)todo|fixme|password|admin|internal|debug|api|key|token"
 LOG_PATH = r"(?i)(^|/)(public|www|htdocs|webroot)/(.*/)?[^/]*\.log(\.[0-9]+|\.gz|\.bak)?$"
 ROTATED = r"(?i)\.log\.([0-9]+|gz|bak|old)$"
 OBFUSCATED = [

@@ -11,6 +11,7 @@ one line, and names inside string literals can match.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,16 +37,18 @@ COMPARISON = r"(?:\$\w+(?:->\w+)*|[^=!<>\s])\s*[!=]=\s*(?:\$\w+(?:->\w+)*|[^=\s]
 HIT = ["project", "path", "line", "sink_type", "function", "call_type"]
 
 
-def read_sources(spark, root: str, extension: str = "php", exclude: str = EXCLUDED, max_bytes: int = 64 << 20):
-    """(sources, skipped): whole files with project = first folder; oversized files are listed, not read.
+def read_sources(spark, root: str, extension: str = "php", exclude: str = EXCLUDED, max_bytes: int | None = None):
+    """(sources, skipped): whole files with project = first folder.
 
-    The size filter runs on file metadata, so skipped contents never leave disk."""
+    All files are read. With ``max_bytes``, larger ones are listed in ``skipped`` instead; that filter runs on file
+    metadata, so their contents never leave disk."""
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
-    skipped = meta.select("path", "length").where((F.col("length") > max_bytes) & ~F.col("path").rlike(exclude))
+    most = F.lit((1 << 63) - 1 if max_bytes is None else max_bytes)
+    skipped = meta.select("path", "length").where((F.col("length") > most) & ~F.col("path").rlike(exclude))
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(root, wholetext=True)
     full = F.col("_metadata.file_path")
-    rel = F.regexp_replace(full, "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    src = text.where(~full.rlike(exclude) & (F.col("_metadata.file_size") <= max_bytes)).select(
+    rel = F.regexp_replace(full, "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    src = text.where(~full.rlike(exclude) & (F.col("_metadata.file_size") <= most)).select(
         F.split(rel, "/")[0].alias("project"), rel.alias("path"), F.col("value").alias("content"))
     return src, skipped
 

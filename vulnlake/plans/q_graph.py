@@ -150,11 +150,12 @@ def walk(t):
 
 @query("D27_dependency_depth", """
 WITH RECURSIVE e AS (SELECT DISTINCT source_node AS src, target_node AS dst FROM fx_edges WHERE relation = 'enables'),
-d(node, depth) AS (SELECT DISTINCT node_id, 0 FROM fx_nodes WHERE severity = 'critical' UNION SELECT e.dst, d.depth + 1 FROM d JOIN e ON e.src = d.node WHERE d.depth < 6)
+d(node, depth) USING KEY (node) AS (SELECT DISTINCT node_id, 0 FROM fx_nodes WHERE severity = 'critical'
+ UNION SELECT DISTINCT e.dst, d.depth + 1 FROM d JOIN e ON e.src = d.node WHERE e.dst NOT IN (SELECT node FROM recurring.d))
 SELECT node, min(depth) AS depth FROM d GROUP BY 1""")
 def dependency_depth(t):
     e = t.fx_edges.where("relation = 'enables'").select(F.col("source_node").alias("src"), F.col("target_node").alias("dst"))
-    return G.levels(e, t.fx_nodes.where("severity = 'critical'").select(F.col("node_id").alias("node")), 6)
+    return G.levels(e, t.fx_nodes.where("severity = 'critical'").select(F.col("node_id").alias("node")))
 
 
 @query("J37_dangling_references", """
