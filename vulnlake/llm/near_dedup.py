@@ -30,7 +30,7 @@ from vulnlake.llm.registry import query
 
 BANDS, ROWS, THRESHOLD = 36, 6, 0.8
 #: Leaders per bucket: one, then SLOTS times as many in each further round.
-SLOTS = 8
+SLOTS = 64
 UNNAMED = -(1 << 62)
 
 
@@ -114,24 +114,25 @@ def signatures(d: DataFrame) -> DataFrame:
     return d.select("id", "key", shingles_of(words_of(F.col("text"))).alias("hashes")).mapInArrow(run, "id long, key string, bands array<long>")
 
 
+def unfinished(edges: DataFrame) -> DataFrame:
+    """Nodes that keep edges (a > b) from being stars: with two smaller neighbours, or with a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).where("down > 1 OR (down = 1 AND up > 0)")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of all nodes of edges (a, b), comp being the smallest id, by alternating stars.
 
     Each step is a minimum per node, combined before the shuffle, and a join; no group is ever gathered."""
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    while True:
+    while not unfinished(e).isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
-        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))).where("a <> b").distinct()
         e = written(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
 
 
@@ -166,7 +167,7 @@ def near_components(docs: DataFrame, copies: DataFrame, threshold: float) -> Dat
     members = written(members.join(score, "id").select("bucket", "id", "score"), "members")
     wanted = members.select("id").distinct()
     sets = written(named(docs).join(wanted, "id", "left_semi").select("id", "key", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles")).dropDuplicates(["id", "key"]), "sets")
-    links, comps, slots = None, None, 1
+    comps, slots = None, 1
     while True:
         placed = with_comp(members, comps)
         left = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
@@ -179,8 +180,7 @@ def near_components(docs: DataFrame, copies: DataFrame, threshold: float) -> Dat
         met = placed.join(leaders, "bucket").where("id <> leader AND comp <> leader_comp")
         pairs = met.select(F.greatest("id", "leader").alias("b"), F.least("id", "leader").alias("a")).distinct()
         found = linked(pairs, sets, threshold)
-        links = written(found if links is None else links.unionByName(found), "links")
-        comps = components(links)
+        comps = components(found if comps is None else found.unionByName(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
         members = placed.select("bucket", "id", "score").join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
         slots *= SLOTS
 
