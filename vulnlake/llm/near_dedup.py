@@ -4,9 +4,10 @@ Signatures. The distinct five-word shingles of a text, weighted by 1 + log2 of t
 whose rates are the weights; each arrival falls to a random register, which keeps the earliest. A shingle stops once its
 next arrival is later than all registers hold. Two registers agree with the probability Jaccard similarity.
 
-Candidates. ``BANDS`` bands of ``ROWS`` registers name the buckets of a text. In each bucket one leader is compared with the
-others, in later rounds more of them, until no two texts of a bucket are left that were neither compared nor found to be
-in one class already. So a bucket of copies costs one comparison each, and no pair that shares a bucket is lost.
+Candidates. ``BANDS`` bands of ``ROWS`` registers name the buckets of a text. First every text is compared with one leader of
+its buckets, which joins groups of copies at one comparison each. Then more and more texts of a bucket lead, until no two
+of it are left that were neither compared, nor in one class already, nor shown to share too few shingles. So no pair that
+shares a bucket is lost, and no group is compared pair by pair.
 
 Links. A pair is linked if the plain Jaccard similarity of its shingle sets is ``THRESHOLD`` or more. Classes are the
 connected components, named by their smallest doc_id. Exact copies share one representative from the start.
@@ -29,8 +30,8 @@ from vulnlake.llm.common import ship, shingles_of, table, text_of, words_of, wri
 from vulnlake.llm.registry import query
 
 BANDS, ROWS, THRESHOLD = 36, 6, 0.8
-#: Leaders per bucket: one, then SLOTS times as many in each further round.
-SLOTS = 64
+#: Leaders per bucket: SLOTS, then SLOTS times as many in each further round.
+SLOTS = 4096
 UNNAMED = -(1 << 62)
 
 
@@ -157,34 +158,61 @@ def with_comp(members: DataFrame, comps: DataFrame | None) -> DataFrame:
 def near_components(docs: DataFrame, copies: DataFrame, threshold: float) -> DataFrame | None:
     """(id, comp) of the representatives that are near another; None if no two share a bucket."""
     reps = copies.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    buckets = reps.select("id", F.explode("bands").alias("bucket")).distinct()
+    buckets = reps.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(buckets.join(shared, "bucket").select("bucket", "id", "n"), "members")
     if members.isEmpty():
         return None
-    # Texts in the largest and most buckets lie in the middle of their group: these lead first.
+    # Texts in the largest and most buckets lie in the middle of their group: these lead.
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     members = written(members.join(score, "id").select("bucket", "id", "score"), "members")
-    wanted = members.select("id").distinct()
-    sets = written(named(docs).join(wanted, "id", "left_semi").select("id", "key", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles")).dropDuplicates(["id", "key"]), "sets")
-    comps, slots = None, 1
+    wanted = named(docs).join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "key"])
+    sets = written(wanted.select("id", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles")), "sets")
+    # First each text meets the leader with whom it shares most buckets; that joins most classes.
+    met = members.join(leaders_of(members, 1).select("bucket", "leader"), "bucket").where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
+    best = met.groupBy("id").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("top")).select("id", (-F.col("top.minus")).alias("leader"))
+    comps = components(linked(pairs_of(best), sets, threshold))
+    # Then all texts of a bucket that lie in different classes, unless what they share with other classes is too little.
+    slots = SLOTS
     while True:
         placed = with_comp(members, comps)
         left = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         placed = written(placed.join(left, "bucket"), "placed")
         if placed.isEmpty():
             return comps
-        slot = F.pmod(F.xxhash64("id"), F.lit(slots))
-        leaders = placed.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct(F.col("score"), (-F.col("id")).alias("minus"), F.col("comp"))).alias("top"))
-        leaders = leaders.select("bucket", (-F.col("top.minus")).alias("leader"), F.col("top.comp").alias("leader_comp"))
-        met = placed.join(leaders, "bucket").where("id <> leader AND comp <> leader_comp")
-        pairs = met.select(F.greatest("id", "leader").alias("b"), F.least("id", "leader").alias("a")).distinct()
-        found = linked(pairs, sets, threshold)
-        comps = components(found if comps is None else found.unionByName(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+        placed = written(placed.join(shared_across(placed, sets), "id").where(F.col("common") >= F.col("size") * threshold - 1e-9), "placed")
+        leaders = leaders_of(placed, slots, "comp", "size", "common")
+        enough = F.least("common", "leader_common") >= (F.col("size") + F.col("leader_size")) * (threshold / (1 + threshold)) - 1e-9
+        met = placed.join(leaders, "bucket").where((F.col("id") != F.col("leader")) & (F.col("comp") != F.col("leader_comp")) & enough)
+        found = linked(pairs_of(met.select("id", "leader")), sets, threshold)
+        comps = components(found.unionByName(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
         members = placed.select("bucket", "id", "score").join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
         slots *= SLOTS
 
 
+def leaders_of(members: DataFrame, slots: int, *facts: str) -> DataFrame:
+    """The text with the highest score (of these the smallest id) in each bucket and slot, a slot being a part of the ids."""
+    top = F.max(F.struct(F.col("score"), (-F.col("id")).alias("minus"), *facts)).alias("top")
+    best = members.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(top)
+    return best.select("bucket", (-F.col("top.minus")).alias("leader"), *[F.col(f"top.{f}").alias(f"leader_{f}") for f in facts])
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("id", "leader").alias("b"), F.least("id", "leader").alias("a")).distinct()
+
+
+def shared_across(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, size (distinct shingles) and common (those that a text of another class has as well).
+
+    Two texts of different classes have at most the smaller ``common`` in common: most pairs in a large group of
+    distant relatives need no comparison."""
+    texts = placed.select("id", "comp").distinct().join(sets, "id")
+    each = texts.select("id", "comp", F.explode("shingles").alias("shingle"))
+    across = each.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
+    common = each.join(across, "shingle").groupBy("id").agg(F.count("*").alias("common"))
+    return texts.select("id", F.size("shingles").alias("size")).join(common, "id")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct id and text: id, key, copy_of (smallest id of the exact copies) and class_id."""
     rows = written(signatures(named(docs)), "signatures")
