@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Headers a response should carry, and headers that tell too much.
 REQUIRED_HEADERS = {
@@ -150,14 +148,15 @@ def redirect_param(url: str | Column) -> Column:
     return F.nullif(F.regexp_extract(_c(url), rf"[?&](?:{names})=([^&#]*)", 1), F.lit(""))
 
 
-def _resolve_escapes(text: pd.Series) -> pd.Series:
-    pattern = r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})"
-    return text.str.replace(pattern, lambda m: chr(int(m.group(1) or m.group(2), 16)), regex=True)
+ESCAPES = r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4})+"
 
 
 def decode_escapes(text: Column) -> Column:
-    """Resolve the rare \\xHH and \\uHHHH escapes of a text, in Arrow batches."""
-    return F.pandas_udf(_resolve_escapes, T.StringType())(text)
+    """Resolve \\xHH and \\uHHHH escapes: runs of them become UTF-16 code units, the text between them stays."""
+    units = lambda run: F.replace(F.regexp_replace(run, r"\\x([0-9a-fA-F]{2})", "00$1"), F.lit("\\u"), F.lit(""))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(ESCAPES), F.lit(0)), lambda r: F.decode(F.unhex(units(r)), "UTF-16BE"))
+    gaps = F.split(text, ESCAPES, -1)
+    return F.array_join(F.zip_with(gaps, runs, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
 
 
 def canonical(uri: str | Column, escapes: bool = False) -> Column:

@@ -221,6 +221,8 @@ FILTER_RULES = [
     ("escapeshellarg", ["RCE"], "no known gap"),
     ("escapeshellcmd", ["RCE"], "argument injection stays open"),
     ("base64_decode", [], "decoding is not a filter"),
+    ("floatval", ["SQLi"], "numeric context only"),
+    ("strict_whitelist", ["RCE", "SQLi", "LFI", "FileWrite", "SSRF", "XSS", "XXE", "Deserialization"], "no known gap"),
 ]
 
 

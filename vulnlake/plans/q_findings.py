@@ -555,11 +555,11 @@ AREAS_RUN = "CASE WHEN l_suppkey % 3 = 0 THEN 'RCE' WHEN l_suppkey % 3 = 1 THEN
 
 
 @query("X04_types_not_run", """
-WITH need AS (SELECT DISTINCT project, sink_type FROM fx_tool_findings), ran AS (SELECT DISTINCT project, sink_type FROM fx_sinks WHERE verdict = 'confirmed' AND r = 0)
+WITH need AS (SELECT DISTINCT project, sink_type FROM fx_tool_findings), ran AS (SELECT DISTINCT project, sink_type FROM fx_sinks WHERE verdict = 'confirmed')
 SELECT project, COUNT(*) AS missing FROM (SELECT * FROM need EXCEPT SELECT * FROM ran) GROUP BY 1""")
 def not_run(t):
     from vulnlake.operators.sets import missing_types
-    ran = t.fx_sinks.where("verdict = 'confirmed' AND r = 0").select("project", "sink_type")
+    ran = t.fx_sinks.where("verdict = 'confirmed'").select("project", "sink_type")
     return missing_types(t.fx_tool_findings.select("project", "sink_type"), ran).groupBy("project").agg(F.count("*").alias("missing"))
 
 
@@ -571,9 +571,9 @@ def constraint_floor(t):
     return k.select("project", (F.col("floor")[0] * 100 + F.col("floor")[1]).alias("floor_key"))
 
 
-@query("X06_feed_intersection", "SELECT package FROM fx_packages INTERSECT SELECT package FROM fx_advisories WHERE cvss >= 4")
+@query("X06_feed_intersection", "SELECT package FROM fx_packages INTERSECT SELECT package FROM fx_advisories")
 def feeds(t):
-    return t.fx_packages.select("package").intersect(t.fx_advisories.where("cvss >= 4").select("package"))
+    return t.fx_packages.select("package").intersect(t.fx_advisories.select("package"))
 
 
 @query("X07_role_difference", """

@@ -68,11 +68,11 @@ def alerts(t):
 
 
 @query("J05_feed_cross_check", """
-WITH l AS (SELECT DISTINCT package FROM fx_packages WHERE v_major > 25), f AS (SELECT DISTINCT package FROM fx_advisories WHERE cvss > 5)
-SELECT COALESCE(l.package, f.package) AS package, CASE WHEN l.package IS NOT NULL AND f.package IS NOT NULL THEN 'high_confidence'
- WHEN f.package IS NOT NULL THEN 'pending' ELSE 'local_only' END AS status FROM l FULL JOIN f ON l.package = f.package""")
+WITH l AS (SELECT DISTINCT package, v_major AS major FROM fx_packages), f AS (SELECT DISTINCT package, intro_major AS major FROM fx_advisories)
+SELECT COALESCE(l.package, f.package) AS package, COALESCE(l.major, f.major) AS major, CASE WHEN l.package IS NOT NULL AND f.package IS NOT NULL THEN 'high_confidence'
+ WHEN f.package IS NOT NULL THEN 'pending' ELSE 'local_only' END AS status FROM l FULL JOIN f ON l.package = f.package AND l.major = f.major""")
 def cross_check(t):
-    return J.feed_cross_check(t.fx_packages.where("v_major > 25"), t.fx_advisories.where("cvss > 5"), ["package"])
+    return J.feed_cross_check(t.fx_packages.withColumn("major", F.col("v_major")), t.fx_advisories.withColumn("major", F.col("intro_major")), ["package", "major"])
 
 
 AREA_SQL = f"m(sink_function, area) AS (VALUES {values(R.FUNCTION_AREAS.items())})"
@@ -106,17 +106,17 @@ def not_consumed(t):
     return J.uncollected_for(board(t), "reader1").select("event_id")
 
 
-@query("J12_uncovered_findings", f"""WITH {QUEUE_SQL}, r AS (SELECT DISTINCT file, line FROM fx_sinks WHERE verdict = 'confirmed' AND r = 0)
+@query("J12_uncovered_findings", f"""WITH {QUEUE_SQL}, r AS (SELECT DISTINCT file, line FROM fx_sinks WHERE verdict = 'confirmed')
 SELECT priority, q.file, q.line, sink_function FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.file = q.file AND r.line = q.line)""")
 def uncovered(t):
-    done = t.fx_sinks.where("verdict = 'confirmed' AND r = 0")
+    done = t.fx_sinks.where("verdict = 'confirmed'")
     return J.uncovered(queue(t), done, ["file", "line"]).select("priority", "file", "line", "sink_function")
 
 
 @query("J13_untested_admin_routes", """
-SELECT route_id, url FROM fx_routes WHERE auth_level = 'admin' AND route_id NOT IN (SELECT k.route_id FROM fx_packs k JOIN fx_tool_findings f USING (file) WHERE sink_type = 'LFI')""")
+SELECT route_id, url FROM fx_routes WHERE auth_level = 'admin' AND route_id NOT IN (SELECT k.route_id FROM fx_packs k JOIN fx_tool_findings f USING (file))""")
 def untested(t):
-    tested = t.fx_tool_findings.where("sink_type = 'LFI'").select("file").distinct().join(t.fx_packs, "file").select("route_id")
+    tested = t.fx_tool_findings.select("file").distinct().join(t.fx_packs, "file").select("route_id")
     return J.uncovered(t.fx_routes.where("auth_level = 'admin'"), tested, ["route_id"]).select("route_id", "url")
 
 
@@ -142,12 +142,12 @@ def mismatch(t):
 
 
 @query("J16_unaddressed_filters", """
-WITH f AS (SELECT DISTINCT project, filter_name FROM fx_sinks WHERE sink_type IN ('SQLi', 'XSS', 'RCE')), a AS (SELECT DISTINCT project, filter_name FROM fx_sinks WHERE verdict = 'confirmed' AND r = 0 AND c = 1)
-SELECT project, COUNT(*) AS open_filters FROM (SELECT * FROM f EXCEPT SELECT * FROM a) GROUP BY 1""")
+WITH f AS (SELECT DISTINCT file, filter_name FROM fx_sinks), a AS (SELECT DISTINCT file, filter_name FROM fx_sinks WHERE verdict = 'confirmed')
+SELECT file, COUNT(*) AS open_filters FROM (SELECT * FROM f EXCEPT SELECT * FROM a) GROUP BY 1""")
 def unaddressed(t):
-    f = t.fx_sinks.where("sink_type IN ('SQLi', 'XSS', 'RCE')").select("project", "filter_name").distinct()
-    a = t.fx_sinks.where("verdict = 'confirmed' AND r = 0 AND c = 1")
-    return J.uncovered(f, a, ["project", "filter_name"]).groupBy("project").agg(F.count("*").alias("open_filters"))
+    f = t.fx_sinks.select("file", "filter_name").distinct()
+    a = t.fx_sinks.where("verdict = 'confirmed'")
+    return J.uncovered(f, a, ["file", "filter_name"]).groupBy("file").agg(F.count("*").alias("open_filters"))
 
 
 @query("J25_memory_tiers", """
@@ -199,22 +199,22 @@ def dev_loaded(t):
 
 
 @query("J31_incremental_scope", """
-WITH ch AS (SELECT DISTINCT callee AS file FROM fx_calls JOIN orders ON callee = concat('f', CAST(o_custkey AS VARCHAR)) WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
+WITH ch AS (SELECT DISTINCT callee AS file FROM fx_calls JOIN orders ON callee = concat('f', CAST(o_custkey AS VARCHAR)) WHERE o_orderstatus = 'P')
 SELECT file FROM ch UNION SELECT caller FROM fx_calls WHERE callee IN (SELECT file FROM ch)""")
 def scope(t):
-    changed = t.orders.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("file")).distinct()
+    changed = t.orders.where("o_orderstatus = 'P'").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("file")).distinct()
     return J.incremental_scope(changed, t.fx_calls.select(F.col("callee").alias("file"), F.col("caller").alias("included")))
 
 
-CHANGE_SQL = """c AS (SELECT concat('proj', CAST(l_suppkey AS VARCHAR)) AS project, concat(CASE l_linenumber WHEN 7 THEN 'routes/' ELSE 'app/' END, CAST(l_partkey % 97 AS VARCHAR), '.php') AS path,
- l_returnflag AS change_type FROM lineitem WHERE l_discount = 0.01)"""
+CHANGE_SQL = """c AS (SELECT concat('proj', CAST(CAST(floor(l_orderkey / 3) AS BIGINT) AS VARCHAR)) AS project, concat(CASE l_linenumber WHEN 7 THEN 'routes/' ELSE 'app/' END, CAST(l_partkey % 97 AS VARCHAR), '.php') AS path,
+ l_returnflag AS change_type FROM lineitem)"""
 
 
 @query("J32_run_mode", f"""WITH {CHANGE_SQL}, g AS (SELECT project, COUNT(DISTINCT path) AS changed, bool_or(change_type = 'A' AND path LIKE 'routes/%') AS new_routes FROM c GROUP BY 1)
 SELECT *, CASE WHEN changed < 10 AND NOT new_routes THEN 'incremental' ELSE 'full' END AS mode FROM g""")
 def mode(t):
-    c = t.lineitem.where("l_discount = 0.01").select(
-        F.concat(F.lit("proj"), F.col("l_suppkey").cast("string")).alias("project"),
+    c = t.lineitem.select(
+        F.concat(F.lit("proj"), F.floor(F.col("l_orderkey") / 3).cast("string")).alias("project"),
         F.concat(F.when(F.col("l_linenumber") == 7, "routes/").otherwise("app/"), (F.col("l_partkey") % 97).cast("string"), F.lit(".php")).alias("path"),
         F.col("l_returnflag").alias("change_type"))
     return J.run_mode(c)

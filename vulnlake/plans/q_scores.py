@@ -167,13 +167,14 @@ def verdict_gate(t):
 
 @query("S13_filter_effectiveness", """
 SELECT filter_name, sink_type, ((filter_name IN ('htmlspecialchars','strip_tags') AND sink_type = 'XSS')
- OR (filter_name IN ('addslashes','intval','mysqli_real_escape_string','prepared_statement') AND sink_type = 'SQLi')
- OR (filter_name IN ('escapeshellarg','escapeshellcmd') AND sink_type = 'RCE')) AS effective,
+ OR (filter_name IN ('addslashes','intval','floatval','mysqli_real_escape_string','prepared_statement') AND sink_type = 'SQLi')
+ OR (filter_name IN ('escapeshellarg','escapeshellcmd') AND sink_type = 'RCE')
+ OR (filter_name = 'strict_whitelist' AND sink_type <> 'Crypto')) AS effective,
  CASE filter_name WHEN 'htmlspecialchars' THEN 'only encodes html output' WHEN 'addslashes' THEN 'fails for wide-byte charsets'
  WHEN 'intval' THEN 'numeric context only' WHEN 'strip_tags' THEN 'attribute context stays open'
  WHEN 'mysqli_real_escape_string' THEN 'LIKE and ORDER BY stay open' WHEN 'prepared_statement' THEN 'no known gap'
  WHEN 'escapeshellarg' THEN 'no known gap' WHEN 'escapeshellcmd' THEN 'argument injection stays open'
- WHEN 'base64_decode' THEN 'decoding is not a filter' ELSE 'unknown filter' END AS reason, COUNT(*) AS uses
+ WHEN 'base64_decode' THEN 'decoding is not a filter' WHEN 'floatval' THEN 'numeric context only' WHEN 'strict_whitelist' THEN 'no known gap' ELSE 'unknown filter' END AS reason, COUNT(*) AS uses
 FROM fx_sinks GROUP BY 1, 2, 3, 4""")
 def filters(t):
     return t.fx_sinks.groupBy("filter_name", "sink_type").agg(F.count("*").alias("uses")).select(
@@ -183,9 +184,10 @@ def filters(t):
 
 @query("S14_filter_strength", """
 WITH e AS (SELECT sink_type, filter_name, global_waf, ((filter_name IN ('htmlspecialchars','strip_tags') AND sink_type = 'XSS')
- OR (filter_name IN ('addslashes','intval','mysqli_real_escape_string','prepared_statement') AND sink_type = 'SQLi')
- OR (filter_name IN ('escapeshellarg','escapeshellcmd') AND sink_type = 'RCE')) AS eff FROM fx_sinks),
-p AS (SELECT *, CASE WHEN eff THEN 20 + CASE filter_name WHEN 'prepared_statement' THEN 40 WHEN 'htmlspecialchars' THEN 15 WHEN 'intval' THEN 20 ELSE 0 END
+ OR (filter_name IN ('addslashes','intval','floatval','mysqli_real_escape_string','prepared_statement') AND sink_type = 'SQLi')
+ OR (filter_name IN ('escapeshellarg','escapeshellcmd') AND sink_type = 'RCE')
+ OR (filter_name = 'strict_whitelist' AND sink_type <> 'Crypto')) AS eff FROM fx_sinks),
+p AS (SELECT *, CASE WHEN eff THEN 20 + CASE filter_name WHEN 'prepared_statement' THEN 40 WHEN 'htmlspecialchars' THEN 15 WHEN 'intval' THEN 20 WHEN 'floatval' THEN 20 WHEN 'strict_whitelist' THEN 25 ELSE 0 END
  ELSE 0 END + CASE WHEN global_waf THEN 30 ELSE 0 END AS pts FROM e)
 SELECT sink_type, filter_name, global_waf, CAST(CASE WHEN pts = 0 THEN 10 ELSE least(pts, 100) END AS INT) AS strength, COUNT(*) AS sinks
 FROM p GROUP BY 1, 2, 3, 4""")

@@ -183,6 +183,15 @@ def canonical(t):
     return t.fx_access.groupBy("uri").agg(F.count("*").alias("n")).withColumn("canonical", H.canonical("uri", escapes=True))
 
 
+@query("U03_decoded_escapes", """
+SELECT event_id, concat('q=', chr(CAST(33 + event_id % 90 AS INT)), chr(CAST(960 + user_id % 20 AS INT)), '&r=', event_type, chr(CAST(65 + user_id % 26 AS INT))) AS text FROM events""")
+def escapes(t):
+    hexadecimal = lambda n, width: F.lpad(F.lower(F.hex(n)), width, "0")
+    written = F.concat(F.lit("q=\\x"), hexadecimal(33 + F.col("event_id") % 90, 2), F.lit("\\u"), hexadecimal(960 + F.col("user_id") % 20, 4),
+                       F.lit("&r="), F.col("event_type"), F.lit("\\x"), hexadecimal(65 + F.col("user_id") % 26, 2))
+    return t.events.select("event_id", H.decode_escapes(written).alias("text"))
+
+
 @query("F46_request_signatures", f"WITH c AS (SELECT client, {CANON} AS u FROM fx_access) SELECT client, CASE {' '.join(f'WHEN contains(u, {lit(fp.lower())}) THEN {lit(fp)}' for fp in L.REQUEST_FINGERPRINTS)} END AS signature, COUNT(*) AS requests FROM c GROUP BY 1, 2")
 def signatures(t):
     a = t.fx_access.select("client", H.canonical("uri").alias("u"))
@@ -544,10 +553,10 @@ def batches(t):
 
 
 @query("R08_advisory_lists", """
-WITH v AS (SELECT DISTINCT split_part(package, '/', 1) AS vendor FROM fx_packages WHERE v_major > 45)
+WITH v AS (SELECT DISTINCT split_part(package, '/', 1) AS vendor FROM fx_packages)
 SELECT package, CAST(i AS INT) AS pos, concat(vuln_id, '-', CAST(i AS VARCHAR)) AS vuln_id FROM fx_advisories, range(0, 10) r(i) WHERE split_part(package, '/', 1) IN (SELECT vendor FROM v)""")
 def lists(t):
-    vendors = t.fx_packages.where("v_major > 45").select(F.split("package", "/")[0].alias("vendor")).distinct()
+    vendors = t.fx_packages.select(F.split("package", "/")[0].alias("vendor")).distinct()
     l = t.fx_advisories.select("package", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.concat_ws("-", "vuln_id", i.cast("string"))).alias("matches"))
     return R.advisory_lists(l, vendors)
 

@@ -59,7 +59,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "l_linenumber % 2 = 0 AS evidence_complete",
         "CASE l_suppkey % 10 WHEN 0 THEN 'htmlspecialchars' WHEN 1 THEN 'addslashes' WHEN 2 THEN 'intval' "
         "WHEN 3 THEN 'strip_tags' WHEN 4 THEN 'mysqli_real_escape_string' WHEN 5 THEN 'prepared_statement' "
-        "WHEN 6 THEN 'escapeshellarg' WHEN 7 THEN 'escapeshellcmd' WHEN 8 THEN 'base64_decode' "
+        "WHEN 6 THEN 'escapeshellarg' WHEN 7 THEN 'escapeshellcmd' WHEN 8 THEN CASE l_linenumber % 2 WHEN 0 THEN 'floatval' ELSE 'base64_decode' END "
         "ELSE 'strict_whitelist' END AS filter_name",
         "l_returnflag = 'R' AS global_waf",
     ]),
