@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.values import micros
-from vulnlake.operators.ordered import previous, running
+from vulnlake.operators.ordered import previous, running, spread_join
 
 
 def without_followup(events: DataFrame, log: DataFrame, key: str, hours: int, ts: str = "ts") -> DataFrame:
@@ -39,8 +39,8 @@ def value_violations(rows: DataFrame, quantity="l_quantity", price="l_extendedpr
 
 
 def price_mismatch(lines: DataFrame, catalogue: DataFrame, key: str, charged: Column, listed: Column, tolerance: float) -> DataFrame:
-    """Lines whose price differs from the catalogue beyond a relative tolerance."""
-    j = lines.join(catalogue, key)
+    """Lines whose price differs from the catalogue (one row per key) beyond a relative tolerance."""
+    j = spread_join(lines, catalogue, key)
     return j.withColumn("_gap", F.abs(charged - listed)).where(F.col("_gap") > listed * tolerance).drop("_gap")
 
 

@@ -149,3 +149,13 @@ def top_k(df, keys, order, k: int, name: str | None = None) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*_order(order))
     ranked = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
     return ranked.withColumnRenamed("_k", name) if name else ranked.drop("_k")
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, parts: int = 16) -> DataFrame:
+    """Join rows to a table with one row per key, each key dealt over ``parts`` tasks.
+
+    An aggregation by the key that follows has to shuffle again and combines before that, so a hot key's rows never
+    meet in one task. The lookup is repeated ``parts`` times."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
+    repeated = lookup.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return dealt.join(repeated, [key, "_part"]).drop("_part")

@@ -71,7 +71,9 @@ def retain_graph(nodes: DataFrame, edges: DataFrame, status: str = "speculative"
     n = nodes.count()  # the only driver number: compared with the capacity
     if n <= capacity:
         return nodes, edges
-    gone = nodes.where(F.col("status") == status).orderBy("seq", "node_id").limit(n - keep).select("node_id")
+    old = nodes.where(F.col("status") == status).select("node_id", "seq", F.lit(1).alias("_all"))
+    ranked = rank_in_group(old, ["_all"], ["seq", "node_id"], "_rank", limit=0)  # by ranges, in any number of tasks
+    gone = ranked.where(F.col("_rank") <= n - keep).select("node_id")
     left = edges.join(gone, edges["source_node"] == gone["node_id"], "left_anti")
     return nodes.join(gone, "node_id", "left_anti"), left.join(gone, left["target_node"] == gone["node_id"], "left_anti")
 

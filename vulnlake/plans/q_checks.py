@@ -10,6 +10,7 @@ from vulnlake.operators import behaviour as B
 from vulnlake.operators import evidence as E
 from vulnlake.operators import memory as M
 from vulnlake.plans.q_graph import values
+from vulnlake.operators.ordered import spread_join
 from vulnlake.plans.registry import query
 from vulnlake.rules import evidence as RE
 
@@ -230,7 +231,7 @@ WITH g AS (SELECT l_orderkey, COUNT(*) AS refunds, CAST(round(SUM(l_extendedpric
 SELECT l_orderkey, refunds, refunded, CASE WHEN refunded > lim THEN 'oversized' ELSE 'repeated' END AS issue FROM g WHERE refunded > lim OR refunds > 1""")
 def refunds(t):
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
-    return B.refund_issues(t.lineitem.where("l_returnflag = 'R'").join(o, "l_orderkey"), "l_orderkey", "l_extendedprice", "o_totalprice")
+    return B.refund_issues(spread_join(t.lineitem.where("l_returnflag = 'R'"), o, "l_orderkey"), "l_orderkey", "l_extendedprice", "o_totalprice")
 
 
 @query("B05_missing_step", """

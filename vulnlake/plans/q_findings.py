@@ -9,6 +9,7 @@ from vulnlake.functions.values import micros
 from vulnlake.operators import aggregate as A
 from vulnlake.operators import windows as W
 from vulnlake.plans.pipeline import scored_queue
+from vulnlake.operators.ordered import spread_join
 from vulnlake.plans.registry import query
 
 QUEUE_SQL = """d AS (SELECT file, line, sink_function, min(project) AS project, min(sink_type) AS sink_type,
@@ -281,7 +282,7 @@ SELECT *, CASE WHEN status_diff + length_diff >= 3 THEN 'highly_likely' WHEN sta
 def differential(t):
     h = t.fx_http.select(F.split("url", "/")[2].alias("host"), "page_id", "status", "body_len", F.col("h_acao").isNull().alias("baseline"))
     base = h.where("baseline").groupBy("host").agg(F.min_by("status", "page_id").alias("bs"), F.min_by("body_len", "page_id").alias("bl"))
-    g = h.where(~F.col("baseline")).join(base, "host").groupBy("host").agg(
+    g = spread_join(h.where(~F.col("baseline")), base, "host").groupBy("host").agg(
         F.count("*").alias("variants"), F.count_if(F.col("status") != F.col("bs")).alias("status_diff"),
         F.count_if(F.abs(F.col("body_len") - F.col("bl")) > 1000).alias("length_diff"))
     return g.withColumn("verdict", A.differential_verdict(F.col("status_diff") + F.col("length_diff")))

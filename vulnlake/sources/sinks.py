@@ -71,6 +71,8 @@ def to_sarif(findings: DataFrame, shard_rows: int = 20_000, flows: str | None =
     counted = sizes.withColumn("_shards", F.ceil(F.col("_n") / shard_rows))
     spread = results.join(counted.select("project", "_shards"), "project").withColumn(
         "shard", F.pmod(F.xxhash64("result"), F.col("_shards")))
+    # Dealt by shard: else all shards of a project would be built where the join put the project.
+    spread = spread.repartition("project", "shard")
     shards = spread.groupBy("project", "shard").agg(F.count(F.lit(1)).alias("items"), F.sort_array(F.collect_list("result")).alias("_r"))
     shards = shards.select(
         "project", "shard", "items", F.concat(F.lit('{"version":"2.1.0","results":['), F.array_join("_r", ","), F.lit("]}")).alias("document"))
