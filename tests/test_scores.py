@@ -39,6 +39,25 @@ def test_version_ranges(spark):
     assert bad.collect() == []
 
 
+WHOLE = [("7.1", ">7.1", False), ("7.1.1", ">7.1", True), ("8.2", "^7.4 || ^8.0", True), ("7.3", "^7.4 || ^8.0", False), ("9.0", "^7.4||^8.0", False), ("1.5", ">=1.0 <2.0", True),
+         ("2.0", ">=1.0,<2.0", False), ("0.3.5", "^0.3.1", True), ("0.4", "^0.3.1", False), ("0.0.4", "^0.0.3", False), ("1.5", "1.0 - 2.0", True), ("4", "*", True)]
+ORDER = ["0.9", "1.0-dev", "1.0-alpha1", "1.0.0-beta.2", "1.0-rc1", "1.0-rc2", "v1.0.0", "1.0.0.1", "1.2.3.4.5", "1.2.3.4.6", "1.10", "2.0.0-a1", "2", "3000000000.1", "99999999999999999999"]
+
+
+def test_whole_constraints(spark):
+    df = spark.createDataFrame(WHOLE, "v string, rule string, want boolean")
+    assert df.withColumn("got", V.satisfies(V.version_key("v"), "rule")).where("got <> want").collect() == []
+
+
+def test_versions_of_any_length_in_order(spark):
+    from vulnlake import register
+
+    register(spark)
+    df = spark.createDataFrame(list(enumerate(ORDER)), "i int, v string").withColumn("key", V.version_key("v")).withColumn("sql", F.expr("vl_version_key(v)"))
+    rows = df.orderBy("key").collect()
+    assert [r.i for r in rows] == list(range(len(ORDER))) and all(r.key == r.sql for r in rows)
+
+
 def test_more_sources_never_lower_priority(spark):
     df = spark.createDataFrame([(a, t, n) for a in ("anonymous", "authenticated", "admin", "api_key", "system") for t in ("RCE", "SQLi", "XSS", "New") for n in (1, 2, 3, 4)],
                                "a string, t string, n int")

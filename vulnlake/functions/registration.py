@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from vulnlake.functions.versions import PRE, STAGES
+
 SQL_FUNCTIONS = {
     "vl_severity_hundredths": (
         "r INT, i INT, c INT", "INT", "40 * r + 35 * i + 25 * c"),
@@ -11,9 +13,13 @@ SQL_FUNCTIONS = {
         "h INT", "STRING",
         "CASE WHEN h >= 270 THEN 'C' WHEN h >= 210 THEN 'H' WHEN h >= 120 THEN 'M' WHEN h >= 10 THEN 'L' END"),
     "vl_version_key": (
-        "v STRING", "ARRAY<INT>",
-        "transform(slice(concat(split(regexp_replace(regexp_replace(v, '^[vV]+', ''), '[-+].*$', ''), '[.]'), "
-        "array('0', '0', '0', '0')), 1, 4), x -> coalesce(try_cast(x AS INT), 0))"),
+        "v STRING", "ARRAY<BIGINT>",
+        "WITH n AS (SELECT regexp_replace(trim(v), '^[vV]+', '') AS t), "
+        "p AS (SELECT t, lower(regexp_extract(t, '" + PRE.replace("\\", "\\\\") + "', 1)) AS stage, "
+        "coalesce(try_cast(regexp_extract(t, '" + PRE.replace("\\", "\\\\") + "', 2) AS BIGINT), 0L) AS nth, "
+        "transform(split(regexp_replace(t, '[-+].*$', ''), '[.]'), x -> coalesce(try_cast(x AS BIGINT), CASE WHEN x RLIKE '^[0-9]+$' THEN 9223372036854775807L ELSE 0L END)) AS nums FROM n) "
+        "SELECT concat(slice(nums, 1, array_max(transform(nums, (x, i) -> CASE WHEN x <> 0 THEN i + 1 ELSE 0 END))), "
+        "CASE WHEN stage = '' THEN array(0L) ELSE array(-1L, CASE " + " ".join(f"WHEN stage = '{w}' THEN {k}L" for w, k in STAGES.items()) + " END, nth) END) FROM p"),
     "vl_cvss_band": (
         "s DOUBLE", "STRING",
         "CASE WHEN s >= 9 THEN 'CRITICAL' WHEN s >= 7 THEN 'HIGH' WHEN s >= 4 THEN 'MEDIUM' "

@@ -1,7 +1,8 @@
 """Version keys, constraints and range matching.
 
-A version becomes array<int> of fixed length, which Spark compares element by
-element. A pre-release sorts below its release through the last element.
+A version becomes an array of its numbers without trailing zeros, then 0 for a release or -1, stage and number for a
+pre-release. Spark compares arrays element by element, so any number of parts sorts right, and each pre-release sorts
+below its release and above every lower version.
 """
 
 from __future__ import annotations
@@ -9,60 +10,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 4
+#: Stages in order (fixed values).
+STAGES = {"dev": 1, "alpha": 2, "a": 2, "beta": 3, "b": 3, "rc": 4, "pre": 4}
+TOP = (1 << 63) - 1
+PRE = r"(?i)-\.?(dev|alpha|beta|rc|pre|a(?=[0-9])|b(?=[0-9]))[.-]?([0-9]*)"
 
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def _numbers(text: Column) -> Column:
+    """All numeric parts, without trailing zeros; what is no number counts as 0, what is too long as the largest."""
+    number = lambda x: F.coalesce(x.try_cast("bigint"), F.when(x.rlike("^[0-9]+$"), F.lit(TOP)).otherwise(F.lit(0)))
+    nums = F.transform(F.split(text, "[.]"), number)
+    return F.slice(nums, F.lit(1), F.array_max(F.transform(nums, lambda x, i: F.when(x != 0, i + 1).otherwise(0))))
+
+
+def _longs(*values) -> Column:
+    return F.array(*[v.cast("bigint") if isinstance(v, Column) else F.lit(v).cast("bigint") for v in values])
+
+
 def version_key(version: str | Column) -> Column:
-    """[major, minor, patch, build, release] with release 0 for pre-releases, 1 otherwise."""
+    """Sortable array<bigint> of a version with any number of parts."""
     v = F.regexp_replace(F.trim(_c(version)), "^[vV]+", "")
-    core = F.regexp_replace(v, r"[-+].*$", "")
-    pre = v.rlike("(?i)-(dev|alpha|beta|rc|pre|a[0-9]|b[0-9])")
-    digits = F.concat(F.split(core, "[.]"), F.array(*[F.lit("0")] * PARTS))
-    nums = F.transform(F.slice(digits, 1, PARTS), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
-    return F.concat(nums, F.array(F.when(pre, 0).otherwise(1)))
+    stage = F.lower(F.regexp_extract(v, PRE, 1))
+    kind = F.lit(None)
+    for word, place in STAGES.items():
+        kind = F.when(stage == word, place).otherwise(kind)
+    end = F.when(stage == "", _longs(0)).otherwise(_longs(-1, kind, F.coalesce(F.regexp_extract(v, PRE, 2).try_cast("bigint"), F.lit(0))))
+    return F.concat(_numbers(F.regexp_replace(v, r"[-+].*$", "")), end)
 
 
-def _padded(text: Column, fill: int) -> Column:
-    digits = F.concat(F.split(text, "[.]"), F.array(*[F.lit("0")] * PARTS))
-    nums = F.transform(F.slice(digits, 1, PARTS), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
-    return F.concat(nums, F.array(F.lit(fill)))
+def part(key: Column, i: int) -> Column:
+    """The i-th number of a release key (0 where it was cut off)."""
+    return F.coalesce(F.get(key, F.lit(i)), F.lit(0))
 
 
 def constraint_bounds(rule: str | Column) -> Column:
-    """struct<lo, hi, hi_inclusive> of ``<x``, ``<=x``, ``>=x``, ``~x``, ``x.*``/``x.x``, ``a ~ b`` or an exact version."""
+    """struct<lo, lo_inclusive, hi, hi_inclusive> of one condition: ``<x``, ``<=x``, ``>x``, ``>=x``, ``~x``, ``^x``, ``x.*``, ``a - b``,
+    ``a ~ b`` or an exact version."""
     r = F.trim(_c(rule))
     v = F.regexp_replace(r, r"^[<>=~^\sv]+", "")
-    lowest = F.array(*[F.lit(0)] * (PARTS + 1))
-    highest = F.array(*[F.lit(2_000_000_000)] * (PARTS + 1))
-    k = version_key(v)
     wild = F.regexp_replace(v, r"(\.[xX*])+$", "")
-    n = F.size(F.split(wild, "[.]"))
-    base = _padded(wild, 0)
-    bump = lambda arr, at: F.transform(arr, lambda x, i: F.when(i + 1 == at, x + 1).when(i + 1 > at, F.lit(0)).otherwise(x))
+    plain = F.regexp_replace(v, r"[-+].*$", "")
+    k = version_key(v)
+    parts = lambda t: F.transform(F.split(t, "[.]"), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+
+    def next_after(text: Column, at: Column) -> Column:
+        """Key of the first version beyond all that agree with ``text`` in its first ``at`` parts."""
+        raised = F.transform(F.slice(parts(text), F.lit(1), at), lambda x, i: F.when(i + 1 == at, x + 1).otherwise(x))
+        return F.concat(raised, _longs(0))
+
+    size = lambda t: F.size(F.split(t, "[.]"))
+    first = F.array_position(F.transform(parts(plain), lambda x: x != 0), True).cast("int")
+    caret = F.when(first == 0, size(plain)).otherwise(first)
     span = F.split(r, r"\s+~\s+|\s+-\s+")
-    tilde = F.greatest(F.size(F.split(v, "[.]")) - 1, F.lit(1))
-    b = lambda lo, hi, inc: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(inc).alias("hi_inclusive"))
+    lowest, highest = _longs(-TOP), _longs(TOP)
+    b = lambda lo, lo_inc, hi, hi_inc: F.struct(lo.alias("lo"), F.lit(lo_inc).alias("lo_inclusive"), hi.alias("hi"), F.lit(hi_inc).alias("hi_inclusive"))
     return (
-        F.when(F.size(span) == 2, b(version_key(span[0]), version_key(span[1]), True))
-        .when(r.startswith("<="), b(lowest, k, True)).when(r.startswith("<"), b(lowest, k, False))
-        .when(r.startswith(">="), b(k, highest, True))
-        .when(r.startswith("~"), b(k, bump(_padded(v, 0), tilde), False))
-        .when(r.rlike(r"\.[xX*]$"), b(base, bump(base, n), False))
-        .otherwise(b(k, k, True)))
+        F.when(F.size(span) == 2, b(version_key(span[0]), True, version_key(span[1]), True))
+        .when(r == "*", b(lowest, True, highest, True))
+        .when(r.startswith("<="), b(lowest, True, k, True)).when(r.startswith("<"), b(lowest, True, k, False))
+        .when(r.startswith(">="), b(k, True, highest, True)).when(r.startswith(">"), b(k, False, highest, True))
+        .when(r.startswith("~"), b(k, True, next_after(plain, F.greatest(size(plain) - 1, F.lit(1))), False))
+        .when(r.startswith("^"), b(k, True, next_after(plain, caret), False))
+        .when(r.rlike(r"\.[xX*]$"), b(version_key(wild), True, next_after(wild, size(wild)), False))
+        .otherwise(b(k, True, k, True)))
 
 
 def in_bounds(key: Column, bounds: Column) -> Column:
+    lower = F.when(bounds["lo_inclusive"], key >= bounds["lo"]).otherwise(key > bounds["lo"])
     upper = F.when(bounds["hi_inclusive"], key <= bounds["hi"]).otherwise(key < bounds["hi"])
-    return (key >= bounds["lo"]) & upper
+    return lower & upper
+
+
+def alternatives(rule: str | Column) -> Column:
+    """array<array<bounds>> of a whole constraint: alternatives (``|``, ``||``) of conditions (comma or space) that hold together."""
+    either = F.split(F.trim(_c(rule)), r"\s*\|\|?\s*")
+    return F.transform(either, lambda e: F.transform(F.split(F.trim(e), r"\s*,\s*|\s+(?=[<>=^]|~\S)"), constraint_bounds))
+
+
+def satisfies(key: Column, rule: str | Column) -> Column:
+    return F.exists(alternatives(rule), lambda e: F.forall(e, lambda b: in_bounds(key, b)))
+
+
+def lower_bound(rule: str | Column) -> Column:
+    """Key of the lowest version that a constraint lets in: per alternative the highest of its lower bounds."""
+    return F.array_min(F.transform(alternatives(rule), lambda e: F.array_max(F.transform(e, lambda b: b["lo"]))))
 
 
 def lowest_satisfying(constraints: DataFrame, rule: str, keys=("project",)) -> DataFrame:
     """Lowest version that meets every lower bound of a project."""
-    return constraints.groupBy(*keys).agg(F.max(constraint_bounds(rule)["lo"]).alias("floor"))
+    return constraints.groupBy(*keys).agg(F.max(lower_bound(rule)).alias("floor"))
 
 
 def match_advisories(packages: DataFrame, advisories: DataFrame, version="version", lo="lo", hi="hi") -> DataFrame:

@@ -567,9 +567,9 @@ def not_run(t):
 @query("X05_constraint_floor", """
 SELECT project, MAX(v_major * 100 + v_minor)::INT AS floor_key FROM fx_packages GROUP BY 1""")
 def constraint_floor(t):
-    from vulnlake.functions.versions import lowest_satisfying
+    from vulnlake.functions.versions import lowest_satisfying, part
     k = lowest_satisfying(t.fx_packages.select("project", F.concat(F.lit(">="), "v_major", F.lit("."), "v_minor").alias("rule")), "rule")
-    return k.select("project", (F.col("floor")[0] * 100 + F.col("floor")[1]).alias("floor_key"))
+    return k.select("project", (part(F.col("floor"), 0) * 100 + part(F.col("floor"), 1)).cast("int").alias("floor_key"))
 
 
 @query("X06_feed_intersection", "SELECT package FROM fx_packages INTERSECT SELECT package FROM fx_advisories")

@@ -35,10 +35,10 @@ def second_order_risk(t):
 
 
 @query("S16_version_keys", """
-SELECT version, v_major * 1000000 + v_minor * 1000 + v_patch AS key, COUNT(*) AS n FROM fx_packages GROUP BY 1, 2""")
+SELECT version, CAST(v_major * 1000000 + v_minor * 1000 + v_patch AS BIGINT) AS key, COUNT(*) AS n FROM fx_packages GROUP BY 1, 2""")
 def version_keys(t):
     k = V.version_key("version")
-    return t.fx_packages.groupBy("version", (k[0] * 1000000 + k[1] * 1000 + k[2]).alias("key")).agg(F.count("*").alias("n"))
+    return t.fx_packages.groupBy("version", (V.part(k, 0) * 1000000 + V.part(k, 1) * 1000 + V.part(k, 2)).alias("key")).agg(F.count("*").alias("n"))
 
 
 RANGE_SQL = """v AS (SELECT package, version, v_major, COUNT(*) AS installs, COUNT(DISTINCT project) AS projects FROM fx_packages GROUP BY 1, 2, 3)"""
