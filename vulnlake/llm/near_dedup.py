@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import ship, shingles_of, table, text_of, words_of, written
 from vulnlake.llm.registry import query
 
-BANDS, ROWS, THRESHOLD = 36, 6, 0.8
+BANDS, ROWS, THRESHOLD = 40, 7, 0.8
+#: 64-bit words of the parity sketch that bounds how much two sets differ.
+PARITY = 16
 #: Leaders per bucket: SLOTS, then SLOTS times as many in each further round.
 SLOTS = 4096
 UNNAMED = -(1 << 62)
@@ -166,7 +168,7 @@ def near_components(docs: DataFrame, copies: DataFrame, threshold: float) -> Dat
     # Texts in the largest and most buckets lie in the middle of their group: these lead.
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     members = written(members.join(score, "id").select("bucket", "id", "score"), "members")
-    wanted = named(docs).join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "key"])
+    wanted = named(docs).join(members.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id", "key"])
     sets = written(wanted.select("id", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles")), "sets")
     # First each text meets the leader with whom it shares most buckets; that joins most classes.
     met = members.join(leaders_of(members, 1).select("bucket", "leader"), "bucket").where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
@@ -181,9 +183,9 @@ def near_components(docs: DataFrame, copies: DataFrame, threshold: float) -> Dat
         if placed.isEmpty():
             return comps
         placed = written(placed.join(shared_across(placed, sets), "id").where(F.col("common") >= F.col("size") * threshold - 1e-9), "placed")
-        leaders = leaders_of(placed, slots, "comp", "size", "common")
-        enough = F.least("common", "leader_common") >= (F.col("size") + F.col("leader_size")) * (threshold / (1 + threshold)) - 1e-9
-        met = placed.join(leaders, "bucket").where((F.col("id") != F.col("leader")) & (F.col("comp") != F.col("leader_comp")) & enough)
+        facts = ["comp", "size", "common", *(f"parity{k}" for k in range(PARITY))]
+        leaders = leaders_of(placed, slots, *facts)
+        met = placed.join(leaders, "bucket").where((F.col("id") != F.col("leader")) & (F.col("comp") != F.col("leader_comp")) & may_be_near(threshold))
         found = linked(pairs_of(met.select("id", "leader")), sets, threshold)
         comps = components(found.unionByName(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
         members = placed.select("bucket", "id", "score").join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
@@ -202,17 +204,25 @@ def pairs_of(met: DataFrame) -> DataFrame:
 
 
 def shared_across(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, size (distinct shingles) and common (those that a text of another class has as well).
-
-    Two texts of different classes have at most the smaller ``common`` in common: most pairs in a large group of
-    distant relatives need no comparison."""
+    """id, size (distinct shingles), common (those that a text of another class has as well) and a sketch of the latter: the
+    parity of how many fall on each of 64 * PARITY bits."""
     texts = placed.select("id", "comp").distinct().join(sets, "id")
     each = texts.select("id", "comp", F.explode("shingles").alias("shingle"))
     across = each.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    common = each.join(across, "shingle").groupBy("id").agg(F.count("*").alias("common"))
+    word, bit = F.shiftrightunsigned("shingle", 6).bitwiseAND(F.lit(PARITY - 1)), F.expr("shiftleft(1L, cast(shingle & 63 AS int))")
+    parity = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("bigint")).alias(f"parity{k}") for k in range(PARITY)]
+    common = each.join(across, "shingle").groupBy("id").agg(F.count("*").alias("common"), *parity)
     return texts.select("id", F.size("shingles").alias("size")).join(common, "id")
 
 
+def may_be_near(threshold: float) -> Column:
+    """False only where a text and a leader of another class cannot reach the threshold: their sets differ by all that is not
+    common on either side, and by at least the bits in which the sketches of the common parts differ."""
+    own = (F.col("size") - F.col("common")) + (F.col("leader_size") - F.col("leader_common"))
+    bits = sum((F.bit_count(F.col(f"parity{k}").bitwiseXOR(F.col(f"leader_parity{k}"))) for k in range(PARITY)), F.lit(0))
+    return own + bits <= (F.col("size") + F.col("leader_size")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct id and text: id, key, copy_of (smallest id of the exact copies) and class_id."""
     rows = written(signatures(named(docs)), "signatures")
