@@ -204,14 +204,15 @@ def best_paths(t):
 
 
 CM_SQL = f"""c(chain, steps) AS (VALUES {values(R.CHAINS.items())}), f(vuln_type, gives) AS (VALUES {values(R.FAMILY_STEPS.items())}),
-h AS (SELECT project, list_distinct(flatten(list(gives))) AS have FROM (SELECT DISTINCT project, vuln_type FROM fx_nodes WHERE status <> 'potential') JOIN f USING (vuln_type) GROUP BY 1),
+h AS (SELECT project, list_distinct(flatten(list(gives))) AS have FROM (SELECT DISTINCT project, {list(R.FAMILY_STEPS)}[CAST(seq % {len(R.FAMILY_STEPS)} AS INT) + 1] AS vuln_type FROM fx_nodes WHERE status <> 'potential') JOIN f USING (vuln_type) GROUP BY 1),
 m AS (SELECT project, chain, len(list_intersect(steps, have)) AS matched, len(steps) AS n, array_to_string(list_filter(steps, lambda x: NOT list_contains(have, x)), ',') AS missing FROM h, c)"""
 
 
 @query("S38_chain_matches", f"""WITH {CM_SQL} SELECT project, chain, CAST(matched AS BIGINT) AS matched, missing, CASE WHEN matched = n THEN 'full_match'
  WHEN matched * 100 >= n * 60 THEN 'partial_match' ELSE 'no_match' END AS match_type FROM m""")
 def chain_matches(t):
-    return G.chain_matches(t.fx_nodes.where("status <> 'potential'"))
+    family = F.array(*[F.lit(f) for f in R.FAMILY_STEPS])[F.col("seq") % len(R.FAMILY_STEPS)]
+    return G.chain_matches(t.fx_nodes.where("status <> 'potential'").withColumn("vuln_type", family))
 
 
 CHECKS = list(R.FEASIBILITY)

@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vulnlake.plans.views import VIEWS, view_sql
 
@@ -27,17 +26,9 @@ class Tables:
             return getattr(self, base).selectExpr(*exprs)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def texts(self, name: str, *cols: str, per_core: int = 4 << 20) -> DataFrame:
-        """Columns of a text table for a CPU-heavy scan.
-
-        A tiny file gives fewer splits than there are cores, so it is
-        redistributed; anything over ``per_core`` bytes per core has enough
-        splits and is never shuffled. Sizes come from file metadata only."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.sf_dir}/{name}.parquet")
-        size = files.agg(F.sum("length")).first()[0] or 0
-        rows = getattr(self, name).select(*cols)
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if size < per_core * cores else rows
+    def texts(self, name: str, *cols: str) -> DataFrame:
+        """Columns of a text table. The scan's own splits are kept: texts are never shuffled for it."""
+        return getattr(self, name).select(*cols)
 
 
 def query(name: str, sql: str | None = None):

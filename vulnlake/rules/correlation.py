@@ -45,9 +45,24 @@ CHAINS = {
 
 # finding family -> chain step families it provides
 FAMILY_STEPS = {
-    "sqli": ["SQL_INJECTION", "DATA_FLOW", "DATA_STORE"], "xss": ["SSTI"], "rce": ["CODE_EXECUTION"],
-    "ssrf": ["SSRF", "NETWORK_ACCESS"], "authz": ["PRIVILEGE_ESCALATION"],
+    "sqli": ["SQL_INJECTION", "DATA_FLOW", "DATA_STORE", "DATA_MANIPULATION"],
+    "xss": ["SSTI", "DATA_INPUT"],
+    "rce": ["CODE_EXECUTION"],
+    "ssrf": ["SSRF", "NETWORK_ACCESS", "LATERAL_MOVEMENT"],
+    "authz": ["PRIVILEGE_ESCALATION", "ACCOUNT_TAKEOVER"],
     "infoleak": ["INFORMATION_DISCLOSURE", "SECRET_EXTRACTION"],
+    "lfi": ["PATH_TRAVERSAL", "FILE_READ", "FILE_INCLUSION"],
+    "logging": ["LOG_INJECTION"],
+    "api": ["API_ABUSE"],
+    "filewrite": ["FILE_UPLOAD"],
+    "config": ["CONFIG_OVERRIDE"],
+    "crypto": ["TOKEN_FORGERY"],
+    "deserialization": ["DESERIALIZATION", "UNSAFE_DESERIALIZATION", "POP_CHAIN"],
+    "xxe": ["XML_INJECTION", "XXE"],
+    "redirect": ["OPEN_REDIRECT", "SOCIAL_ENGINEERING"],
+    "oauth": ["OAUTH_MISCONFIGURATION", "TOKEN_THEFT"],
+    "race": ["RACE_CONDITION", "CONCURRENT_REQUEST", "TOCTOU_BYPASS", "STATE_MANIPULATION"],
+    "business": ["BUSINESS_LOGIC_BYPASS"],
 }
 
 # check -> weight in hundredths
