@@ -229,14 +229,26 @@ def feasibility(t):
 
 
 @query("W05_graph_lines", """
-SELECT project, kind, COUNT(*) AS lines FROM (SELECT project, 'node' AS kind FROM fx_nodes UNION ALL SELECT project, 'edge' FROM fx_edges
- UNION ALL SELECT DISTINCT project, 'stats' FROM fx_nodes) GROUP BY 1, 2""")
+WITH st AS (SELECT COALESCE(a.project, b.project) AS project, COALESCE(n, 0) AS n, COALESCE(m, 0) AS m FROM (SELECT project, COUNT(*) AS n FROM fx_nodes GROUP BY 1) a
+ FULL JOIN (SELECT project, COUNT(*) AS m FROM fx_edges GROUP BY 1) b ON a.project = b.project)
+SELECT project, 'node' AS kind, concat('{"node_id":"', node_id, '","vuln_type":"', vuln_type, '","severity":"', severity, '","status":"', status, '","data_object":"', data_object, '"}') AS json FROM fx_nodes
+UNION ALL SELECT project, 'edge', concat('{"source_node":"', source_node, '","target_node":"', target_node, '","relation":"', relation, '","confidence":"', confidence, '"}') FROM fx_edges
+UNION ALL SELECT project, 'stats', concat('{"nodes":', n, ',"edges":', m, '}') FROM st""")
 def graph_lines(t):
     from vulnlake.sources.sinks import graph_lines as lines
-    return lines(t.fx_nodes, t.fx_edges).groupBy("project", "kind").agg(F.count("json").alias("lines"))
-
-
-@query("W08_mermaid")
+    return lines(t.fx_nodes, t.fx_edges).select("project", "kind", "json")
+
+
+@query("W08_mermaid", f"""WITH RECURSIVE {PATH_SQL},
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path_score DESC, path_key) AS place FROM fin) WHERE place <= 30),
+st AS (SELECT project, place, path_key, i - 1 AS pos, string_split(path_key, '>')[i] AS node FROM b, range(1, 10) r(i) WHERE i <= len),
+nd AS (SELECT project, node, min(place * 1000 + pos) AS o FROM st GROUP BY 1, 2),
+nk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY o) AS rn FROM nd) WHERE rn <= 30),
+ln AS (SELECT nk.project, o, concat('    ', node, '[', vuln_type, ']', chr(10), '    style ', node, ' fill:', CASE WHEN status = 'confirmed' AND severity IN ('critical', 'high') THEN '#ff4444'
+  WHEN status = 'suspected' OR severity = 'medium' THEN '#ffaa00' ELSE '#ffdd00' END) AS line FROM nk JOIN fx_nodes f ON f.node_id = nk.node
+ UNION ALL SELECT DISTINCT x.project, 1000000000, concat('    ', x.node, ' --> ', y.node) FROM st x JOIN st y ON x.project = y.project AND x.path_key = y.path_key AND y.pos = x.pos + 1
+  JOIN nk u ON u.project = x.project AND u.node = x.node JOIN nk v ON v.project = y.project AND v.node = y.node)
+SELECT project, concat('graph TD', chr(10), string_agg(line, chr(10) ORDER BY o, line)) AS text FROM ln GROUP BY 1""")
 def mermaid(t):
     from vulnlake.sources.sinks import mermaid as draw
     return draw(paths(t))
