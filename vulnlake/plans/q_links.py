@@ -303,12 +303,13 @@ def code_flows(t):
 
 
 @query("W04_sarif_validity", """
-SELECT project, COUNT(*) AS results, COUNT(*) FILTER (line = 10 OR (r = 3 AND i = 3)) AS invalid, COUNT(*) FILTER (line = 10) AS no_line FROM fx_sinks WHERE verdict <> 'not_vulnerable' GROUP BY 1""")
+SELECT project, COUNT(*) AS results, COUNT(*) FILTER (line IN (10, 20)) AS invalid, COUNT(*) FILTER (line = 20) AS no_line FROM fx_sinks WHERE verdict <> 'not_vulnerable' GROUP BY 1""")
 def sarif_valid(t):
     from vulnlake.sources.sinks import sarif_problems, sarif_results
-    # first lines move to 0 and some files are unknown, so that there is something to find
-    f = t.fx_sinks.withColumn("sink_function", F.lit("call")).withColumn("line", F.col("line") - 10).withColumn("file", F.when(~((F.col("r") == 3) & (F.col("i") == 3)), F.col("file")))
-    r = sarif_problems(sarif_results(f))
+    results = sarif_results(t.fx_sinks.withColumn("sink_function", F.lit("call")))
+    # two kinds of damage, so that there is something to find
+    damaged = F.when(F.col("line") == 10, F.regexp_replace("result", '"ruleId":"[^"]*",', "")).when(F.col("line") == 20, F.replace(F.col("result"), F.lit('"startLine":20'), F.lit('"startLine":0')))
+    r = sarif_problems(results.withColumn("result", F.coalesce(damaged, "result")))
     return r.groupBy("project").agg(F.count("*").alias("results"), F.count_if(F.size("problems") > 0).alias("invalid"),
                                     F.count_if(F.array_contains("problems", "startLine not positive")).alias("no_line"))
 
