@@ -5,7 +5,8 @@
 2. The label model is a two-class mixture: for each voter the chance of each vote under each class, by expectation and
    maximisation; given labels take part as one more voter of limited accuracy. What voters have in common beyond the
    class (their correlation within it) divides their weight.
-3. A logistic regression on words and word starts learns the posteriors. Only it scores: texts alone, whole, one pass.
+3. A logistic regression learns the posteriors from the words and word starts that stand out and are not explained by
+   others. Only it scores: texts alone, whole, one pass.
 
 Edge cases. A null text is empty and gets the score of no words. Labels that are null, or of unknown documents, are left
 out; several labels of a document count as their maximum. Documents without doc_id are scored and held out. Without
@@ -31,6 +32,8 @@ MAX_TRAIN = 24_000
 #: Features kept for the classifier, and how many documents must have one.
 MAX_FEATURES, LEAST_DOCS = 4096, 3
 LEXICONS, STEMS, FOLDS = 8, (5,), 5
+#: Rows with so many chosen features count as explained.
+ENOUGH_HITS = 4
 #: Assumed accuracy of a given label.
 LABEL_ACCURACY = 0.95
 #: A small general list (fixed values).
@@ -149,6 +152,24 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, m: int, target: np.nd
     return w * scale, bias
 
 
+def unexplained(rows: np.ndarray, cols: np.ndarray, n: int, order: list[int], target: np.ndarray, enough: float) -> list[int]:
+    """Features, in the given order, that still stand out among the rows that fewer than ENOUGH_HITS chosen before are in.
+
+    Words of copied documents and the like go with toxic rows only because a real insult stands in the same rows."""
+    by = np.argsort(cols, kind="stable")
+    starts = np.searchsorted(cols[by], np.arange(max(order, default=-1) + 2))
+    base, times, chosen = target.mean(), np.zeros(n, np.int64), []
+    for f in order:
+        own = rows[by[starts[f] : starts[f + 1]]]
+        left = own[times[own] < ENOUGH_HITS]
+        k, m = target[left].sum(), len(left)
+        part = lambda x, e: x * np.log(x / e) if x > 0 else 0.0
+        if m and k > m * max(base, 0.85) and 2 * (part(k, m * base) + part(m - k, m * (1 - base))) > enough:
+            chosen.append(f)
+            times[own] += 1
+    return chosen
+
+
 def fit(train: DataFrame) -> tuple[dict[str, float], float, dict] | None:
     """Feature weights, bias and what the label model found. The driver sees at most MAX_FEATURES features, and votes and
     feature numbers of at most MAX_TRAIN rows."""
@@ -183,9 +204,16 @@ def fit(train: DataFrame) -> tuple[dict[str, float], float, dict] | None:
     votes = np.stack([np.frombuffer(v, np.uint8) for v in got["votes"]]).astype(np.int8) - 1
     post, odds, correlation = label_model(votes.astype(np.float64), got["toxic"].to_numpy())
     sizes = got["cols"].map(len).to_numpy()
-    w, bias = fit_linear(np.repeat(np.arange(len(got)), sizes), np.concatenate(got["cols"].tolist()).astype(np.int64), len(got), len(vocabulary), post)
+    row, col, target = np.repeat(np.arange(len(got)), sizes), np.concatenate(got["cols"].tolist()).astype(np.int64), post
+    order = [vocabulary[r["feature"]] for r in rows if r["leans"]]
+    chosen = unexplained(row, col, len(got), order, target, 2 * float(np.log(len(order) + 2)))
+    number = np.full(len(vocabulary), -1)
+    number[chosen] = np.arange(len(chosen))
+    known = number[col] >= 0
+    w, bias = fit_linear(row[known], number[col[known]], len(got), len(chosen), target)
+    names_of = {k: f for f, k in vocabulary.items()}
     report = {"voters": names, "odds": odds, "correlation": correlation}
-    return {f: float(w[k]) for f, k in vocabulary.items() if abs(w[k]) > 1e-4}, float(bias), report
+    return {names_of[k]: float(w[i]) for i, k in enumerate(chosen)}, float(bias), report
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float, dict] | None) -> DataFrame:
