@@ -18,6 +18,8 @@ CASES = [
     ("if ($token === $stored)", []),
     ("if ($a !== $secret)", []),
     ("if ($this->token != $x)", [("WeakComparison", "!= on sensitive var", "weak_comparison")]),
+    ("$x = 'call system($y) or exec(1) now';", []),
+    ("$x = \"eval($y)\" . system('a(b)c');", [("RCE", "system", "func_call")]),
     ("protected $guarded = [];", [("MassAssignment", "$guarded = []", "property")]),
     ("public function __wakeup()", [("Deserialization", "__wakeup() definition", "magic_method")]),
     ("libxml_disable_entity_loader(true);", []),
@@ -96,6 +98,11 @@ def test_argument_safety(spark):
     assert [r.line for r in X.traceable(hits).collect()] == [2]
 
 
+def test_parentheses_in_strings_come_back_in_arguments(spark):
+    src = spark.createDataFrame([("p", "a.php", "<?php\nsystem('a(b)c', $x);")], "project string, path string, content string")
+    assert [r.args for r in X.scan_calls(X.explode_lines(src)).collect()] == [["'a(b)c'", "$x"]]
+
+
 def test_read_sources_skips_vendor_and_big_files(spark, tmp_path):
     root = tmp_path / "tree"
     for rel, text in {"shop/app/a.php": "<?php\nsystem($x);\n", "shop/vendor/b.php": "<?php exec($y);", "shop/app/c.txt": "no", "shop/app/big.php": "x" * 5000}.items():
@@ -105,6 +112,8 @@ def test_read_sources_skips_vendor_and_big_files(spark, tmp_path):
     src, skipped = X.read_sources(spark, str(root), max_bytes=1000)
     assert [tuple(r)[:2] for r in src.collect()] == [("shop", "shop/app/a.php")]
     assert [r.path.endswith("big.php") for r in skipped.collect()] == [True]
+    whole, none = X.read_sources(spark, str(root))
+    assert whole.count() == 2 and none.count() == 0
     assert X.scan_calls(X.explode_lines(src)).select("line", "function").collect()[0] == (2, "system")
 
 

@@ -6,7 +6,7 @@ one projection. Only scope (open class and function of a line) needs an
 ordered pass per file.
 
 Limits of reading lines instead of syntax trees: a call must start and end on
-one line, and names inside string literals can match.
+one line. Names inside string literals are no calls.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ CALL_NAME = r"((?:->|::|\$)?[A-Za-z_]\w*)\s*\("
 ARGS = r"^((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)"
 ONE_ARG = r"((?:[^,()'\x22\[\]]|'[^']*'|\x22[^\x22]*\x22|\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])+)"
 STRING = r"'(?:[^'\\]|\\.)*'|\x22(?:[^\x22\\]|\\.)*\x22"
+HIDDEN = "\x01\x02"  # stand for parentheses inside strings while calls are looked up
 LINE_COMMENT = r"//.*$|#(?:[^\[].*)?$"
 BLOCK_COMMENT = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
 COMMENTS = rf"({STRING})|{LINE_COMMENT}|{BLOCK_COMMENT}|/\*.*$"
@@ -118,8 +119,15 @@ def scopes(lines: DataFrame, hot=True) -> DataFrame:
         "in_function", in_function).withColumn("check_line", checked).drop("_d", "_u", "_n", "_c", "_f", "_i", "_qc", "_qf", "_qi")
 
 
+def masked(code: Column) -> Column:
+    """``code`` of the same length whose strings hold no parentheses, so that no name in a string looks like a call."""
+    quoted = F.transform(F.regexp_extract_all(code, F.lit(f"({STRING})"), F.lit(1)), lambda s: F.translate(s, "()", HIDDEN))
+    hidden = F.array_join(F.zip_with(F.split(code, STRING, -1), quoted, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    return F.when(code.rlike(r"['\x22][^'\x22]*\("), hidden).otherwise(code)
+
+
 def _call_parts(lines: DataFrame) -> DataFrame:
-    c = lines.withColumn("_c", F.regexp_replace("code", DEFINITION, "("))
+    c = lines.withColumn("_c", masked(F.regexp_replace("code", DEFINITION, "(")))
     return c.withColumn("_full", F.regexp_extract_all("_c", F.lit(f"({CALL})"), F.lit(1))).withColumn("_gap", F.split("_c", CALL))
 
 
@@ -130,7 +138,7 @@ def _call_array() -> Column:
 
     def row(i):
         text = F.regexp_extract(F.substring(F.col("_c"), start(i) + F.length(F.col("_full")[i]) + 1, F.length("_c")), ARGS, 1)
-        args = F.transform(F.regexp_extract_all(text, F.lit(ONE_ARG), F.lit(1)), lambda a: F.trim(a))
+        args = F.transform(F.regexp_extract_all(text, F.lit(ONE_ARG), F.lit(1)), lambda a: F.translate(F.trim(a), HIDDEN, "()"))
         return F.struct(i.alias("seq"), F.regexp_extract(F.col("_full")[i], CALL_NAME, 1).alias("token"),
                         F.substring(F.col("_c"), F.lit(1), start(i)).alias("before"), F.filter(args, lambda a: a != "").alias("args"))
 

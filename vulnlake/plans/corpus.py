@@ -44,6 +44,7 @@ POOL = [
     "$router->connect('/pages', ['controller' => 'Pages']);", "register_rest_route('wp/v2', '/custom', []);", "$routes->get('list', 'Home::index');",
     "foreach ($rows as $row) { print($row); }", "throw new RuntimeException('no');", "$s = match (true) { default => 0 };", "function double(int $x): int { return $x; }",
     "enum Suit: string { }", "#[Route('/path')]", "$user?->name;", "declare(strict_types=1);", "wp_remote_get($u);", "update_option('siteurl', $v);",
+    "$x = 'call system($y) or exec(1) now';",
 ]
 
 

@@ -35,7 +35,9 @@ qs AS (SELECT *, max(CASE WHEN (d > cd OR (line = cl AND contains(code, '{'))) A
 kl AS (SELECT *, CASE WHEN cl IS NOT NULL AND (line = cl OR (d > cd AND (qc IS NULL OR qc < cl))) THEN cname END AS in_class FROM qs),
 scoped AS (SELECT project, path, line, code, d, in_class, CASE WHEN fl IS NOT NULL AND (line = fl OR (d > fd AND (qf IS NULL OR qf < fl))) AND (in_class IS NULL OR fl > cl) THEN fname END AS in_function,
  CASE WHEN il IS NOT NULL AND (line = il OR (d > idp AND (qi IS NULL OR qi < il))) THEN il END AS in_check FROM kl)"""
-CALLS_SQL = rf"""cd AS (SELECT project, path, line, regexp_replace(code, {lit(X.DEFINITION)}, '(', 'g') AS c FROM src),
+CALLS_SQL = rf"""c0 AS (SELECT project, path, line, regexp_replace(code, {lit(X.DEFINITION)}, '(', 'g') AS c FROM src),
+c1 AS (SELECT *, string_split_regex(c, {lit(X.STRING)}) AS gs, regexp_extract_all(c, {lit('(' + X.STRING + ')')}, 1) AS qs FROM c0),
+cd AS (SELECT project, path, line, array_to_string(list_transform(range(1, len(gs) + 1), lambda j: gs[j] || COALESCE(translate(qs[j], '()', chr(1) || chr(2)), '')), '') AS c FROM c1),
 tk AS (SELECT project, path, line, unnest(regexp_extract_all(c, {lit(X.CALL_NAME)}, 1)) AS token, c FROM cd WHERE contains(c, '('))"""
 
 
@@ -159,7 +161,7 @@ ARG_SQL = rf"""ix AS (SELECT project, path, line, c, regexp_extract_all(c, {lit(
 cl AS (SELECT project, path, line, c, i, regexp_extract(full_t[i], {lit(X.CALL_NAME)}, 1) AS token,
  regexp_extract(substr(c, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(full_t[1:i], lambda x: length(x))) + 1 AS BIGINT)), {lit(X.ARGS)}, 1) AS args_text
  FROM ix, range(1, 40) r(i) WHERE i <= len(full_t)),
-ar AS (SELECT project, path, line, i, token, trim(unnest(regexp_extract_all(args_text, {lit(X.ONE_ARG)}, 1))) AS arg FROM cl),
+ar AS (SELECT project, path, line, i, token, translate(trim(unnest(regexp_extract_all(args_text, {lit(X.ONE_ARG)}, 1))), chr(1) || chr(2), '()') AS arg FROM cl),
 sf AS (SELECT *, CASE WHEN regexp_matches(arg, '^(''[^'']*''|\x22[^\x22$]*\x22|\d+(\.\d+)?)$') THEN 'safe' WHEN NOT regexp_matches(arg, '^\$\w+$')
  AND contains(regexp_replace(regexp_replace(arg, '''[^'']*''|\x22[^\x22]*\x22|\((?:[^()]|\([^()]*\))*\)', '', 'g'), '\d+\.\d+', '', 'g'), '.') THEN 'suspicious' ELSE 'needs_trace' END AS safety FROM ar WHERE arg <> '')"""
 
