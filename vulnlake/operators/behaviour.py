@@ -52,6 +52,19 @@ def coupon_reuse(uses: DataFrame, code: str, order: str, most_orders: int, disco
     return a.unionByName(by_order.where(F.col("discount") > most_discount).withColumn("issue", F.lit("stacked_discount")))
 
 
+def coupon_misuse(uses: DataFrame, code: str, user: str, order: str, used_on: str, expires: str) -> DataFrame:
+    """Codes that one user redeems in several orders, and uses after the code's last day, per (code, user)."""
+    g = uses.groupBy(code, user).agg(F.countDistinct(order).alias("orders"), F.count_if(F.col(used_on) > F.col(expires)).alias("late"))
+    issues = F.array_compact(F.array(F.when(F.col("orders") > 1, "reused_by_user"), F.when(F.col("late") > 0, "used_after_expiry")))
+    return g.withColumn("issue", F.explode(issues))
+
+
+def self_approval(log: DataFrame, item: str, actor: str, step: str, submit: str, approve: str) -> DataFrame:
+    """Items that somebody both submitted and approved."""
+    g = log.groupBy(item, actor).agg(F.bool_or(F.col(step) == submit).alias("_s"), F.bool_or(F.col(step) == approve).alias("_a"))
+    return g.where("_s AND _a").drop("_s", "_a")
+
+
 def settlement_gaps(orders: DataFrame, payments: DataFrame, key: str, total: str, paid: str, fulfilled: Column, cents: float = 0.01) -> DataFrame:
     """Fulfilled orders without payment or paid below their total."""
     p = payments.groupBy(key).agg(F.sum(paid).alias("_paid"))

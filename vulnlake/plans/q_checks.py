@@ -218,6 +218,26 @@ def coupons(t):
     return B.coupon_reuse(t.lineitem, "l_suppkey", "l_orderkey", 590, "l_discount", 0.5)
 
 
+@query("B03_coupon_misuse", """
+WITH g AS (SELECT l_suppkey AS code, o_custkey AS customer, COUNT(DISTINCT l_orderkey) AS orders, COUNT(*) FILTER (CAST(l_shipdate AS DATE) > DATE '1995-01-01' + CAST(l_suppkey % 1000 AS INT)) AS late
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT *, 'reused_by_user' AS issue FROM g WHERE orders > 1 UNION ALL SELECT *, 'used_after_expiry' FROM g WHERE late > 0""")
+def coupon_misuse(t):
+    uses = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_suppkey").alias("code"), F.col("o_custkey").alias("customer"), "l_orderkey", F.col("l_shipdate").cast("date").alias("used_on"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("l_suppkey") % 1000).cast("int")).alias("expires"))
+    return B.coupon_misuse(uses, "code", "customer", "l_orderkey", "used_on", "expires")
+
+
+@query("B05_self_approval", """
+SELECT o_orderkey AS item, CAST(o_custkey % 50 AS BIGINT) AS actor FROM orders WHERE o_custkey % 50 = o_orderkey % 50""")
+def approvals(t):
+    log = t.orders.select(F.col("o_orderkey").alias("item"), F.inline(F.array(
+        F.struct((F.col("o_custkey") % 50).cast("long").alias("actor"), F.lit("submit").alias("step")),
+        F.struct((F.col("o_orderkey") % 50).cast("long").alias("actor"), F.lit("approve").alias("step")))))
+    return B.self_approval(log, "item", "actor", "step", "submit", "approve")
+
+
 @query("B04_settlement_gaps", """
 WITH p AS (SELECT l_orderkey, SUM(l_extendedprice) AS paid FROM lineitem GROUP BY 1)
 SELECT o_orderkey, CASE WHEN paid IS NULL THEN 'unpaid' ELSE 'underpaid' END AS issue FROM orders LEFT JOIN p ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND (paid IS NULL OR paid < o_totalprice - 0.01)""")

@@ -173,14 +173,12 @@ def agreement(t):
 
 
 @query("J28_binding_backfill", """
-WITH b AS (SELECT trace_id, list(DISTINCT function) FILTER (function LIKE '%->%') AS bound FROM fx_frames GROUP BY 1)
-SELECT o_orderkey AS trace_id, array_to_string(list_sort(list_distinct(list_concat(['index'], COALESCE(bound, [])))), ',') AS layers FROM orders LEFT JOIN b ON o_orderkey = trace_id""")
+SELECT o_orderkey AS trace_id, 'index' AS layer FROM orders
+UNION SELECT trace_id, function FROM fx_frames WHERE function LIKE '%->%' AND trace_id IN (SELECT o_orderkey FROM orders)""")
 def backfill(t):
-    bound = t.fx_frames.where(F.col("function").contains("->")).groupBy("trace_id").agg(F.collect_set("function").alias("bound"))
-    packs = t.orders.select(F.col("o_orderkey").alias("trace_id"), F.array(F.lit("index")).alias("layers"))
-    none = F.array().cast("array<string>")
-    j = packs.join(bound, "trace_id", "left")
-    return j.select("trace_id", F.array_join(F.sort_array(F.array_union("layers", F.coalesce("bound", none))), ",").alias("layers"))
+    packs = t.orders.select(F.col("o_orderkey").alias("trace_id"))
+    bound = t.fx_frames.where(F.col("function").contains("->")).select("trace_id", F.col("function").alias("layer")).distinct()
+    return packs.withColumn("layer", F.lit("index")).unionByName(bound.join(packs, "trace_id", "left_semi")).distinct()
 
 
 @query("J29_near_names", """
