@@ -62,6 +62,20 @@ def test_later_rounds_find_every_link_of_a_bucket(spark):
     assert got_classes(spark, rows) == plain_classes(rows)
 
 
+def test_near_copies_with_repeated_passages(spark):
+    """Plain similarity of 0.8 or more, weighted similarity far below: repeated own passages, and repeats on one side only."""
+    rng = random.Random(5)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows = []
+    for k in range(30):
+        shared = some(184)
+        rows += [(4 * k + side, " ".join(shared + some(15) * 9)) for side in (0, 1)]
+        shared = some(100)
+        rows += [(4 * k + 2, " ".join(shared + shared[50:] * 2)), (4 * k + 3, " ".join(shared + shared[50:] * (40, 200)[k % 2]))]
+    want = plain_classes(rows)
+    assert len(set(want.values())) == 60 and got_classes(spark, rows) == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]

@@ -2,9 +2,11 @@
 
 Signatures. The distinct five-word shingles of a text, weighted by 1 + log2 of their count, arrive as Poisson processes
 whose rates are the weights; each arrival falls to a random register, which keeps the earliest. A shingle stops once its
-next arrival is later than all registers hold. Two registers agree with the probability Jaccard similarity.
+next arrival is later than all registers hold. Two registers agree with the probability Jaccard similarity. A text that
+repeats shingles gets a second signature in which each weighs 1, whose registers agree with the plain Jaccard similarity
+that links are made by; for other texts both signatures are the same.
 
-Candidates. ``BANDS`` bands of ``ROWS`` registers name the buckets of a text. First every text is compared with one leader of
+Candidates. ``BANDS`` bands of ``ROWS`` registers of each signature name the buckets of a text. First every text is compared with one leader of
 its buckets, which joins groups of copies at one comparison each. Then more and more texts of a bucket lead, until no two
 of it are left that were neither compared, nor in one class already, nor shown to share too few shingles. So no pair that
 shares a bucket is lost, and no group is compared pair by pair.
@@ -73,8 +75,18 @@ def prob_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs:
     return owner.reshape(n_docs, registers)
 
 
+def keys_of(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int, bands: int, rows: int) -> np.ndarray:
+    """Band keys (a row per document) of one signature."""
+    registers = prob_minhash(doc, item, weight, n_docs, bands * rows).reshape(n_docs, bands, rows)
+    key = mixed(np.arange(1, bands + 1, dtype=np.uint64))[None, :] + np.zeros((n_docs, 1), np.uint64)
+    for r in range(rows):
+        key = mixed(key ^ registers[:, :, r])
+    return key.view(np.int64)
+
+
 def band_keys(hashes: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> list[np.ndarray]:
-    """Band keys of each document from its shingle hashes, repeats included."""
+    """Band keys of each document from its shingle hashes, repeats included: those of the weighted signature, then those of
+    the plain one where shingles are repeated. Both lie in one space, so that texts without repeats meet either."""
     keys: list[np.ndarray] = [np.zeros(0, np.int64)] * len(hashes)
     full = [k for k, h in enumerate(hashes) if len(h)]
     if not full:
@@ -85,12 +97,16 @@ def band_keys(hashes: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
     doc, item = doc[order], item[order]
     first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
     count = np.diff(np.append(first, len(doc)))
-    registers = prob_minhash(doc[first], item[first], 1 + np.log2(count), len(full), bands * rows).reshape(len(full), bands, rows)
-    key = mixed(np.arange(1, bands + 1, dtype=np.uint64))[None, :] + np.zeros((len(full), 1), np.uint64)
-    for r in range(rows):
-        key = mixed(key ^ registers[:, :, r])
-    for k, row in zip(full, key.view(np.int64)):
+    doc, item = doc[first], item[first]
+    for k, row in zip(full, keys_of(doc, item, 1 + np.log2(count), len(full), bands, rows)):
         keys[k] = row
+    repeats = np.zeros(len(full), bool)
+    repeats[doc[count > 1]] = True
+    some = np.flatnonzero(repeats)
+    if len(some):
+        own = repeats[doc]
+        for k, row in zip(some, keys_of((np.cumsum(repeats) - 1)[doc[own]], item[own], np.ones(own.sum()), len(some), bands, rows)):
+            keys[full[k]] = np.unique(np.append(keys[full[k]], row))
     return keys
 
 
