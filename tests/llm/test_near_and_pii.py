@@ -159,3 +159,22 @@ def test_collision_is_drawn_again(spark, monkeypatch):
     drawn = spark.createDataFrame([(f"{k:09d}", again.get(f"{k:09d}", 0)) for k in range(8)], "entity string, attempt int").select(sg.normal(sg.F.lit("ssn"), sg.surrogate(sg.F.lit("ssn"), sg.F.col("entity"), sg.F.col("attempt"), "k")).alias("s"))
     values = [r["s"] for r in drawn.collect()]
     assert again and len(set(values)) == 8
+
+
+def surrogates_of(spark, texts):
+    return [r["text"] for r in sg.replace_in(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_whole_secrets_and_names(spark):
+    """Long tokens, quoted and prefixed secret names; names of many parts, initials and particles. Nothing of them stays."""
+    token = "eyJhbGciOiJIUzI1NiJ9." + "Zk3xQw" * 45 + ".Xy_-7Abc9"
+    texts = [f"token={token} end", '{"password": "hunter2hunter2", "x": 1}', "access_token=abcd1234efgh&client_secret: 'zyxw9876vuts' CLIENT_SECRET=qqqq1111wwww", '"accessToken":"mmmm2222nnnn"', "token=" + "ab1-" * 2000,
+             "Señor Juan Carlos García López llegó", "met Mr. John Q. Public there", "Herr Ludwig van Beethoven spielt", "Mr. J. R. R. Tolkien wrote", "Señora María de la Cruz Gil Ruiz Paz y Señor Gil", "Mr. Harry S Truman. He left", "Madame Jose\u0301e Noël I saw"]
+    got = surrogates_of(spark, texts)
+    assert len(token) > 300 and re.fullmatch(r"token=[A-Za-z0-9]{20}\.[A-Za-z0-9]{270}\.[A-Z][a-z]_-\d[A-Z][a-z]{2}\d end", got[0]) and "Zk3xQw" not in got[0] and "7Abc9" not in got[0]
+    assert re.fullmatch(r'\{"password": "[a-z]{6}\d[a-z]{6}\d", "x": 1\}', got[1]) and "hunter" not in got[1]
+    assert not re.search("1234|9876|1111|2222|vuts|efgh|wwww|nnnn", " ".join(got[2:4])) and len(got[4]) == len(texts[4]) and "ab1-ab1-" not in got[4]
+    part = r"[A-Z][a-z]{4,}"
+    for k, form in {5: f"Señor {part} {part} {part} {part} llegó", 6: rf"met Mr\. {part} [A-Z]\. {part} there", 7: f"Herr {part} van {part} spielt", 8: rf"Mr\. [A-Z]\. [A-Z]\. [A-Z]\. {part} wrote", 9: f"Señora {part} de la {part} {part} {part} {part} y Señor {part}",
+                    10: rf"Mr\. {part} [A-Z] {part}\. He left", 11: f"Madame {part} {part} I saw"}.items():
+        assert re.fullmatch(form, got[k]) and not set(re.findall(r"\w{3,}", texts[k])[1:-1]) & set(re.findall(r"\w{3,}", got[k])) - set("van Mr Señor Señora there He".split()), (texts[k], got[k])

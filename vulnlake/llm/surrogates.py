@@ -3,8 +3,9 @@
 A detected entity is reduced to a normal form (digits of a number, lower case of an address) and a digest of key, type
 and normal form draws the surrogate character by character: digits stay digits, letters letters of the same case,
 separators stay. Cards keep their network digit and pass the Luhn test if they did; addresses end in a reserved domain;
-IPv4 addresses move to the reserved block 240/4; names keep their title and get syllables of their script with an
-ending of the title's gender, part by part, so that a name and its surname alone still agree.
+IPv4 addresses move to the reserved block 240/4; names keep their title and particles (van, de la) and get initials for initials and
+else syllables of their script with an ending of the title's gender, part by part, so that a name and its surname alone
+still agree.
 
 Equal normal forms get equal surrogates in all documents. Two normal forms of a type never share one: over the distinct
 entities, a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again with a higher
@@ -34,22 +35,29 @@ SYLLABLES = {
     "greek": (["βα", "γαρ", "δα", "ζα", "θε", "κα", "λιν", "μαρ", "νικ", "ξεν", "παρ", "ρο", "σταμ", "τιμ", "φιλ", "χαρ"], ["ος", "ης", "ας", "ων"], ["α", "η", "ια", "ινη"], ["ακης", "ιδης", "ου", "ας"]),
 }
 TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
-SECRET_NAME = r"(?:[Pp]assword|PASSWORD|passwd|[Ss]ecret|[Tt]oken|TOKEN|api_?key|API_KEY)"
+#: What names a secret: the end of a longer name (access_token, clientSecret), and its own quote may follow ("password": "...").
+SECRET_NAME = r"(?:(?<![\p{L}\p{N}])(?i:password|passwd|secret|token|api[_-]?key)|(?<=[a-z0-9])(?:Password|Passwd|Secret|Token|Api_?Key))[\"']?"
+#: Parts of a name: words (d'Alembert, al-Hassan), initials (Q., J.R., a single letter before another word) and particles.
+NAME_WORD = rf"(?!{TITLE} )(?:[dl]['’]|al-|el-)?\p{{Lu}}[\p{{L}}\p{{M}}'’-]+"
+INITIAL = r"(?:(?:\p{Lu}\.-?)+|\p{Lu}(?= \p{Lu}\p{L}))(?![\p{L}\p{M}])"
+PARTICLE = r"(?:de l[ao]s?|und zu|van|von|vom|zu|zum|zur|der|den|dem|de|del|des|du|di|da|das|do|dos|della|y|af|av|ten|ter|te|bin|ibn|ben)(?!\p{L})"
 #: Types by precedence: how one starts in running text. Each pattern is read by Java's engine.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "aws": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": rf"(?<=\b{SECRET_NAME}(?: ?[=:] ?)[\"']?)[A-Za-z0-9+/_.~-]{{8,128}}",
+    "secret": rf"(?<=[=: \"'])(?<={SECRET_NAME} ?[=:] ?[\"']?)[A-Za-z0-9+/_.~-]{{8,}}",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])",
-    "name": rf"(?<!\p{{L}}){TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
+    "name": rf"(?<!\p{{L}}){TITLE} (?:(?:{PARTICLE}|{INITIAL}) )*+{NAME_WORD}(?:(?: {PARTICLE})*+ (?:{NAME_WORD}|{INITIAL}))*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Characters up to which an entity may be spelled with different separators.
+ALIKE = 64
 #: A text without any of these has no entity.
-HINT = r"[0-9@]|(?i:passw|secret|token|api_?key)|" + "|".join(MALE + FEMALE)
+HINT = r"[0-9@]|(?i:passw|secret|token|api[_-]?key)|" + "|".join(MALE + FEMALE)
 
 
 def entities_of(text: Column) -> Column:
@@ -84,15 +92,16 @@ def pick(values, n: Column) -> Column:
 
 def redrawn(text: Column, d: Column) -> Column:
     """Every digit and letter drawn anew in its own class; hexadecimal strings stay hexadecimal. The k-th letter or digit uses
-    the k-th byte, whatever stands between them."""
-    hexadecimal = text.rlike(r"\A[0-9a-f]{8,}\z")
+    the k-th byte, whatever stands between them. Only a secret has more than ``ALIKE`` characters; it has one spelling, so its
+    k-th character uses the k-th byte, which spares counting."""
+    facts = F.struct(text.rlike(r"\A[0-9a-f]{8,}\z").alias("hexadecimal"), (F.length(text) > ALIKE).alias("long"))
 
-    def one(c: Column, i: Column) -> Column:
-        b = byte(d, F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"[^\p{L}\p{N}]", "")))
-        letter = F.when(hexadecimal, pick("abcdef", b)).otherwise(pick("abcdefghijklmnopqrstuvwxyz", b))
+    def one(c: Column, i: Column, of: Column) -> Column:
+        b = byte(d, F.when(of["long"], i).otherwise(F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"[^\p{L}\p{N}]", ""))))
+        letter = F.when(of["hexadecimal"], pick("abcdef", b)).otherwise(pick("abcdefghijklmnopqrstuvwxyz", b))
         return F.when(c.rlike(r"\A[0-9]\z"), pick("0123456789", b)).when(c.rlike(r"\A[a-z]\z"), letter).when(c.rlike(r"\A[A-Z]\z"), F.upper(pick("abcdefghijklmnopqrstuvwxyz", b))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return let(facts, lambda of: F.array_join(F.transform(F.split(text, ""), lambda c, i: one(c, i, of)), ""))
 
 
 def luhn(digits: Column) -> Column:
@@ -140,7 +149,9 @@ def name(entity: Column, key: str, attempt: Column) -> Column:
         more = F.when(attempt > 2, pick(syllables, byte(d, F.lit(5)))).otherwise("")  # names run out: longer ones
         ending = F.when(family, pick(last, byte(d, F.lit(3)))).when(female, pick(fem, byte(d, F.lit(3)))).otherwise(pick(male, byte(d, F.lit(3))))
         word = F.concat(pick(syllables, byte(d, F.lit(0))), pick(syllables, byte(d, F.lit(1))), pick(syllables, byte(d, F.lit(2))), more, ending)
-        return F.when((F.upper(part) == part) & (F.length(part) > 1), F.upper(word)).otherwise(F.initcap(word))
+        initials = F.array_join(F.transform(F.split(part, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(pick(syllables, byte(d, i)), 1, 1))).otherwise(c)), "")
+        return (F.when(part.rlike(r"\A\p{Ll}+\z"), part).when(part.rlike(r"\A(?:(?:\p{Lu}\.-?)+|\p{Lu})\z"), initials)
+                .when(F.upper(part) == part, F.upper(word)).otherwise(F.initcap(word)))
 
     def one(part: Column, i: Column) -> Column:
         family = i == F.size(parts) - 1
