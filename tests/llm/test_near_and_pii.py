@@ -178,3 +178,14 @@ def test_whole_secrets_and_names(spark):
     for k, form in {5: f"Señor {part} {part} {part} {part} llegó", 6: rf"met Mr\. {part} [A-Z]\. {part} there", 7: f"Herr {part} van {part} spielt", 8: rf"Mr\. [A-Z]\. [A-Z]\. [A-Z]\. {part} wrote", 9: f"Señora {part} de la {part} {part} {part} {part} y Señor {part}",
                     10: rf"Mr\. {part} [A-Z] {part}\. He left", 11: f"Madame {part} {part} I saw"}.items():
         assert re.fullmatch(form, got[k]) and not set(re.findall(r"\w{3,}", texts[k])[1:-1]) & set(re.findall(r"\w{3,}", got[k])) - set("van Mr Señor Señora there He".split()), (texts[k], got[k])
+
+
+def test_more_entities_than_surrogates_of_their_form(spark):
+    """200 addresses with a local part of one letter (78 surrogates at first), and a secret without anything to redraw."""
+    texts = [f"{chr(97 + k % 26)}@host{k // 26}.org" for k in range(200)]
+    e = spark.createDataFrame([("email", t, t) for t in texts] + [("secret", "--------", "--------")], "kind string, norm string, entity string")
+    again = {r["norm"]: r["attempt"] for r in sg.attempts(e, "k").collect()}
+    drawn = spark.createDataFrame([(r["kind"], r["entity"], again.get(r["norm"], 0)) for r in e.collect()], "kind string, entity string, attempt int")
+    got = [r["s"] for r in drawn.select(sg.surrogate(sg.F.col("kind"), sg.F.col("entity"), sg.F.col("attempt"), "k").alias("s")).collect()]
+    assert len(set(got)) == 201 and not set(got) & {*texts, "--------"} and max(again.values()) < 6
+    assert all(re.fullmatch(r"[a-z]@([a-p]+\.)?example\.(com|net|org)", x) for x in got[:200])

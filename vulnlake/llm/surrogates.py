@@ -9,7 +9,9 @@ still agree.
 
 Equal normal forms get equal surrogates in all documents. Two normal forms of a type never share one: over the distinct
 entities, a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again with a higher
-attempt number until none is left. Only entities with an attempt number above 0 enter the join that replaces them.
+attempt number until none is left. The space grows with the attempts, so that this ends for any number of entities: addresses
+get a longer host label, names one more syllable, secrets more characters, and what has a fixed form gets digits behind it
+after ``FIXED`` attempts in it. Only entities with an attempt number above 0 enter the join that replaces them.
 
 Edge cases. A null text stays null in ``replace_in`` and counts as empty in ``surrogates``. Repeated rows are treated
 alike. Documents without an entity pass unchanged. An empty table gives an empty result. ``replace_in`` keeps all columns,
@@ -56,6 +58,8 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Characters up to which an entity may be spelled with different separators.
 ALIKE = 64
+#: Attempts within the form of a number or address whose length is fixed.
+FIXED = 16
 #: A text without any of these has no entity.
 HINT = r"[0-9@]|(?i:passw|secret|token|api[_-]?key)|" + "|".join(MALE + FEMALE)
 
@@ -131,10 +135,13 @@ def ipv4(d: Column) -> Column:
     return F.concat_ws(".", (240 + byte(d, F.lit(0)) % 15).cast("string"), *[byte(d, F.lit(k)).cast("string") for k in (1, 2)], (1 + byte(d, F.lit(3)) % 254).cast("string"))
 
 
-def email(entity: Column, d: Column) -> Column:
+def email(entity: Column, d: Column, attempt: Column) -> Column:
+    """From attempt 1 on, a label of 4 letters per attempt (at most 60) is added to the host."""
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     host = F.when(F.size(F.split(domain, r"\.")) > 2, F.concat(redrawn(F.substring_index(domain, ".", 1), F.reverse(d)), F.lit("."))).otherwise("")
-    return F.concat(redrawn(local, d), F.lit("@"), host, F.lit("example."), pick(["com", "net", "org"], byte(d, F.lit(63))))
+    label = F.translate(F.substring(F.sha2(d, 256), F.lit(1), F.least(attempt * 4, F.lit(60))), "0123456789", "ghijklmnop")
+    more = F.when(attempt > 0, F.concat(label, F.lit("."))).otherwise("")
+    return F.concat(redrawn(local, d), F.lit("@"), host, more, F.lit("example."), pick(["com", "net", "org"], byte(d, F.lit(63))))
 
 
 def name(entity: Column, key: str, attempt: Column) -> Column:
@@ -146,7 +153,8 @@ def name(entity: Column, key: str, attempt: Column) -> Column:
     def drawn(part: Column, script: str, family: Column) -> Column:
         d = F.sha2(F.concat_ws("|", F.lit(key), F.lit("part"), attempt.cast("string"), part), 512)
         syllables, male, fem, last = SYLLABLES[script]
-        more = F.when(attempt > 2, pick(syllables, byte(d, F.lit(5)))).otherwise("")  # names run out: longer ones
+        longer = F.transform(F.sequence(F.lit(1), F.least(attempt, F.lit(32))), lambda k: pick(syllables, byte(d, k + 4)))
+        more = F.when(attempt > 0, F.array_join(longer, "")).otherwise("")  # names run out: longer ones
         ending = F.when(family, pick(last, byte(d, F.lit(3)))).when(female, pick(fem, byte(d, F.lit(3)))).otherwise(pick(male, byte(d, F.lit(3))))
         word = F.concat(pick(syllables, byte(d, F.lit(0))), pick(syllables, byte(d, F.lit(1))), pick(syllables, byte(d, F.lit(2))), more, ending)
         initials = F.array_join(F.transform(F.split(part, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(pick(syllables, byte(d, i)), 1, 1))).otherwise(c)), "")
@@ -162,7 +170,12 @@ def name(entity: Column, key: str, attempt: Column) -> Column:
 
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
     def of(d: Column) -> Column:
-        return (F.when(kind == "email", email(entity, d)).when(kind == "aws", F.concat(F.lit("AKIA"), redrawn(F.substring(entity, 5, 16), d))).when(kind == "ipv4", ipv4(d))
+        beyond = attempt - F.when(kind == "secret", 1).otherwise(FIXED)
+        digits = F.translate(F.substring(F.sha2(d, 256), F.lit(1), F.least(beyond * 4, F.lit(64))), "abcdef", "012345")
+        return F.concat(formed(d), F.when(~kind.isin("email", "name") & (beyond > 0), F.concat(F.when(kind == "secret", "").otherwise("-"), digits)).otherwise(""))
+
+    def formed(d: Column) -> Column:
+        return (F.when(kind == "email", email(entity, d, attempt)).when(kind == "aws", F.concat(F.lit("AKIA"), redrawn(F.substring(entity, 5, 16), d))).when(kind == "ipv4", ipv4(d))
                 .when(kind == "card", card(entity, d)).when(kind == "phone", phone(entity, d)).when(kind == "name", name(entity, key, attempt))
                 .when(kind == "iban", F.concat(F.substring(entity, 1, 2), redrawn(F.substring(entity, F.lit(3), F.length(entity)), d))).otherwise(redrawn(entity, d)))
 
