@@ -189,3 +189,16 @@ def test_more_entities_than_surrogates_of_their_form(spark):
     got = [r["s"] for r in drawn.select(sg.surrogate(sg.F.col("kind"), sg.F.col("entity"), sg.F.col("attempt"), "k").alias("s")).collect()]
     assert len(set(got)) == 201 and not set(got) & {*texts, "--------"} and max(again.values()) < 6
     assert all(re.fullmatch(r"[a-z]@([a-p]+\.)?example\.(com|net|org)", x) for x in got[:200])
+
+
+def test_phone_numbers_of_all_languages(spark):
+    """Forms keep their shape and country code or trunk 0; dates, cards and other numbers keep their kind."""
+    phones = ["+1 (988) 555-2485", "06 12 34 56 78", "06.12.34.56.78", "0612345678", "+33 6 12 34 56 78", "+33612345678", "+49 170 1234567", "030 1234567", "+4915112345678", "0049 30 1234567", "(030) 12345678", "0170/1234567", "+34 612 34 56 78", "612 34 56 78", "91 123 45 67", "612 345 678"]
+    plain = ["am 01.02.2024 um 12", "le 12-05-2024", "0.123456789012", "2024-01-02 10:30", "in 2024 and 1999", "1 000 000"]
+    got = surrogates_of(spark, [f"tel {p}, ok" for p in phones] + plain + ["4111 1111 1111 1111"])
+    for p, g in zip(phones, got):
+        kept = next((c for c in ("+1", "+33", "+34", "+49", "0049", "(0", "0") if p.startswith(c)), "")
+        assert re.fullmatch(rf"tel {re.escape(kept)}{re.sub('[0-9]', '#', re.escape(p[len(kept):])).replace('#', '[0-9]')}, ok", g) and p not in g, (p, g)
+    digits = [re.sub(r"\D", "", g) for g in got]
+    assert digits[1] == digits[2] == digits[3] and digits[4] == digits[5]
+    assert got[len(phones) : -1] == plain and luhn(got[-1]) and got[-1] != "4111 1111 1111 1111"

@@ -43,6 +43,15 @@ SECRET_NAME = r"(?:(?<![\p{L}\p{N}])(?i:password|passwd|secret|token|api[_-]?key
 NAME_WORD = rf"(?!{TITLE} )(?:[dl]['’]|al-|el-)?\p{{Lu}}[\p{{L}}\p{{M}}'’-]+"
 INITIAL = r"(?:(?:\p{Lu}\.-?)+|\p{Lu}(?= \p{Lu}\p{L}))(?![\p{L}\p{M}])"
 PARTICLE = r"(?:de l[ao]s?|und zu|van|von|vom|zu|zum|zur|der|den|dem|de|del|des|du|di|da|das|do|dos|della|y|af|av|ten|ter|te|bin|ibn|ben)(?!\p{L})"
+#: A date of day, month and year with no more digits behind it is no phone number.
+DATE = r"\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})(?![./-]?\d)"
+#: Phone numbers: +1 and blocks of 3, 3 and 4; international in any blocks or one run; with a trunk 0 in any blocks or one run
+#: or with a long last block; blocks as before; Spanish ones in pairs.
+PHONES = [r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w-])", r"(?:\+|00)[1-9](?:[ ./()-]{0,3}\d){7,14}(?![\w-])", r"\(?0[1-9]\d{0,4}\)?(?:[ ./-]{0,3}\d){7,11}(?![\w-])",
+          r"\(?0[1-9]\d{1,3}\)?[ ./-]{1,3}\d{5,9}(?![\w-])", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])",
+          r"[6-9]\d{2}(?:[ .-]\d{2}){3}(?![\w-])", r"[89]\d[ .-]\d{3}(?:[ .-]\d{2}){2}(?![\w-])"]
+#: Country codes of one and two digits; all others have three.
+CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Types by precedence: how one starts in running text. Each pattern is read by Java's engine.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
@@ -52,7 +61,7 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])",
+    "phone": rf"(?<![\w.+-])(?!{DATE})(?:{'|'.join(PHONES)})",
     "name": rf"(?<!\p{{L}}){TITLE} (?:(?:{PARTICLE}|{INITIAL}) )*+{NAME_WORD}(?:(?: {PARTICLE})*+ (?:{NAME_WORD}|{INITIAL}))*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -78,7 +87,7 @@ def kind_of(entity: Column) -> Column:
 
 def normal(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, r"\D", "")
-    return (F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+    return (F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.regexp_extract(entity, r"\A\+?", 0), digits)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
             .when(kind == "name", F.regexp_replace(entity, rf"\A{TITLE} ", "")).otherwise(entity))
 
 
@@ -123,12 +132,14 @@ def card(entity: Column, d: Column) -> Column:
 
 
 def phone(entity: Column, d: Column) -> Column:
-    """The country code stays; area and exchange do not begin with 0 or 1 unless they did."""
-    code = F.regexp_extract(entity, r"\A\+\d{1,3}(?=[ .(-])", 0)
+    """The country code or trunk 0 stays; the first digit after it, and that of the exchange in numbers of ten, are not 0 or 1
+    unless they were. Separators play no part, so that one number in several forms stays one."""
+    code = F.regexp_extract(entity, rf"\A(?:(?:\+|00){CODE}|\(?0(?!0))", 0)
     rest = F.substring(entity, F.length(code) + 1, F.length(entity))
-    drawn = redrawn(rest, d)
-    first = lambda x, i, c: F.when(c.rlike("[01]") & ~F.substring(rest, i + 1, F.lit(1)).rlike("[01]") & ((i == 0) | F.substring(rest, i, F.lit(1)).rlike(r"\D")), pick("23456789", byte(d, i + 31))).otherwise(c)
-    return F.concat(code, F.array_join(F.transform(F.split(drawn, ""), lambda c, i: first(drawn, i, c)), ""))
+    digits = F.regexp_replace(rest, r"\D", "")
+    fresh = F.transform(F.split(redrawn(digits, d), ""), lambda c, i: F.when(((i == 0) | ((i == 3) & (F.length(digits) == 10))) & c.rlike("[01]") & ~F.substring(digits, i + 1, F.lit(1)).rlike("[01]"), pick("23456789", byte(d, i + 31))).otherwise(c))
+    placed = lambda new: F.array_join(F.transform(F.split(rest, ""), lambda c, i: F.when(c.rlike(r"\A[0-9]\z"), F.element_at(new, F.length(F.regexp_replace(F.substring(rest, F.lit(1), i + 1), r"\D", "")))).otherwise(c)), "")
+    return F.concat(code, let(fresh, placed))
 
 
 def ipv4(d: Column) -> Column:
