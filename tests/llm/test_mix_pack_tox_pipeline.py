@@ -77,6 +77,18 @@ def test_mix_edge_cases(spark):
         assert mixing.mixed(df).count() == 0
 
 
+def test_mixed_takes_the_words_of_the_targets(spark):
+    """One long document per source: the target ends inside it, and so does what is emitted."""
+    docs = [(k, "\n".join(f"w{k}  v{j}" for j in range(n)), s, -1) for k, (s, n) in enumerate([("a", 500), ("b", 400), ("c", 10), ("c", 300), (None, 200)])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars int")
+    rows, want = mixing.mixed(df, slots=500).collect(), {r["source"]: r["want"] for r in mixing.mix(df, slots=500)["sources"].collect()}
+    got, texts = Counter(), {d[0]: d[1] for d in docs}
+    for r in rows:
+        got[r["source"]] += len(h.words(r["text"]))
+        assert texts[r["doc_id"]].startswith(r["text"]) and r["n_chars"] in (-1, len(r["text"])) and (r["n_chars"] == -1) == (r["text"] == texts[r["doc_id"]])
+    assert got == want and any(r["n_chars"] != -1 for r in rows)
+
+
 def check_packing(rows, docs):
     """Every word of every document once, no bin over its capacity, offsets side by side, the least capacity that holds it."""
     by, bins = defaultdict(list), defaultdict(list)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import NO_ID, n_words_of, table, written
+from vulnlake.llm.common import NO_ID, SPACE, WORD, n_words_of, table, written
 from vulnlake.llm.registry import query
 
 GOLDEN = 0.6180339887498949
@@ -130,13 +130,22 @@ def mix(docs: DataFrame, *, share: float = SHARE, epochs: int = EPOCHS, weights:
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` as the mix reads them: each row as often as the mix begins it, rows it never reaches left out."""
+    """``docs`` as the mix reads them: each row as often as the mix begins it, rows it never reaches left out. Where the target ends
+    inside a row, only the words before that point are kept (with the white space between them), and ``n_chars`` is theirs."""
     alike = W.partitionBy("_id", "_content").orderBy(F.lit(0))  # repeated rows: the n-th meets the n-th
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.md5(whole_text()).alias("_content"))
     rows = rows.withColumn("_nth", F.row_number().over(alike))
-    taken = mix(docs, **settings)["taken"].select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("content").alias("_content"), "epochs")
+    taken = mix(docs, **settings)["taken"].select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("content").alias("_content"), "epochs", "size", "taken")
     taken = taken.withColumn("_nth", F.row_number().over(alike)).where("epochs > 0")
-    return rows.join(taken, ["_id", "_content", "_nth"]).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs").cast("long")))).select("_row.*")
+    each = rows.join(taken, ["_id", "_content", "_nth"]).select("_row", "epochs", "size", "taken", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs").cast("long"))).alias("_epoch"))
+    # The target ends the line, so only the last epoch of a row can take less than all of it, and then its first words.
+    last = F.col("taken") - (F.col("epochs") - 1) * F.col("size")
+    cut = (F.col("_epoch") == F.col("epochs")) & (last < F.col("size"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text").cast("string"), F.lit(f"{SPACE}*{WORD}"), F.lit(0)), F.lit(1), F.greatest(last, F.lit(0)).cast("int")), "")
+    kinds = dict(docs.dtypes)
+    each = each.withColumn("_part", F.when(cut, part))
+    new = {c: x for c, x in (("text", F.col("_part")), ("n_chars", F.length("_part"))) if c in kinds}
+    return each.select(*[F.when(F.col("_part").isNotNull(), new[c].cast(kinds[c])).otherwise(F.col("_row")[c]).alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""
