@@ -1,10 +1,10 @@
-"""Token counts without token ids: pieces are counted once per distinct pre-token and summed over frequencies.
+"""Token counts without token ids: pieces are counted once per distinct pre-token of a task and summed over its occurrences.
 
 A pre-token is a run of spaces with the run of other characters after it. The model never merges across its start: no
 piece of the vocabulary has a space mark behind another character (checked when the model is loaded). So the number of
-pieces of a text is the sum over its pre-tokens. Every task holds one table of pre-token -> pieces. Per batch of documents, the frequencies of (document,
-pre-token) are joined to it and only pre-tokens it lacks reach the library. A join of all documents' pre-tokens through
-a shuffle gives the same sums but moves most of the corpus again (see README).
+pieces of a text is the sum over its pre-tokens. Every task holds one table of pre-token -> pieces, in which
+each occurrence is looked up; only pre-tokens it lacks reach the library. No frequency per document is formed, and no join of
+all documents' pre-tokens through a shuffle is made (see README).
 
 Edge cases. A null text is empty (0 tokens). Repeated rows are counted each. An empty table gives an empty result.
 Extra columns are ignored.
