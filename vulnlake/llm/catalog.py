@@ -1,6 +1,6 @@
 """Importing this module registers every query of the package."""
 
-from vulnlake.llm import fingerprints, mixing, near_dedup, packing, prefix_trie, quality, surrogates, token_counts, toxicity, url_filter, wavelet  # noqa: F401
+from vulnlake.llm import fingerprints, merkle, mixing, near_dedup, packing, prefix_trie, quality, surrogates, token_counts, toxicity, url_filter, warc, wavelet  # noqa: F401
 from vulnlake.llm.registry import ORACLES, QUERIES, query
 
 
