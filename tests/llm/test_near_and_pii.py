@@ -102,6 +102,19 @@ def test_register_agreement_is_probability_jaccard():
     assert abs((r[0] == r[1]).mean() - want) < 0.04
 
 
+def test_two_texts_under_one_doc_id(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    near, alone, other = some(200), some(50), some(80)
+    rows = [(5, near), (5, alone), (5, alone), (7, near + " and more"), (9, other), (1, other), (None, alone + " x y z q r s t u v w x y z a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["id"], r["class_id"], r["class_key"]) for r in nd.classes(df).collect()]
+    assert len(got) == len(rows)  # repeated rows come back in full
+    assert len({k for i, c, k in got if i == 5}) == 2 and len({k for i, c, k in got if i in (5, 7) and c == 5}) == 2
+    kept = sorted(((r["doc_id"], r["text"]) for r in nd.keep_one(df).collect()), key=str)
+    assert kept == sorted([(5, near), (5, alone), (1, other), rows[-1]], key=str)
+
+
 def test_keep_one_and_edge_cases(spark):
     kept = nd.keep_one(h.rows(spark))
     assert kept.columns == h.rows(spark).columns
@@ -202,3 +215,23 @@ def test_phone_numbers_of_all_languages(spark):
     digits = [re.sub(r"\D", "", g) for g in got]
     assert digits[1] == digits[2] == digits[3] and digits[4] == digits[5]
     assert got[len(phones) : -1] == plain and luhn(got[-1]) and got[-1] != "4111 1111 1111 1111"
+
+
+def test_whole_addresses_of_any_length(spark):
+    local, host = "first.six" + "x" * 90, ".".join(["label"] * 14) + ".org"
+    texts = [f"write to {local}@a.org, or q@{host}; not @ alone, {'y' * 5000} end", "a@b.co.a@c.com x@y"]
+    got = [r["text"] for r in sg.replace_in(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
+    assert "first.six" not in got[0] and "label.label" not in got[0] and "y" * 5000 in got[0] and got[0].startswith("write to ")
+    assert "a@b" not in got[1] and got[1].endswith("x@y")  # what follows an address at once is none
+
+
+def test_no_key_is_public(spark):
+    df = spark.createDataFrame([(1, "mail alice@corp.org")], "doc_id long, text string")
+    spark.conf.unset(sg.KEY)
+    first = sg.replace_in(df).first()["text"]
+    assert sg.replace_in(df).first()["text"] == first  # one key per session
+    spark.conf.unset(sg.KEY)
+    assert sg.replace_in(df).first()["text"] != first
+    spark.conf.set(sg.KEY, "mine")
+    assert sg.replace_in(df).first()["text"] == sg.replace_in(df, key="mine").first()["text"]
+    spark.conf.unset(sg.KEY)

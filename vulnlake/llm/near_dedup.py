@@ -12,11 +12,14 @@ of it are left that were neither compared, nor in one class already, nor shown t
 shares a bucket is lost, and no group is compared pair by pair.
 
 Links. A pair is linked if the plain Jaccard similarity of its shingle sets is ``THRESHOLD`` or more. Classes are the
-connected components, named by their smallest doc_id. Exact copies share one representative from the start.
+connected components of texts, named by their smallest (doc_id, key of the text). Exact copies share one representative
+from the start. Texts and not doc_ids are compared, so two texts under one doc_id may lie in two classes; class_key then
+tells these apart.
 
 Edge cases. A null text is empty; texts without a word are near only their exact copies; one to four words form one
-shingle. A document without doc_id is known by a number below -2**62 that its text gives. Rows with one doc_id and text
-are copies of each other. An empty table gives an empty result. ``classes`` ignores extra columns; ``keep_one`` keeps them.
+shingle. A document without doc_id is known by a number below -2**62 that its text gives. Rows repeated in full are copies
+of each other, each with a row in the result. An empty table gives an empty result. ``classes`` ignores extra columns;
+``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from vulnlake.llm.common import ship, shingles_of, table, text_of, words_of, written
+from vulnlake.llm.ordering import in_ranges
 from vulnlake.llm.registry import query
 
 BANDS, ROWS, THRESHOLD = 40, 7, 0.8
@@ -37,6 +41,8 @@ PARITY = 16
 #: Leaders per bucket: SLOTS, then SLOTS times as many in each further round.
 SLOTS = 4096
 UNNAMED = -(1 << 62)
+#: Parts over which the members of a class are dealt to learn its name.
+PARTS = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -173,9 +179,15 @@ def with_comp(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def near_components(docs: DataFrame, copies: DataFrame, threshold: float) -> DataFrame | None:
-    """(id, comp) of the representatives that are near another; None if no two share a bucket."""
-    reps = copies.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+def numbered_texts(rows: DataFrame) -> DataFrame:
+    """key, doc, id: every distinct text with its smallest doc_id and a number of its own, in the order of (doc, key)."""
+    order = [F.col("doc"), F.col("key")]
+    return in_ranges(rows.groupBy("key").agg(F.min("id").alias("doc")), order, order, ["key", "doc"], "texts").select("key", "doc", F.col("_at").alias("id"))
+
+
+def near_components(docs: DataFrame, rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """(id, comp) of the texts that are near another, by number; None if no two share a bucket."""
+    reps = rows.groupBy("key").agg(F.first("bands").alias("bands")).join(texts, "key")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(buckets.join(shared, "bucket").select("bucket", "id", "n"), "members")
@@ -184,8 +196,10 @@ def near_components(docs: DataFrame, copies: DataFrame, threshold: float) -> Dat
     # Texts in the largest and most buckets lie in the middle of their group: these lead.
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     members = written(members.join(score, "id").select("bucket", "id", "score"), "members")
-    wanted = named(docs).join(members.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id", "key"])
-    sets = written(wanted.select("id", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles")), "sets")
+    # Only the row with a text's smallest doc_id gives its shingles.
+    needed = texts.join(members.select("id").distinct(), "id", "left_semi").select("key", "doc", F.col("id").alias("text_id"))
+    wanted = named(docs).withColumnRenamed("id", "doc").join(needed.hint("merge"), ["doc", "key"]).dropDuplicates(["text_id"])
+    sets = written(wanted.select(F.col("text_id").alias("id"), F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles")), "sets")
     # First each text meets the leader with whom it shares most buckets; that joins most classes.
     met = members.join(leaders_of(members, 1).select("bucket", "leader"), "bucket").where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
     best = met.groupBy("id").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("top")).select("id", (-F.col("top.minus")).alias("leader"))
@@ -239,21 +253,28 @@ def may_be_near(threshold: float) -> Column:
     return own + bits <= (F.col("size") + F.col("leader_size")) * ((1 - threshold) / (1 + threshold)) + 1e-9
 
 
+def class_names(texts: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """key, copy_of, class_id, class_key of every distinct text. A class of any size is dealt over ``PARTS`` tasks."""
+    alone = texts.select("id", "key", F.col("doc").alias("copy_of"))
+    if comps is None:
+        return alone.select("key", "copy_of", F.col("copy_of").alias("class_id"), F.col("key").alias("class_key"))
+    first = comps.select("comp").distinct().join(texts.select(F.col("id").alias("comp"), F.col("doc").alias("class_id"), F.col("key").alias("class_key")), "comp")
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named_comps = comps.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(first, ["comp", "part"]).select("id", "class_id", "class_key")
+    return alone.join(named_comps, "id", "left").select("key", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per distinct id and text: id, key, copy_of (smallest id of the exact copies) and class_id."""
+    """One row per row: id, key, copy_of (smallest id of the exact copies), class_id and class_key (of the class's first text)."""
     rows = written(signatures(named(docs)), "signatures")
-    comps = near_components(docs, rows, threshold)
-    copies = rows.groupBy("key").agg(F.min("id").alias("copy_of"))
-    if comps is not None:
-        copies = copies.join(comps.withColumnRenamed("id", "copy_of"), "copy_of", "left").select("key", "copy_of", F.coalesce("comp", "copy_of").alias("class_id"))
-    else:
-        copies = copies.withColumn("class_id", F.col("copy_of"))
-    return rows.select("id", "key").distinct().join(copies, "key").select("id", "key", "copy_of", "class_id")
+    texts = numbered_texts(rows)
+    names = class_names(texts, near_components(docs, rows, texts, threshold))
+    return rows.select("id", "key").join(names, "key").select("id", "key", "copy_of", "class_id", "class_key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that name their class; of repeated rows, one."""
-    kept = classes(docs, threshold).where("id = class_id").select("id", "key")
+    kept = classes(docs, threshold).where("id = class_id AND key = class_key").select("id", "key").distinct()
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     unnamed = F.lit(UNNAMED) - F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     d = d.select("_row", F.coalesce("doc_id", unnamed).alias("id"), F.md5("text").alias("key"))

@@ -20,13 +20,16 @@ whatever their names, and sets ``n_chars`` to the new length where there is such
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnlake.llm.common import let, table, written
 from vulnlake.llm.registry import query
 
-KEY = "set-your-own-key"
+#: Setting that holds the key. Without it a session draws a key of its own, so no key is public.
+KEY = "spark.vulnlake.surrogates.key"
 #: Titles that show a name and its gender (fixed values).
 MALE = ["Mr", "Herr", "Herrn", "Señor", "Monsieur", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mademoiselle", "госпожа", "κυρία"]
@@ -54,7 +57,7 @@ PHONES = [r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w-])", r"(?:\
 CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Types by precedence: how one starts in running text. Each pattern is read by Java's engine.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "aws": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": rf"(?<=[=: \"'])(?<={SECRET_NAME} ?[=:] ?[\"']?)[A-Za-z0-9+/_.~-]{{8,}}",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
@@ -209,8 +212,16 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
             return e.where("attempt > 0").select("kind", "norm", "attempt")
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY, None)
+    if not key:
+        spark.conf.set(KEY, key := secrets.token_hex(32))
+    return key
+
+
+def replaced(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``_row`` (all columns of ``docs``), ``_text`` with surrogates and ``_n``, the entities in it."""
+    key = key or key_of(docs.sparkSession)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text")).withColumn("_found", F.coalesce(entities_of(F.col("_text")), F.array().cast("array<string>")))
     # Only documents with an entity take part in what follows; a number written with them tells them apart.
     some = written(marked.where(F.size("_found") > 0).withColumn("_id", F.monotonically_increasing_id()), "with-entities")
@@ -225,7 +236,7 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     return done.unionByName(marked.where(F.size("_found") == 0).select("_row", "_text", F.lit(0).cast("long").alias("_n")))
 
 
-def replace_in(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_in(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``."""
     new = {"text": F.col("_text"), "n_chars": F.length(F.coalesce("_text", F.lit(""))).cast("long")}
     return replaced(docs, key).select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

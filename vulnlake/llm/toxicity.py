@@ -29,8 +29,8 @@ from vulnlake.llm.registry import query
 
 #: Bound on the labelled rows that the model is fitted to (those with the smallest hashes of their doc_id).
 MAX_TRAIN = 24_000
-#: Features kept for the classifier, and how many documents must have one.
-MAX_FEATURES, LEAST_DOCS = 4096, 3
+#: How many documents must have a feature.
+LEAST_DOCS = 3
 LEXICONS, STEMS, FOLDS = 8, (5,), 5
 #: Rows with so many chosen features count as explained.
 ENOUGH_HITS = 4
@@ -170,9 +170,9 @@ def unexplained(rows: np.ndarray, cols: np.ndarray, n: int, order: list[int], ta
     return chosen
 
 
-def fit(train: DataFrame) -> tuple[dict[str, float], float, dict] | None:
-    """Feature weights, bias and what the label model found. The driver sees at most MAX_FEATURES features, and votes and
-    feature numbers of at most MAX_TRAIN rows."""
+def fit(train: DataFrame, max_features: int | None = None) -> tuple[dict[str, float], float, dict] | None:
+    """Feature weights, bias and what the label model found. All features that pass the test take part (with
+    ``max_features``, the first so many). The driver sees these, and votes and feature numbers, of at most MAX_TRAIN rows."""
     size = train.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = size["n"], size["toxic"] or 0
     if not n or toxic in (0, n):
@@ -185,7 +185,8 @@ def fit(train: DataFrame) -> tuple[dict[str, float], float, dict] | None:
     g2 = 2 * (part(F.col("toxic"), inside * base) + part(inside - F.col("toxic"), inside * (1 - base)))
     ranked = tested.select("feature", (F.col("toxic") > inside * base).alias("leans"), (F.col("toxic") / inside).alias("rate"), g2.alias("g2"), F.col("feature").isin(INSULTS).alias("listed"))
     enough = 2 * float(np.log(max(tested.count(), 2)))
-    rows = ranked.where((F.col("g2") > enough) | F.col("listed")).orderBy(F.desc("g2"), "feature").limit(MAX_FEATURES).collect()
+    passed = ranked.where((F.col("g2") > enough) | F.col("listed")).orderBy(F.desc("g2"), "feature")
+    rows = (passed if max_features is None else passed.limit(max_features)).collect()
     vocabulary = {f: k for k, f in enumerate(sorted({r["feature"] for r in rows} | set(INSULTS)))}
     leaning = [r["feature"] for r in rows if r["leans"] and r["rate"] > 0.5 and r["g2"] > enough]
     names = Voters(leaning).names
