@@ -91,7 +91,7 @@ def test_scopes_comments_and_blocks(spark):
 
 def test_argument_safety(spark):
     df = spark.createDataFrame([("p", "a", 1, "f('x', $v, 'a' . $b, g($c), $d[1], 3.14, -1, \"in $v\")")], "project string, path string, line int, text string")
-    c = X.calls(X.code_lines(df)).where("token = 'f'").select(F.transform("args", X.arg_safety).alias("s"))
+    c = X.calls(X.code_lines(df)).where("token = 'f'").select(F.zip_with("args", "outers", X.arg_safety).alias("s"))
     assert c.first().s == ["safe", "needs_trace", "suspicious", "needs_trace", "needs_trace", "safe", "needs_trace", "needs_trace"]
     hits = X.with_safety(X.table_hits(X.calls(X.code_lines(spark.createDataFrame([("p", "a", 1, "system('ls');"), ("p", "a", 2, "system($x);")],
                                                                                  "project string, path string, line int, text string")))))

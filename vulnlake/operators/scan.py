@@ -1,12 +1,12 @@
 """Source scan: files -> lines -> calls and rule hits.
 
-The scan is narrow up to the hits: lines are split, calls are taken out of each
-line with one pattern and matched to small broadcast tables, pure patterns are
-one projection. Only scope (open class and function of a line) needs an
-ordered pass per file.
-
-Limits of reading lines instead of syntax trees: a call must start and end on
-one line. Names inside string literals are no calls.
+The scan is narrow up to the hits: lines are split, strings and comments are
+followed over lines (``lexing``), calls are taken out of statements of one or
+more lines and matched to small broadcast tables, pure patterns are one
+projection in which a line meets only the patterns whose needle it holds
+(``needles``). Scope (open class and function of a line) and statements need an
+ordered pass per file. Names inside strings are no calls; arguments nest to any
+depth.
 """
 
 from __future__ import annotations
@@ -17,23 +17,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.operators.lexing import BEGINS, BLOCK_COMMENT, DEFINITION, FILE, LINE_COMMENT, STRING, calls_of, code_lines, ending, opened, receiver, statement_lines, statements
+from vulnlake.operators.needles import matched
 from vulnlake.operators.ordered import hot_keys, running
 from vulnlake.rules import patterns as P
 from vulnlake.rules import sinks as K
 
-FILE = ["project", "path"]
 EXCLUDED = r"(^|/)(vendor|node_modules|\.git)/"
-CALL = r"(?:->|::|\$)?[A-Za-z_]\w*\s*\("
 CALL_NAME = r"((?:->|::|\$)?[A-Za-z_]\w*)\s*\("
-ARGS = r"^((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)"
-ONE_ARG = r"((?:[^,()'\x22\[\]]|'[^']*'|\x22[^\x22]*\x22|\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])+)"
-STRING = r"'(?:[^'\\]|\\.)*'|\x22(?:[^\x22\\]|\\.)*\x22"
-HIDDEN = "\x01\x02"  # stand for parentheses inside strings while calls are looked up
-LINE_COMMENT = r"//.*$|#(?:[^\[].*)?$"
-BLOCK_COMMENT = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
-COMMENTS = rf"({STRING})|{LINE_COMMENT}|{BLOCK_COMMENT}|/\*.*$"
 INCLUDE = r"(?:^|[^\w$>])(include_once|include|require_once|require)\b[\s(]*([^;]*)"
-DEFINITION = r"function\s+&?\w+\s*\("
 COMPARISON = r"(?:\$\w+(?:->\w+)*|[^=!<>\s])\s*[!=]=\s*(?:\$\w+(?:->\w+)*|[^=\s])"
 HIT = ["project", "path", "line", "sink_type", "function", "call_type"]
 
@@ -60,32 +52,20 @@ def explode_lines(src: DataFrame, content: str = "content") -> DataFrame:
         "project", "path", (F.col("_p") + 1).alias("line"), "text")
 
 
-def code_lines(lines: DataFrame, hot=True) -> DataFrame:
-    """Add ``code``: the line without comments."""
-    opens = F.regexp_replace("text", rf"{STRING}|{LINE_COMMENT}|{BLOCK_COMMENT}", "").contains("/*")
-    closes = F.col("text").contains("*/")
-    carried = running(lines, FILE, ["line"], {
-        "_open": ("max", F.when(opens, F.col("line"))), "_close": ("max", F.when(closes & ~opens, F.col("line")))}, inclusive=False, hot=hot)
-    inside = F.coalesce(F.col("_open"), F.lit(0)) > F.coalesce(F.col("_close"), F.lit(0))
-    body = F.when(inside, F.when(closes, F.regexp_replace("text", r"^.*?\*/", "")).otherwise("")).otherwise(F.col("text"))
-    # strings are matched first and put back, so comment marks inside them stay
-    body = F.regexp_replace(body, COMMENTS, "$1")
-    return carried.withColumn("code", body).drop("_open", "_close")
-
-
 def _count(text: str, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(F.col(text), F.lit(ch), F.lit("")))
 
 
 def scopes(lines: DataFrame, hot=True) -> DataFrame:
-    """Add namespace, in_class, in_function and check_line of each line from open braces.
+    """Add namespace, in_class, in_function and check_line of each line from open braces, and its statement.
 
-    All scopes come from three ordered scans over the same partitioning."""
+    All come from three ordered scans over the same partitioning."""
     hot = hot_keys(lines, FILE) if hot is True else hot
-    opened = _count("code", "{") - _count("code", "}")
+    lines = lines.withColumn("_o", opened(F.col("code")))
+    braces = _count("code", "{") - _count("code", "}")
     use = F.col("code").rlike(r"\b(?:include|require)(?:_once)?\b")
-    deep = running(lines, FILE, ["line"], {"_d": ("sum", opened), "_u": ("max", F.when(use, F.col("line")))}, inclusive=False, hot=hot)
-    deep = deep.withColumn("_d", F.coalesce("_d", F.lit(0)))
+    deep = running(lines, FILE, ["line"], {"_d": ("sum", braces), "_p": ("sum", F.col("_o")), "_t": ("max", ending()), "_u": ("max", F.when(use, F.col("line")))}, inclusive=False, hot=hot)
+    deep = deep.withColumn("_d", F.coalesce("_d", F.lit(0))).withColumn("_p", F.coalesce("_p", F.lit(0))).withColumn("prev", receiver("_t"))
 
     def named(pattern: str) -> Column:
         name = F.regexp_extract("code", pattern, 1)
@@ -96,15 +76,18 @@ def scopes(lines: DataFrame, hot=True) -> DataFrame:
         "_n": ("max", named(r"^\s*namespace\s+([\w\\]+)")),
         "_c": ("max", named(r"^\s*(?:abstract\s+|final\s+)*class\s+(\w+)")),
         "_f": ("max", named(r"\bfunction\s+&?(\w+)\s*\(")),
+        "_b": ("max", F.when(F.col("code").rlike(BEGINS), F.struct("line", "_p"))),
         "_i": ("max", F.when(check, F.struct("line", F.col("_d").alias("d"))))}, hot=hot)
-    end = F.col("_d") + opened
+    carried = carried.withColumn("_p", F.col("_p") - F.coalesce("_b._p", F.lit(0)))
+    end = F.col("_d") + braces
 
     def closing(c: str) -> Column:
         """Line on which the block that belongs to marker ``c`` ends."""
         own = (F.col("line") == F.col(f"{c}.line")) & F.col("code").contains("{")
         return F.when(((F.col("_d") > F.col(f"{c}.d")) | own) & (end <= F.col(f"{c}.d")), F.col("line"))
 
-    carried = running(carried, FILE, ["line"], {f"_q{c}": ("max", closing(f"_{c}")) for c in "cfi"}, inclusive=False, hot=hot)
+    starts = F.when(F.col("_p") <= 0, F.col("line"))
+    carried = running(carried, FILE, ["line"], {f"_q{c}": ("max", closing(f"_{c}")) for c in "cfi"} | {"_s": ("max", starts)}, inclusive=False, hot=hot)
 
     def inside(c: str) -> Column:
         closed = F.coalesce(F.col(f"_q{c}") >= F.col(f"_{c}.line"), F.lit(False))
@@ -115,50 +98,39 @@ def scopes(lines: DataFrame, hot=True) -> DataFrame:
     in_function = F.when(inside("f") & (in_class.isNull() | (F.col("_f.line") > F.col("_c.line"))), F.col("_f.name"))
     # the first include inside the block of a file check
     checked = F.when(use & inside("i") & (F.col("_u").isNull() | (F.col("_u") < F.col("_i.line"))), F.col("_i.line"))
+    carried = carried.withColumn("stmt", F.coalesce(starts, F.col("_s"), F.col("line")))
+    carried = carried.withColumn("lone", (F.col("stmt") == F.col("line")) & (F.col("_p") + F.col("_o") <= 0))
     return carried.withColumn("namespace", F.col("_n.name")).withColumn("in_class", in_class).withColumn(
-        "in_function", in_function).withColumn("check_line", checked).drop("_d", "_u", "_n", "_c", "_f", "_i", "_qc", "_qf", "_qi")
-
-
-def masked(code: Column) -> Column:
-    """``code`` of the same length whose strings hold no parentheses, so that no name in a string looks like a call."""
-    quoted = F.transform(F.regexp_extract_all(code, F.lit(f"({STRING})"), F.lit(1)), lambda s: F.translate(s, "()", HIDDEN))
-    hidden = F.array_join(F.zip_with(F.split(code, STRING, -1), quoted, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    return F.when(code.rlike(r"['\x22][^'\x22]*\("), hidden).otherwise(code)
+        "in_function", in_function).withColumn("check_line", checked).drop("_d", "_o", "_p", "_u", "_n", "_c", "_f", "_b", "_i", "_s", "_t", "_qc", "_qf", "_qi")
 
 
-def _call_parts(lines: DataFrame) -> DataFrame:
-    c = lines.withColumn("_c", masked(F.regexp_replace("code", DEFINITION, "(")))
-    return c.withColumn("_full", F.regexp_extract_all("_c", F.lit(f"({CALL})"), F.lit(1))).withColumn("_gap", F.split("_c", CALL))
+#: Columns of lines that a call does not keep.
+OF_LINES = {"text", "code", "lex_in", "lex_out", "stmt", "lone", "prev"}
 
 
-def _call_array() -> Column:
-    """Calls of a line in order: token, text before it, arguments."""
-    start = lambda i: (F.aggregate(F.slice("_gap", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
-                       + F.aggregate(F.slice("_full", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+def calls(lines: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """One row per call: line of its name, token, text right before it, arguments and these without nested groups.
 
-    def row(i):
-        text = F.regexp_extract(F.substring(F.col("_c"), start(i) + F.length(F.col("_full")[i]) + 1, F.length("_c")), ARGS, 1)
-        args = F.transform(F.regexp_extract_all(text, F.lit(ONE_ARG), F.lit(1)), lambda a: F.translate(F.trim(a), HIDDEN, "()"))
-        return F.struct(i.alias("seq"), F.regexp_extract(F.col("_full")[i], CALL_NAME, 1).alias("token"),
-                        F.substring(F.col("_c"), F.lit(1), start(i)).alias("before"), F.filter(args, lambda a: a != "").alias("args"))
+    A call may go on over any number of lines. ``wanted`` (on the statement's ``text``) leaves out statements unread."""
+    facts = [c for c in lines.columns if c not in OF_LINES and c not in (*FILE, "line")]
+    lines = lines if "stmt" in lines.columns else statement_lines(lines)
+    units = statements(lines, [*facts, "prev"]).where(F.col("text").contains("("))
+    found = calls_of(units if wanted is None else units.where(wanted))
+    at = F.element_at("lines", F.col("row") + 1)
+    opens = (F.col("seq") == 0) & (F.col("row") == 0) & (F.col("before") == "") & F.col("token").rlike("^(?:->|::)")
+    before = F.when(opens, F.coalesce(at["prev"], F.lit(""))).otherwise(F.col("before"))
+    return found.select(*FILE, at["line"].alias("line"), *[at[c].alias(c) for c in facts], "seq", "token", before.alias("before"), "args", "outers")
 
-    return F.when(F.size("_full") > 0, F.transform(F.sequence(F.lit(0), F.size("_full") - 1), row))
 
-
-def calls(lines: DataFrame) -> DataFrame:
-    """One row per call: token, text before it and its arguments."""
-    keep = [x for x in lines.columns if x not in ("text", "code")]
-    return _call_parts(lines.where(F.col("code").contains("("))).select(*keep, F.explode(_call_array()).alias("_x")).select(*keep, "_x.*")
-
-
-def arg_safety(arg: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(arg, r"'[^']*'|\x22[^\x22]*\x22|\((?:[^()]|\([^()]*\))*\)", ""), r"\d+\.\d+", "")
+def arg_safety(arg: Column, outer: Column | None = None) -> Column:
+    """``outer`` is the argument without strings and nested groups; without it, groups nested twice are left out here."""
+    bare = F.regexp_replace(arg, r"'[^']*'|\x22[^\x22]*\x22|\((?:[^()]|\([^()]*\))*\)", "") if outer is None else F.regexp_replace(outer, r"^\s*\.\.\.", "")
     literal = arg.rlike(r"^('[^']*'|\x22[^\x22$]*\x22|\d+(\.\d+)?)$")
-    return F.when(literal, "safe").when(~arg.rlike(r"^\$\w+$") & bare.contains("."), "suspicious").otherwise("needs_trace")
+    return F.when(literal, "safe").when(~arg.rlike(r"^\$\w+$") & F.regexp_replace(bare, r"\d+\.\d+", "").contains("."), "suspicious").otherwise("needs_trace")
 
 
 def with_safety(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("arg_safety", F.transform("args", arg_safety))
+    return hits.withColumn("arg_safety", F.zip_with("args", "outers", arg_safety))
 
 
 def traceable(hits: DataFrame) -> DataFrame:
@@ -280,42 +252,52 @@ def check_then_include(scoped: DataFrame) -> DataFrame:
     return line_hits(scoped).where(F.col("call_type") == "race_condition")
 
 
+def _names() -> Column:
+    """Whether a statement calls anything that a table or a context rule asks for."""
+    known = sorted({n for t in (K.FUNCTION_SINKS, K.METHOD_SINKS) for n, _ in K.pairs(t)} | {n.split("::")[1] for n, _ in K.pairs(K.STATIC_SINKS)}
+                   | set(K.BULK_METHODS + K.WPDB_METHODS + K.MONGO_METHODS + K.REDIS_METHODS))
+    tokens = F.regexp_extract_all("text", F.lit(r"(\$?[A-Za-z_]\w*)\s*\("), F.lit(1))
+    return F.exists(tokens, lambda n: n.isin(known) | n.startswith("$") | n.startswith("mcrypt_"))
+
+
 def scan_calls(lines: DataFrame) -> DataFrame:
     """All hits of the base scan with scope, arguments and argument safety.
 
-    One pass: each line yields its calls and its line hits together, calls are
-    looked up in the broadcast name table, and all hits of a row come out at once."""
-    hot = hot_keys(lines, FILE)
-    scoped = scopes(code_lines(lines, hot), hot)
-    keep = ["project", "path", "line", "in_function", "in_class", "namespace", "check_line"]
-    hit_type = "struct<sink_type:string,function:string,call_type:string>"
-    no_calls = F.array().cast("array<struct<seq:int,token:string,before:string,args:array<string>>>")
-    row = lambda call, hit: F.struct(call.alias("call"), hit.alias("own"))
-    from_calls = F.transform(F.coalesce(_call_array(), no_calls), lambda c: row(c, F.lit(None).cast(hit_type)))
-    from_line = F.transform(_line_array(), lambda h: row(F.lit(None).cast("struct<seq:int,token:string,before:string,args:array<string>>"), h))
-    rows = _call_parts(scoped.where(F.col("code") != "")).select(*keep, F.explode(F.concat(from_calls, from_line)).alias("_x"))
-    rows = rows.select(*keep, "_x.call.*", F.col("_x.own").alias("_own")).withColumn("_key", _table_key())
+    Lines give their own hits; statements give calls, which are looked up in the broadcast name table and in the rules
+    that depend on receiver, arguments or function. Both read the same ordered lines."""
+    keep = ["project", "path", "line", "in_function", "in_class", "namespace"]
+    scoped = scopes(code_lines(lines), hot_keys(lines, FILE)).where(F.col("code") != "").drop("text")
+    none = F.array().cast("array<string>")
+    own = line_hits(scoped).select(*keep, none.alias("args"), none.alias("outers"), "sink_type", "function", "call_type")
+    rows = calls(scoped.drop("check_line"), _names()).withColumn("_key", _table_key())
     looked = rows.join(F.broadcast(_table(lines.sparkSession)), "_key", "left")
-    hits = F.concat(F.array_compact(F.array(F.col("_own"), _table_hit())), F.when(F.col("token").isNotNull(), _context_array()).otherwise(
-        F.array().cast(f"array<{hit_type}>")))
-    out = looked.withColumn("_h", F.explode(hits)).select(*keep, "args", "_h.*")
-    line = F.when(F.col("function").startswith("file_exists() +"), F.col("check_line")).otherwise(F.col("line"))
-    out = out.withColumn("line", line).withColumn("args", F.coalesce("args", F.array().cast("array<string>")))
-    return with_safety(out).select(*HIT, "args", "arg_safety", "in_function", "in_class", "namespace")
+    hits = F.concat(F.array_compact(F.array(_table_hit())), _context_array())
+    called = looked.withColumn("_h", F.explode(hits)).select(*keep, "args", "outers", "_h.*")
+    return with_safety(own.unionByName(called)).select(*HIT, "args", "arg_safety", "in_function", "in_class", "namespace")
+
+
+def unparsed(lines: DataFrame) -> DataFrame:
+    """project, path of the files that end inside a string, a comment or a parenthesis, or close more than they open."""
+    rows = code_lines(lines).withColumn("_o", opened(F.col("code")))
+    ends = rows.groupBy(*FILE).agg(F.max(F.struct("line", "lex_out")).alias("end"), F.sum("_o").alias("open"))
+    return ends.where((F.col("end.lex_out") != 0) | (F.col("open") != 0)).select(*FILE)
 
 
 def scan_summary(lines: DataFrame, hits: DataFrame) -> DataFrame:
     files = lines.groupBy("project").agg(F.countDistinct("path").alias("files"))
-    return files.join(hits.groupBy("project").agg(F.count(F.lit(1)).alias("sinks")), "project", "left").fillna(0, ["sinks"])
+    errors = unparsed(lines).groupBy("project").agg(F.count(F.lit(1)).alias("parse_errors"))
+    sinks = hits.groupBy("project").agg(F.count(F.lit(1)).alias("sinks"))
+    return files.join(sinks, "project", "left").join(errors, "project", "left").fillna(0, ["sinks", "parse_errors"])
 
 
 # --- pattern rules -------------------------------------------------------------------------
 
 def pattern_hits(lines: DataFrame, rules: list[tuple[str, str]], text: str = "code") -> DataFrame:
     """(rule id, pattern) pairs evaluated in one projection; one row per line and rule that matches."""
-    ids = F.array_compact(F.array(*[F.when(F.col(text).rlike(rx), F.lit(rid)) for rid, rx in rules]))
+    names = F.array(*[F.lit(rid) for rid, _ in rules])
+    ids = F.transform(matched(text, [rx for _, rx in rules]), lambda i: F.get(names, i))
     return lines.where(F.col(text) != "").select(
-        *[c for c in lines.columns if c not in ("text", "code")], F.explode(ids).alias("rule"))
+        *[c for c in lines.columns if c not in OF_LINES], F.explode(ids).alias("rule"))
 
 
 def line_rules(families=None) -> list[tuple[str, str]]:
@@ -328,47 +310,57 @@ def scope_rules(scope: str, families=None) -> list[tuple[str, str, str | None, s
             for n, r in enumerate(rs, 1) if r[0] == scope]
 
 
+#: What a rule holds of: its columns; the others are null.
+SCOPES = {"line": ["project", "path", "line"], "function": ["project", "path", "in_function"], "file": ["project", "path"], "project": ["project"]}
+
+
+def rule_hits(lines: DataFrame, rules: list[tuple[str, str, str, str | None, str | None]]) -> DataFrame:
+    """scope, project, path, in_function, line, rule of rules (scope, id, first, then, never).
+
+    Every distinct pattern is tried once per line. A hit counts for each scope that asks for its pattern; per scope and
+    pattern only the first and last line are kept, combined before the shuffle, and rules are decided on these."""
+    patterns = sorted({p for r in rules for p in r[2:] if p})
+    number = {p: i for i, p in enumerate(patterns)}
+    asked = [[s for s in SCOPES if any(r[0] == s and p in r[2:] for r in rules)] for p in patterns]
+    wanted = F.array(*[F.array(*[F.lit(s) for s in scopes]) for scopes in asked])
+    keys = [c for c in ("project", "path", "line", "in_function") if c in lines.columns]
+    hits = lines.where(F.col("code") != "").select(*keys, F.explode(matched("code", patterns)).alias("id"))
+    hits = hits.select(*keys, "id", F.explode(F.get(wanted, F.col("id"))).alias("scope"))
+    if "in_function" in keys:
+        hits = hits.where((F.col("scope") != "function") | F.col("in_function").isNotNull())
+    of = lambda c, kind: F.when(F.col("scope").isin([s for s, own in SCOPES.items() if c in own]), F.col(c) if c in keys else F.lit(None)).cast(kind).alias(c if c != "line" else "at")
+    place = F.when(F.col("scope") == "project", F.lit(1)).otherwise(F.col("line"))
+    group = ["scope", "project", "path", "in_function", "at"]
+    each = hits.select("scope", "project", of("path", "string"), of("in_function", "string"), of("line", "int"), "id", place.alias("place"))
+    each = each.groupBy(*group, "id").agg(F.min("place").alias("a"), F.max("place").alias("b"))
+    held = each.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("a", "b")))).alias("m"))
+
+    def rows(scope: str) -> Column:
+        own = [F.struct(F.lit(rid).alias("rule"), *[F.lit(number.get(p)).cast("int").alias(n) for n, p in zip(("first", "then", "never"), ps)]) for s, rid, *ps in rules if s == scope]
+        return F.array(*own) if own else F.array().cast("array<struct<rule:string,first:int,then:int,never:int>>")
+
+    def holds(r: Column) -> Column:
+        first, then, never = (F.try_element_at("m", r[n]) for n in ("first", "then", "never"))
+        return first.isNotNull() & (r["then"].isNull() | F.coalesce(then["b"] >= first["a"], F.lit(False))) & (r["never"].isNull() | never.isNull())
+
+    found = F.lit(None)
+    for scope in SCOPES:
+        found = F.when(F.col("scope") == scope, F.transform(F.filter(rows(scope), holds), lambda r: F.struct(r["rule"].alias("rule"), F.try_element_at("m", r["first"])["a"].alias("line")))).otherwise(found)
+    out = held.select("scope", "project", "path", "in_function", F.explode(found).alias("_h")).select("scope", "project", "path", "in_function", "_h.*")
+    return out.withColumn("line", F.when(F.col("scope") != "project", F.col("line")))
+
+
 def scope_hits(lines: DataFrame, scope: str, rules=None) -> DataFrame:
-    """Rules over a whole function, file or project, in one aggregation.
-
-    Per rule it keeps the first line of the first step, the last line of the
-    second and whether the excluded text occurs; partial aggregation keeps a
-    large project cheap."""
-    rules = rules or scope_rules(scope)
-    keys = {"function": [*FILE, "in_function"], "file": FILE, "project": ["project"]}[scope]
-    rows = lines.where(F.col("in_function").isNotNull()) if scope == "function" else lines
-    place = F.col("line") if scope != "project" else F.lit(1)
-    aggs = []
-    for i, (_, first, then, never) in enumerate(rules):
-        aggs.append(F.min(F.when(F.col("code").rlike(first), place)).alias(f"_a{i}"))
-        if then:
-            aggs.append(F.max(F.when(F.col("code").rlike(then), place)).alias(f"_b{i}"))
-        if never:
-            aggs.append(F.max(F.col("code").rlike(never)).alias(f"_n{i}"))
-    g = rows.groupBy(*keys).agg(*aggs)
-    ids = []
-    for i, (rid, _, then, never) in enumerate(rules):
-        ok = F.col(f"_a{i}").isNotNull()
-        if then:
-            ok = ok & (F.col(f"_b{i}") >= F.col(f"_a{i}"))
-        if never:
-            ok = ok & ~F.col(f"_n{i}")
-        ids.append(F.when(ok, F.struct(F.lit(rid).alias("rule"), F.col(f"_a{i}").alias("line"))))
-    return g.select(*keys, F.explode(F.array_compact(F.array(*ids))).alias("_h")).select(*keys, "_h.*")
+    """Rules over a whole function, file or project."""
+    own = [(scope, *r) for r in (rules or scope_rules(scope))]
+    return rule_hits(lines, own).select(*[c for c in SCOPES[scope] if c != "line"], "rule", "line")
 
 
 def family_hits(lines: DataFrame, families=None) -> DataFrame:
-    """Hits of the specialist families at every scope: project, path, line, rule."""
-    cols = ["project", "path", "line", "rule"]
-    parts = [pattern_hits(lines, line_rules(families)).select(*cols)]
-    for scope in ("function", "file", "project"):
-        rules = scope_rules(scope, families)
-        if rules:
-            h = scope_hits(lines, scope, rules)
-            if scope == "project":
-                h = h.withColumn("path", F.lit(None).cast("string")).withColumn("line", F.lit(None).cast("int"))
-            parts.append(h.select(*cols))
-    return reduce(DataFrame.unionByName, parts)
+    """Hits of the specialist families at every scope, from one pass over scoped lines: project, path, line, rule."""
+    rules = [("line", rid, rx, None, None) for rid, rx in line_rules(families)]
+    rules += [(scope, *r) for scope in ("function", "file", "project") for r in scope_rules(scope, families)]
+    return rule_hits(lines, rules).select("project", "path", "line", "rule")
 
 
 def catalogue_hits(lines: DataFrame, catalogue=None) -> DataFrame:

@@ -1,13 +1,17 @@
 """Source lines derived from orders: forty orders make one file.
 
-Eleven lines of a file are its frame (namespace, class, functions, a block
-comment); the customer number picks the text of every other line.
+Some lines of a file are its frame (namespace, class, functions, a block
+comment, calls and a string over three lines, in some files a string that never
+ends); the customer number picks the text of every other line.
 """
 
 FRAME = {
     0: ["<?php", "<?php //0abc", "<?php @Zend;"], 1: ["namespace App;"],
     2: ["class UserType {", "class OrderService {", "class GraphQLQuery {", "class CartModel {"],
     5: ["public function makeToken($request) {", "public function handle($request) {", "public function login($request) {"],
+    7: ["$out = system(", "file_put_contents($p,", "$c = openssl_encrypt($d,", "$user->fill(", "$q = 'select system("],
+    8: ["    $_GET['c'] // system($x)", "    serialize([$d, f(g(h(i($a))))]),", "    'aes-128-ecb', /* a, b", "    $request->all()", "  exec($x) // not a comment"],
+    9: [");", "    LOCK_EX);", "    md5($x) */ $key);", ");", "from t';"], 38: ["return 1;", "$y = 2;", "", "$x = \"never ends"],
     14: ["}"], 15: ["public function login($request) {", "public function logout() {", "public function upload($request) {"], 24: ["}"],
     25: ["public function resolve($root) {", "public function show($id) {"], 33: ["}"], 34: ["/* legacy", "// old"], 36: ["end of legacy */", "// end"], 39: ["}"],
 }

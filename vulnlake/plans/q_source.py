@@ -15,11 +15,19 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-CODE_SQL = rf"""m AS (SELECT *, contains(regexp_replace(text, {lit(X.STRING + '|' + X.LINE_COMMENT + '|' + X.BLOCK_COMMENT)}, '', 'g'), '/*') AS opens, contains(text, '*/') AS closes FROM fx_lines),
-w AS (SELECT *, COALESCE(max(CASE WHEN opens THEN line END) OVER p, 0) AS o, COALESCE(max(CASE WHEN closes AND NOT opens THEN line END) OVER p, 0) AS k FROM m
- WINDOW p AS (PARTITION BY project, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-b AS (SELECT project, path, line, CASE WHEN o > k THEN CASE WHEN closes THEN regexp_replace(text, '^.*?\*/', '') ELSE '' END ELSE text END AS t FROM w),
-src AS (SELECT project, path, line, regexp_replace(t, {lit(X.COMMENTS)}, '\1', 'g') AS code FROM b)"""
+#: Tokens of a whole file: strings, comments, definitions, calls, names, line ends, single characters.
+TOKEN = (r"(?s)'[^'\\]*(?:\\.[^'\\]*)*'?|\x22[^\x22\\]*(?:\\.[^\x22\\]*)*\x22?|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|/\*.*|//[^\n]*|#[^\[\n][^\n]*|"
+         r"function[ \t]+&?\w+[ \t]*\(|(?:->|::|\$)?[A-Za-z_]\w*[ \t]*\(|(?:->|::|\$)?[A-Za-z_]\w*|\n|.")
+#: Reads files whole, unlike the operator: tokens of the joined text, then the code of each line from the tokens on it.
+CODE_SQL = rf"""tx AS (SELECT project, path, string_agg(text, chr(10) ORDER BY line) AS t, list(line ORDER BY line) AS ls FROM fx_lines GROUP BY 1, 2),
+t0 AS (SELECT project, path, ls, regexp_extract_all(t, {lit(TOKEN)}) AS ts FROM tx),
+t1 AS (SELECT project, path, ls, unnest(ts) AS tok, generate_subscripts(ts, 1) AS pos FROM t0),
+t2 AS (SELECT *, string_split(tok, chr(10)) AS parts, left(tok, 1) IN (chr(39), chr(34)) AS quoted, regexp_matches(tok, '^(//|/[*]|#[^\[])') AS comment,
+ length(tok) > 1 AND right(tok, 1) = left(tok, 1) AS ended,
+ CAST(COALESCE(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER (PARTITION BY project, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS nl FROM t1),
+tp AS (SELECT project, path, ls, pos, nl, parts, quoted, ended, left(tok, 1) AS q, unnest(range(1, len(parts) + 1)) AS i FROM t2 WHERE NOT comment AND tok <> chr(10)),
+tl AS (SELECT project, path, ls[nl + i] AS line, pos, i, CASE WHEN quoted THEN (CASE WHEN i > 1 THEN q ELSE '' END) || parts[i] || (CASE WHEN i < len(parts) OR NOT ended THEN q ELSE '' END) ELSE parts[i] END AS piece FROM tp),
+src AS (SELECT project, path, line, COALESCE(string_agg(piece, '' ORDER BY pos, i), '') AS code FROM fx_lines LEFT JOIN tl USING (project, path, line) GROUP BY 1, 2, 3)"""
 DEPTH_SQL = r"""dp AS (SELECT *, length(code) - length(replace(code, '{', '')) - (length(code) - length(replace(code, '}', ''))) AS delta,
  COALESCE(SUM(length(code) - length(replace(code, '{', '')) - (length(code) - length(replace(code, '}', '')))) OVER (PARTITION BY project, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d,
  regexp_extract(code, '^\s*(?:abstract\s+|final\s+)*class\s+(\w+)', 1) AS cn, regexp_extract(code, '\bfunction\s+&?(\w+)\s*\(', 1) AS fn,
@@ -35,10 +43,20 @@ qs AS (SELECT *, max(CASE WHEN (d > cd OR (line = cl AND contains(code, '{'))) A
 kl AS (SELECT *, CASE WHEN cl IS NOT NULL AND (line = cl OR (d > cd AND (qc IS NULL OR qc < cl))) THEN cname END AS in_class FROM qs),
 scoped AS (SELECT project, path, line, code, d, in_class, CASE WHEN fl IS NOT NULL AND (line = fl OR (d > fd AND (qf IS NULL OR qf < fl))) AND (in_class IS NULL OR fl > cl) THEN fname END AS in_function,
  CASE WHEN il IS NOT NULL AND (line = il OR (d > idp AND (qi IS NULL OR qi < il))) THEN il END AS in_check FROM kl)"""
-CALLS_SQL = rf"""c0 AS (SELECT project, path, line, regexp_replace(code, {lit(X.DEFINITION)}, '(', 'g') AS c FROM src),
-c1 AS (SELECT *, string_split_regex(c, {lit(X.STRING)}) AS gs, regexp_extract_all(c, {lit('(' + X.STRING + ')')}, 1) AS qs FROM c0),
-cd AS (SELECT project, path, line, array_to_string(list_transform(range(1, len(gs) + 1), lambda j: gs[j] || COALESCE(translate(qs[j], '()', chr(1) || chr(2)), '')), '') AS c FROM c1),
-tk AS (SELECT project, path, line, unnest(regexp_extract_all(c, {lit(X.CALL_NAME)}, 1)) AS token, c FROM cd WHERE contains(c, '('))"""
+CALLS_SQL = rf"""t3 AS (SELECT project, path, ls[nl + 1] AS line, pos, tok, quoted, NOT quoted AND right(tok, 1) IN ('(', '[', '{{') AS opens, tok IN (')', ']', '}}') AS closes FROM t2 WHERE NOT comment),
+t4 AS (SELECT *, sum(opens::INT - closes::INT) OVER (PARTITION BY project, path ORDER BY pos) AS d FROM t3),
+tk AS (SELECT project, path, line, pos, d, regexp_extract(tok, {lit(X.CALL_NAME)}, 1) AS token FROM t4 WHERE opens AND right(tok, 1) = '(' AND tok <> '(' AND NOT regexp_matches(tok, '^function[ \t]+&?\w'))"""
+ARG_SQL = r"""ce AS (SELECT k.*, COALESCE(c.pos, 1000000000) AS stop FROM tk k ASOF LEFT JOIN (SELECT * FROM t4 WHERE closes) c ON c.project = k.project AND c.path = k.path AND c.d = k.d - 1 AND k.pos < c.pos),
+an AS (SELECT ce.project, ce.path, ce.line, ce.pos AS cpos, ce.token, t.pos, t.tok, t.quoted, t.opens, t.closes, t.d - ce.d AS r, t.tok = ',' AND t.d = ce.d AS cut,
+ sum(CASE WHEN t.tok = ',' AND t.d = ce.d THEN 1 ELSE 0 END) OVER (PARTITION BY ce.project, ce.path, ce.pos ORDER BY t.pos) AS i FROM ce JOIN t4 t ON t.project = ce.project AND t.path = ce.path AND t.pos > ce.pos AND t.pos < ce.stop),
+ag AS (SELECT project, path, line, cpos, token, i, trim(regexp_replace(string_agg(CASE WHEN cut THEN '' ELSE tok END, '' ORDER BY pos), '\s*\n\s*', ' ', 'g')) AS arg,
+ string_agg(CASE WHEN cut THEN '' WHEN r = 0 AND quoted THEN '''''' WHEN r = 0 AND NOT closes THEN tok WHEN r = 1 AND opens THEN tok ELSE '' END, '' ORDER BY pos) AS bare FROM an GROUP BY 1, 2, 3, 4, 5, 6),
+ar AS (SELECT *, row_number() OVER (PARTITION BY project, path, cpos ORDER BY i) AS n FROM ag WHERE arg <> ''),
+sf AS (SELECT *, CASE WHEN regexp_matches(arg, '^(''[^'']*''|\x22[^\x22$]*\x22|\d+(\.\d+)?)$') THEN 'safe' WHEN NOT regexp_matches(arg, '^\$\w+$')
+ AND contains(regexp_replace(regexp_replace(bare, '^\s*\.\.\.', ''), '\d+\.\d+', '', 'g'), '.') THEN 'suspicious' ELSE 'needs_trace' END AS safety FROM ar)"""
+#: Calls with single arguments beside them.
+WITH_ARGS = f"""{CALLS_SQL}, {ARG_SQL}, ca AS (SELECT k.*, a1.arg AS arg1, a2.arg AS arg2, a3.arg AS arg3 FROM tk k LEFT JOIN ar a1 ON a1.project = k.project AND a1.path = k.path AND a1.cpos = k.pos AND a1.n = 1
+ LEFT JOIN ar a2 ON a2.project = k.project AND a2.path = k.path AND a2.cpos = k.pos AND a2.n = 2 LEFT JOIN ar a3 ON a3.project = k.project AND a3.path = k.path AND a3.cpos = k.pos AND a3.n = 3)"""
 
 
 def code(t):
@@ -46,8 +64,7 @@ def code(t):
 
 
 def scoped(t):
-    hot = X.hot_keys(t.fx_lines, X.FILE)
-    return X.scopes(X.code_lines(t.fx_lines, hot), hot)
+    return X.scopes(X.code_lines(t.fx_lines), X.hot_keys(t.fx_lines, X.FILE))
 
 
 @query("R02_numbered_lines", """
@@ -68,7 +85,7 @@ def function_calls(t):
     return rows.groupBy("sink_type", "function").agg(F.count("*").alias("hits"))
 
 
-@query("F02_entity_loader", f"""WITH {CODE_SQL} SELECT project, path, line FROM src WHERE regexp_matches(code, 'libxml_disable_entity_loader\\s*\\(') AND NOT regexp_matches(code, '(?i)libxml_disable_entity_loader\\s*\\(\\s*true')""")
+@query("F02_entity_loader", f"""WITH {CODE_SQL}, {WITH_ARGS} SELECT project, path, line FROM ca WHERE token = 'libxml_disable_entity_loader' AND lower(COALESCE(arg1, '')) <> 'true'""")
 def entity_loader(t):
     return X.table_hits(X.calls(code(t))).where("function = 'libxml_disable_entity_loader'").select("project", "path", "line")
 
@@ -113,7 +130,8 @@ def _context_query(key, where_spark, sql, cols=("project", "path", "line", "func
 _context_query("F06_dynamic_function", "call_type = 'dynamic_call'",
                rf"WITH {CODE_SQL}, x AS (SELECT project, path, line, unnest(regexp_extract_all(code, '(?:^|[^\w>:$])(\$[A-Za-z_]\w*)\s*\(', 1)) AS token FROM src) SELECT project, path, line, token || '()' AS function FROM x")
 _context_query("F11_bulk_assignment", "sink_type = 'MassAssignment'",
-               rf"WITH {CODE_SQL} SELECT project, path, line, '->' || regexp_extract(code, '->(fill|update|create)\s*\(', 1) || '($request->all())' AS function FROM src WHERE regexp_matches(code, '->(?:fill|update|create)\s*\([^;]*->all\s*\(\s*\)')")
+               rf"""WITH {CODE_SQL}, {WITH_ARGS} SELECT project, path, line, token || '($request->all())' AS function FROM tk WHERE token IN ('->fill', '->update', '->create')
+ AND EXISTS (SELECT 1 FROM ar WHERE ar.project = tk.project AND ar.path = tk.path AND ar.cpos = tk.pos AND regexp_matches(arg, '->all\s*\(\s*\)$'))""")
 _context_query("F12_wpdb_calls", "sink_type = 'WordPress'",
                rf"WITH {CODE_SQL} SELECT project, path, line, '$wpdb->' || regexp_extract(code, '\$wpdb->(query|get_results|get_row|get_var)\s*\(', 1) || '()' AS function FROM src WHERE regexp_matches(code, '\$wpdb->(query|get_results|get_row|get_var)\s*\(')")
 _context_query("F13_nosql_receivers", "sink_type = 'NoSQL'",
@@ -121,15 +139,16 @@ _context_query("F13_nosql_receivers", "sink_type = 'NoSQL'",
  regexp_extract(code, '->(find|findOne|aggregate|updateOne|deleteMany|insertOne|eval|rawCommand)\s*\(', 1) AS m FROM src)
  SELECT project, path, line, CASE WHEN m IN ('eval', 'rawCommand') THEN 'Redis' ELSE 'MongoDB' END || '->' || m || '()' AS function FROM x WHERE r <> '' AND regexp_matches(r, '{"|".join(K.NOSQL_RECEIVERS)}')""")
 _context_query("F14_weak_hash", "call_type = 'crypto_weak_hash'",
-               rf"WITH {CODE_SQL} SELECT project, path, line, regexp_extract(code, '\b(md5|sha1)\s*\(', 1) || '() on password variable' AS function FROM src WHERE regexp_matches(lower(code), '\b(?:md5|sha1)\s*\(\s*\$\w*(?:password|passwd|pass|pwd)\w*\s*\)')")
+               rf"""WITH {CODE_SQL}, {WITH_ARGS} SELECT project, path, line, token || '() on password variable' AS function FROM ca WHERE token IN ('md5', 'sha1') AND regexp_matches(arg1, '^\$[\w>-]+$')
+ AND regexp_matches(lower(regexp_extract(arg1, '(?:\$|->)(\w+)$', 1)), '{"|".join(K.PASSWORD_NAMES)}')""")
 _context_query("F15_weak_random", "call_type = 'crypto_weak_random'",
                rf"WITH {CODE_SQL}, {DEPTH_SQL} SELECT project, path, line, regexp_extract(code, '\b(rand|mt_rand)\s*\(', 1) || '() for security purpose ($' || in_function || ')' AS function FROM scoped WHERE regexp_matches(code, '\b(?:rand|mt_rand)\s*\(') AND regexp_matches(lower(in_function), '{'|'.join(K.SECURITY_SCOPES)}')")
 _context_query("F16_ecb_mode", "call_type = 'crypto_ecb'",
-               rf"WITH {CODE_SQL} SELECT project, path, line, 'openssl_encrypt() with ECB mode' AS function FROM src WHERE regexp_matches(lower(code), 'openssl_encrypt\s*\([^,]*,\s*''[^'']*ecb')")
+               rf"""WITH {CODE_SQL}, {WITH_ARGS} SELECT project, path, line, 'openssl_encrypt() with ECB mode' AS function FROM ca WHERE token = 'openssl_encrypt' AND regexp_matches(arg2, '(?i)^[''\x22].*ecb')""")
 _context_query("F17_deprecated_crypto", "call_type = 'crypto_deprecated'",
                rf"WITH {CODE_SQL}, {CALLS_SQL} SELECT project, path, line, token || '() (deprecated)' AS function FROM tk WHERE starts_with(token, 'mcrypt_')")
 _context_query("F19_write_without_lock", "sink_type = 'RaceCondition'",
-               rf"WITH {CODE_SQL} SELECT project, path, line, 'file_put_contents() without LOCK_EX' AS function FROM src WHERE regexp_matches(code, 'file_put_contents\s*\(') AND NOT contains(code, 'LOCK_EX')")
+               rf"""WITH {CODE_SQL}, {WITH_ARGS} SELECT project, path, line, 'file_put_contents() without LOCK_EX' AS function FROM ca WHERE token = 'file_put_contents' AND NOT contains(COALESCE(arg3, ''), 'LOCK_EX')""")
 
 
 @query("F08_weak_comparison", rf"""WITH {CODE_SQL}, x AS (SELECT project, path, line, unnest(regexp_extract_all(code, {lit('(' + X.COMPARISON + ')')}, 1)) AS c FROM src),
@@ -157,35 +176,33 @@ def scope_rows(t):
     return scoped(t).select("project", "path", "line", "in_class", "in_function")
 
 
-ARG_SQL = rf"""ix AS (SELECT project, path, line, c, regexp_extract_all(c, {lit('(' + X.CALL + ')')}, 1) AS full_t, string_split_regex(c, {lit(X.CALL)}) AS gaps FROM cd WHERE contains(c, '(')),
-cl AS (SELECT project, path, line, c, i, regexp_extract(full_t[i], {lit(X.CALL_NAME)}, 1) AS token,
- regexp_extract(substr(c, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(full_t[1:i], lambda x: length(x))) + 1 AS BIGINT)), {lit(X.ARGS)}, 1) AS args_text
- FROM ix, range(1, 40) r(i) WHERE i <= len(full_t)),
-ar AS (SELECT project, path, line, i, token, translate(trim(unnest(regexp_extract_all(args_text, {lit(X.ONE_ARG)}, 1))), chr(1) || chr(2), '()') AS arg FROM cl),
-sf AS (SELECT *, CASE WHEN regexp_matches(arg, '^(''[^'']*''|\x22[^\x22$]*\x22|\d+(\.\d+)?)$') THEN 'safe' WHEN NOT regexp_matches(arg, '^\$\w+$')
- AND contains(regexp_replace(regexp_replace(arg, '''[^'']*''|\x22[^\x22]*\x22|\((?:[^()]|\([^()]*\))*\)', '', 'g'), '\d+\.\d+', '', 'g'), '.') THEN 'suspicious' ELSE 'needs_trace' END AS safety FROM ar WHERE arg <> '')"""
-
-
-@query("F22_argument_safety", rf"WITH {CODE_SQL}, {CALLS_SQL.split('tk AS')[0].rstrip().rstrip(',')}, {ARG_SQL} SELECT token, arg, safety, COUNT(*) AS uses FROM sf GROUP BY 1, 2, 3")
+@query("F22_argument_safety", f"WITH {CODE_SQL}, {CALLS_SQL}, {ARG_SQL} SELECT token, arg, safety, COUNT(*) AS uses FROM sf GROUP BY 1, 2, 3")
 def safety(t):
-    c = X.calls(code(t)).select("token", F.explode("args").alias("arg"))
-    return c.select("token", "arg", X.arg_safety(F.col("arg")).alias("safety")).groupBy("token", "arg", "safety").agg(F.count("*").alias("uses"))
+    c = X.with_safety(X.calls(code(t))).select("token", F.explode(F.arrays_zip("args", "arg_safety")).alias("a"))
+    return c.select("token", F.col("a.args").alias("arg"), F.col("a.arg_safety").alias("safety")).groupBy("token", "arg", "safety").agg(F.count("*").alias("uses"))
 
 
-@query("F23_traceable_calls", rf"""WITH {CODE_SQL}, {CALLS_SQL.split('tk AS')[0].rstrip().rstrip(',')}, {ARG_SQL}, k(name, sink_type) AS (VALUES {values(K.pairs(K.FUNCTION_SINKS))}),
-g AS (SELECT project, path, line, i, token, bool_or(safety <> 'safe') AS tr FROM sf JOIN k ON token = name WHERE NOT (token = 'libxml_disable_entity_loader' AND lower(arg) = 'true') GROUP BY 1, 2, 3, 4, 5)
+@query("F23_traceable_calls", f"""WITH {CODE_SQL}, {CALLS_SQL}, {ARG_SQL}, k(name, sink_type) AS (VALUES {values(K.pairs(K.FUNCTION_SINKS))}),
+g AS (SELECT project, path, line, cpos, token, bool_or(safety <> 'safe') AS tr FROM sf JOIN k ON token = name WHERE NOT (token = 'libxml_disable_entity_loader' AND lower(arg) = 'true') GROUP BY 1, 2, 3, 4, 5)
 SELECT token, COUNT(*) AS hits FROM g WHERE tr GROUP BY 1""")
 def traceable(t):
     h = X.with_safety(X.table_hits(X.calls(code(t))).where("call_type = 'func_call'"))
     return X.traceable(h).groupBy("token").agg(F.count("*").alias("hits"))
 
 
-@query("F24_scan_summary", f"""WITH {CODE_SQL}, {CALLS_SQL}, k(name, sink_type) AS (VALUES {values(K.pairs(K.METHOD_SINKS))}),
-h AS (SELECT project, COUNT(*) AS sinks FROM tk JOIN k ON token = '->' || name GROUP BY 1), f AS (SELECT project, COUNT(DISTINCT path) AS files FROM fx_lines GROUP BY 1)
-SELECT f.project, files, COALESCE(sinks, 0) AS sinks FROM f LEFT JOIN h USING (project)""")
+TABLES = [("f", n) for n, _ in K.pairs(K.FUNCTION_SINKS)] + [("m", n) for n, _ in K.pairs(K.METHOD_SINKS)] + [("s", n) for n, _ in K.pairs(K.STATIC_SINKS)]
+
+
+@query("F24_scan_summary", f"""WITH {CODE_SQL}, {WITH_ARGS}, k(kind, name) AS (VALUES {values(TABLES)}),
+x AS (SELECT ca.*, CASE WHEN starts_with(ca.token, '::') THEN b.tok END AS klass FROM ca LEFT JOIN t4 b ON b.project = ca.project AND b.path = ca.path AND b.pos = ca.pos - 1),
+h AS (SELECT project, COUNT(*) AS sinks FROM x JOIN k ON name = CASE kind WHEN 'f' THEN token WHEN 'm' THEN substr(token, 3) ELSE klass || token END AND (kind <> 'm' OR starts_with(token, '->'))
+ WHERE NOT (token = 'libxml_disable_entity_loader' AND lower(COALESCE(arg1, '')) = 'true') GROUP BY 1),
+e AS (SELECT project, path, bool_or((quoted AND NOT ended) OR (starts_with(tok, '/*') AND NOT ends_with(tok, '*/')))
+ OR sum(CASE WHEN quoted OR comment THEN 0 WHEN right(tok, 1) = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END) <> 0 AS bad FROM t2 GROUP BY 1, 2),
+f AS (SELECT project, COUNT(*) AS files, CAST(sum(bad::INT) AS BIGINT) AS parse_errors FROM e GROUP BY 1)
+SELECT f.project, files, COALESCE(sinks, 0) AS sinks, parse_errors FROM f LEFT JOIN h USING (project)""")
 def summary(t):
-    h = X.table_hits(X.calls(code(t))).where("call_type = 'method_call'")
-    return X.scan_summary(t.fx_lines, h)
+    return X.scan_summary(t.fx_lines, X.table_hits(X.calls(code(t))))
 
 
 def union_rules(rules, source="src") -> str:
@@ -241,9 +258,12 @@ for _n, _family in enumerate(P.PATTERNS, 1):
     _family_query(_n, _family)
 
 
-@query("F26_all_families", f"""WITH {CODE_SQL}, h AS ({union_rules(X.line_rules())}) SELECT rule, COUNT(*) AS hits FROM h GROUP BY 1""")
+ALL_RULES = [f"SELECT rule FROM ({union_rules(X.line_rules(), 'scoped')})"] + [f"SELECT rule FROM ({scope_sql(s, X.scope_rules(s))})" for s in ("function", "file", "project")]
+
+
+@query("F26_all_families", f"""WITH {CODE_SQL}, {DEPTH_SQL}, h AS ({' UNION ALL '.join(ALL_RULES)}) SELECT rule, COUNT(*) AS hits FROM h GROUP BY 1""")
 def all_families(t):
-    return X.pattern_hits(code(t), X.line_rules()).groupBy("rule").agg(F.count("*").alias("hits"))
+    return X.family_hits(scoped(t)).groupBy("rule").agg(F.count("*").alias("hits"))
 
 
 # The whole scan is the sum of its rules: (query, sink type, call type); None keeps the column of the part.
