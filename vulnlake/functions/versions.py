@@ -58,9 +58,10 @@ def constraint_bounds(rule: str | Column) -> Column:
     parts = lambda t: F.transform(F.split(t, "[.]"), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
 
     def next_after(text: Column, at: Column) -> Column:
-        """Key of the first version beyond all that agree with ``text`` in its first ``at`` parts."""
+        """Lowest key beyond all versions that agree with ``text`` in its first ``at`` parts; that of a pre-release, so that
+        those of the next version lie beyond it as well."""
         raised = F.transform(F.slice(parts(text), F.lit(1), at), lambda x, i: F.when(i + 1 == at, x + 1).otherwise(x))
-        return F.concat(raised, _longs(0))
+        return F.concat(raised, _longs(-1, 0))
 
     size = lambda t: F.size(F.split(t, "[.]"))
     first = F.array_position(F.transform(parts(plain), lambda x: x != 0), True).cast("int")
@@ -109,10 +110,13 @@ def match_advisories(packages: DataFrame, advisories: DataFrame, version="versio
     """Affected (package, version, advisory) with how many projects install it.
 
     Installations are counted per distinct version first, so a package that
-    every project uses is matched once per version, not once per project."""
+    every project uses is matched once per version, not once per project; and
+    versions meet only the advisories that hold them (``interval_join``)."""
+    from vulnlake.operators.intervals import interval_join
+
     versions = packages.groupBy("package", version).agg(F.count(F.lit(1)).alias("installs"), F.countDistinct("project").alias("projects"))
     k = versions.withColumn("_k", version_key(version))
-    return k.join(advisories, "package").where((F.col("_k") >= F.col(lo)) & (F.col("_k") < F.col(hi))).drop("_k")
+    return interval_join(k, advisories, ["package"], "_k", lo, hi).drop("_k")
 
 
 def near_names(names: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vulnlake.functions import score as S
+from vulnlake.operators.paths import k_best_paths
 from vulnlake.operators import graph as G
 from vulnlake.plans.registry import query
 from vulnlake.rules import correlation as R
@@ -199,8 +200,19 @@ def path_scores(t):
 k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path_score DESC, path_key) AS place FROM fin)
 SELECT project, path_key, path_score, CAST(place AS INT) AS place FROM k WHERE place <= 3""")
 def best_paths(t):
-    from vulnlake.operators.windows import top_paths
-    return top_paths(paths(t)).select("project", "path_key", "path_score", "place")
+    best = k_best_paths(t.fx_nodes, t.fx_edges.where(PATH_EDGES), F.expr(START), F.expr(GOAL))
+    return best.select("project", "path_key", "path_score", "place")
+
+
+LONG_SQL = PATH_SQL.replace("len(path) < 4", "len(path) < 7")
+
+
+@query("T06_top_paths_any_length", f"""WITH RECURSIVE {LONG_SQL},
+k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path_score DESC, path_key) AS place FROM fin)
+SELECT project, path_key, path_score, CAST(len AS INT) AS len, CAST(place AS INT) AS place FROM k WHERE place <= 5""")
+def best_long_paths(t):
+    best = k_best_paths(t.fx_nodes, t.fx_edges.where(PATH_EDGES), F.expr(START), F.expr(GOAL), k=5, steps=7)
+    return best.select("project", "path_key", "path_score", "len", "place")
 
 
 CM_SQL = f"""c(chain, steps) AS (VALUES {values(R.CHAINS.items())}), f(vuln_type, gives) AS (VALUES {values(R.FAMILY_STEPS.items())}),

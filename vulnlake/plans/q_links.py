@@ -41,6 +41,23 @@ def version_keys(t):
     return t.fx_packages.groupBy("version", (V.part(k, 0) * 1000000 + V.part(k, 1) * 1000 + V.part(k, 2)).alias("key")).agg(F.count("*").alias("n"))
 
 
+#: Constraints, and the ranges [lo, hi) they mean over ((major * 100 + minor) * 100 + patch) * 10 + 5, pre-releases with + 0.
+CONSTRAINTS = {
+    "^10.4": [(1004005, 1100000)], "~20.3": [(2003005, 2100000)], "~20.3.2": [(2003025, 2004000)], "30.*": [(3000005, 3100000)], ">=12.0 <15.0": [(1200005, 1500005)],
+    "^5.1 || ^40": [(501005, 600000), (4000005, 4100000)], "<=8.2.1": [(0, 802016)], "7.2.x || 1.0 - 3.4": [(702005, 703000), (100005, 304006)], ">11.3.3,<11.6": [(1103036, 1106005)], "*": [(0, 99999999)],
+}
+RANGES = [(rule, lo, hi) for rule, spans in CONSTRAINTS.items() for lo, hi in spans]
+
+
+@query("S16_constraints", f"""WITH c(rule, lo, hi) AS (VALUES {values(RANGES)}),
+v AS (SELECT version || CASE WHEN is_dev THEN '-beta2' ELSE '' END AS version, ((v_major * 100 + v_minor) * 100 + v_patch) * 10 + CASE WHEN is_dev THEN 0 ELSE 5 END AS key FROM fx_packages)
+SELECT rule, version, COUNT(*) AS n FROM v JOIN c ON key >= lo AND key < hi GROUP BY 1, 2""")
+def constraints(t):
+    rules = F.explode(F.array(*[F.lit(r) for r in CONSTRAINTS])).alias("rule")
+    v = t.fx_packages.select(F.concat("version", F.when(F.col("is_dev"), "-beta2").otherwise("")).alias("version")).groupBy("version").agg(F.count("*").alias("n"))
+    return v.select("version", "n", rules).where(V.satisfies(V.version_key("version"), F.col("rule")))
+
+
 RANGE_SQL = """v AS (SELECT package, version, v_major, COUNT(*) AS installs, COUNT(DISTINCT project) AS projects FROM fx_packages GROUP BY 1, 2, 3)"""
 
 
