@@ -37,11 +37,20 @@ DEFINITION = r"function\s+&?\w+\s*\("
 BEGINS = r"^\s*(?:(?:abstract|final|public|protected|private|static|readonly)\s+)*(?:function\s+&?\w+\s*\(|(?:class|interface|trait)\s+\w+|namespace\s+[\w\\]+\s*[;{])"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, evaluated as it stands and not compiled into the plan's code, which it would make too large."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _end_of(text: Column) -> Column:
     """State after a text that starts in code: what is left of it opens with the mark that nothing closes."""
     rest = F.regexp_replace(text, rf"{STRING}|{LINE_COMMENT}|{BLOCK_COMMENT}", " ")
-    mark = F.regexp_extract(rest, r"['\x22]|/\*", 0)
-    return F.when(mark == "'", SINGLE).when(mark == '"', DOUBLE).when(mark == "/*", BLOCK).otherwise(CODE)
+    mark = F.translate(F.substring(F.regexp_extract(rest, r"['\x22]|/\*", 0), 1, 1), "'\"/", f"{SINGLE}{DOUBLE}{BLOCK}")
+    return F.coalesce(mark.try_cast("int"), F.lit(CODE))
+
+
+def _end_in_code(text: Column) -> Column:
+    return F.when(text.rlike(r"['\x22]|/\*"), _end_of(text)).otherwise(CODE)
 
 
 def _resumed(text: Column, state: int) -> Column:
@@ -49,12 +58,14 @@ def _resumed(text: Column, state: int) -> Column:
     return F.regexp_replace(text, r"^.*?\*/" if state == BLOCK else rf"^{QUOTED[state]}{chr(39) if state == SINGLE else chr(34)}", "")
 
 
+def _end_from(text: Column, state: int) -> Column:
+    """State after a text that starts inside a string or comment."""
+    rest = let(_resumed(text, state), lambda r: F.when(F.length(r) < F.length(text), _end_in_code(r)).otherwise(state))
+    return F.when(text.contains({SINGLE: "'", DOUBLE: '"', BLOCK: "*/"}[state]), rest).otherwise(state)
+
+
 def line_map(text: Column) -> Column:
-    ends = [F.when(text.rlike(r"['\x22]|/\*"), _end_of(text)).otherwise(CODE)]
-    for state, mark in ((SINGLE, "'"), (DOUBLE, '"'), (BLOCK, "*/")):
-        rest = _resumed(text, state)
-        ends.append(F.when(text.contains(mark) & (F.length(rest) < F.length(text)), _end_of(rest)).otherwise(state))
-    return ends[0] + ends[1] * 4 + ends[2] * 16 + ends[3] * 64
+    return let(text, lambda t: _end_in_code(t) + _end_from(t, SINGLE) * 4 + _end_from(t, DOUBLE) * 16 + _end_from(t, BLOCK) * 64)
 
 
 def step(state: Column, line: Column) -> Column:
@@ -98,14 +109,16 @@ def code_lines(lines: DataFrame) -> DataFrame:
     states = start_states(lines).select(*[F.col(c).alias(f"_{c}") for c in (*FILE, "line")], "lex_in")
     same = (F.col("project").eqNullSafe(F.col("_project"))) & (F.col("path").eqNullSafe(F.col("_path"))) & (F.col("line") == F.col("_line"))
     rows = lines.join(states, same, "left").drop("_project", "_path", "_line").withColumn("lex_in", F.coalesce("lex_in", F.lit(CODE)))
-    text, state = F.col("text"), F.col("lex_in")
-    body = (F.when(state == BLOCK, F.when(text.contains("*/"), _resumed(text, BLOCK)).otherwise("")).when(state == SINGLE, F.concat(F.lit("'"), text))
-            .when(state == DOUBLE, F.concat(F.lit('"'), text)).otherwise(text))
-    end = F.when(state == CODE, F.when(text.rlike(r"['\x22]|/\*"), _end_of(text)).otherwise(CODE)).otherwise(step(state, line_map(text)))
-    rows = rows.withColumn("lex_out", end.cast("int"))
-    closed = F.when(F.col("lex_out") == SINGLE, F.lit("'")).when(F.col("lex_out") == DOUBLE, F.lit('"')).otherwise("")
-    kept = F.when(body.rlike(r"//|#|/\*"), F.regexp_replace(body, COMMENTS, "$1")).otherwise(body)
-    return rows.withColumn("code", F.concat(kept, closed))
+
+    def read(x: Column) -> Column:
+        text, state = x["text"], x["state"]
+        body = (F.when(state == BLOCK, F.when(text.contains("*/"), _resumed(text, BLOCK)).otherwise("")).when(state == SINGLE, F.concat(F.lit("'"), text))
+                .when(state == DOUBLE, F.concat(F.lit('"'), text)).otherwise(text))
+        kept = let(body, lambda b: F.when(b.rlike(r"//|#|/\*"), F.regexp_replace(b, COMMENTS, "$1")).otherwise(b))
+        end = F.when(state == CODE, _end_in_code(text)).when(state == SINGLE, _end_from(text, SINGLE)).when(state == DOUBLE, _end_from(text, DOUBLE)).otherwise(_end_from(text, BLOCK))
+        return let(end, lambda e: F.struct(F.concat(kept, F.when(e == SINGLE, F.lit("'")).when(e == DOUBLE, F.lit('"')).otherwise("")).alias("code"), e.cast("int").alias("lex_out")))
+
+    return rows.withColumn("_l", let(F.struct("text", F.col("lex_in").alias("state")), read)).select(*rows.columns, "_l.*")
 
 
 def count_of(code: Column, ch: str) -> Column:

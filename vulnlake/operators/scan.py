@@ -296,8 +296,7 @@ def pattern_hits(lines: DataFrame, rules: list[tuple[str, str]], text: str = "co
     """(rule id, pattern) pairs evaluated in one projection; one row per line and rule that matches."""
     names = F.array(*[F.lit(rid) for rid, _ in rules])
     ids = F.transform(matched(text, [rx for _, rx in rules]), lambda i: F.get(names, i))
-    return lines.where(F.col(text) != "").select(
-        *[c for c in lines.columns if c not in OF_LINES], F.explode(ids).alias("rule"))
+    return lines.select(*[c for c in lines.columns if c not in OF_LINES], F.explode(ids).alias("rule"))
 
 
 def line_rules(families=None) -> list[tuple[str, str]]:

@@ -49,6 +49,11 @@ POOL = [
     "foreach ($rows as $row) { print($row); }", "throw new RuntimeException('no');", "$s = match (true) { default => 0 };", "function double(int $x): int { return $x; }",
     "enum Suit: string { }", "#[Route('/path')]", "$user?->name;", "declare(strict_types=1);", "wp_remote_get($u);", "update_option('siteurl', $v);",
     "$x = 'call system($y) or exec(1) now';",
+    "$this->app->bind(Gateway::class, PayGateway::class);", "$this->app->singleton(Store::class, Gateway::class);", "$g = resolve(Gateway::class);", "app(Store::class)->save($_POST['x']);",
+    "class PayGateway extends BaseGateway implements Gateway, Countable { public function pay($x) { system($x); } }", "interface Gateway extends Wire { }", "add_action('init', 'on_init', 5);",
+    "add_filter('init', 'late_init');", "do_action('init', $_GET['q']);", "function on_init($x) { system($x); late_init($x); }", "function late_init($x) { exec($x); }",
+    "dispatch(new ProcessData($in));", "ProcessData::dispatch($in);", "Bus::chain([new StepOne($a), new StepTwo()]);", "Queue::push(StepTwo::class, $d);",
+    "$p->through([TrimInput::class, CheckRole::class]);", "Event::listen(OrderPaid::class, StepOne::class);", "class StepOne { public function handle($x) { passthru($x); } }", "$this->resolve($_GET['z']);",
 ]
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from vulnlake.functions import http as H
 from vulnlake.functions import score as S
 from vulnlake.functions import traces as T
+from vulnlake.operators import callgraph as C
 from vulnlake.operators import inventory as I
 from vulnlake.operators import leaks as L
+from vulnlake.operators import scan as X
 from vulnlake.plans.q_graph import values
-from vulnlake.plans.q_source import CODE_SQL, DEPTH_SQL, code, lit, scoped
+from vulnlake.plans.q_source import CODE_SQL, DEPTH_SQL, WITH_ARGS, code, lit, scoped
 from vulnlake.plans.registry import query
 from vulnlake.sources import reports as R
 
@@ -264,6 +266,69 @@ def event_edges(t):
     return I.event_edges(scoped(t))
 
 
+HUB_SQL = rf"""cs AS (SELECT ca.*, s.in_class, s.in_function, COALESCE(s.in_class || '::' || s.in_function, s.in_function, 'file:' || ca.path) AS site, COALESCE(regexp_extract(b.tok, '(\w+)$', 1), '') AS klass,
+ COALESCE(b.tok, '') AS prior FROM ca JOIN scoped s USING (project, path, line) LEFT JOIN t4 b ON b.project = ca.project AND b.path = ca.path AND b.pos = ca.pos - 1),
+nm AS (SELECT *, COALESCE(NULLIF(regexp_extract(arg1, '^\\?(\w+)::class$', 1), ''), NULLIF(regexp_extract(arg1, '^[\x27\x22]([\w./:-]+)[\x27\x22]$', 1), '')) AS n1,
+ COALESCE(NULLIF(regexp_extract(arg2, '^\\?(\w+)::class$', 1), ''), NULLIF(regexp_extract(arg2, '^[\x27\x22]([\w./:-]+)[\x27\x22]$', 1), '')) AS n2 FROM cs),
+hd AS (SELECT project, regexp_extract(code, '^\s*(?:abstract\s+|final\s+|readonly\s+)*(?:class|interface)\s+(\w+)', 1) AS name, code FROM scoped WHERE regexp_matches(code, '^\s*(?:abstract\s+|final\s+|readonly\s+)*(?:class|interface)\s+\w')),
+hr AS (SELECT DISTINCT project, name, regexp_extract(trim(unnest(list_concat(string_split_regex(regexp_extract(code, '\bextends\s+([\w\\, ]+)', 1), '\s*,\s*|\s+implements.*'), string_split_regex(regexp_extract(code, '\bimplements\s+([\w\\, ]+)', 1), '\s*,\s*')))), '(\w+)$', 1) AS parent FROM hd),
+md AS (SELECT DISTINCT project, in_class, regexp_extract(code, '\bfunction\s+&?(\w+)\s*\(', 1) AS name FROM scoped WHERE regexp_matches(code, '\bfunction\s+&?\w+\s*\(')),
+sn AS (SELECT project, site, token, CASE WHEN token IN ('::dispatch', '::dispatchNow') AND klass NOT IN ('Event', 'Bus', 'Queue', '') THEN [klass]
+ ELSE list_transform(regexp_extract_all(COALESCE(CASE token WHEN '::later' THEN arg2 ELSE arg1 END, ''), '(?:new\s+\\?\w+|\\?\w+::class)'), lambda x: regexp_extract(replace(x, '::class', ''), '(\w+)$', 1)) END AS names
+ FROM cs WHERE token IN ({', '.join(lit(x) for x in C.SEND)})),
+sx AS (SELECT project, site, token, unnest(names) AS name, generate_subscripts(names, 1) - 1 AS pos FROM sn),
+ls AS (SELECT project, regexp_extract(code, '(\w+)::class\s*=>', 1) AS event, regexp_extract_all(regexp_extract(code, '=>(.*)$', 1), '(\w+)::class', 1) AS names FROM scoped WHERE regexp_matches(code, '\w+::class\s*=>')),
+tw AS (SELECT project, site, list_transform(regexp_extract_all(COALESCE(arg1, ''), '(?:new\s+\\?\w+|\\?\w+::class)'), lambda x: regexp_extract(replace(x, '::class', ''), '(\w+)$', 1)) AS names FROM cs WHERE token IN ({', '.join(lit(x) for x in C.THROUGH)})),
+eg AS (SELECT DISTINCT * FROM (
+ SELECT project, 'service:' || n1 AS src, 'service:' || n2 AS dst, 'container' AS kind, 0 AS cost, 0 AS seq FROM nm WHERE token IN ({', '.join(lit(x) for x in C.BIND)})
+ UNION ALL SELECT project, site, 'service:' || n1, 'container', 1, 0 FROM nm WHERE token IN ({', '.join(lit(x) for x in C.RESOLVE)})
+ UNION ALL SELECT project, 'service:' || parent, 'service:' || name, 'implements', 0, 0 FROM hr WHERE parent <> ''
+ UNION ALL SELECT project, 'service:' || in_class, in_class || '::' || name, 'method', 0, 0 FROM md WHERE in_class IS NOT NULL
+ UNION ALL SELECT project, site, 'hook:' || n1, 'hook', 1, 0 FROM nm WHERE token IN ({', '.join(lit(x) for x in C.FIRE)}) AND left(arg1, 1) IN (chr(39), chr(34))
+ UNION ALL SELECT project, 'hook:' || n1, n2, 'hook', 0, COALESCE(TRY_CAST(arg3 AS INT), {C.DEFAULT_PRIORITY}) FROM nm WHERE token IN ({', '.join(lit(x) for x in C.HOOK)}) AND left(arg1, 1) IN (chr(39), chr(34)) AND left(arg2, 1) IN (chr(39), chr(34))
+ UNION ALL SELECT project, 'message:' || n1, n2 || '::handle', 'message', 0, 0 FROM nm WHERE token = '::listen' AND arg1 LIKE '%::class' AND arg2 LIKE '%::class'
+ UNION ALL SELECT project, site, 'message:' || name, 'message', 1, pos FROM sx
+ UNION ALL SELECT project, 'message:' || name, name || CASE token WHEN '::push' THEN '::fire' ELSE '::handle' END, 'message', 0, 0 FROM sx
+ UNION ALL SELECT project, 'message:' || event, unnest(names) || '::handle', 'message', 0, generate_subscripts(names, 1) - 1 FROM ls
+ UNION ALL SELECT project, site, unnest(names) || '::handle', 'pipeline', 1, generate_subscripts(names, 1) - 1 FROM tw)
+ WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst)"""
+
+
+def hidden(t):
+    lines = scoped(t)
+    return C.hidden_edges(X.calls(lines.drop("check_line")), lines), lines
+
+
+@query("J35_hidden_edges", f"WITH {CODE_SQL}, {DEPTH_SQL}, {WITH_ARGS}, {HUB_SQL} SELECT project, src, dst, kind, CAST(cost AS INT) AS cost, CAST(seq AS INT) AS seq FROM eg")
+def hidden_edges(t):
+    return hidden(t)[0]
+
+
+SINK_CALLS = ["system", "exec", "passthru", "eval", "shell_exec"]
+READS = r"\$_(?:GET|POST|COOKIE|FILES)\b"
+
+
+@query("J34_hidden_walk", rf"""WITH RECURSIVE {CODE_SQL}, {DEPTH_SQL}, {WITH_ARGS}, {HUB_SQL},
+ed AS (SELECT DISTINCT project, src, dst, cost FROM eg WHERE src <> dst UNION
+ SELECT cs.project, site, token, 1 FROM cs JOIN md ON md.project = cs.project AND md.in_class IS NULL AND md.name = token WHERE site <> token UNION
+ SELECT project, site, CASE WHEN klass IN ('self', 'static') THEN in_class ELSE klass END || token, 1 FROM cs WHERE starts_with(token, '::') AND regexp_matches(prior, '^\w+$') AND site <> COALESCE(CASE WHEN klass IN ('self', 'static') THEN in_class ELSE klass END || token, site) UNION
+ SELECT project, site, in_class || '::' || substr(token, 3), 1 FROM cs WHERE starts_with(token, '->') AND prior = '$this' AND in_class IS NOT NULL AND site <> in_class || '::' || substr(token, 3)),
+so AS (SELECT DISTINCT project, COALESCE(in_class || '::' || in_function, in_function, 'file:' || path) AS node FROM scoped WHERE regexp_matches(code, '{READS}')),
+sk AS (SELECT DISTINCT project, site AS node FROM cs WHERE token IN ({', '.join(lit(x) for x in SINK_CALLS)})),
+w(project, node, depth) AS (SELECT project, node, 0 FROM so UNION SELECT e.project, e.dst, w.depth + e.cost FROM w JOIN ed e ON e.project = w.project AND e.src = w.node WHERE w.depth + e.cost <= 10),
+m AS (SELECT project, node, min(depth) AS depth FROM w GROUP BY 1, 2),
+c(project, node) AS (SELECT DISTINCT project, dst FROM ed WHERE cost = 1 UNION SELECT e.project, e.dst FROM c JOIN ed e ON e.project = c.project AND e.src = c.node WHERE e.cost = 0)
+SELECT sk.project, sk.node, CAST(m.depth AS INT) AS depth, CASE WHEN m.node IS NOT NULL THEN 'source_found' WHEN c.node IS NOT NULL THEN 'not_reached' ELSE 'no_caller' END AS stop
+FROM sk LEFT JOIN m USING (project, node) LEFT JOIN (SELECT DISTINCT * FROM c) c USING (project, node)""")
+def hidden_walk(t):
+    edges, lines = hidden(t)
+    calls = X.calls(lines.drop("check_line"))
+    every = edges.drop("seq", "kind").unionByName(C.direct_edges(calls, lines).drop("seq", "kind")).distinct()
+    sources = lines.where(F.col("code").rlike(READS)).select("project", C.caller().alias("node"))
+    sinks = calls.where(F.col("token").isin(SINK_CALLS)).select("project", C.caller().alias("node"))
+    return C.hidden_walk(sinks, every, sources)
+
+
 # --- platform and dependency facts ---------------------------------------------------------
 
 @query("S20_framework", f"""WITH r(package, name, k) AS (VALUES {values([(p, n, i) for i, (p, n) in enumerate(I.FRAMEWORKS)])}),
