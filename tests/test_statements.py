@@ -130,7 +130,7 @@ def test_arguments_nest_to_any_depth():
     assert len(calls) == 303
 
 
-PATTERNS = sorted({p for rules in P.PATTERNS.values() for r in rules for p in r[1:] if p} | {rx for *_, rx in K.CATALOGUE} | {rx for _, rx in P.FRAMEWORK_USAGE})
+PATTERNS = sorted({p for rules in P.PATTERNS.values() for r in rules for p in r[1:] if p} | {rx for _, rx in K.catalogue_rows()} | {rx for _, rx in P.FRAMEWORK_USAGE})
 
 
 def test_needles_lose_no_match(spark):

@@ -362,10 +362,10 @@ def family_hits(lines: DataFrame, families=None) -> DataFrame:
     return rule_hits(lines, rules).select("project", "path", "line", "rule")
 
 
-def catalogue_hits(lines: DataFrame, catalogue=None) -> DataFrame:
-    rules = [(f"{fam}:{lvl}", rx) for fam, lvl, rx in (catalogue or K.CATALOGUE)]
-    h = pattern_hits(lines, rules)
-    return h.withColumn("family", F.split("rule", ":")[0]).withColumn("level", F.split("rule", ":")[1]).drop("rule")
+def catalogue_hits(lines: DataFrame, catalogue: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Hits of the extended catalogue: family, level and number of the row."""
+    h = pattern_hits(lines, catalogue or K.catalogue_rows()).withColumn("_r", F.split("rule", ":"))
+    return h.withColumn("family", F.get("_r", F.lit(0))).withColumn("level", F.get("_r", F.lit(1))).withColumn("row", F.get("_r", F.lit(2)).cast("int")).drop("rule", "_r")
 
 
 def framework_hits(lines: DataFrame, usage=None) -> DataFrame:

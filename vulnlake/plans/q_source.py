@@ -209,12 +209,12 @@ def union_rules(rules, source="src") -> str:
     return " UNION ALL ".join(f"SELECT {lit(rid)} AS rule, project, path, line FROM {source} WHERE regexp_matches(code, {lit(rx)})" for rid, rx in rules)
 
 
-CAT = [(f"{fam}:{lvl}", rx) for fam, lvl, rx in K.CATALOGUE]
+CAT = K.catalogue_rows()
 
 
-@query("F25_catalogue", f"WITH {CODE_SQL}, h AS ({union_rules(CAT)}) SELECT split_part(rule, ':', 1) AS family, split_part(rule, ':', 2) AS level, COUNT(*) AS hits FROM h GROUP BY 1, 2")
+@query("F25_catalogue", f"WITH {CODE_SQL}, h AS ({union_rules(CAT)}) SELECT split_part(rule, ':', 1) AS family, split_part(rule, ':', 2) AS level, CAST(split_part(rule, ':', 3) AS INT) AS row, COUNT(*) AS hits FROM h GROUP BY 1, 2, 3")
 def catalogue(t):
-    return X.catalogue_hits(code(t)).groupBy("family", "level").agg(F.count("*").alias("hits"))
+    return X.catalogue_hits(code(t)).groupBy("family", "level", "row").agg(F.count("*").alias("hits"))
 
 
 FW = [(f"{fw}:{i}", rx) for i, (fw, rx) in enumerate(P.FRAMEWORK_USAGE)]
