@@ -94,3 +94,15 @@ def enriched(t):
 @query("G08_unlogged_events", _unmatched_sql("error", "view", 12))
 def unlogged(t):
     return _unmatched(t, "error", "view", 12)
+
+
+@query("G09_late_rows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, COUNT(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def late_rows(t):
+    """All events by hour, though they arrive in six files that each span the whole time, so that most rows come late."""
+    root = _work(t)
+    events = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(f"{root}/in")
+    sums = lambda df: df.groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    stream = live.read_stream(t.spark, f"{root}/in", events.schema, files_per_trigger=1)
+    live.run_batches(live.observed(stream), live.split_late(root, sums), f"{root}/ckpt")
+    return live.completed(t.spark, root, sums, ["start", "event_type"])

@@ -1,15 +1,19 @@
 """Live behaviour as Structured Streaming (G*).
 
 Every stateful step has a one-hour watermark: later rows are dropped and show
-up in ``numRowsDroppedByWatermark`` of the query progress.
+up in ``numRowsDroppedByWatermark`` of the query progress. ``split_late`` keeps
+them instead: sums of the rows in time and a side table of the late ones, which
+``completed`` merges to what a batch over all rows gives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from vulnlake.operators.ordered import failure_streak
 
@@ -106,3 +110,59 @@ def run_batches(stream: DataFrame, handle, checkpoint: str):
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+class Arrivals(StreamingQueryListener):
+    """Rows per batch as ``observed`` streams report them: {(query id, batch): {metric: value}}."""
+
+    def __init__(self, name: str = "arrived"):
+        self.name, self.batches = name, {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = row.asDict()
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def observed(stream: DataFrame, name: str = "arrived", ts: str = "ts") -> DataFrame:
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def split_late(root: str, sums: Callable[[DataFrame], DataFrame], ts: str = "ts", late: str = LATE):
+    """foreachBatch function: ``sums`` of the rows in time, and the rows that come later than ``late`` behind the newest
+    row of all earlier batches.
+
+    Everything stands under the number of its batch, the newest time as well, so a batch that runs again replaces its own
+    files. What is written per batch is its sums, its late rows and one row of counts."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = spark.read.parquet(f"{root}/counts/{batch_id - 1}").first()["newest"] if batch_id else None
+        is_late = F.lit(False) if mark is None else F.coalesce(F.col(ts) < F.lit(mark) - F.expr(f"INTERVAL {late}"), F.lit(False))
+        rows = batch.withColumn("_late", is_late).persist()
+        try:
+            sums(rows.where("NOT _late").drop("_late")).write.mode("overwrite").parquet(f"{root}/sums/{batch_id}")
+            rows.where("_late").drop("_late").write.mode("overwrite").parquet(f"{root}/late/{batch_id}")
+            count = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("_late").alias("late"), F.greatest(F.max(ts), F.lit(mark).cast("timestamp")).alias("newest"))
+            count.write.mode("overwrite").parquet(f"{root}/counts/{batch_id}")
+        finally:
+            rows.unpersist()
+
+    return handle
+
+
+def completed(spark: SparkSession, root: str, sums: Callable[[DataFrame], DataFrame], keys: list[str], value: str = "n") -> DataFrame:
+    """Sums over all rows, those that came late included."""
+    parts = [spark.read.parquet(f"{root}/sums/*"), sums(spark.read.parquet(f"{root}/late/*"))]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def late_counts(spark: SparkSession, root: str) -> DataFrame:
+    """rows and late rows of each batch."""
+    return spark.read.parquet(f"{root}/counts/*").select("rows", "late")
