@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions import score as S
 from vulnlake.functions.values import micros
+from vulnlake.operators.selection import medians, timing_gaps
 from vulnlake.operators import aggregate as A
 from vulnlake.operators import windows as W
 from vulnlake.plans.pipeline import scored_queue
@@ -269,8 +270,16 @@ def dashboard(t):
 @query("D19_timing_channel", """
 SELECT user_id, COUNT(*) AS samples, CAST(round(median(value), 6) AS DOUBLE) AS median_value FROM events GROUP BY 1 HAVING COUNT(*) >= 50""")
 def timing(t):
-    g = t.events.groupBy("user_id").agg(F.count("*").alias("samples"), F.round(F.median("value"), 6).alias("median_value"))
-    return g.where(F.col("samples") >= 50)
+    return medians(t.events, ["user_id"], "value", 50).select("user_id", "samples", F.round("median", 6).alias("median_value"))
+
+
+@query("D19_case_medians", """
+WITH m AS (SELECT user_id % 40 AS subject, event_type, COUNT(*) AS samples, median(value) AS median FROM events GROUP BY 1, 2 HAVING COUNT(*) >= 10)
+SELECT subject, COUNT(*) AS cases, arg_min(event_type, {'m': median, 'e': event_type}) AS fastest, arg_max(event_type, {'m': median, 'e': event_type}) AS slowest,
+ round(max(median) - min(median), 6) AS gap FROM m GROUP BY 1 HAVING COUNT(*) >= 2""")
+def case_medians(t):
+    e = t.events.select((F.col("user_id") % 40).alias("subject"), "event_type", "value")
+    return timing_gaps(e, ["subject"], "event_type", "value", 10).withColumn("gap", F.round("gap", 6))
 
 
 @query("D20_response_differential", """
