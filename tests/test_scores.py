@@ -103,3 +103,13 @@ def test_near_names_equal_brute_force(spark, known_names):
 def test_hundredths_have_no_edges(axes):
     for r, i, c in axes:
         assert abs((40 * r + 35 * i + 25 * c) / 100 - (0.40 * r + 0.35 * i + 0.25 * c)) < 1e-9
+
+
+def test_cvss_base_as_sql_function(spark):
+    from vulnlake import register
+
+    register(spark)
+    cases = [("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", 6.1), ("CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N", 0.0),
+             ("CVSS:3.1/AV:L/AC:L/PR:L/UI:N/S:U/C:H/I:H/A:H", 7.8), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", 10.0), ("CVSS:3.1/AV:N/AC:L", None), ("", None), (None, None)]
+    got = spark.createDataFrame(cases, "v string, want double").selectExpr("v", "want", "vl_cvss_base(v) AS got").collect()
+    assert [(r.v, r.got) for r in got] == cases

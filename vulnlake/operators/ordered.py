@@ -155,7 +155,8 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: str, parts: int = 16) -
     """Join rows to a table with one row per key, each key dealt over ``parts`` tasks.
 
     An aggregation by the key that follows has to shuffle again and combines before that, so a hot key's rows never
-    meet in one task. The lookup is repeated ``parts`` times."""
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
+    meet in one task. The part is a hash of the row, so a task that runs again deals its rows alike. The lookup is
+    repeated ``parts`` times."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(parts)))
     repeated = lookup.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     return dealt.join(repeated, [key, "_part"]).drop("_part")

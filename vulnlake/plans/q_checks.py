@@ -11,7 +11,8 @@ from vulnlake.operators import evidence as E
 from vulnlake.operators import memory as M
 from vulnlake.plans.q_graph import values
 from vulnlake.operators.ordered import spread_join
-from vulnlake.plans.registry import query
+from vulnlake.plans.q_scores import cvss as _scores_first  # noqa: F401 (its SQL is read below)
+from vulnlake.plans.registry import BODIES, query
 from vulnlake.rules import evidence as RE
 
 CONFIRM = {k: [RE.required(f, False), RE.required(f)] for k, f in RE.FAMILY_EVIDENCE.items()}
@@ -191,6 +192,15 @@ def sql_functions(t):
     return t.fx_sinks.groupBy("r", "i", "c").agg(F.count("*").alias("n")).selectExpr("r", "i", "c", "vl_severity_level(vl_severity_hundredths(r, i, c)) AS level", "n")
 
 
+@query("U05_cvss_functions", f"""SELECT vector, score, band, SUM(findings)::BIGINT AS findings FROM ({BODIES["S05_cvss31"]}) GROUP BY 1, 2, 3""")
+def cvss_functions(t):
+    from vulnlake.functions.registration import register
+    register(t.spark)
+    vector = S.cvss_vector(S.cvss_metrics("auth_level", F.col("filtered"), "sink_type"))
+    g = t.fx_sinks.groupBy(vector.alias("vector")).agg(F.count("*").alias("findings"))
+    return g.selectExpr("vector", "round(vl_cvss_base(vector), 1) AS score", "vl_cvss_band(vl_cvss_base(vector)) AS band", "findings")
+
+
 # --- business tables, logs and inventories --------------------------------------------------
 
 @query("B01_value_violations", """
