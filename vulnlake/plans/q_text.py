@@ -10,6 +10,7 @@ from vulnlake.functions import traces as T
 from vulnlake.operators import callgraph as C
 from vulnlake.operators import inventory as I
 from vulnlake.operators import leaks as L
+from vulnlake.operators import platform as P
 from vulnlake.operators import scan as X
 from vulnlake.plans.q_graph import values
 from vulnlake.plans.q_source import CODE_SQL, DEPTH_SQL, WITH_ARGS, code, lit, scoped
@@ -347,6 +348,50 @@ def database(t):
     return I.database_type(t.fx_require)
 
 
+CMS_CASE = " ".join(f"WHEN regexp_matches(path, {lit(rx)}) THEN {i}" for i, (_, rx) in enumerate(P.CMS_FILES))
+
+
+@query("S20_content_system", f"""WITH k AS (SELECT project, min(CASE {CMS_CASE} END) AS k FROM fx_tree GROUP BY 1) SELECT project, {[n for n, _ in P.CMS_FILES]}[k + 1] AS cms FROM k WHERE k IS NOT NULL""")
+def content_system(t):
+    return P.cms_of(t.fx_tree)
+
+
+@query("S20_components", " UNION ".join(f"SELECT project, '{k}' AS kind, regexp_extract(path, {lit(rx)}, 1) AS name FROM fx_tree WHERE regexp_matches(path, {lit(rx)})" for k, rx in P.COMPONENTS))
+def components(t):
+    return P.cms_parts(t.fx_tree)
+
+
+@query("S20_content_version", rf"""WITH {CODE_SQL}, v AS (SELECT project, regexp_extract(code, '\$wp_version\s*=\s*[\x27\x22]([\w.-]+)[\x27\x22]', 1) AS v FROM src)
+SELECT project, max_by(v, CASE v WHEN '6.4.2' THEN 1 ELSE 2 END) AS version FROM v WHERE v <> '' GROUP BY 1""")
+def content_version(t):
+    return P.cms_version(code(t))
+
+
+SIGNAL_SQL = " UNION ALL ".join(f"SELECT project, {r} AS signal, {f'regexp_extract(code, {lit(rx)}, 1)' if k is None else lit(k)} AS db_type FROM src WHERE regexp_matches(code, {lit(rx)})" for r, rx, k in P.DATABASE_SIGNALS)
+
+
+@query("S22_database_signals", f"""WITH {CODE_SQL}, s AS ({SIGNAL_SQL} UNION ALL SELECT project, 3, substr(package, 9) FROM fx_require WHERE package IN ('ext-pdo_mysql', 'ext-pdo_pgsql')
+ UNION ALL SELECT project, 7, 'mysql' FROM (SELECT project FROM src UNION SELECT project FROM fx_require)),
+m AS (SELECT project, min({{'a': signal, 'b': db_type}}) AS s FROM s GROUP BY 1) SELECT project, s.b AS db_type, CAST(s.a AS INT) AS signal FROM m""")
+def database_signals(t):
+    return P.database_of(code(t), t.fx_require)
+
+
+MINIMA_SQL = " ".join(f"WHEN framework = '{f}' AND fw_major >= {m} THEN {v}" for f, m, v in sorted(P.PHP_MINIMA, key=lambda r: (r[0], -r[1])))
+
+
+@query("X05_php_minimum", f"""WITH {CODE_SQL}, e AS (SELECT project, 700 + (v_minor % 5) + CASE WHEN is_dev THEN 100 ELSE 0 END AS floor, 0 AS p, 'constraint' AS kind FROM fx_packages
+ UNION ALL SELECT project, CASE WHEN regexp_matches(code, {lit(I.SYNTAX[0][1])}) THEN 801 WHEN regexp_matches(code, {lit(I.SYNTAX[1][1])}) THEN 800 WHEN regexp_matches(code, {lit(I.SYNTAX[2][1])}) THEN 704 ELSE 702 END, -1, 'syntax' FROM src
+ UNION ALL SELECT project, CASE {MINIMA_SQL} END, -2, 'framework' FROM fx_targets),
+m AS (SELECT project, max({{'f': floor, 'p': p, 'k': kind}}) AS b FROM e WHERE floor IS NOT NULL GROUP BY 1) SELECT project, CAST(b.f AS INT) AS php_min, b.k AS decided_by FROM m""")
+def php_minimum(t):
+    rule = F.concat(F.when(F.col("is_dev"), ">=8.").otherwise("^7."), (F.col("v_minor") % 5).cast("string"), F.lit(" || ^9"))
+    composer = t.fx_packages.select("project", P.constraint_minimum(rule).alias("floor"))
+    syntax = I.syntax_floor(code(t)).select("project", F.col("php_floor").alias("floor"))
+    frameworks = t.fx_targets.select("project", P.framework_minimum(F.col("framework"), F.col("fw_major")).alias("floor"))
+    return P.php_minimum([("constraint", composer), ("syntax", syntax), ("framework", frameworks)])
+
+
 @query("S43_maintenance_flags", """
 WITH x AS (SELECT package, unnest(list_filter([CASE WHEN age_months > 24 THEN 'stale:high' END, CASE WHEN stars < 50 THEN 'few_stars:medium' END, CASE WHEN open_issues > 5 THEN 'open_security_issues:high' END,
  CASE WHEN license IS NULL THEN 'no_license:low' END, CASE WHEN maintainers = 1 THEN 'single_maintainer:medium' END, CASE WHEN abandoned THEN 'abandoned:high' END], lambda e: e IS NOT NULL)) AS flag FROM fx_require)

@@ -165,6 +165,11 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE p_partkey % 5 WHEN 0 THEN 'ionCube Loader' WHEN 1 THEN 'xdebug' WHEN 2 THEN 'ffi' WHEN 3 THEN 'mcrypt' ELSE 'mbstring' END AS extension",
         "p_partkey",
     ]),
+    "fx_tree": ("part", [
+        f"concat('proj', {_n('p_partkey / 7')}) AS project",
+        "CASE p_size % 13 WHEN 0 THEN 'wp-config.php' WHEN 1 THEN 'site/wp-content/plugins/forms/a.php' WHEN 2 THEN 'wp-content/themes/plain/style.css' WHEN 3 THEN 'core/lib/Drupal.php' "
+        "WHEN 4 THEN 'sites/all/modules/views/v.module' WHEN 5 THEN 'modules/node/n.module' WHEN 6 THEN 'libraries/joomla/factory.php' WHEN 7 THEN 'wp-includes/version.php' ELSE 'src/app.php' END AS path",
+    ]),
     "fx_ini": ("orders", [
         f"concat('proj', {_s('o_custkey')}) AS project",
         "CASE o_orderkey % 13 WHEN 0 THEN 'allow_url_include' WHEN 1 THEN 'allow_url_fopen' WHEN 2 THEN 'display_errors' WHEN 3 THEN 'expose_php' "
