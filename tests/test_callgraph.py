@@ -52,8 +52,7 @@ class Page {
 
 def scanned(spark, text):
     src = spark.createDataFrame([("p", "a.php", text)], "project string, path string, content string")
-    lines = X.scopes(X.code_lines(X.explode_lines(src)))
-    return X.calls(lines.drop("check_line")), lines
+    return C.facts(X.scopes(X.code_lines(X.explode_lines(src))))
 
 
 def test_edges_and_walk(spark):

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.operators import scan as X
 from vulnlake.session import durable
 
 EDGE = ["project", "src", "dst", "kind", "cost", "seq"]
@@ -28,6 +29,12 @@ THROUGH = ["->through", "->middleware"]
 DEFAULT_PRIORITY = 10
 
 
+def facts(scoped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, lines) that the edges are read from, each written once: every kind of edge reads them again."""
+    lines = durable(scoped.drop("text", "check_line", "namespace"))
+    return durable(X.calls(lines).select("project", "path", "line", "in_class", "in_function", "token", "before", "args")), lines
+
+
 def caller() -> Column:
     return F.coalesce(F.concat("in_class", F.lit("::"), "in_function"), F.col("in_function"), F.concat(F.lit("file:"), "path"))
 

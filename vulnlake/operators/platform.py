@@ -18,7 +18,7 @@ PHP_MINIMA = [("laravel", 10, 801), ("laravel", 9, 800), ("laravel", 8, 703), ("
 DATABASE_SIGNALS = [
     (1, r"'default'\s*=>\s*(?:env\s*\(\s*'DB_CONNECTION'\s*,\s*)?'(mysql|pgsql|sqlite|sqlsrv|mongodb)'", None), (2, r"^\s*DB_CONNECTION\s*=\s*(\w+)", None),
     (4, r"(?i)\bLIMIT\s+\?\s*,\s*\?", "mysql"), (4, r"(?i)\bOFFSET\b.*\bFETCH\b", "pgsql"), (4, r"(?i)\bAUTOINCREMENT\b", "sqlite"),
-    (5, r"define\s*\(\s*'DB_(?:HOST|NAME)'", "mysql"), (5, r"\$databases\[", "mysql"), (6, r"MongoDB\\Client", "mongodb"), (6, r"Predis\\Client", "redis"),
+    (5, r"define\s*\(\s*'DB_(?:HOST|NAME)'", "mysql"), (5, r"\$databases\[", "mysql"), (6, r"MongoDB[\\/]Client", "mongodb"), (6, r"Predis[\\/]Client", "redis"),
 ]
 DEFAULT_DATABASE = "mysql"
 

@@ -55,7 +55,7 @@ POOL = [
     "dispatch(new ProcessData($in));", "ProcessData::dispatch($in);", "Bus::chain([new StepOne($a), new StepTwo()]);", "Queue::push(StepTwo::class, $d);",
     "$p->through([TrimInput::class, CheckRole::class]);", "Event::listen(OrderPaid::class, StepOne::class);", "class StepOne { public function handle($x) { passthru($x); } }", "$this->resolve($_GET['z']);",
     "'default' => env('DB_CONNECTION', 'pgsql'),", "DB_CONNECTION=sqlite", "$q .= ' LIMIT ?,?';", "$q .= ' OFFSET 5 ROWS FETCH NEXT 5';", "id INTEGER PRIMARY KEY AUTOINCREMENT",
-    "define('DB_HOST', 'localhost');", "$m = new MongoDB\\Client($u);", "$wp_version = '6.4.2';", "$wp_version = '6.10-beta1';",
+    "define('DB_HOST', 'localhost');", "$m = new MongoDB/Client($u);", "$wp_version = '6.4.2';", "$wp_version = '6.10-beta1';",
 ]
 
 

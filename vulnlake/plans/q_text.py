@@ -11,7 +11,6 @@ from vulnlake.operators import callgraph as C
 from vulnlake.operators import inventory as I
 from vulnlake.operators import leaks as L
 from vulnlake.operators import platform as P
-from vulnlake.operators import scan as X
 from vulnlake.plans.q_graph import values
 from vulnlake.plans.q_source import CODE_SQL, DEPTH_SQL, WITH_ARGS, code, lit, scoped
 from vulnlake.plans.registry import query
@@ -296,8 +295,8 @@ eg AS (SELECT DISTINCT * FROM (
 
 
 def hidden(t):
-    lines = scoped(t)
-    return C.hidden_edges(X.calls(lines.drop("check_line")), lines), lines
+    calls, lines = C.facts(scoped(t))
+    return C.hidden_edges(calls, lines), calls, lines
 
 
 @query("J35_hidden_edges", f"WITH {CODE_SQL}, {DEPTH_SQL}, {WITH_ARGS}, {HUB_SQL} SELECT project, src, dst, kind, CAST(cost AS INT) AS cost, CAST(seq AS INT) AS seq FROM eg")
@@ -322,8 +321,7 @@ c(project, node) AS (SELECT DISTINCT project, dst FROM ed WHERE cost = 1 UNION S
 SELECT sk.project, sk.node, CAST(m.depth AS INT) AS depth, CASE WHEN m.node IS NOT NULL THEN 'source_found' WHEN c.node IS NOT NULL THEN 'not_reached' ELSE 'no_caller' END AS stop
 FROM sk LEFT JOIN m USING (project, node) LEFT JOIN (SELECT DISTINCT * FROM c) c USING (project, node)""")
 def hidden_walk(t):
-    edges, lines = hidden(t)
-    calls = X.calls(lines.drop("check_line"))
+    edges, calls, lines = hidden(t)
     every = edges.drop("seq", "kind").unionByName(C.direct_edges(calls, lines).drop("seq", "kind")).distinct()
     sources = lines.where(F.col("code").rlike(READS)).select("project", C.caller().alias("node"))
     sinks = calls.where(F.col("token").isin(SINK_CALLS)).select("project", C.caller().alias("node"))
