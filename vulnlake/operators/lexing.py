@@ -106,6 +106,8 @@ def start_states(lines: DataFrame) -> DataFrame:
 def code_lines(lines: DataFrame) -> DataFrame:
     """Add ``code``: the line without comments, strings that go on over lines closed at its end and opened again; and the
     states ``lex_in`` and ``lex_out`` that it starts and ends in."""
+    # Lexing is the dear part: blocks of lines are dealt out for it, however few splits the source has.
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *FILE, F.shiftright("line", CHUNK + BLOCKS))
     states = start_states(lines).select(*[F.col(c).alias(f"_{c}") for c in (*FILE, "line")], "lex_in")
     same = (F.col("project").eqNullSafe(F.col("_project"))) & (F.col("path").eqNullSafe(F.col("_path"))) & (F.col("line") == F.col("_line"))
     rows = lines.join(states, same, "left").drop("_project", "_path", "_line").withColumn("lex_in", F.coalesce("lex_in", F.lit(CODE)))
