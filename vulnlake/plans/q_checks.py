@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from vulnlake.functions import score as S
 from vulnlake.functions import values as A
 from vulnlake.operators import behaviour as B
+from vulnlake.operators import checks as CK
 from vulnlake.operators import evidence as E
 from vulnlake.operators import memory as M
+from vulnlake.plans.q_findings import QUEUE_SQL, queue
 from vulnlake.plans.q_graph import values
 from vulnlake.operators.ordered import spread_join
 from vulnlake.plans.q_scores import cvss as _scores_first  # noqa: F401 (its SQL is read below)
 from vulnlake.plans.registry import BODIES, query
+from vulnlake.rules import checks as RC
 from vulnlake.rules import evidence as RE
 
 CONFIRM = {k: [RE.required(f, False), RE.required(f)] for k, f in RE.FAMILY_EVIDENCE.items()}
@@ -107,6 +110,49 @@ def phase_checks(t):
     return E.phase_verdict(E.check_rows(m, checks))
 
 
+CHECK_INPUTS = {"probes": "fx_probes", "outputs": "fx_outputs", "routes": "fx_route_state", "findings": "fx_tool_findings", "layers": "fx_layers", "queue": "q",
+                "credentials": "fx_credentials", "chains": "fx_chains", "exploits": "fx_exploits", "agents": "fx_agents", "nodes": "fx_nodes", "edges": "fx_edges"}
+
+
+def check_sql(n, c):
+    """One check alone, as a statement over its own table: membership is a subquery per row, not a grouping."""
+    src = CHECK_INPUTS[c.source]
+    if c.kind == "share":
+        return f"SELECT project, {n} AS n, COUNT(*) FILTER (({c.scope}) AND ({c.good})) AS good, COUNT(*) FILTER ({c.scope}) AS total FROM {src} GROUP BY project"
+    k = f"SELECT project, CAST({c.key} AS VARCHAR) AS k, COUNT(*) AS times FROM {src} WHERE {c.scope} GROUP BY 1, 2"
+    ok = {"unique": "times = 1", "distinct": "true"}.get(c.kind)
+    if ok is None:
+        there = f"(project, k) IN (SELECT (project, CAST({c.other_key or c.key} AS VARCHAR)) FROM {CHECK_INPUTS[c.other]} WHERE {c.other_scope})"
+        ok = there if c.kind == "inside" else f"NOT {there}"
+    return f"SELECT project, {n}, COUNT(*) FILTER ({ok}), COUNT(*) FROM ({k}) GROUP BY project"
+
+
+CHECK_SQL = f"""{QUEUE_SQL},
+n AS ({' UNION ALL '.join(check_sql(i, c) for i, c in enumerate(RC.CHECKS))}),
+p AS ({' UNION '.join(f'SELECT project FROM {x}' for x in CHECK_INPUTS.values())}),
+rule(n, phase, item, lvl, pct, least, most) AS (VALUES {values([(i, c.phase, c.item, c.level, c.pct, c.least, -1 if c.most is None else c.most) for i, c in enumerate(RC.CHECKS)])}),
+x AS (SELECT project, phase, item, lvl AS level, COALESCE(good, 0) AS g, COALESCE(total, 0) AS t, pct, least, most FROM p CROSS JOIN rule LEFT JOIN n USING (project, n)),
+checked AS (SELECT project, phase, item, level, CAST(SUM(g) AS BIGINT) AS good, CAST(SUM(t) AS BIGINT) AS total,
+ bool_and(g * 100 >= pct * t AND g >= least AND (most < 0 OR g <= most)) AS ok FROM x GROUP BY 1, 2, 3, 4)"""
+
+
+def check_inputs(t):
+    return {k: queue(t) if v == "q" else getattr(t, v) for k, v in CHECK_INPUTS.items()}
+
+
+@query("D14_published_checks", f"WITH {CHECK_SQL} SELECT * FROM checked")
+def published_checks(t):
+    return CK.run_checks(check_inputs(t))
+
+
+@query("S50_published_verdicts", f"""WITH {CHECK_SQL}, v AS (SELECT project, phase, COUNT(*) AS items, COUNT(*) FILTER (ok) AS passed,
+ COUNT(*) FILTER (NOT ok AND level <> 'warn') AS hard_fails, COUNT(*) FILTER (NOT ok AND level = 'warn') AS warnings,
+ COALESCE(string_agg(item, ',' ORDER BY item) FILTER (NOT ok), '') AS failed FROM checked GROUP BY 1, 2)
+SELECT *, CASE WHEN hard_fails > 0 OR (phase = 'cross' AND warnings > 2) THEN 'fail' ELSE 'pass' END AS verdict FROM v""")
+def published_verdicts(t):
+    return CK.verdicts(CK.run_checks(check_inputs(t)))
+
+
 @query("S51_alert_lines", """
 SELECT concat('[', CASE WHEN cvss >= 9 THEN 'CRITICAL' ELSE 'HIGH' END, '] ', package, ' ', CAST(intro_major AS VARCHAR), '.x: ', vuln_id) AS line FROM fx_advisories WHERE cvss >= 7""")
 def alert_lines(t):

@@ -28,6 +28,17 @@ def _n(expr: str) -> str:
     return f"CAST(CAST(floor({expr}) AS BIGINT) AS STRING)"
 
 
+def _bigint(expr: str) -> str:
+    return f"CAST(floor({expr}) AS BIGINT)"
+
+
+def _odd(k: int) -> str:
+    """True for one row in 1,511, another one for every k."""
+    return f"((l_orderkey * 7 + l_linenumber) % 1511 = {k})"
+
+
+VERDICT = "CASE l_partkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suspected' WHEN 2 THEN 'potential' ELSE 'not_vulnerable' END"
+
 VIEWS: dict[str, tuple[str, list[str]]] = {
     # scanner reports after normalisation: 37 orders make one file, 10 files one project
     "fx_tool_findings": ("lineitem", [
@@ -216,6 +227,80 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN 3 THEN 'system' WHEN 4 THEN 'class_exists' ELSE 'Router::dispatch' END AS function",
         "l_partkey AS k1", "l_suppkey AS k2", "l_extendedprice AS k3", "l_shipdate AS k4",
     ]),
+    # what a phase leaves behind, for the published checks
+    "fx_probes": ("customer", [
+        f"concat('proj', {_n('c_custkey / 9')}) AS project",
+        "CASE c_custkey % 9 WHEN 0 THEN 'service' WHEN 1 THEN 'php_version' WHEN 2 THEN 'extension' WHEN 3 THEN 'web' WHEN 4 THEN 'database' "
+        "WHEN 5 THEN 'xdebug' WHEN 6 THEN 'ssrf' WHEN 7 THEN 'routes' ELSE 'workers' END AS probe",
+        "CASE c_custkey % 9 WHEN 0 THEN CASE WHEN c_nationkey < 22 THEN 'running' ELSE 'restarting' END WHEN 1 THEN CASE WHEN c_nationkey % 5 = 0 THEN '7.4.33' ELSE '8.1.2' END "
+        "WHEN 2 THEN CASE WHEN c_nationkey < 20 THEN 'pdo,pdo_mysql,mbstring,xml,curl,json,xdebug' WHEN c_nationkey < 22 THEN 'pdo,mbstring,xml,curl,json,xdebug' ELSE 'pdo_pgsql,curl' END "
+        "WHEN 3 THEN CASE c_nationkey % 4 WHEN 0 THEN '500' WHEN 1 THEN '302' ELSE '200' END WHEN 4 THEN CASE WHEN c_nationkey < 5 THEN 'refused' ELSE 'connected' END "
+        "WHEN 5 THEN CASE WHEN c_nationkey < 12 THEN 'develop,trace' ELSE 'debug' END WHEN 6 THEN CASE WHEN c_nationkey < 20 THEN '200' ELSE '000' END "
+        "WHEN 7 THEN CASE WHEN c_nationkey < 24 THEN '12' ELSE '0' END ELSE 'idle' END AS observed",
+        "'8.1.2' AS declared",
+    ]),
+    "fx_outputs": ("orders", [
+        f"concat('proj', {_n('o_orderkey / 370')}) AS project",
+        "CASE o_orderkey % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 3 THEN '4.5' ELSE '5' END AS phase",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'environment_status.json' WHEN 1 THEN 'dep_risk.json' WHEN 2 THEN 'traces/t.json' WHEN 3 THEN 'correlation_report.json' "
+        "ELSE CASE o_custkey % 2 WHEN 0 THEN 'audit_report.sarif.json' ELSE 'poc/run_all.sh' END END AS path",
+        "o_custkey % 43 <> 1 AS valid",
+    ]),
+    "fx_layers": ("lineitem", [
+        f"concat('proj', {_n('l_orderkey / 370')}) AS project", f"concat('app/Mod', {_n('l_orderkey / 37')}, '.php') AS file",
+        "CAST(l_linenumber AS INT) AS layer", "CASE WHEN l_partkey % 1999 = 0 THEN '' ELSE 'call();' END AS code", "l_partkey % 211 = 0 AS broken",
+    ]),
+    "fx_credentials": ("customer", [
+        f"concat('proj', {_n('c_custkey / 9')}) AS project",
+        "CASE c_custkey % 3 WHEN 0 THEN 'anonymous' WHEN 1 THEN 'authenticated' ELSE 'admin' END AS level",
+        "CASE c_nationkey % 3 WHEN 0 THEN 403 ELSE 200 END AS status",
+    ]),
+    "fx_chains": ("orders", [
+        f"concat('proj', {_n('o_orderkey / 370')}) AS project", "CASE WHEN o_orderkey % 997 = 0 THEN 0 ELSE 5 END AS steps",
+        "'public/index.php' AS first_file", "'system' AS sink", "CASE WHEN o_custkey % 499 = 1 THEN 'noop' ELSE 'system' END AS last_function",
+        "o_custkey % 10 < 7 AS complete", "CASE WHEN o_custkey % 149 = 1 THEN 2 ELSE 0 END AS unresolved", "CASE WHEN o_custkey % 251 = 1 THEN 1 ELSE 0 END AS unexplained",
+        "o_orderkey % 401 <> 0 AS compared", "CASE o_orderkey % 4 WHEN 0 THEN 'B' ELSE 'A' END AS route_type",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'before_sink' WHEN 1 THEN 'after_sink' ELSE CASE WHEN o_custkey % 71 = 1 THEN NULL ELSE 'after_sink' END END AS error_vs_sink",
+        "o_orderkey % 7 <> 0 OR o_custkey % 13 <> 1 AS returned",
+    ]),
+    "fx_agents": ("orders", [
+        f"concat('proj', {_n('o_orderkey / 370')}) AS project", f"concat('agent', {_s('o_orderkey % 21')}) AS agent",
+        "CASE o_orderstatus WHEN 'P' THEN 'not_applicable' WHEN 'F' THEN CASE WHEN o_orderkey % 21 = 20 THEN 'pending' ELSE 'failed' END ELSE 'executed' END AS state",
+        "CASE WHEN o_custkey % 29 = 1 THEN '' ELSE 'no sink of this type' END AS reason",
+    ]),
+    "fx_route_state": ("part", [
+        f"concat('proj', {_n('p_partkey / 5')}) AS project", f"concat('route_', {_s('p_partkey')}) AS route_id",
+        f"concat('app/Mod', {_s('p_partkey * 2')}, '.php') AS file",
+        "CASE p_size % 3 WHEN 0 THEN 'anonymous' WHEN 1 THEN 'authenticated' ELSE 'admin' END AS auth_level",
+        "CASE p_size % 5 WHEN 2 THEN '' ELSE 'auth' END AS middleware", "CASE WHEN p_partkey % 37 = 0 THEN 'open' WHEN p_partkey % 5 = 0 THEN 'skipped' ELSE 'audited' END AS state",
+        "CASE WHEN p_partkey % 3 = 0 THEN 'header trusted' ELSE '' END AS bypass_notes",
+    ]),
+    # one row per tested sink; a few rows in 1,511 break one rule each
+    "fx_exploits": ("lineitem", [
+        f"concat('proj', {_n('l_orderkey / 370')}) AS project",
+        f"CASE WHEN {_bigint('l_orderkey / 37')} % 97 = 0 THEN 'app/none.php' ELSE concat('app/Mod', {_n('l_orderkey / 37')}, '.php') END AS file",
+        "CAST(l_linenumber * 10 AS INT) AS line", f"{SINK_TYPES} AS sink_type", f"{VERDICT} AS verdict",
+        f"CASE WHEN {_odd(1)} THEN 0 WHEN l_partkey % 4 = 0 THEN 7 + l_linenumber % 4 WHEN l_partkey % 4 = 1 THEN 4 + l_linenumber % 3 ELSE 1 + l_linenumber % 3 END AS evidence_score",
+        f"(l_partkey % 4 = 0) <> {_odd(2)} AS evidence_complete",
+        f"CASE WHEN l_partkey % 4 = 0 THEN CASE WHEN {_odd(3)} THEN 'UNRESOLVED' ELSE 'RESOLVED' END ELSE 'INCOMPLETE' END AS trace_status",
+        f"CASE l_suppkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE CASE WHEN {_odd(4)} THEN 4 ELSE 1 END END AS r",
+        "CASE l_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN CASE WHEN l_suppkey % 3 = 2 THEN 2 ELSE 1 END ELSE 0 END AS i",
+        "CASE l_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS c",
+        f"CASE WHEN {_odd(5)} THEN 'not_exploitable' WHEN l_partkey % 4 = 0 THEN 'directly_exploitable' WHEN l_partkey % 4 = 1 THEN 'conditionally_exploitable' ELSE 'not_exploitable' END AS judgment",
+        "CASE l_suppkey % 3 WHEN 0 THEN 'anonymous' WHEN 1 THEN 'authenticated' ELSE 'admin' END AS auth_level",
+        f"CASE WHEN {_odd(6)} THEN 'admin' WHEN {_odd(7)} THEN 'anonymous' WHEN l_suppkey % 3 = 0 THEN 'anonymous' WHEN l_suppkey % 3 = 1 THEN 'authenticated' ELSE 'admin' END AS auth_used",
+        f"CASE WHEN {_odd(8)} THEN 'GET /page' WHEN {_odd(9)} THEN '' ELSE 'POST /page HTTP/1.1 Host: site.example' END AS request",
+        f"CASE WHEN {_odd(10)} THEN NULL ELSE 200 END AS status", f"CASE WHEN {_odd(11)} THEN '' ELSE 'row uid=33 in page' END AS body",
+        f"CASE WHEN {_odd(12)} THEN 'root:' ELSE 'uid=33' END AS claim",
+        f"CASE WHEN {_odd(13)} THEN '' ELSE 'run($a);' END AS fix_before", f"CASE WHEN {_odd(14)} THEN 'run($a);' ELSE 'run(clean($a));' END AS fix_after",
+        "l_orderkey % 2 = 0 AS filtered", f"CASE WHEN {_odd(15)} THEN '' ELSE 'no way around' END AS bypass", f"CASE WHEN {_odd(16)} THEN 1 ELSE 0 END AS empty_points",
+        f"{_bigint('l_orderkey / 37')} % 31 <> 0 AS reported", f"{_bigint('l_orderkey / 37')} % 23 <> 0 AS patched", f"NOT {_odd(7)} OR l_suppkey % 2 = 0 AS authz_marked",
+        f"NOT {_odd(17)} AS variant_tested", f"NOT {_odd(18)} AS compared", "CAST(l_linenumber + 3 AS INT) AS rounds", f"CASE WHEN {_odd(19)} THEN '' ELSE 'all rounds failed' END AS note",
+        f"CASE WHEN {_odd(20)} THEN 'none' WHEN l_partkey % 4 = 0 THEN 'error' WHEN l_partkey % 4 = 1 THEN 'warning' ELSE 'note' END AS sarif",
+        f"CASE WHEN {_odd(23)} THEN 'csrf_auditor' ELSE CASE l_partkey % 10 WHEN 0 THEN 'rce_auditor' WHEN 1 THEN 'rce_auditor' WHEN 2 THEN 'deserial_auditor' WHEN 3 THEN 'lfi_auditor' "
+        "WHEN 4 THEN 'sqli_auditor' WHEN 5 THEN 'filewrite_auditor' WHEN 6 THEN 'ssrf_auditor' WHEN 7 THEN 'xxe_auditor' WHEN 8 THEN 'xss_ssti_auditor' ELSE 'crypto_auditor' END END AS auditor",
+        f"NOT {_odd(21)} AS poc_compiles", "'http://site.example/page' AS url", f"CASE WHEN {_odd(22)} THEN 'http://other.example/' ELSE 'http://site.example/page' END AS poc_url",
+    ]),
     "fx_http": ("pages", [
         "page_id", "url", "CASE page_id % 5 WHEN 0 THEN 403 WHEN 1 THEN 302 ELSE 200 END AS status",
         "CASE WHEN page_id % 2 = 0 THEN 'nosniff' END AS h_x_content_type_options",
