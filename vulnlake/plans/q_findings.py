@@ -60,14 +60,50 @@ def union_reports(t):
     return union_findings(_per_tool(t)).groupBy("source", "sink_type").agg(F.count("*").alias("n"))
 
 
+def report_documents(t):
+    """Reports as the tools write them: nested documents of one file (or package, or pack) each."""
+    f = t.fx_tool_findings.groupBy("source", "file").agg(F.collect_list(F.struct("line", "sink_function", "sink_type")).alias("x"))  # the findings of one file
+    lit, file = F.lit, F.col("file")
+
+    def entries(make):
+        return F.transform("x", lambda e: F.struct(*[c.alias(n) for n, c in make(e).items()]))
+
+    shapes = {
+        "ast_sinks": F.struct(lit(3).alias("total"), entries(lambda e: {"file": file, "line": e["line"], "function": e["sink_function"], "sink_type": e["sink_type"]}).alias("sinks")),
+        "psalm": entries(lambda e: {"severity": lit("error"), "file_name": file, "line_from": e["line"], "selected_text": e["sink_function"], "type": e["sink_type"],
+                                    "taint_trace": F.array(F.struct(file.alias("file_name"), lit(1).alias("line_from")))}),
+        "progpilot": entries(lambda e: {"source_file": F.array(file), "source_line": F.array(lit(1)), "sink_name": e["sink_function"], "sink_line": e["line"], "sink_file": file, "vuln_name": e["sink_type"]}),
+        "semgrep": F.struct(F.array().cast("array<string>").alias("errors"), entries(lambda e: {
+            "check_id": e["sink_function"], "path": file, "start": F.struct(e["line"].alias("line"), lit(1).alias("col")),
+            "extra": F.struct(F.struct(e["sink_type"].alias("category")).alias("metadata"))}).alias("results")),
+        "codeql": F.struct(lit("2.1.0").alias("version"), F.array(F.struct(entries(lambda e: {
+            "ruleId": e["sink_function"], "properties": F.struct(e["sink_type"].alias("kind")),
+            "locations": F.array(F.struct(F.struct(F.struct(file.alias("uri")).alias("artifactLocation"), F.struct(e["line"].alias("startLine")).alias("region")).alias("physicalLocation")))}).alias("results"))).alias("runs")),
+    }
+    docs = {tool: f.where(F.col("source") == tool).select(F.to_json(doc).alias("value")) for tool, doc in shapes.items()}
+    message = F.struct(F.col("line"), lit("variable.undefined").alias("identifier"), lit("Undefined variable").alias("message"), lit(True).alias("ignorable"))
+    lines = t.fx_lines.groupBy("path").agg(F.collect_list(message).alias("messages"))
+    docs["phpstan"] = lines.select(F.to_json(F.struct(F.struct(F.size("messages").alias("file_errors")).alias("totals"), F.create_map("path", F.struct("messages")).alias("files"))).alias("value"))
+    docs["composer_audit"] = t.fx_advisories.select(F.to_json(F.struct(F.create_map("package", F.array(
+        F.struct(F.col("vuln_id").alias("advisoryId"), F.col("package").alias("packageName")))).alias("advisories"), F.create_map().cast("map<string,string>").alias("abandoned"))).alias("value"))
+    layer = lambda role, at: F.struct(lit(role).alias("role"), file.alias("file"), lit(at).alias("lines"))
+    docs["context_extractor"] = t.fx_packs.select(F.to_json(F.struct(
+        lit("system").alias("sink_function"), lit("RCE").alias("sink_type"), F.array(layer("SINK", "40-44"), layer("CALLER", "7-9")).alias("layers"))).alias("value"))
+    failed = t.nation.select(F.to_json(F.struct(lit("failed").alias("status"), F.col("n_name").alias("error"), F.array().cast("array<string>").alias("results"))).alias("value"))
+    broken = t.region.select(F.concat(F.lit("PHP Fatal error: "), "r_name").alias("value"))  # what a crashed tool leaves
+    return {tool: d.unionByName(failed).unionByName(broken) for tool, d in docs.items()}
+
+
 @query("R03_normalised_findings", """
 SELECT file, line, sink_function, sink_type, source, COUNT(*) AS n FROM (
  SELECT file, line, sink_function, sink_type, source FROM fx_tool_findings UNION ALL
+ SELECT path, line, 'variable.undefined', 'Undefined variable', 'phpstan' FROM fx_lines UNION ALL
+ SELECT file, 40, 'system', 'RCE', 'context_extractor' FROM fx_packs UNION ALL
  SELECT 'composer.json', 0, package, 'known_vuln', 'composer_audit' FROM fx_advisories) GROUP BY 1, 2, 3, 4, 5""")
 def normalised(t):
-    from vulnlake.sources.reports import composer_rows
-    rows = t.fx_tool_findings.select("file", "line", "sink_function", "sink_type", "source").unionByName(
-        composer_rows(t.fx_advisories.select("package")))
+    from vulnlake.operators.sets import union_findings
+    from vulnlake.sources.reports import read_findings
+    rows = union_findings([read_findings(t.spark, docs, tool) for tool, docs in report_documents(t).items()])
     return rows.groupBy("file", "line", "sink_function", "sink_type", "source").agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,10 @@ Every reader takes an explicit schema, so nothing is inferred from the data.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,31 +28,81 @@ def report_rows(reports: DataFrame, results: str = "results") -> DataFrame:
     return reports.withColumn("result", F.explode_outer(F.coalesce(results, F.array()))).drop(results)
 
 
-# How each tool names the four finding fields (fixed values of the report formats).
-TOOL_FIELDS = {
-    "ast_sinks": ("sinks", "file", "line", "function", "sink_type"),
-    "psalm": ("results", "file_name", "line_from", "sink", "type"),
-    "progpilot": ("results", "source_file", "source_line", "sink_name", "vuln_name"),
-    "phpstan": ("results", "file", "line", "identifier", "message"),
-    "semgrep": ("results", "path", "line", "check_id", "category"),
-    "codeql": ("results", "uri", "startLine", "ruleId", "kind"),
-    "context_extractor": ("packs", "file", "line", "sink_function", "sink_type"),
+class Shape(NamedTuple):
+    """Where a tool's report holds its findings.
+
+    ``walk``: what is opened, level by level; ``v0`` is the document, ``v1`` what the first step yields, ``k1`` its key in an
+    object. A field is a path below a level, a key, or a quoted constant; the first of several (``|``) that is there counts."""
+
+    walk: tuple[str, ...]
+    file: str
+    line: str
+    function: str
+    kind: str
+    where: str = "true"
+
+
+# fixed values: field names of the published report formats
+TOOL_SHAPES = {
+    "ast_sinks": [Shape(("v0.sinks | v0",), "v1.file", "v1.line", "v1.function | v1.sink_function", "v1.sink_type | v1.type")],
+    "psalm": [Shape(("v0.results | v0",), "v1.file_name", "v1.line_from", "v1.sink | v1.selected_text", "v1.type")],
+    "progpilot": [Shape(("v0.results | v0",), "v1.sink_file | v1.source_file", "v1.sink_line | v1.source_line", "v1.sink_name", "v1.vuln_name")],
+    "phpstan": [Shape(("v0.files", "v1.messages"), "k1", "v2.line", "v2.identifier", "v2.message"),
+                Shape(("v0.results",), "v1.file", "v1.line", "v1.identifier", "v1.message")],
+    "semgrep": [Shape(("v0.results",), "v1.path", "v1.start.line | v1.line", "v1.check_id", "v1.extra.metadata.category | v1.category")],
+    "codeql": [Shape(("v0.runs", "v1.results"), "v2.locations[0].physicalLocation.artifactLocation.uri", "v2.locations[0].physicalLocation.region.startLine",
+                     "v2.ruleId", "v2.properties.kind | v2.kind"),
+               Shape(("v0.results",), "v1.uri", "v1.startLine", "v1.ruleId", "v1.kind")],
+    "composer_audit": [Shape(("v0.advisories", "v1"), "'composer.json'", "'0'", "v2.packageName | v2.package | k1", "'known_vuln'", "k1 IS NOT NULL"),
+                       Shape(("v0.advisories",), "'composer.json'", "'0'", "v1.package", "'known_vuln'", "k1 IS NULL")],
+    "context_extractor": [Shape(("v0.layers",), "v1.file", "v1.lines | v1.line", "v0.sink_function", "v0.sink_type", "v1.role = 'SINK'"),
+                          Shape(("v0.packs",), "v1.file", "v1.line", "v1.sink_function", "v1.sink_type")],
 }
 
 
-def read_findings(spark: SparkSession, path: str, tool: str) -> DataFrame:
-    """A tool's report files in the shape file, line, sink_function, sink_type, source."""
-    if tool == "composer_audit":
-        audit = spark.read.schema("status string, advisories array<struct<package:string>>").option("multiLine", True).json(path)
-        rows = audit.select(F.explode(F.coalesce("advisories", F.array())).alias("a")).select("a.package")
-        return composer_rows(rows)
-    items, *names = TOOL_FIELDS[tool]
-    fields = T.StructType([T.StructField(n, T.IntegerType() if i == 1 else T.StringType()) for i, n in enumerate(names)])
-    schema = T.StructType([T.StructField("status", T.StringType()), T.StructField(items, T.ArrayType(fields))])
-    reports = spark.read.schema(schema).option("multiLine", True).json(path)
-    rows = reports.select(F.explode(F.coalesce(F.col(items), F.array())).alias("r"))
-    out = ["file", "line", "sink_function", "sink_type"]
-    return rows.select(*[F.col(f"r.{n}").alias(o) for n, o in zip(names, out)], F.lit(tool).alias("source"))
+def _place(place: str, kind: str) -> str:
+    """SQL of one place of a shape."""
+    level, _, path = place.partition(".")
+    if place[0] in "'k":
+        return place
+    return f"try_variant_get({level}, '$.{path}', '{kind}')" if path else f"try_variant_get({level}, '$', '{kind}')"
+
+
+def _field(text: str, kind: str = "string") -> Column:
+    return F.expr(f"coalesce({', '.join(_place(x, kind) for x in text.split(' | '))})")
+
+
+def _condition(text: str) -> Column:
+    """A condition whose paths are read as text."""
+    return F.expr(re.sub(r"\bv\d+(?:\.\w+)+", lambda m: _place(m.group(), "string"), text))
+
+
+def findings_of(docs: DataFrame, tool: str, value: str = "value") -> DataFrame:
+    """Findings in report documents (one per row), whatever else the documents hold.
+
+    Text that is no JSON, failed reports and entries without a file give no row; a line that is a range counts from its
+    first number; other columns of ``docs`` stay. Every level is a generator over the parsed document, so a report is read
+    in one pass without a shuffle."""
+    keep = [c for c in docs.columns if c != value]
+    spark, parts = docs.sparkSession, []
+    parsed = docs.select(*keep, F.try_parse_json(value).alias("v0"))
+    for shape in TOOL_SHAPES[tool]:
+        rows = parsed
+        for n, step in enumerate(shape.walk, 1):
+            entries = spark.tvf.variant_explode(_field(step, "variant").outer()).select(F.col("key").alias(f"k{n}"), F.col("value").alias(f"v{n}"))
+            rows = rows.lateralJoin(entries)
+        line = F.regexp_extract(_field(shape.line), "^[0-9]+", 0).try_cast("int")
+        parts.append(rows.where(_condition(shape.where)).select(
+            *keep, _field(shape.file).alias("file"), line.alias("line"), _field(shape.function).alias("sink_function"),
+            _field(shape.kind).alias("sink_type"), F.lit(tool).alias("source")).where("file IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_findings(spark: SparkSession, reports: str | DataFrame, tool: str) -> DataFrame:
+    """A tool's reports (a folder of files, or a frame with a text column ``value``) in the shape file, line,
+    sink_function, sink_type, source."""
+    docs = spark.read.text(reports, wholetext=True) if isinstance(reports, str) else reports
+    return findings_of(docs, tool)
 
 
 def tool_status(spark: SparkSession, path: str) -> DataFrame:
