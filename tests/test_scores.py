@@ -99,6 +99,22 @@ def test_near_names_equal_brute_force(spark, known_names):
     assert got == want
 
 
+def test_near_names_with_a_common_piece(spark):
+    """Thousands of names share all but five letters; only near ones meet."""
+    import random
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [("v", word() + "-bundle-component") for _ in range(3000)] + [("v", ""), ("v", "a"), ("v", "ab"), ("w", "ab"), ("v", None), (None, "ab"), ("v", "é😀-bundle")]
+    known = rows[::60] + [("v", "b"), ("v", "é-bundle")]
+    n, k = spark.createDataFrame(rows, "vendor string, name string"), spark.createDataFrame(known, "vendor string, name string")
+    pairs = n.distinct().join(k.distinct().withColumnRenamed("name", "known_name"), "vendor")
+    want = pairs.withColumn("distance", F.levenshtein("name", "known_name")).where("distance BETWEEN 1 AND 2")
+    got = V.near_names(n, k)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    signatures = spark.createDataFrame([("abcd",), ("",), ("a",)], "t string").select(F.array_sort(F.array_distinct(V.left_out(F.col("t"), 2))).alias("s")).collect()
+    assert [len(r.s) for r in signatures] == [11, 1, 2] and signatures[2].s == ["", "a"]
+
+
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=5))
 def test_hundredths_have_no_edges(axes):
     for r, i, c in axes:

@@ -119,40 +119,30 @@ def match_advisories(packages: DataFrame, advisories: DataFrame, version="versio
     return interval_join(k, advisories, ["package"], "_k", lo, hi).drop("_k")
 
 
+def left_out(text: Column, most: int, start: int | Column = 1) -> Column:
+    """``text`` and everything it becomes when up to ``most`` letters from place ``start`` on are left out.
+
+    Letters are left out from left to right, so a choice of places is made once."""
+    if most == 0:
+        return F.array(text)
+    places = F.when(F.length(text) >= start, F.sequence(F.lit(start) if isinstance(start, int) else start, F.length(text))).otherwise(F.array().cast("array<int>"))
+    shorter = F.transform(places, lambda i: left_out(F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))), most - 1, i))
+    return F.concat(F.array(text), F.flatten(shorter))
+
+
 def near_names(names: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
-    """Names at edit distance 1..2 of a known name of the same vendor.
-
-    Two names that close share a piece: cut into ``most + 1`` parts, at least
-    one part survives the edits, shifted by at most ``most``. Joining on the
-    parts finds every candidate without comparing all pairs."""
-    parts = most + 1
-
-    def pieces(col: Column) -> Column:
-        size = F.length(col)
-        cut = lambda i: F.floor(size * i / parts).cast("int")
-        return F.array(*[F.struct(F.lit(i).alias("i"), size.alias("n"), cut(i).alias("at"),
-                                  F.substring(col, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(parts)])
-
-    k = known.select("vendor", F.col("name").alias("known_name")).distinct()
-    k = k.select("vendor", "known_name", F.explode(pieces(F.col("known_name"))).alias("p")).select("vendor", "known_name", "p.*")
-    n = names.select("vendor", "name").distinct()
-    # every substring of the name that could equal piece i of a known name of length n +- most
-    size = F.length("name")
-    shifts = F.sequence(F.lit(-most), F.lit(most))
-
-    def probes_of(i: int) -> Column:
-        """Candidate copies of part i for every known length and every shift."""
-        def for_length(d):
-            at = F.floor((size + d) * i / parts).cast("int")
-            width = F.floor((size + d) * (i + 1) / parts).cast("int") - at
-            return F.transform(shifts, lambda s: F.struct(
-                F.lit(i).alias("i"), (size + d).alias("n"), at.alias("at"),
-                F.substring("name", F.greatest(at + s + 1, F.lit(1)), width).alias("piece")))
-
-        return F.flatten(F.transform(shifts, for_length))
-
-    windows = F.flatten(F.array(*[probes_of(i) for i in range(parts)]))
-    probes = n.select("vendor", "name", F.explode(F.array_distinct(windows)).alias("p")).select("vendor", "name", "p.*")
-    hits = probes.join(k, ["vendor", "i", "n", "at", "piece"]).select("vendor", "name", "known_name").distinct()
-    d = F.levenshtein("name", "known_name", most)
-    return hits.withColumn("distance", d).where(F.col("distance").between(1, most))
+    """Names at edit distance 1..``most`` of a known name of the same vendor.
+
+    Two names that close become equal when each loses at most ``most`` letters. Names meet on these signatures, which only
+    names within twice the distance share: a piece that a million names have in common brings none of them together.
+    A name of n letters has about n ** most / 2 signatures, carried as hashes; equality of vendors and the distance are
+    checked on the pairs, before these are made distinct. Null names and vendors have no neighbours."""
+    def signed(frame: DataFrame, out: str) -> DataFrame:
+        rows = frame.select("vendor", F.col("name").alias(out)).where("vendor IS NOT NULL AND name IS NOT NULL").distinct()
+        return rows.select("vendor", out, F.explode(left_out(F.col(out), most)).alias("_s")).select(
+            F.xxhash64("vendor", "_s").alias("_s"), F.col("vendor").alias(f"{out}_vendor"), out)
+
+    hits = signed(names, "name").join(signed(known, "known_name"), "_s")
+    distance = F.levenshtein("name", "known_name", most)
+    near = hits.where(F.col("name_vendor") == F.col("known_name_vendor")).withColumn("distance", distance)
+    return near.where(F.col("distance").between(1, most)).select(F.col("name_vendor").alias("vendor"), "name", "known_name", "distance").distinct()
