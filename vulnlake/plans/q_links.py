@@ -11,6 +11,7 @@ from vulnlake.plans.q_findings import QUEUE_SQL, queue
 from vulnlake.plans.q_graph import values
 from vulnlake.plans.registry import query
 from vulnlake.rules import assignment as R
+from vulnlake.rules.report_rules import TYPE_RULES
 
 
 @query("J02_second_order", """
@@ -294,6 +295,57 @@ def sarif_shards(t):
     return runs.select("project", "shards").join(got, "project")
 
 
+def described(t):
+    """Findings some of which lack a path, a priority or a flow."""
+    n = F.col("evidence_score")
+    steps = F.array(F.struct(F.lit(1).alias("layer"), F.col("file"), F.col("line"), F.lit("SINK").alias("role"), F.lit("call").alias("function")))
+    from vulnlake.sources.sinks import code_flow
+    return t.fx_sinks.select(
+        "project", "sink_type", "verdict", F.when(n != 1, F.col("file")).alias("file"), "line", F.lit("call").alias("sink_function"),
+        F.when(n != 2, F.concat(F.lit("P"), F.col("r").cast("string"))).alias("priority"), F.col("c").alias("rounds_executed"),
+        F.when(n != 3, code_flow(steps)).alias("flow"))
+
+
+SARIF_SQL = f"""t(id, name, cwe) AS (VALUES {values([(k, n, c) for k, (n, c) in TYPE_RULES.items()])}),
+f AS (SELECT project, sink_type, verdict, line, r, c, file AS src, CASE WHEN evidence_score <> 1 THEN file END AS file, CASE WHEN evidence_score <> 2 THEN concat('P', r) END AS priority, evidence_score <> 3 AS flow
+ FROM fx_sinks WHERE verdict <> 'not_vulnerable')"""
+
+
+@query("W01_sarif_documents", f"""WITH {SARIF_SQL},
+k AS (SELECT DISTINCT project, sink_type FROM f),
+u AS (SELECT project, string_agg(concat('{{"id":"', sink_type, '","name":"', COALESCE(name, sink_type), '","shortDescription":{{"text":"', COALESCE(name, sink_type), ' vulnerability"}}',
+ CASE WHEN cwe IS NULL THEN '' ELSE concat(',"helpUri":"https://cwe.mitre.org/data/definitions/', cwe, '.html"') END,
+ ',"properties":{{"tags":["security","', replace(lower(COALESCE(name, sink_type)), ' ', '-'), '"]}}}}'), ',' ORDER BY sink_type) AS rules FROM k LEFT JOIN t ON id = sink_type GROUP BY project),
+g AS (SELECT project, COUNT(*) AS n, COUNT(*) - COUNT(file) AS a, COUNT(*) - COUNT(priority) AS b, COUNT(*) FILTER (NOT flow) AS d FROM f GROUP BY project),
+m AS (SELECT project, n, list_filter([CASE WHEN a > 0 THEN concat(a, ' results without a file path') END, CASE WHEN b > 0 THEN concat(b, ' results without a priority') END,
+ CASE WHEN d > 0 THEN concat(d, ' results without a code flow') END], lambda x: x IS NOT NULL) AS w FROM g)
+SELECT project, concat('{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"vulnlake","rules":[', rules, ']}}}},"invocations":[{{"executionSuccessful":true,"toolExecutionNotifications":[',
+ array_to_string(list_transform(w, lambda x: concat('{{"level":"warning","message":{{"text":"', x, '"}}}}')), ','), ']}}],"externalPropertyFileReferences":{{"results":[',
+ array_to_string(list_transform(range(CAST(ceil(n / 500e0) AS BIGINT)), lambda i: concat('{{"location":{{"uri":"results-', i, '.sarif-external-properties"}}}}')), ','), ']}}}}]}}') AS document FROM m JOIN u USING (project)""")
+def sarif_documents(t):
+    from vulnlake.sources.sinks import to_sarif
+    runs, _ = to_sarif(described(t), shard_rows=500, flows="flow", properties=["priority", "verdict", "rounds_executed"])
+    return runs.select("project", "document")
+
+
+@query("W01_sarif_result_documents", f"""WITH {SARIF_SQL}, p AS (SELECT *, concat('{{"physicalLocation":{{"artifactLocation":{{"uri":"', COALESCE(file, 'unknown'), '"}},"region":{{"startLine":', line, '}}}}}}') AS place,
+ concat('"physicalLocation":{{"artifactLocation":{{"uri":"', src, '"}},"region":{{"startLine":', line, '}}}}') AS step FROM f)
+SELECT project, concat('{{"ruleId":"', sink_type, '","level":"', CASE verdict WHEN 'confirmed' THEN 'error' WHEN 'suspected' THEN 'warning' ELSE 'note' END, '","message":{{"text":"', sink_type, ' at call"}},"locations":[', place,
+ '],"properties":{{', CASE WHEN priority IS NULL THEN '' ELSE concat('"priority":"', priority, '",') END, '"verdict":"', verdict, '","rounds_executed":', c, '}}',
+ CASE WHEN flow THEN concat(',"codeFlows":[{{"threadFlows":[{{"locations":[{{"location":{{', step, ',"message":{{"text":"SINK: call"}}}}}}]}}]}}]') ELSE '' END, '}}') AS result, COUNT(*) AS n FROM p GROUP BY 1, 2""")
+def sarif_result_documents(t):
+    from vulnlake.sources.sinks import to_sarif
+    _, shards = to_sarif(described(t), shard_rows=500, flows="flow", properties=["priority", "verdict", "rounds_executed"])
+    # read back from the written documents, one row per result
+    result = t.spark.tvf.variant_explode(F.expr("variant_get(parse_json(document), '$.results', 'variant')").outer()).select(F.to_json("value").alias("parsed"))
+    order = ["ruleId", "level", "message", "locations", "properties", "codeFlows"]
+    schema = ("ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>, "
+              "properties struct<priority:string,verdict:string,rounds_executed:int>, codeFlows array<struct<threadFlows:array<struct<locations:array<struct<location:struct<"
+              "physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>,message:struct<text:string>>>>>>>>")
+    rows = shards.lateralJoin(result).select("project", F.from_json("parsed", schema).alias("r"))
+    return rows.select("project", F.to_json(F.struct(*[F.col(f"r.{c}") for c in order])).alias("result")).groupBy("project", "result").agg(F.count("*").alias("n"))
+
+
 @query("W02_sarif_levels", """
 SELECT result, CASE result WHEN 'confirmed' THEN 'error' WHEN 'suspected' THEN 'warning' END AS level, COUNT(*) AS n FROM fx_rounds WHERE result <> 'failed' GROUP BY 1, 2""")
 def sarif_levels(t):

@@ -6,12 +6,14 @@ bounded shards that reference each other, or written as ordered lines.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.score import pick
+from vulnlake.rules.report_rules import HELP, TYPE_RULES, WARNINGS
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Column, keep: str = "last") -> DataFrame:
@@ -43,33 +45,51 @@ def code_flow(layers: Column) -> Column:
     return F.when(F.size(layers) > 0, F.array(F.struct(F.array(F.struct(steps.alias("locations"))).alias("threadFlows"))))
 
 
-def sarif_results(findings: DataFrame, flows: str | None = None) -> DataFrame:
+def sarif_results(findings: DataFrame, flows: str | None = None, properties: Sequence[str] = ("verdict",)) -> DataFrame:
     """One SARIF result object per finding; findings judged not vulnerable are left out.
 
-    Needs project, sink_type, verdict, file, line, sink_function."""
+    Needs project, sink_type, verdict, file, line, sink_function. ``properties`` names columns for the property bag (null:
+    left out). ``missing`` lists what the result lacks: a path, a line, a priority, a code flow."""
     location = F.struct(F.struct(
         F.struct(F.coalesce("file", F.lit("unknown")).alias("uri")).alias("artifactLocation"),
         F.struct(F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
     parts = [
         F.col("sink_type").alias("ruleId"), sarif_level("verdict").alias("level"),
         F.struct(F.concat_ws(" ", F.col("sink_type"), F.lit("at"), F.col("sink_function")).alias("text")).alias("message"),
-        F.array(location).alias("locations"), F.struct(F.col("verdict").alias("verdict")).alias("properties")]
+        F.array(location).alias("locations"), F.struct(*properties).alias("properties")]
+    flags = {"no_path": F.col("file").isNull(), "no_line": F.col("line").isNull()}
+    if "priority" in properties:
+        flags["no_priority"] = F.col("priority").isNull()
     if flows:
         parts.append(F.col(flows).alias("codeFlows"))
+        flags["no_flow"] = F.col(flows).isNull()
     kept = findings.where(sarif_level("verdict").isNotNull())
-    return kept.select("project", "sink_type", "file", "line", F.to_json(F.struct(*parts)).alias("result"))
+    missing = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
+    return kept.select("project", "sink_type", "file", "line", F.to_json(F.struct(*parts)).alias("result"), missing.alias("missing"))
 
 
-def to_sarif(findings: DataFrame, shard_rows: int = 20_000, flows: str | None = None) -> tuple[DataFrame, DataFrame]:
+def sarif_rule(kind: Column) -> Column:
+    """Rule object of a finding type; a type without a description has its own name and no help link."""
+    known = F.try_element_at(F.from_json(F.lit(json.dumps({k: {"name": n, "cwe": c} for k, (n, c) in TYPE_RULES.items()})), "map<string,struct<name:string,cwe:int>>"), kind)
+    name = F.coalesce(known["name"], kind)
+    return F.struct(
+        kind.alias("id"), name.alias("name"), F.struct(F.concat(name, F.lit(" vulnerability")).alias("text")).alias("shortDescription"),
+        F.concat(F.lit(HELP), known["cwe"].cast("string"), F.lit(".html")).alias("helpUri"),
+        F.struct(F.array(F.lit("security"), F.replace(F.lower(name), F.lit(" "), F.lit("-"))).alias("tags")).alias("properties"))
+
+
+def to_sarif(findings: DataFrame, shard_rows: int = 20_000, flows: str | None = None, properties: Sequence[str] = ("verdict",)) -> tuple[DataFrame, DataFrame]:
     """SARIF 2.1.0 as (runs, shards).
 
-    ``runs`` has one log per project: the tool, its rules and references to
-    external property files. ``shards`` holds the results in files of about
+    ``runs`` has one log per project: the tool, its rules with names and help
+    links, warnings about what results lack, and references to external
+    property files. ``shards`` holds the results in files of about
     ``shard_rows`` each, so a large project never becomes one row."""
-    results = sarif_results(findings, flows)
-    sizes = results.groupBy("project").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_set("sink_type")).alias("_rules"))
+    results = sarif_results(findings, flows, properties)
+    lacking = [F.count_if(F.array_contains("missing", n)).alias(n) for n in WARNINGS]
+    sizes = results.groupBy("project").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_set("sink_type")).alias("_rules"), *lacking)
     counted = sizes.withColumn("_shards", F.ceil(F.col("_n") / shard_rows))
-    spread = results.join(counted.select("project", "_shards"), "project").withColumn(
+    spread = results.drop("missing").join(counted.select("project", "_shards"), "project").withColumn(
         "shard", F.pmod(F.xxhash64("result"), F.col("_shards")))
     # Dealt by shard: else all shards of a project would be built where the join put the project.
     spread = spread.repartition("project", "shard")
@@ -77,10 +97,13 @@ def to_sarif(findings: DataFrame, shard_rows: int = 20_000, flows: str | None =
     shards = shards.select(
         "project", "shard", "items", F.concat(F.lit('{"version":"2.1.0","results":['), F.array_join("_r", ","), F.lit("]}")).alias("document"))
     uri = lambda i: F.concat(F.lit("results-"), i.cast("string"), F.lit(".sarif-external-properties"))
+    notes = F.array_compact(F.array(*[F.when(F.col(n) > 0, F.struct(
+        F.lit("warning").alias("level"), F.struct(F.concat_ws(" ", F.col(n).cast("string"), F.lit(text)).alias("text")).alias("message"))) for n, text in WARNINGS.items()]))
     log = F.struct(
         F.lit("2.1.0").alias("version"),
         F.array(F.struct(
-            F.struct(F.struct(F.lit("vulnlake").alias("name"), F.transform("_rules", lambda r: F.struct(r.alias("id"))).alias("rules")).alias("driver")).alias("tool"),
+            F.struct(F.struct(F.lit("vulnlake").alias("name"), F.transform("_rules", sarif_rule).alias("rules")).alias("driver")).alias("tool"),
+            F.array(F.struct(F.lit(True).alias("executionSuccessful"), notes.alias("toolExecutionNotifications"))).alias("invocations"),
             F.struct(F.transform(F.sequence(F.lit(0), F.col("_shards").cast("int") - 1),
                                  lambda i: F.struct(F.struct(uri(i).alias("uri")).alias("location"))).alias("results")).alias("externalPropertyFileReferences"),
         )).alias("runs"))
