@@ -26,14 +26,18 @@ def evidence_gaps(results: DataFrame) -> DataFrame:
     return results.withColumn("missing", missing).withColumn("complete", F.size("missing") == 0)
 
 
-def pending_pool(results: DataFrame) -> DataFrame:
-    """Results that stay open: unproven suspicions, exhausted rounds on reachable sinks, evidence that could not be obtained."""
+def open_reasons() -> Column:
+    """Why a result stays open: an unproven suspicion, exhausted rounds on a reachable sink, evidence that could not be obtained."""
     noted = F.exists(F.map_values("evidence"), lambda v: v.startswith("[未获取"))
-    why = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(F.col("verdict").isin("suspected", "potential") & (F.size("missing") > 0), "missing_evidence"),
         F.when((F.col("verdict") == "failed") & (F.col("rounds") >= F.col("max_rounds")) & F.col("reachable"), "rounds_exhausted"),
         F.when(noted, "not_obtained")))
-    return results.withColumn("reasons", why).where(F.size("reasons") > 0)
+
+
+def pending_pool(results: DataFrame) -> DataFrame:
+    """Results that stay open, with the reasons."""
+    return results.withColumn("reasons", open_reasons()).where(F.size("reasons") > 0)
 
 
 def research_triggers(state: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from vulnlake.operators import behaviour as B
 from vulnlake.operators import checks as CK
 from vulnlake.operators import evidence as E
 from vulnlake.operators import memory as M
+from vulnlake.operators import report as RP
 from vulnlake.plans.q_findings import QUEUE_SQL, queue
 from vulnlake.plans.q_graph import values
 from vulnlake.operators.ordered import spread_join
@@ -153,6 +154,44 @@ def published_verdicts(t):
     return CK.verdicts(CK.run_checks(check_inputs(t)))
 
 
+REPORT_SQL = f"""{EV_SQL}, o AS (SELECT project, file, line, sink_type, verdict, missing, list_filter([CASE WHEN verdict IN ('suspected','potential') AND len(missing) > 0 THEN 'missing_evidence' END,
+ CASE WHEN len(list_filter(held, lambda e: starts_with(e.v, '[未获取'))) > 0 THEN 'not_obtained' END], lambda x: x IS NOT NULL) AS reasons FROM g),
+graded AS (SELECT *, CASE WHEN len(reasons) > 0 THEN 'pool' WHEN verdict = 'confirmed' AND len(missing) > 0 THEN 'suspected' ELSE verdict END AS grp FROM o)"""
+
+
+def reported(t):
+    return results(t).withColumns({"rounds": F.col("r"), "max_rounds": F.lit(3), "reachable": F.lit(True)})
+
+
+@query("W07_verdict_groups", f"""WITH {REPORT_SQL} SELECT project, grp, COUNT(*) AS entries, COUNT(DISTINCT sink_type) AS types, COUNT(*) FILTER (len(missing) > 0) AS incomplete FROM graded GROUP BY 1, 2""")
+def verdict_groups(t):
+    return RP.verdict_groups(reported(t))
+
+
+@query("W07_risk_pool", f"""WITH {REPORT_SQL}, e AS (SELECT project, sink_type, file, line, verdict, array_to_string(missing, ',') AS missing, array_to_string(reasons, ',') AS reasons, COUNT(*) AS times
+ FROM graded WHERE grp = 'pool' GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY sink_type, file, line, verdict, missing, reasons) AS k FROM e)
+SELECT project, sink_type, file, line, verdict, missing, reasons, times, concat('RP-', CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END) AS id,
+ CASE WHEN contains(reasons, 'not_obtained') THEN 'restore the environment and repeat' ELSE 'replay by hand' END AS next_step FROM n""")
+def risk_pool(t):
+    return RP.risk_pool(reported(t))
+
+
+@query("W07_agent_matrix", """
+WITH a AS (SELECT project, agent, state, CASE state WHEN 'executed' THEN 1 WHEN 'failed' THEN 2 WHEN 'deferred' THEN 3 WHEN 'not_applicable' THEN 4 END AS p FROM fx_agents),
+every AS (SELECT project, agent FROM (SELECT DISTINCT project FROM fx_agents) CROSS JOIN (SELECT concat('agent', x) AS agent FROM range(22) r(x)))
+SELECT project, agent, CASE min(p) WHEN 1 THEN 'executed' WHEN 2 THEN 'failed' WHEN 3 THEN 'deferred' WHEN 4 THEN 'not_applicable' ELSE 'missing' END AS state, COUNT(a.state) AS records
+FROM every LEFT JOIN a USING (project, agent) GROUP BY 1, 2""")
+def agent_matrix(t):
+    return RP.agent_matrix(t.fx_agents, [f"agent{n}" for n in range(22)])
+
+
+@query("W07_route_coverage", """
+WITH g AS (SELECT project, COUNT(*) AS routes, COUNT(*) FILTER (state = 'audited') AS audited, COUNT(*) FILTER (state = 'skipped') AS skipped, COUNT(*) FILTER (state = 'open') AS gap FROM fx_route_state GROUP BY 1)
+SELECT *, CAST(round(audited * 100e0 / routes, 2) AS DOUBLE) AS audited_pct FROM g""")
+def route_coverage(t):
+    return RP.route_coverage(t.fx_route_state)
+
+
 @query("S51_alert_lines", """
 SELECT concat('[', CASE WHEN cvss >= 9 THEN 'CRITICAL' ELSE 'HIGH' END, '] ', package, ' ', CAST(intro_major AS VARCHAR), '.x: ', vuln_id) AS line FROM fx_advisories WHERE cvss >= 7""")
 def alert_lines(t):
