@@ -117,6 +117,14 @@ def test_read_sources_skips_vendor_and_big_files(spark, tmp_path):
     assert X.scan_calls(X.explode_lines(src)).select("line", "function").collect()[0] == (2, "system")
 
 
+def test_root_name_inside_the_tree(spark, tmp_path):
+    f = tmp_path / "src" / "shop" / str(tmp_path).strip("/") / "src" / "a.php"
+    f.parent.mkdir(parents=True)
+    f.write_text("<?php")
+    for root in (str(tmp_path / "src"), f"{tmp_path}/src/", f"file://{tmp_path}/src", f"file:{tmp_path}/src"):
+        assert [r.path for r in X.read_sources(spark, root)[0].collect()] == [f"shop{tmp_path}/src/a.php"]
+
+
 def test_scope_rules(spark):
     lines = [("p", "a", i + 1, t) for i, t in enumerate([
         "function login($r) {", "$_SESSION['user_id'] = $id;", "}", "function safe($r) {", "$_SESSION['user_id'] = $id;", "session_regenerate_id(true);", "}"])]

@@ -33,8 +33,8 @@ LOG_RULES = [
 ]
 EXPOSED_KEYS = ["password_hash", "secret", "secret_key", "token", "ssn", "internal_ip"]
 PAGE_RULES = [
-    ("source_map", r"(?:#|@)\s*sourceMappingURL=|\.map\b"), ("devtools", r"__VUE_DEVTOOLS_GLOBAL_HOOK__|__REACT_DEVTOOLS_GLOBAL_HOOK__"),
-    ("build_path", r"__webpack_hmr|webpack\.config\.js"), ("debug_bar", r"phpdebugbar|sf-toolbar"), ("inline_script", r"<script>"),
+    ("source_map", r"[#@]\s*sourceMappingURL=|[\w-]\.(?:js|css)\.map\b"), ("devtools", r"__VUE_DEVTOOLS_GLOBAL_HOOK__|__REACT_DEVTOOLS_GLOBAL_HOOK__"),
+    ("build_path", r"__webpack_hmr|webpack\.config\.js"), ("debug_bar", r"phpdebugbar|sf-toolbar"),
 ]
 COMMENT_HINT = r"(?i)todo|fixme|password|admin|internal|debug|api|key|token"
 LOG_PATH = r"(?i)(^|/)(public|www|htdocs|webroot)/(.*/)?[^/]*\.log(\.[0-9]+|\.gz|\.bak)?$"

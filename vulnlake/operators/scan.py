@@ -40,7 +40,9 @@ def read_sources(spark, root: str, extension: str = "php", exclude: str = EXCLUD
     skipped = meta.select("path", "length").where((F.col("length") > most) & ~F.col("path").rlike(exclude))
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").text(root, wholetext=True)
     full = F.col("_metadata.file_path")
-    rel = F.regexp_replace(full, "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    place = re.match(r"^(?:[A-Za-z][\w+.-]*:(?://[^/]*)?)?(.*?)/*$", root).group(1)  # without scheme and authority
+    before = r"^(?:[A-Za-z][\w+.-]*:(?://[^/]*)?)?/*" if place.startswith("/") else "^.*?/"  # a relative folder is resolved by the reader
+    rel = F.regexp_replace(full, before + re.escape(place.strip("/")) + "/", "")
     src = text.where(~full.rlike(exclude) & (F.col("_metadata.file_size") <= most)).select(
         F.split(rel, "/")[0].alias("project"), rel.alias("path"), F.col("value").alias("content"))
     return src, skipped

@@ -78,14 +78,14 @@ def exposed(t):
     return L.exposed_fields(t.events.select("event_id", body.alias("body")))
 
 
-@query("F32_page_leaks", f"""WITH f AS ({' UNION ALL '.join(f"SELECT page_id, {lit(r)} AS rule FROM pages WHERE regexp_matches(html, {lit(rx)})" for r, rx in L.PAGE_RULES)}) SELECT rule, COUNT(*) AS pages FROM f GROUP BY 1""")
+@query("F32_page_leaks", f"""WITH f AS ({' UNION ALL '.join(f"SELECT page_id, {lit(r)} AS rule FROM fx_html WHERE regexp_matches(html, {lit(rx)})" for r, rx in L.PAGE_RULES)}) SELECT rule, COUNT(*) AS pages FROM f GROUP BY 1""")
 def page_leaks(t):
-    return L.text_flags(t.texts("pages", "page_id", "html"), L.PAGE_RULES, "html").groupBy("rule").agg(F.count("*").alias("pages"))
+    return L.text_flags(t.fx_html, L.PAGE_RULES, "html").groupBy("rule").agg(F.count("*").alias("pages"))
 
 
-@query("F32_page_comments", f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS note FROM pages) SELECT page_id, trim(note) AS note FROM c WHERE regexp_matches(note, {lit(L.COMMENT_HINT)})""")
+@query("F32_page_comments", f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS note FROM fx_html) SELECT page_id, trim(note) AS note FROM c WHERE regexp_matches(note, {lit(L.COMMENT_HINT)})""")
 def comments(t):
-    return L.page_comments(t.texts("pages", "page_id", "html"))
+    return L.page_comments(t.fx_html)
 
 
 @query("F33_sensitive_logs", f"""WITH f AS ({' UNION ALL '.join(f"SELECT doc_id, {lit(r)} AS rule FROM documents WHERE regexp_matches(text, {lit(rx)})" for r, rx in L.LOG_RULES)}) SELECT doc_id, rule FROM f""")

@@ -301,6 +301,11 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN 4 THEN 'sqli_auditor' WHEN 5 THEN 'filewrite_auditor' WHEN 6 THEN 'ssrf_auditor' WHEN 7 THEN 'xxe_auditor' WHEN 8 THEN 'xss_ssti_auditor' ELSE 'crypto_auditor' END END AS auditor",
         f"NOT {_odd(21)} AS poc_compiles", "'http://site.example/page' AS url", f"CASE WHEN {_odd(22)} THEN 'http://other.example/' ELSE 'http://site.example/page' END AS poc_url",
     ]),
+    # pages as a server in development leaves them
+    "fx_html": ("pages", [
+        "page_id", "concat(html, CASE page_id % 9 WHEN 0 THEN '<script>run()//# sourceMappingURL=app' WHEN 1 THEN '<script>list.map(f)</script>' WHEN 2 THEN '<a href=/s/app.js.map>' "
+        "WHEN 3 THEN '<script src=/__webpack_hmr>' WHEN 4 THEN '<div class=phpdebugbar>' WHEN 5 THEN '<script>__VUE_DEVTOOLS_GLOBAL_HOOK__' WHEN 6 THEN '<p>site.map of all' WHEN 7 THEN '<!-- TODO remove test account -->' ELSE '' END) AS html",
+    ]),
     "fx_http": ("pages", [
         "page_id", "url", "CASE page_id % 5 WHEN 0 THEN 403 WHEN 1 THEN 302 ELSE 200 END AS status",
         "CASE WHEN page_id % 2 = 0 THEN 'nosniff' END AS h_x_content_type_options",
