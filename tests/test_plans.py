@@ -12,6 +12,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def rows_made(df, node):
+    """Output rows of the nodes of a kind in a plan that has run."""
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        inner = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        return ([p.metrics().apply("numOutputRows").value()] if kind == node else []) + [n for c in inner for n in walk(c)]
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_sarif_shards_are_dealt_by_shard(spark, tables):
     _, shards = to_sarif(tables.fx_sinks.withColumn("sink_function", F.lit("call")), shard_rows=500)
     assert "hashpartitioning(project" in plan(shards) and "shard" in plan(shards).split("hashpartitioning(project")[1].split(")")[0]
@@ -30,6 +39,22 @@ def test_spread_join_leaves_an_exchange_for_the_aggregation(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_spread_join_repeats_only_hot_keys_of_the_lookup(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 3000, 1).when(F.col("id") < 3010, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    lookup = spark.range(6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).unionByName(spark.createDataFrame([(None, 1)], "k long, w long"))
+    got, want = spread_join(rows, lookup, "k"), rows.join(lookup, "k")
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    even = spread_join(rows.where("v >= 3010"), lookup, "k")
+    assert "Generate" not in plan(even) and even.count() == 2990
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = got.groupBy("k").count()
+        held._jdf.queryExecution().toRdd().count()
+        assert rows_made(held, "GenerateExec") == [6000 + 15]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_escapes_need_no_python(spark):
     df = spark.createDataFrame([(r"a\x3cbé中z",), (r"😀",), ("none",), (None,)], "t string").select(H.decode_escapes(F.col("t")).alias("d"))
     assert "Python" not in plan(df) and [r.d for r in df.collect()] == ["a<bé中z", "😀", "none", None]

@@ -152,11 +152,18 @@ def top_k(df, keys, order, k: int, name: str | None = None) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, parts: int = 16) -> DataFrame:
-    """Join rows to a table with one row per key, each key dealt over ``parts`` tasks.
+    """Join rows to a table with one row per key, each hot key dealt over ``parts`` tasks.
 
     An aggregation by the key that follows has to shuffle again and combines before that, so a hot key's rows never
-    meet in one task. The part is a hash of the row, so a task that runs again deals its rows alike. The lookup is
-    repeated ``parts`` times."""
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(parts)))
-    repeated = lookup.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    meet in one task. The part is a hash of the row, so a task that runs again deals its rows alike. Hot is a key with
+    more than ``HOT_KEY_ROWS`` rows or a large share of all, so there are few: only their rows of the lookup are repeated,
+    and without any it is a plain join."""
+    hot = hot_keys(rows, [key], min(HOT_KEY_ROWS, rows.count() // (4 * parts)))
+    if hot is None:
+        return rows.join(lookup, key)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(parts))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), part).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    repeated = lookup.join(hot, key, "left").withColumn("_part", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
     return dealt.join(repeated, [key, "_part"]).drop("_part")
