@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions import http as H
 from vulnlake.operators import behaviour as B
+from vulnlake.operators import scan as X
 from vulnlake.operators.ordered import spread_join
+from vulnlake.plans.q_source import function_calls
 from vulnlake.sources.sinks import to_sarif
 
 
@@ -55,6 +57,21 @@ def test_spread_join_repeats_only_hot_keys_of_the_lookup(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_function_calls_are_taken_out_once(spark, tables):
+    rows = [("p", "a", 1, "f("), ("p", "a", 2, "1);"), ("p", "a", 3, "g(2);"), ("p", "a", 3, "h(3);"), ("p", "b", 1, "system('x"), ("p", "b", 2, "y');"), (None, "c", 1, "k(4);")]
+    lines = spark.createDataFrame(rows, "project string, path string, line int, text string")
+    found = X.calls(X.code_lines(lines), hot=None)
+    assert {(r.path, r.line, r.token, tuple(r.args)) for r in found.collect()} == {
+        ("a", 1, "f", ("1",)), ("a", 3, "g", ("2",)), ("a", 3, "h", ("3",)), ("b", 1, "system", ("'x y'",)), ("c", 1, "k", ("4",))}
+    assert plan(function_calls(tables)).count("MapInArrow") == 1
+
+
+def test_safe_calls_are_kept_where_asked_for(spark):
+    rows = [("p", "a", 1, "libxml_disable_entity_loader(true);"), ("p", "a", 2, "libxml_disable_entity_loader(false);"), ("p", "a", 3, "libxml_disable_entity_loader();")]
+    c = X.calls(X.code_lines(spark.createDataFrame(rows, "project string, path string, line int, text string")), X.known_names(), None)
+    assert [sorted(r.line for r in X.table_hits(c, keep_safe=k).collect()) for k in (False, True)] == [[2, 3], [1, 2, 3]]
+
+
 def test_escapes_need_no_python(spark):
     df = spark.createDataFrame([(r"a\x3cbé中z",), (r"😀",), ("none",), (None,)], "t string").select(H.decode_escapes(F.col("t")).alias("d"))
     assert "Python" not in plan(df) and [r.d for r in df.collect()] == ["a<bé中z", "😀", "none", None]

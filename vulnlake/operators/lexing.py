@@ -65,7 +65,8 @@ def _end_from(text: Column, state: int) -> Column:
 
 
 def line_map(text: Column) -> Column:
-    return let(text, lambda t: _end_in_code(t) + _end_from(t, SINGLE) * 4 + _end_from(t, DOUBLE) * 16 + _end_from(t, BLOCK) * 64)
+    full = lambda t: _end_in_code(t) + _end_from(t, SINGLE) * 4 + _end_from(t, DOUBLE) * 16 + _end_from(t, BLOCK) * 64
+    return F.when(text.rlike(r"['\x22]|/\*|\*/"), let(text, full)).otherwise(IDENTITY)
 
 
 def step(state: Column, line: Column) -> Column:

@@ -110,12 +110,13 @@ def scopes(lines: DataFrame, hot=True) -> DataFrame:
 OF_LINES = {"text", "code", "lex_in", "lex_out", "stmt", "lone", "prev"}
 
 
-def calls(lines: DataFrame, wanted: Column | None = None) -> DataFrame:
+def calls(lines: DataFrame, wanted: Column | None = None, hot=True) -> DataFrame:
     """One row per call: line of its name, token, text right before it, arguments and these without nested groups.
 
-    A call may go on over any number of lines. ``wanted`` (on the statement's ``text``) leaves out statements unread."""
+    A call may go on over any number of lines. ``wanted`` (on the statement's ``text``) leaves out statements unread.
+    ``hot`` passes on ``hot_keys`` of the source lines, which need no lexing."""
     facts = [c for c in lines.columns if c not in OF_LINES and c not in (*FILE, "line")]
-    lines = lines if "stmt" in lines.columns else statement_lines(lines)
+    lines = lines if "stmt" in lines.columns else statement_lines(lines, hot)
     units = statements(lines, [*facts, "prev"]).where(F.col("text").contains("("))
     found = calls_of(units if wanted is None else units.where(wanted))
     at = F.element_at("lines", F.col("row") + 1)
@@ -164,22 +165,22 @@ def _table(spark, function_sinks=None, method_sinks=None, static_sinks=None) ->
     return spark.createDataFrame(rows, "_key string, _family string")
 
 
-def _table_hit() -> Column:
-    """The name-table hit of a call whose ``_family`` was looked up; null for none or for a safe call."""
+def _table_hit(keep_safe: bool = False) -> Column:
+    """The name-table hit of a call whose ``_family`` was looked up; null for none or for a safe call (unless ``keep_safe``)."""
     name = F.col("token")
     klass = F.regexp_extract("before", r"(\w+)$", 1)
     safe = (name == "libxml_disable_entity_loader") & (F.lower(F.when(F.size("args") > 0, F.col("args")[0])) == "true")
     shown = F.when(name.startswith("->"), F.concat(name, F.lit("()"))).when(name.startswith("::"), F.concat(klass, name)).otherwise(name)
     kind = F.when(name.startswith("->"), "method_call").when(name.startswith("::"), "static_call").otherwise("func_call")
-    return F.when(F.col("_family").isNotNull() & ~F.coalesce(safe, F.lit(False)),
+    return F.when(F.col("_family").isNotNull() & (F.lit(keep_safe) | ~F.coalesce(safe, F.lit(False))),
                   F.struct(F.col("_family").alias("sink_type"), shown.alias("function"), kind.alias("call_type")))
 
 
-def table_hits(call_rows: DataFrame, function_sinks=None, method_sinks=None, static_sinks=None) -> DataFrame:
-    """Calls found in the name tables (functions, methods, static methods)."""
+def table_hits(call_rows: DataFrame, function_sinks=None, method_sinks=None, static_sinks=None, keep_safe: bool = False) -> DataFrame:
+    """Calls found in the name tables (functions, methods, static methods); ``keep_safe`` counts calls that their arguments make safe."""
     table = _table(call_rows.sparkSession, function_sinks, method_sinks, static_sinks)
     hit = call_rows.withColumn("_key", _table_key()).join(F.broadcast(table), "_key")
-    return hit.withColumn("_h", F.explode(F.array_compact(F.array(_table_hit())))).select(*call_rows.columns, "_h.*")
+    return hit.withColumn("_h", F.explode(F.array_compact(F.array(_table_hit(keep_safe))))).select(*call_rows.columns, "_h.*")
 
 
 def _context_array() -> Column:
@@ -254,7 +255,7 @@ def check_then_include(scoped: DataFrame) -> DataFrame:
     return line_hits(scoped).where(F.col("call_type") == "race_condition")
 
 
-def _names() -> Column:
+def known_names() -> Column:
     """Whether a statement calls anything that a table or a context rule asks for."""
     known = sorted({n for t in (K.FUNCTION_SINKS, K.METHOD_SINKS) for n, _ in K.pairs(t)} | {n.split("::")[1] for n, _ in K.pairs(K.STATIC_SINKS)}
                    | set(K.BULK_METHODS + K.WPDB_METHODS + K.MONGO_METHODS + K.REDIS_METHODS))
@@ -271,7 +272,7 @@ def scan_calls(lines: DataFrame) -> DataFrame:
     scoped = scopes(code_lines(lines), hot_keys(lines, FILE)).where(F.col("code") != "").drop("text")
     none = F.array().cast("array<string>")
     own = line_hits(scoped).select(*keep, none.alias("args"), none.alias("outers"), "sink_type", "function", "call_type")
-    rows = calls(scoped.drop("check_line"), _names()).withColumn("_key", _table_key())
+    rows = calls(scoped.drop("check_line"), known_names()).withColumn("_key", _table_key())
     looked = rows.join(F.broadcast(_table(lines.sparkSession)), "_key", "left")
     hits = F.concat(F.array_compact(F.array(_table_hit())), _context_array())
     called = looked.withColumn("_h", F.explode(hits)).select(*keep, "args", "outers", "_h.*")

@@ -63,6 +63,11 @@ def code(t):
     return X.code_lines(t.fx_lines)
 
 
+def sink_calls(t):
+    """Calls of the statements that name something a table asks for."""
+    return X.calls(code(t), X.known_names(), X.hot_keys(t.fx_lines, X.FILE))
+
+
 def scoped(t):
     return X.scopes(X.code_lines(t.fx_lines), X.hot_keys(t.fx_lines, X.FILE))
 
@@ -78,28 +83,25 @@ def numbered(t):
 @query("F01_function_calls", f"""WITH {CODE_SQL}, {CALLS_SQL}, k(name, sink_type) AS (VALUES {values(K.pairs(K.FUNCTION_SINKS))})
 SELECT sink_type, token AS function, COUNT(*) AS hits FROM tk JOIN k ON name = token GROUP BY 1, 2""")
 def function_calls(t):
-    h = X.table_hits(X.calls(code(t))).where("call_type = 'func_call'")
-    # F02 drops the entity-loader call with a true argument; counted back here so that F01 alone is compared
-    back = X.calls(code(t)).where(F.col("token") == "libxml_disable_entity_loader").where(F.lower(F.element_at("args", 1)) == "true")
-    rows = h.select("sink_type", "function").unionByName(back.select(F.lit("XXE").alias("sink_type"), F.col("token").alias("function")))
-    return rows.groupBy("sink_type", "function").agg(F.count("*").alias("hits"))
+    # F02 drops the entity-loader call with a true argument; kept here so that F01 alone is compared
+    return X.table_hits(sink_calls(t), keep_safe=True).where("call_type = 'func_call'").groupBy("sink_type", "function").agg(F.count("*").alias("hits"))
 
 
 @query("F02_entity_loader", f"""WITH {CODE_SQL}, {WITH_ARGS} SELECT project, path, line FROM ca WHERE token = 'libxml_disable_entity_loader' AND lower(COALESCE(arg1, '')) <> 'true'""")
 def entity_loader(t):
-    return X.table_hits(X.calls(code(t))).where("function = 'libxml_disable_entity_loader'").select("project", "path", "line")
+    return X.table_hits(sink_calls(t)).where("function = 'libxml_disable_entity_loader'").select("project", "path", "line")
 
 
 @query("F03_static_calls", f"""WITH {CODE_SQL}, x AS (SELECT unnest(regexp_extract_all(code, '(\\w+::\\w+)\\s*\\(', 1)) AS function FROM src),
 k(name, sink_type) AS (VALUES {values(K.pairs(K.STATIC_SINKS))}) SELECT sink_type, function, COUNT(*) AS hits FROM x JOIN k ON name = function GROUP BY 1, 2""")
 def static_calls(t):
-    return X.table_hits(X.calls(code(t))).where("call_type = 'static_call'").groupBy("sink_type", "function").agg(F.count("*").alias("hits"))
+    return X.table_hits(sink_calls(t)).where("call_type = 'static_call'").groupBy("sink_type", "function").agg(F.count("*").alias("hits"))
 
 
 @query("F04_method_calls", f"""WITH {CODE_SQL}, {CALLS_SQL}, k(name, sink_type) AS (VALUES {values(K.pairs(K.METHOD_SINKS))})
 SELECT sink_type, token || '()' AS function, COUNT(*) AS hits FROM tk JOIN k ON token = '->' || name GROUP BY 1, 2""")
 def method_calls(t):
-    return X.table_hits(X.calls(code(t))).where("call_type = 'method_call'").groupBy("sink_type", "function").agg(F.count("*").alias("hits"))
+    return X.table_hits(sink_calls(t)).where("call_type = 'method_call'").groupBy("sink_type", "function").agg(F.count("*").alias("hits"))
 
 
 def _line_query(key, kind, where, fn):
@@ -123,7 +125,7 @@ _line_query("F10_guarded", "property", r"regexp_matches(code, '\$guarded\s*=\s*\
 def _context_query(key, where_spark, sql, cols=("project", "path", "line", "function")):
     @query(key, sql)
     def run(t):
-        return X.context_hits(X.calls(scoped(t))).where(where_spark).select(*cols)
+        return X.context_hits(X.calls(scoped(t), X.known_names())).where(where_spark).select(*cols)
     return run
 
 
@@ -178,7 +180,7 @@ def scope_rows(t):
 
 @query("F22_argument_safety", f"WITH {CODE_SQL}, {CALLS_SQL}, {ARG_SQL} SELECT token, arg, safety, COUNT(*) AS uses FROM sf GROUP BY 1, 2, 3")
 def safety(t):
-    c = X.with_safety(X.calls(code(t))).select("token", F.explode(F.arrays_zip("args", "arg_safety")).alias("a"))
+    c = X.with_safety(X.calls(code(t), hot=X.hot_keys(t.fx_lines, X.FILE))).select("token", F.explode(F.arrays_zip("args", "arg_safety")).alias("a"))
     return c.select("token", F.col("a.args").alias("arg"), F.col("a.arg_safety").alias("safety")).groupBy("token", "arg", "safety").agg(F.count("*").alias("uses"))
 
 
@@ -186,7 +188,7 @@ def safety(t):
 g AS (SELECT project, path, line, cpos, token, bool_or(safety <> 'safe') AS tr FROM sf JOIN k ON token = name WHERE NOT (token = 'libxml_disable_entity_loader' AND lower(arg) = 'true') GROUP BY 1, 2, 3, 4, 5)
 SELECT token, COUNT(*) AS hits FROM g WHERE tr GROUP BY 1""")
 def traceable(t):
-    h = X.with_safety(X.table_hits(X.calls(code(t))).where("call_type = 'func_call'"))
+    h = X.with_safety(X.table_hits(sink_calls(t)).where("call_type = 'func_call'"))
     return X.traceable(h).groupBy("token").agg(F.count("*").alias("hits"))
 
 
@@ -202,7 +204,7 @@ e AS (SELECT project, path, bool_or((quoted AND NOT ended) OR (starts_with(tok,
 f AS (SELECT project, COUNT(*) AS files, CAST(sum(bad::INT) AS BIGINT) AS parse_errors FROM e GROUP BY 1)
 SELECT f.project, files, COALESCE(sinks, 0) AS sinks, parse_errors FROM f LEFT JOIN h USING (project)""")
 def summary(t):
-    return X.scan_summary(t.fx_lines, X.table_hits(X.calls(code(t))))
+    return X.scan_summary(t.fx_lines, X.table_hits(sink_calls(t)))
 
 
 def union_rules(rules, source="src") -> str:
