@@ -151,6 +151,15 @@ def top_k(df, keys, order, k: int, name: str | None = None) -> DataFrame:
     return ranked.withColumnRenamed("_k", name) if name else ranked.drop("_k")
 
 
+def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Rows dealt by ``keys`` over all of ``spark.sql.shuffle.partitions``.
+
+    Adaptive execution merges the partitions that an aggregation reads down to one per core, so with nearly as many groups
+    as rows the hash table of a task grows with the input; partitions of a given number are kept. An aggregation by these
+    keys needs no further shuffle."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, parts: int = 16) -> DataFrame:
     """Join rows to a table with one row per key, each hot key dealt over ``parts`` tasks.
 
