@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.values import micros
-from vulnlake.operators.ordered import previous, running, spread_join
+from vulnlake.operators.ordered import dealt, previous, running, spread_join
 
 
 def without_followup(events: DataFrame, log: DataFrame, key: str, hours: int, ts: str = "ts") -> DataFrame:
@@ -53,8 +53,12 @@ def coupon_reuse(uses: DataFrame, code: str, order: str, most_orders: int, disco
 
 
 def coupon_misuse(uses: DataFrame, code: str, user: str, order: str, used_on: str, expires: str) -> DataFrame:
-    """Codes that one user redeems in several orders, and uses after the code's last day, per (code, user)."""
-    g = uses.groupBy(code, user).agg(F.countDistinct(order).alias("orders"), F.count_if(F.col(used_on) > F.col(expires)).alias("late"))
+    """Codes that one user redeems in several orders, and uses after the code's last day, per (code, user).
+
+    Uses of one order are counted first, dealt by all three, so a busy (code, user) sends one row per order on."""
+    late = F.count_if(F.col(used_on) > F.col(expires))
+    each = dealt(uses, code, user, order).groupBy(code, user, order).agg(late.alias("late"))
+    g = dealt(each, code, user).groupBy(code, user).agg(F.count(order).alias("orders"), F.sum("late").alias("late"))
     issues = F.array_compact(F.array(F.when(F.col("orders") > 1, "reused_by_user"), F.when(F.col("late") > 0, "used_after_expiry")))
     return g.withColumn("issue", F.explode(issues))
 

@@ -318,7 +318,8 @@ WITH g AS (SELECT l_suppkey AS code, o_custkey AS customer, COUNT(DISTINCT l_ord
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
 SELECT *, 'reused_by_user' AS issue FROM g WHERE orders > 1 UNION ALL SELECT *, 'used_after_expiry' FROM g WHERE late > 0""")
 def coupon_misuse(t):
-    uses = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    # merged: the order table is too large to copy to every executor, whatever its files' size says
+    uses = t.lineitem.join(t.orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_suppkey").alias("code"), F.col("o_custkey").alias("customer"), "l_orderkey", F.col("l_shipdate").cast("date").alias("used_on"),
         F.date_add(F.lit("1995-01-01").cast("date"), (F.col("l_suppkey") % 1000).cast("int")).alias("expires"))
     return B.coupon_misuse(uses, "code", "customer", "l_orderkey", "used_on", "expires")
