@@ -100,3 +100,12 @@ def test_uses_are_counted_in_partitions_of_a_given_number(spark):
     assert got == {("c", "u", 2, 4, "reused_by_user"), ("c", "u", 2, 4, "used_after_expiry"), ("c", None, 1, 1, "used_after_expiry"), ("d", "v", 0, 1, "used_after_expiry")}
     # merged down to one by adaptive execution before, whatever the number of groups
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_conditions_on_code_do_not_read_the_line_again(spark):
+    lines = spark.createDataFrame([("p", "a", 1, "x('a'); // b"), ("p", "a", 2, "/* c"), ("p", "a", 3, "d */ y();")], "project string, path string, line int, text string")
+    rows = X.code_lines(lines)
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction")
+    few, many = rows.select("code"), rows.where("code rlike 'x' or code rlike 'y' or code rlike 'z'").select("code")
+    assert reads(many) == reads(few)
+    assert sorted(r.code.strip() for r in many.collect()) == ["x('a');", "y();"]

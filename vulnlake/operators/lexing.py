@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.operators.ordered import hot_keys, running
+from vulnlake.operators.ordered import dealt, hot_keys, running
+from vulnlake.session import durable
 
 FILE = ["project", "path"]
 CODE, SINGLE, DOUBLE, BLOCK = range(4)
@@ -92,7 +93,8 @@ def _states(units: DataFrame, shifts: list[int]) -> DataFrame:
     if not shifts:
         whole = units.groupBy(*FILE).agg(row)
         return whole.select(*FILE, F.explode(_walked(F.col("units"), F.lit(CODE))).alias("u")).select(*FILE, "u.*")
-    groups = units.groupBy(*FILE, F.shiftright("no", shifts[0]).alias("group")).agg(row)
+    # read by both sides of the join below, and above by two more: maps are worked out once
+    groups = durable(units.groupBy(*FILE, F.shiftright("no", shifts[0]).alias("group")).agg(row))
     above = _states(groups.select(*FILE, F.col("group").alias("no"), _total(F.col("units")).alias("map")), shifts[1:])
     found = groups.join(above.withColumnRenamed("no", "group"), [*FILE, "group"])
     return found.select(*FILE, F.explode(_walked(F.col("units"), F.col("state"))).alias("u")).select(*FILE, "u.*")
@@ -108,7 +110,7 @@ def code_lines(lines: DataFrame) -> DataFrame:
     """Add ``code``: the line without comments, strings that go on over lines closed at its end and opened again; and the
     states ``lex_in`` and ``lex_out`` that it starts and ends in."""
     # Lexing is the dear part: blocks of lines are dealt out for it, however few splits the source has.
-    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *FILE, F.shiftright("line", CHUNK + BLOCKS))
+    lines = dealt(lines, *FILE, F.shiftright("line", CHUNK + BLOCKS))
     states = start_states(lines).select(*[F.col(c).alias(f"_{c}") for c in (*FILE, "line")], "lex_in")
     same = (F.col("project").eqNullSafe(F.col("_project"))) & (F.col("path").eqNullSafe(F.col("_path"))) & (F.col("line") == F.col("_line"))
     rows = lines.join(states, same, "left").drop("_project", "_path", "_line").withColumn("lex_in", F.coalesce("lex_in", F.lit(CODE)))
@@ -121,7 +123,8 @@ def code_lines(lines: DataFrame) -> DataFrame:
         end = F.when(state == CODE, _end_in_code(text)).when(state == SINGLE, _end_from(text, SINGLE)).when(state == DOUBLE, _end_from(text, DOUBLE)).otherwise(_end_from(text, BLOCK))
         return let(end, lambda e: F.struct(F.concat(kept, F.when(e == SINGLE, F.lit("'")).when(e == DOUBLE, F.lit('"')).otherwise("")).alias("code"), e.cast("int").alias("lex_out")))
 
-    return rows.withColumn("_l", let(F.struct("text", F.col("lex_in").alias("state")), read)).select(*rows.columns, "_l.*")
+    # a generator: conditions on the code are not pushed below it, where each mention would read the line again
+    return rows.select("*", F.inline(F.transform(F.array(F.struct("text", F.col("lex_in").alias("state"))), read)))
 
 
 def count_of(code: Column, ch: str) -> Column:
