@@ -109,3 +109,8 @@ def test_conditions_on_code_do_not_read_the_line_again(spark):
     few, many = rows.select("code"), rows.where("code rlike 'x' or code rlike 'y' or code rlike 'z'").select("code")
     assert reads(many) == reads(few)
     assert sorted(r.code.strip() for r in many.collect()) == ["x('a');", "y();"]
+
+
+def test_result_documents_are_read_once(spark, tables):
+    from vulnlake.plans.q_links import sarif_result_documents
+    assert "from_json" not in sarif_result_documents(tables)._jdf.queryExecution().optimizedPlan().toString()

@@ -337,13 +337,12 @@ def sarif_result_documents(t):
     from vulnlake.sources.sinks import to_sarif
     _, shards = to_sarif(described(t), shard_rows=500, flows="flow", properties=["priority", "verdict", "rounds_executed"])
     # read back from the written documents, one row per result
-    result = t.spark.tvf.variant_explode(F.expr("variant_get(parse_json(document), '$.results', 'variant')").outer()).select(F.to_json("value").alias("parsed"))
-    order = ["ruleId", "level", "message", "locations", "properties", "codeFlows"]
-    schema = ("ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>, "
+    result = t.spark.tvf.variant_explode(F.expr("variant_get(parse_json(document), '$.results', 'variant')").outer()).select(F.col("value").alias("parsed"))
+    schema = ("struct<ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>, "
               "properties struct<priority:string,verdict:string,rounds_executed:int>, codeFlows array<struct<threadFlows:array<struct<locations:array<struct<location:struct<"
-              "physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>,message:struct<text:string>>>>>>>>")
-    rows = shards.lateralJoin(result).select("project", F.from_json("parsed", schema).alias("r"))
-    return rows.select("project", F.to_json(F.struct(*[F.col(f"r.{c}") for c in order])).alias("result")).groupBy("project", "result").agg(F.count("*").alias("n"))
+              "physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>,message:struct<text:string>>>>>>>>>")
+    rows = shards.lateralJoin(result).select("project", F.expr(f"variant_get(parsed, '$', '{schema}')").alias("r"))
+    return rows.select("project", F.to_json("r").alias("result")).groupBy("project", "result").agg(F.count("*").alias("n"))
 
 
 @query("W02_sarif_levels", """
