@@ -93,3 +93,13 @@ def test_published_rows_are_whole():
 def test_no_pairs_in_the_plan(spark):
     text = plan(run_checks(tables(spark, [("p", "x", 1)], [("p", "x", "y")]), RULES))
     assert "Join" not in text and "Window" not in text
+
+
+def test_checks_of_one_key_share_its_rows(spark):
+    from vulnlake.operators.checks import sides
+    left = spark.createDataFrame([("p", "a", 1), ("p", "a", 2), ("p", None, 3), ("p", "b", None)], "project string, k string, v int")
+    marks = [(0, "v > 0", "k", True), (1, "v > 1", "k", True), (2, "true", "k", False)]
+    out = sides({"left": left}, "left", marks, "project")
+    assert {(r.check, r.key, r.n, r.other) for r in out.collect()} == {(0, "a", 2, False), (1, "a", 1, False), (2, "a", 0, True), (2, "b", 0, True)}
+    # one entry per distinct key before the shuffle, not one per check
+    assert plan(out).split("Exchange")[-1].count("named_struct(") == 1

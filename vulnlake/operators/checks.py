@@ -1,7 +1,7 @@
 """Check compiler: check rows become one aggregate per input and one comparison of key sets.
 
-A check needs two numbers per project, ``good`` and ``total``. All ``share`` checks of an input are conditional counts
-of one aggregate, combined before the shuffle. Key checks mark each (project, check, key) with what either side holds;
+A check needs two numbers per project, ``good`` and ``total``. The ``share`` checks of an input are conditional counts
+of a few aggregates, combined before the shuffle. Key checks mark each (project, check, key) with what either side holds;
 keys meet by grouping, so no pair of rows is formed and a hot project is dealt out by its keys. A project that one
 input lacks has zero rows there, which fails what asks for at least one. Null predicates count as not met, null keys
 are left out, and an input without rows gives zeros.
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from vulnlake.rules.checks import CHECKS, MOST_WARNINGS, Check
 
+#: Share checks of one aggregate: all in one took longer than several of this size, each with its own read of the input.
+TOGETHER = 12
 RULE = "array<struct<check:int,phase:string,item:string,level:string,pct:int,least:int,most:int>>"
 
 
@@ -31,10 +33,18 @@ def counted(frame: DataFrame, checks: Sequence[tuple[int, Check]], by: str) -> D
 
 
 def sides(inputs: Mapping[str, DataFrame], source: str, marks: Sequence[tuple[int, str, str, bool]], by: str) -> DataFrame:
-    """Distinct (project, check, key, side) of one input, read once for all its key checks."""
-    held = ", ".join(f"named_struct('check', {i}, 'key', if({scope}, CAST({key} AS STRING), NULL), 'left', {str(left).lower()})" for i, scope, key, left in marks)
-    rows = inputs[source].selectExpr(by, f"inline(filter(array({held}), e -> e.key IS NOT NULL))")
-    return rows.groupBy(by, "check", "key").agg(F.count_if("left").alias("n"), F.max(~F.col("left")).alias("other"))
+    """(project, check, key, n, other) of one input, read once for all its key checks.
+
+    Rows are counted per distinct key expression, with one conditional count for each check that asks for it; only what is
+    left of a key is repeated for its checks."""
+    keys = list(dict.fromkeys(key for _, _, key, _ in marks))
+    asked = {k: " OR ".join(f"s{j}" for j, m in enumerate(marks) if m[2] == k) for k in keys}
+    scoped = inputs[source].select("*", *[F.expr(f"({scope}) AS s{j}") for j, (_, scope, _, _) in enumerate(marks)])
+    held = ", ".join(f"named_struct('k', {n}, 'key', if({asked[key]}, CAST({key} AS STRING), NULL))" for n, key in enumerate(keys))
+    rows = scoped.selectExpr(by, *[f"s{j}" for j in range(len(marks))], f"inline(filter(array({held}), e -> e.key IS NOT NULL))")
+    counts = rows.groupBy(by, "k", "key").agg(*[F.count_if((F.col("k") == keys.index(key)) & F.col(f"s{j}")).alias(f"n{j}") for j, (_, _, key, _) in enumerate(marks)])
+    own = ", ".join(f"named_struct('check', {i}, 'n', if({str(left).lower()}, n{j}, 0L), 'other', {str(not left).lower()}, 'rows', n{j})" for j, (i, _, _, left) in enumerate(marks))
+    return counts.selectExpr(by, "key", f"inline(filter(array({own}), e -> e.rows > 0))").drop("rows")
 
 
 def key_counts(inputs: Mapping[str, DataFrame], checks: Sequence[tuple[int, Check]], by: str) -> DataFrame:
@@ -60,8 +70,7 @@ def run_checks(inputs: Mapping[str, DataFrame], checks: Sequence[Check] = CHECKS
     frames = []
     for source in dict.fromkeys(c.source for c in checks):
         mine = [(i, c) for i, c in numbered if c.source == source and c.kind == "share"]
-        if mine:
-            frames.append(counted(inputs[source], mine, by))
+        frames += [counted(inputs[source], mine[n : n + TOGETHER], by) for n in range(0, len(mine), TOGETHER)]
     keyed = [(i, c) for i, c in numbered if c.kind != "share"]
     if keyed:
         frames.append(key_counts(inputs, keyed, by))
